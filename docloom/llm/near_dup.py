@@ -4,7 +4,7 @@
    its smallest id stands for it.
 2. BANDS x ROWS MinHash values give a class its band keys. At the similarity threshold a pair shares no band with
    probability (1 - 0.75**5)**50, about 1e-6; beyond it with less.
-3. Each bucket links its members to its smallest one only, so a bucket of m members makes m - 1 pairs.
+3. Each bucket links its members to its centre only, the one that shares most buckets, so m members make m - 1 pairs.
 4. A pair's signatures are compared in batches. After each batch the posterior (uniform prior) of the similarity is
    bounded; a pair goes once the threshold is missed with probability 1 - MISS. Survivors are confirmed on full sets.
 5. Buckets whose members are not yet one component are looked at again: members of different components are compared
@@ -31,8 +31,8 @@ from docloom.llm.perfect_hash import U, mix
 from docloom.storage import cut
 
 WORDS, BANDS, ROWS = 5, 50, 5
-BATCH, BATCHES = 32, 4
-MISS = 1e-9
+BATCH, BATCHES = 64, 12
+MISS = 1e-6
 TILE = 256
 CHUNK = 64
 
@@ -42,6 +42,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 _coef = np.random.default_rng(11)
 MUL = _coef.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 ADD = _coef.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+MUL2 = _coef.integers(0, 2**63, BATCH * BATCHES, dtype=np.uint64) * U(2) + U(1)
+ADD2 = _coef.integers(0, 2**63, BATCH * BATCHES, dtype=np.uint64)
 
 
 class Words:
@@ -99,18 +101,17 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def short_signature(own: np.ndarray) -> bytes:
-    """The values that verification compares, two bytes each, from hash functions that the bands don't use."""
+    """The values that verification compares, a byte each, from hash functions that the bands don't use."""
+    best, mixed = np.full(BATCH * BATCHES, U(2**64 - 1)), mix(own ^ U(0x7F4A7C15))
     with np.errstate(over="ignore"):
-        best = np.full(BATCH * BATCHES, U(2**64 - 1))
-        mul, add = MUL[: BATCH * BATCHES] ^ U(0xA5A5A5A5A5A5A5A4), ADD[: BATCH * BATCHES] ^ U(0x5DEECE66D)
-        for at in range(0, len(own), 2048):
-            best = np.minimum(best, (mix(own[at : at + 2048] ^ U(0x7F4A7C15))[:, None] * mul + add).min(axis=0))
-    return (best >> U(48)).astype("<u2").tobytes()
+        for at in range(0, len(own), 1024):
+            best = np.minimum(best, (mixed[at : at + 1024, None] * MUL2 + ADD2).min(axis=0))
+    return (mix(best) >> U(56)).astype(np.uint8).tobytes()
 
 
 SETS = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"
 CHOSEN = "rep long, n_shingles long, signature binary, shingles binary"
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 27
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -134,26 +135,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, SETS)
 
 
+def bit_filter(values: DataFrame):
+    """A broadcast array of flags, at most FILTER_BITS, that is set at ``pmod(value, size)`` of every long in the only
+    column of ``values``. Other values may share a flag; an exact step must follow."""
+    name = values.columns[0]
+    bits = 1 << 10
+    while bits < min(FILTER_BITS, 16 * values.count()):
+        bits *= 2
+    at = values.select(F.pmod(F.col(name), F.lit(bits)).alias("bit"))
+    words = at.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
+    array = np.zeros(bits // 64, np.int64)
+    array[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return values.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(array.view(np.uint8), bitorder="little").astype(bool)))
+
+
+def flagged(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values % (len(packed) * 8)
+    return (packed[at >> 3] >> (7 - (at & 7))) & 1 == 1
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, n_shingles, signature, shingles) of the documents in ``wanted`` (rep), read again from their texts.
 
-    A bit array of at most FILTER_BITS bits, sent to all tasks, lets most other texts pass unread; those that share a
-    bit with a wanted one are computed as well and left out by the join that follows.
+    A bit array sent to all tasks lets most other texts pass unread; those that share a bit with a wanted one are
+    computed as well and left out by the joins that follow.
     """
-    bits = 1 << 10
-    while bits < min(FILTER_BITS, 16 * wanted.count()):
-        bits *= 2
-    at = F.pmod(F.xxhash64(F.col("rep").cast("string")), F.lit(bits))
-    words = wanted.select(at.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
-    array = np.zeros(bits // 64, np.int64)
-    for w in words:
-        array[w["word"]] = w["bits"]
-    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(array.view(np.uint8), bitorder="little"))
+    mark = F.xxhash64(F.col("rep").cast("string")).alias("mark")
+    sent = bit_filter(wanted.select(mark))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags, of = sent.value, Words()
         for b in batches:
-            b = b[flags[b["bit"].to_numpy(np.int64)] == 1]
+            b = b[flagged(flags, b["mark"].to_numpy(np.int64))]
             out = []
             for rep, text in zip(b["rep"], b["text"], strict=True):
                 own = shingles(of(text or ""))
@@ -162,16 +175,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["rep", "n_shingles", "signature", "shingles"])
 
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("rep"), "text")
-    return cut(ids.withColumn("bit", at).mapInPandas(run, CHOSEN), "chosen")
+    return cut(ids.withColumn("mark", mark).mapInPandas(run, CHOSEN), "chosen")
 
 
 def least_matches(threshold: float) -> list[int]:
     """Matches needed after each batch: with fewer, the similarity reaches the threshold with probability under MISS."""
     s = (np.arange(20000) + 0.5) / 20000
+    equal = s + (1 - s) / 256  # different minima share their byte that often
     needed, out = 0, []
     for n in range(BATCH, BATCH * BATCHES + 1, BATCH):
         for m in range(needed, n + 1):
-            log = m * np.log(s) + (n - m) * np.log1p(-s)
+            log = m * np.log(equal) + (n - m) * np.log1p(-equal)
             weight = np.exp(log - log.max())
             if weight[s >= threshold].sum() / weight.sum() >= MISS:
                 needed = m
@@ -180,12 +194,13 @@ def least_matches(threshold: float) -> list[int]:
     return out
 
 
-def may_reach(a: np.ndarray, b: np.ndarray, needed: list[int]) -> np.ndarray:
-    """Which pairs of signature rows survive the sequential test."""
-    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
+def may_reach(a: np.ndarray, b: np.ndarray, needed: list[int], p: np.ndarray | None = None, q: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of signature rows (a[p], b[q]) survive the sequential test."""
+    p, q = (np.arange(len(a)), np.arange(len(b))) if p is None else (p, q)
+    alive, matches = np.arange(len(p)), np.zeros(len(p), np.int32)
     for k, least in enumerate(needed):
         part = slice(k * BATCH, (k + 1) * BATCH)
-        matches[alive] += (a[alive, part] == b[alive, part]).sum(axis=1)
+        matches[alive] += (a[p[alive], part] == b[q[alive], part]).sum(axis=1)
         alive = alive[matches[alive] >= least]
         if not len(alive):
             break
@@ -193,7 +208,7 @@ def may_reach(a: np.ndarray, b: np.ndarray, needed: list[int]) -> np.ndarray:
 
 
 def as_rows(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), "<u2").reshape(-1, BATCH * BATCHES)
+    return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, BATCH * BATCHES)
 
 
 def pruned(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -245,43 +260,101 @@ def confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def unresolved(buckets: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that survive the sequential test.
 
-    A bucket is compared in tiles of TILE members. Members of its largest component lie in one tile each, to which all
-    the others are sent; the others are compared among themselves in a triangle of tiles.
+    A bucket's largest component of two or more is set apart: all members of that component are dealt into tiles, once
+    for all its buckets, and its outsiders are sent to each. A bucket's other members are compared among themselves in
+    a triangle of tiles. No tile has more than about TILE members of either side.
     """
     needed = least_matches(threshold)
-    known = buckets.join(labels.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labels = labels.toDF("rep", "component")
+    known = buckets.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("m")).filter("n_major < m")
-    rows = known.join(mixed, "key").join(classes.select("rep", "n_shingles", "signature"), "rep")
-    mark = F.xxhash64("rep")
-    ours, others = F.ceil(F.col("n_major") / TILE).cast("int"), F.ceil((F.col("m") - F.col("n_major")) / TILE).cast("int")
-    own = F.pmod(mark, others).cast("int")
-    tile = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    across = F.transform(F.sequence(F.lit(0), ours - 1), lambda i: tile(i, F.lit(-1)))
-    among = F.transform(F.sequence(F.lit(0), others - 1), lambda j: tile(F.least(own, j), F.greatest(own, j)))
-    major = F.col("component") == F.col("major")
-    tiles = F.when(major, F.array(tile(F.pmod(mark, ours), F.lit(-1)))).otherwise(F.concat(across, among))
-    rows = rows.select("key", "rep", "component", "n_shingles", "signature", F.when(major, -1).otherwise(own).alias("own"), F.explode(tiles).alias("t")).select("*", "t.i", "t.j").drop("t")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_shingles", "rep"], ignore_index=True)
-        sig, n, comp, own, rep = as_rows(pdf["signature"]), pdf["n_shingles"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy(), pdf["rep"].to_numpy()
-        i, j, out = pdf["i"].iloc[0], pdf["j"].iloc[0], []
-        ends = np.searchsorted(n, n / threshold, side="right")
-        for x in range(len(pdf) - 1):
-            y = np.arange(x + 1, ends[x])
-            apart = comp[y] != comp[x]
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m")).filter("top.n < m")
+    major = F.when(F.col("top.n") > 1, F.col("top.component"))
+    mixed = mixed.select("key", major.alias("major"), (F.col("m") - F.when(F.col("top.n") > 1, F.col("top.n")).otherwise(0)).alias("others"))
+    outside = cut(known.join(mixed, "key").filter("major is null or component <> major"), "outside")
+    mark, number = F.xxhash64("rep"), lambda n: F.ceil(F.col(n) / TILE).cast("int")
+
+    met = outside.filter("major is not null").select("major", "rep", "component").distinct()
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(met.select(F.col("major").alias("component")).distinct(), "component", "left_semi")
+    inner = labels.join(sizes, "component").select(F.col("component").alias("key"), "rep", "component", F.lit(-1).alias("own"), F.pmod(mark, number("size")).cast("int").alias("i"), F.lit(-1).alias("j"))
+    outer = met.join(sizes.toDF("major", "size"), "major").select(F.col("major").alias("key"), "rep", "component", F.lit(0).alias("own"), F.explode(F.sequence(F.lit(0), number("size") - 1)).alias("i"), F.lit(-1).alias("j"))
+    own = F.pmod(mark, number("others")).cast("int")
+    among = outside.filter("others > 1").select("key", "rep", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), number("others") - 1)).alias("other"))
+    among = among.select("key", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = inner.unionByName(outer).unionByName(among).join(classes.select("rep", "n_shingles", "signature"), "rep")
+
+    def compared(x: pd.DataFrame) -> pd.DataFrame:
+        """All tiles of ``x``, which lie one after the other."""
+        sig, n, comp, own, rep = as_rows(x["signature"]), x["n_shingles"].to_numpy(), x["component"].to_numpy(), x["own"].to_numpy(), x["rep"].to_numpy()
+        keys = x[["key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        out, ps, qs, held = [], [], [], 0
+
+        def flush() -> None:
+            nonlocal held
+            p, q = np.concatenate(ps), np.concatenate(qs)
+            left = may_reach(sig, sig, needed, p, q)
+            out.append(pd.DataFrame({"a": np.minimum(rep[p[left]], rep[q[left]]), "b": np.maximum(rep[p[left]], rep[q[left]])}))
+            ps.clear(), qs.clear()
+            held = 0
+
+        for start, end in zip(starts, [*starts[1:], len(x)], strict=True):
+            if end - start < 2:
+                continue
+            p, q = np.triu_indices(end - start, 1)
+            p, q = p + start, q + start
+            ok = (comp[p] != comp[q]) & (np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]))
+            i, j = keys[start, 1], keys[start, 2]
             if j == -1:
-                apart &= (own[y] == -1) != (own[x] == -1)
+                ok &= (own[p] == -1) != (own[q] == -1)
             elif i != j:
-                apart &= own[y] != own[x]
-            y = y[apart]
-            if len(y):
-                for z in y[may_reach(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], needed)]:
-                    out.append((min(rep[x], rep[z]), max(rep[x], rep[z])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                ok &= own[p] != own[q]
+            ps.append(p[ok])
+            qs.append(q[ok])
+            held += int(ok.sum())
+            if held > 100_000:
+                flush()
+        if ps:
+            flush()
+        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for x in batches:
+            x = x if rest is None else pd.concat([rest, x], ignore_index=True)
+            last = (x[["key", "i", "j"]] == x[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
+            rest = x[last].reset_index(drop=True)
+            if not last.all():
+                yield compared(x[~last].reset_index(drop=True))
+        if rest is not None:
+            yield compared(rest)
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def shared_buckets(sets: DataFrame) -> DataFrame:
+    """(key, rep, m) of the buckets with m > 1 members."""
+    counts = sets.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    counts = cut(counts, "bucket-sizes")
+    sent = bit_filter(counts.select("key"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = np.stack(b["bands"].to_numpy()) if len(b) else np.empty((0, BANDS), np.int64)
+            hit = flagged(sent.value, keys.ravel())
+            yield pd.DataFrame({"key": keys.ravel()[hit], "rep": np.repeat(b["doc_id"].to_numpy(np.int64), BANDS)[hit]})
+
+    return cut(sets.select("doc_id", "bands").mapInPandas(run, "key long, rep long").join(counts, "key"), "buckets")
+
 
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b): each bucket's members with the one that has most company over all its buckets, the likeliest centre of
+    a group of copies that differ from each other more than from their origin."""
+    company = buckets.groupBy("rep").agg(F.sum("m").alias("company"))
+    centres = buckets.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("c"))).alias("top")).select("key", (-F.col("top.c")).alias("centre"))
+    met = buckets.join(centres, "key").filter("rep <> centre")
+    return met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -295,13 +368,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         texts, full = first, cut(fingerprints(first), "sets").filter("c1 is not null and doc_id is not null")
     classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
     alone = full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    keyed = alone.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
-    buckets = cut(keyed.join(shared, "key").select("key", "a", "rep"), "buckets")
+    buckets = shared_buckets(alone)
     chosen = full_sets(texts, cut(buckets.select("rep").distinct(), "wanted"))
-    stars = buckets.filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    stars = star_pairs(buckets)
     near = cut(confirmed(cut(pruned(stars, chosen, threshold), "pairs"), chosen, percent), "near")
-    more = cut(unresolved(buckets, components(near), chosen, threshold), "pairs")
+    more = cut(unresolved(buckets.select("key", "rep"), components(near), chosen, threshold), "pairs")
     found = components(near.unionByName(confirmed(more, chosen, percent)))
     member = full.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", "rep").join(found.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles").join(member, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
