@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, line_dedup, near_dup, packing, secrets
+from docloom.llm import language, line_dedup, mtree, near_dup, packing, secrets, spotsigs, token_counts
 from docloom.storage import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +43,24 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE_IDS, end_id=2, capacity=1024)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mtree.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
+OP4_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -51,9 +69,51 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_ANCHORS = ", ".join(f"'{w}'" for w in sorted(set(spotsigs.ANCHORS)))
+
+
+def _signatures_sql(source: str) -> str:
+    """CTE steps from ``source`` (doc_id, text) to (doc_id, text, s)."""
+    return f"""
+  select doc_id, text, case when len(s) > 0 then s when text = '' then []::varchar[]
+         when len(w) > 0 then ['=' || array_to_string(w, ' ')] else ['=' || text] end as s
+  from (
+    select doc_id, text, w, list_distinct(list_filter(list_transform(c, lambda x, i: case when x.spot then x.w || ' ' || c[i + 1].w end), lambda x: x is not null)) as s
+    from (
+      select doc_id, text, w, list_filter(list_transform(w, lambda x, i: {{'w': x, 'spot': i > 1 and list_contains([{_ANCHORS}], w[i - 1])}}), lambda x: not list_contains([{_ANCHORS}], x.w)) as c
+      from (select doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from {source})))"""
+
+
+_LIKENESS = "case when len({a}) = 0 and len({b}) = 0 then 1.0 when len({a}) = 0 or len({b}) = 0 then 0.0 else len(list_intersect({a}, {b}))::double / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) end"
+_PRINT = "sha256(array_to_string(list_sort({a}), chr(10)))"
+OP7_SQL = f"""
+with base as (
+  select doc_id, coalesce(text, '') as text, coalesce(lead(coalesce(text, '')) over (order by doc_id desc), first_value(coalesce(text, '')) over (order by doc_id desc)) as next_text
+  from documents),
+changed as (
+  select doc_id, next_text, text as own, left(text, length(text) - length(text) // 3) || left(next_text, length(text) // 3) as text from base),
+a as ({_signatures_sql("base")}),
+b as ({_signatures_sql("changed")}),
+c as ({_signatures_sql("(select doc_id, next_text as text from base)")})
+select a.doc_id, length(a.text)::bigint as n_chars, sha256(b.text) as edited_sha256,
+       {_PRINT.format(a="a.s")} as fingerprint, {_PRINT.format(a="b.s")} as edited_fingerprint,
+       {_LIKENESS.format(a="a.s", b="b.s")} as near_edited, {_LIKENESS.format(a="a.s", b="c.s")} as near_next
+from a join b using (doc_id) join c using (doc_id)
+"""
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op6_language_id, op9_near_duplicates)}
-SQL = {"op1_line_dedup": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates)}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_exact_topk": OP4_SQL, "op7_spot_signatures": OP7_SQL}
