@@ -1,4 +1,428 @@
-"""Named queries of the retrieval engine, each with the SQL that gives the same rows."""
+"""Named queries of the retrieval engine, each with the SQL that gives the same rows where SQL can."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import text
+from docloom.operators import chunking, embedding, fusion, search, store
+from docloom.plans.retrieve import Retriever
+from docloom.sources import files
+from docloom.storage import table
+
+QUESTIONS = ["启动open-webui的两种方式是什么？", "如何安装docker？", "docker怎么启动", "Spring AI有哪些特点？", "请问如何在k8s中部署redis?", "什么是Spring AI", "是什么意思", "怎么样", "如何", "", "  plain  words, kept ", "email about MySQL and contain", "使用教程 docker compose 部署"]
+VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
+KEYWORDS = ["the", "tion"]
+FILES = ["a/b/report.PDF", "notes.md", "x.tar.gz", "/deep/er/page.html", "plain"]
+SIZES = [0, 1, 10 << 20, (10 << 20) + 1, 50 << 20, (50 << 20) + 1]
+DELETED_FILE = "src3"
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(QUESTIONS)), "id long, q string")
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("filename"), F.col("text").alias("content"), F.lit(None).cast("string").alias("parent_content"))
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+def query_vector(spark: SparkSession, sf: str, vec_id: int) -> list[float]:
+    row = vectors(spark, sf).filter(F.col("doc_id") == vec_id).first()
+    return list(row["embedding"]) if row else []
+
+
+def deleted(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks(spark, sf).filter(F.col("filename") == DELETED_FILE).select(F.col("id").alias("doc_id"))
+
+
+Q: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def top_sql(where: str = "", threshold: float = 0.5) -> str:
+    return f"""
+with q as (select embedding::double[] as e from embeddings where vec_id = 0),
+s as (select v.vec_id as doc_id, round((1 + list_cosine_similarity(v.embedding::double[], q.e)) / 2, 6) as score from embeddings v, q {where})
+select doc_id, score, (row_number() over (order by score desc, doc_id))::int as rank from s where score >= {threshold} order by score desc, doc_id limit 20"""
+
+
+@query(top_sql(threshold=0.0))
+def vec_topk(spark, sf):
+    return search.vector_top_k(vectors(spark, sf), query_vector(spark, sf, 0), 20, 0.0)
+
+
+@query(top_sql(threshold=0.6))
+def vec_topk_threshold(spark, sf):
+    return search.vector_top_k(vectors(spark, sf), query_vector(spark, sf, 0), 20, 0.6)
+
+
+@query(top_sql(where=f"where v.vec_id not in (select doc_id from documents where source = '{DELETED_FILE}')"))
+def vec_topk_softdelete(spark, sf):
+    return search.vector_top_k(vectors(spark, sf), query_vector(spark, sf, 0), 20, 0.5, deleted(spark, sf))
+
+
+@query("""
+with s as (select q.vec_id as query_id, v.vec_id as doc_id, round((1 + list_cosine_similarity(v.embedding::double[], q.embedding::double[])) / 2, 6) as score
+           from embeddings q, embeddings v where q.vec_id % 50 = 0),
+r as (select *, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from s where score >= 0.5)
+select query_id, doc_id, score, rank from r where rank <= 20""")
+def vec_multi_query_topk(spark, sf):
+    v = vectors(spark, sf)
+    return search.multi_query_top_k(v, v.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "embedding"), 20)
+
+
+LIKE = " or ".join(f"lower(text) like '%{k}%'" for k in KEYWORDS)
+
+
+@query(f"select doc_id as id from documents where {LIKE} order by doc_id limit 40")
+def kw_search(spark, sf):
+    return search.keyword_hits(chunks(spark, sf), KEYWORDS, 40)
+
+
+@query("select doc_id as id, (contains(lower(text), 'the')::int + contains(lower(text), 'tion')::int) as matched from documents")
+def kw_match_count(spark, sf):
+    return chunks(spark, sf).select("id", sum(F.contains(F.lower("content"), F.lit(k)).cast("int") for k in KEYWORDS).alias("matched"))
+
+
+LISTS = f"""
+lists as (
+  select 0 as list_id, doc_id, score from (with q as (select embedding::double[] as e from embeddings where vec_id = 0), s as (select v.vec_id as doc_id, round((1 + list_cosine_similarity(v.embedding::double[], q.e)) / 2, 6) as score from embeddings v, q) select * from s where score >= 0.5 order by score desc, doc_id limit 20)
+  union all
+  select 1, doc_id, score from (with q as (select embedding::double[] as e from embeddings where vec_id = 7), s as (select v.vec_id as doc_id, round((1 + list_cosine_similarity(v.embedding::double[], q.e)) / 2, 6) as score from embeddings v, q) select * from s where score >= 0.5 order by score desc, doc_id limit 20)
+  union all
+  select 2, doc_id, 1.0 from (select doc_id from documents where {LIKE} order by doc_id limit 40)),
+r as (select *, row_number() over (partition by list_id order by score desc, doc_id) as rn from lists),
+fused as (select doc_id, max(score)::double as original_score, round(sum(1.0::double / (60 + rn)), 10) as rrf_score from r group by doc_id),
+scored as (select *, round(original_score * (1 + 10 * rrf_score), 6) as final_score from fused)"""
+
+
+def result_lists(spark, sf):
+    v, c = vectors(spark, sf), chunks(spark, sf)
+    own = [search.vector_top_k(v, query_vector(spark, sf, i), 20).select(F.lit(n).alias("list_id"), "doc_id", "score") for n, i in enumerate((0, 7))]
+    own.append(search.keyword_hits(c, KEYWORDS, 40).select(F.lit(2).alias("list_id"), F.col("id").alias("doc_id"), F.lit(1.0).alias("score")))
+    return reduce(DataFrame.unionByName, own)
+
+
+@query(f"with {LISTS} select * from scored")
+def rrf_fuse(spark, sf):
+    return fusion.reciprocal_rank_fusion(result_lists(spark, sf))
+
+
+@query(f"with {LISTS} select d.doc_id as id, coalesce(s.final_score, 1.0) as final_score from documents d left join scored s using (doc_id)")
+def score_attach_default(spark, sf):
+    return fusion.attach_scores(chunks(spark, sf).select("id"), fusion.reciprocal_rank_fusion(result_lists(spark, sf)))
+
+
+COVER = "((contains(lower(d.text), 'the')::int + contains(lower(d.text), 'tion')::int) / 2.0::double)"
+
+
+@query(f"select * from (select d.doc_id as id, round(1.2::double * {COVER}, 6) as final_score from documents d) where final_score > 0")
+def kw_adjust(spark, sf):
+    docs = chunks(spark, sf).withColumn("final_score", F.lit(1.2))
+    return fusion.adjust_by_keywords(docs, F.coalesce("parent_content", "content"), KEYWORDS).select("id", "final_score")
+
+
+HYBRID = f"""{LISTS},
+adjusted as (select d.doc_id as id, d.text as ctx, round(s.final_score * {COVER}, 6) as final_score from scored s join documents d using (doc_id)),
+best as (select *, (row_number() over (order by final_score desc, id))::int as rank from adjusted where final_score > 0 order by final_score desc, id limit 20)"""
+
+
+class _Fixed(Retriever):
+    def keywords(self, question):
+        return KEYWORDS
+
+
+def retrieved(spark, sf):
+    return _Fixed(chunks(spark, sf), vectors(spark, sf)).search("", [query_vector(spark, sf, i) for i in (0, 7)])
+
+
+@query(f"with {HYBRID} select id, final_score, rank from best")
+def hybrid_search(spark, sf):
+    return retrieved(spark, sf).select("id", "final_score", "rank")
+
+
+CONTEXT = f"with {HYBRID}, first as (select ctx, min(rank) as rank from best group by ctx), n as (select ctx, row_number() over (order by rank) as n from first), c as (select coalesce(string_agg('[' || n || '] ' || ctx || chr(10) || chr(10), '' order by n), '') as context from n)"
+
+
+@query(f"{CONTEXT} select context from c")
+def context_build(spark, sf):
+    return fusion.context(retrieved(spark, sf))
+
+
+@query(f"{CONTEXT} select '问题：what is it' || chr(10) || chr(10) || '参考资料：' || chr(10) || context || chr(10) || '请基于以上参考资料回答问题：' || chr(10) as prompt from c")
+def prompt_build(spark, sf):
+    return fusion.prompt("what is it", fusion.context(retrieved(spark, sf)))
+
+
+@query("select doc_id as id, source as filename, text as content from documents where doc_id in (3, 5, 8, 999999999)")
+def find_by_ids(spark, sf):
+    wanted = spark.createDataFrame([(i,) for i in (3, 5, 8, 999999999)], "id long")
+    return chunks(spark, sf).join(F.broadcast(wanted), "id", "left_semi").select("id", "filename", "content")
+
+
+@query("select doc_id as id, text as content, (row_number() over (order by doc_id) - 1)::int as chunk_index from documents where source = 'src1'")
+def find_by_source(spark, sf):
+    own = chunks(spark, sf).filter(F.col("filename") == "src1")
+    return store.with_ids(own.withColumnRenamed("id", "k"), ["k"], 0).select(F.col("k").alias("id"), "content", F.col("id").alias("chunk_index"))
+
+
+@query("select event_type as filename, (row_number() over (order by max(ts) desc, event_type))::int as rank from events group by event_type")
+def list_files_by_recency(spark, sf):
+    return store.files_by_recency(table(spark, sf, "events").select(F.col("event_type").alias("filename"), F.col("ts").alias("upload_time")))
+
+
+@query("select event_id, event_type as filename, ts as upload_time from events order by ts desc, event_id")
+def list_all_ordered(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.col("event_type").alias("filename"), F.col("ts").alias("upload_time")).orderBy(F.desc("upload_time"), "event_id")
+
+
+@query("select (select count(*) from documents) as n_documents, (select count(*) from embeddings) as n_vectors")
+def count_docs(spark, sf):
+    n = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_documents"))
+    return n.join(F.broadcast(table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n_vectors"))))
+
+
+@query("select vec_id, label from embeddings order by vec_id limit 50 offset 100")
+def page_offset(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "label").orderBy("vec_id").offset(100).limit(50)
+
+
+GONE = f"(select doc_id from documents where source = '{DELETED_FILE}')"
+
+
+@query(f"select distinct v.vec_id as doc_id from embeddings v left join (select * from documents where source <> '{DELETED_FILE}') d on v.vec_id = d.doc_id where d.doc_id is null")
+def orphan_vectors(spark, sf):
+    return store.orphans(vectors(spark, sf), store.delete_files(chunks(spark, sf), [DELETED_FILE]))
+
+
+@query(f"select vec_id as doc_id, embedding[1] as first from embeddings where vec_id not in {GONE}")
+def cascade_delete(spark, sf):
+    return store.cascade(vectors(spark, sf), deleted(spark, sf)).select("doc_id", F.get("embedding", F.lit(0)).alias("first"))
+
+
+@query(f"select source as filename, count(*) as n from documents where source <> '{DELETED_FILE}' group by source")
+def delete_by_filename(spark, sf):
+    return store.delete_files(chunks(spark, sf), [DELETED_FILE]).groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select vec_id as doc_id, row_number() over (order by vec_id) - 1 as node_id from embeddings where vec_id not in {GONE}")
+def compact_renumber(spark, sf):
+    return store.compact(vectors(spark, sf), deleted(spark, sf))
+
+
+@query(f"select *, case when total_vector_count > 0 then round(deleted_doc_ids_count / total_vector_count::double, 6) else 0.0 end as deletion_ratio from (select (select count(distinct doc_id) from {GONE}) as deleted_doc_ids_count, (select count(*) from embeddings) as total_vector_count)")
+def deleted_stats(spark, sf):
+    return store.deleted_stats(vectors(spark, sf), deleted(spark, sf))
+
+
+@query("""select 'union' as op, doc_id as id from (select doc_id from documents union select vec_id from embeddings)
+union all select 'difference', doc_id from (select doc_id from documents except select vec_id from embeddings)
+union all select 'both', doc_id from (select doc_id from documents intersect select vec_id from embeddings)""")
+def id_set_ops(spark, sf):
+    a, b = chunks(spark, sf).select("id"), vectors(spark, sf).select(F.col("doc_id").alias("id"))
+    parts = [("union", a.union(b).distinct()), ("difference", a.join(b, "id", "left_anti").distinct()), ("both", a.join(b, "id", "left_semi").distinct())]
+    return reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("op"), "id") for n, d in parts])
+
+
+def estimate_sql(cjk: str, other: str) -> str:
+    n = "(length(text) - length(regexp_replace(text, '[一-龥]', '', 'g')))"
+    return f"select id, floor({n} * {cjk} + (length(text) - {n}) * {other})::bigint as tokens from (select doc_id as id, text from documents union all select * from (values {VALUES}) t(id, text))"
+
+
+def texts(spark, sf):
+    return chunks(spark, sf).select("id", F.col("content").alias("text")).union(questions(spark))
+
+
+def estimate_of(f):
+    return lambda spark, sf: texts(spark, sf).select("id", f(F.col("text")).alias("tokens"))
+
+
+# The estimates count CJK characters; the pattern above removes them, so the SQL takes the difference in length.
+for _name, _f, _w in (("token_estimate_a", text.token_estimate_a, ("0.5::double", "0.25::double")), ("token_estimate_b", text.token_estimate_b, ("0.7::double", "0.3::double"))):
+    Q[_name], SQL[_name] = estimate_of(_f), estimate_sql(*_w)
+
+
+@query(r"select id, i, line from (select doc_id as id, unnest(l) as line, unnest(range(len(l))) as i from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: x <> '') as l from documents))")
+def line_split(spark, sf):
+    return chunks(spark, sf).select("id", F.posexplode(text.lines(F.col("content"))).alias("i", "line")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(r"select id, chunk_index, total_chunks, content from (select doc_id as id, unnest(l) as content, unnest(range(len(l))) as chunk_index, len(l) as total_chunks from (select doc_id, string_split(text, chr(10)) as l from documents)) where regexp_replace(content, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') <> ''")
+def blank_filter_positions(spark, sf):
+    parts = chunks(spark, sf).select("id", F.split("content", "\n").alias("l"))
+    rows = parts.select("id", F.size("l").cast("long").alias("total_chunks"), F.posexplode("l").alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    return files.non_blank(rows, "content")
+
+
+def sql_trim(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+
+
+CLEAN = sql_trim(rf"regexp_replace(regexp_replace(regexp_replace(q, '^({text.LEADING})\s*', ''), '{text.PUNCTUATION.replace(chr(39), chr(39) * 2)}', '', 'g'), '\s+', ' ', 'g')")
+CLEANED = f"cleaned as (select id, q, {CLEAN} as c from (values {VALUES}) t(id, q))"
+
+
+@query(f"with {CLEANED} select id, c as cleaned from cleaned")
+def query_clean(spark, sf):
+    return questions(spark).select("id", text.clean_query(F.col("q")).alias("cleaned"))
+
+
+@query(f"""with {CLEANED},
+made as (select id, q, c, case
+  when c like '%如何%' or c like '%怎么%' or c like '%怎样%' then {sql_trim("regexp_replace(c, '(如何|怎么样|怎么|怎样)', '', 'g')")}
+  when c like '%是什么%' then {sql_trim("regexp_replace(c, '(是什么|是什么意思)[？?]?$', '')")}
+  when c like '%有哪些%' or c like '%是哪些%' then {sql_trim(f"regexp_replace(c, '({text.LIST_ENDINGS})[？?]?$', '')")}
+  else c end as r from cleaned)
+select id, case when {sql_trim("q")} = '' then q when r = c or length(r) < floor(length(c) / 2.0) then c else r end as rewritten from made""")
+def query_rewrite(spark, sf):
+    return questions(spark).select("id", text.rewrite(F.col("q")).alias("rewritten"))
+
+
+ASKED = f"(select * from (values {VALUES}) t(id, q) union all select item_id + 1000, text from benchmark)"
+TERMS = "[" + ", ".join(f"'{t}'" for t in text.CUSTOM_TERMS) + "]"
+STOPS = "[" + ", ".join(f"'{t}'" for t in dict.fromkeys(text.STOP_WORDS)) + "]"
+FOUND = f"list_filter({TERMS}, lambda t: contains(lower(q), lower(t)))"
+
+
+def asked(spark, sf):
+    return questions(spark).union(table(spark, sf, "benchmark").select(F.col("item_id") + 1000, "text"))
+
+
+@query(f"select id, array_to_string({FOUND}, ',') as terms from {ASKED}")
+def custom_terms(spark, sf):
+    return asked(spark, sf).select("id", F.array_join(text.custom_terms(F.col("q")), ",").alias("terms"))
+
+
+KEYS = f"list_transform(list_filter(list_concat(regexp_extract_all(lower(q), '[a-z0-9][a-z0-9_.+#@&-]*'), {FOUND}), lambda w: length(w) >= 2 and not list_contains({STOPS}, lower(w))), lambda w: lower(w))"
+
+
+def keyword_sql(limit: str = "") -> str:
+    """First-seen order: the position of a word's first occurrence."""
+    return f"select id, coalesce(array_to_string(list_filter(ks, lambda k, i: list_position(ks, k) = i){limit}, ','), '') as keywords from (select id, {KEYS} as ks from {ASKED})"
+
+
+@query(keyword_sql())
+def core_keywords(spark, sf):
+    return asked(spark, sf).select("id", F.array_join(text.core_keywords(F.col("q")), ",").alias("keywords"))
+
+
+@query(keyword_sql("[1:10]"))
+def tokenize(spark, sf):
+    return asked(spark, sf).select("id", F.array_join(text.tokenize(F.col("q")), ",").alias("keywords"))
+
+
+@query(f"select id, case when length(q) < 10 then 3 when length(q) <= 20 then 5 else 6 end as cap from {ASKED}")
+def variant_cap(spark, sf):
+    return asked(spark, sf).select("id", text.variant_cap(F.col("q")).alias("cap"))
+
+
+@query()
+def expand_keywords(spark, sf):
+    return asked(spark, sf).select("id", F.array_join(text.expand_keywords(F.col("q")), "|").alias("phrases"))
+
+
+@query()
+def merge_terms(spark, sf):
+    return asked(spark, sf).select("id", F.array_join(text.merge_terms(text.tokenize(F.col("q"))), ",").alias("terms"))
+
+
+@query()
+def query_variants(spark, sf):
+    return asked(spark, sf).select("id", F.array_join(text.variants(F.col("q"), "的了在是我有和就不人都"), "|").alias("variants"))
+
+
+PATHS = ", ".join(f"('{f}')" for f in FILES)
+
+
+@query(f"select f as path, string_split(f, '/')[-1] as name from (values {PATHS}) t(f)")
+def basename(spark, sf):
+    return spark.createDataFrame([(f,) for f in FILES], "path string").select("path", text.basename(F.col("path")).alias("name"))
+
+
+@query(f"select f as path, case lower(string_split(f, '.')[-1]) {' '.join(f'''when '{k}' then '{v}' ''' for k, v in text.MIME.items())} else 'application/octet-stream' end as mime_type from (values {PATHS}) t(f)")
+def mime_from_suffix(spark, sf):
+    return spark.createDataFrame([(f,) for f in FILES], "path string").select("path", text.mime_of(F.col("path")).alias("mime_type"))
+
+
+@query(f"select n::bigint as file_size, case when n < 1 then 'empty' when n > 52428800 then 'too_large' when n > 10485760 then 'large' else 'ok' end as status from (values {', '.join(f'({n})' for n in SIZES)}) t(n)")
+def upload_validation(spark, sf):
+    return files.validated(spark.createDataFrame([(n,) for n in SIZES], "file_size long"))
+
+
+@query("select * from (values ('fresh.txt')) t(filename)")
+def dup_filename_guard(spark, sf):
+    return files.new_files(spark.createDataFrame([("src0",), ("fresh.txt",), ("src7",)], "filename string"), chunks(spark, sf))
+
+
+@query("select label, pos::int as pos, round(avg(x::double), 6) as value from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from embeddings) group by label, pos")
+def centroid_by_label(spark, sf):
+    return embedding.centroids(table(spark, sf, "embeddings"), "label")
+
+
+RERANK = "with w as (select 'the of and tion thing' as q), s as (select doc_id as id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as p, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) as qs from documents, w), r as (select id, round(1.0 / (1.0 + exp(2.0 - 4.0 * (len(list_intersect(qs, p)) / greatest(len(qs), 1)::double))), 6) as rerank_score from s)"
+
+
+@query(f"{RERANK} select id, rerank_score, (row_number() over (order by rerank_score desc, id))::int as rank from r order by rerank_score desc, id limit 20")
+def rerank_overlap(spark, sf):
+    return fusion.rerank(chunks(spark, sf), F.lit("the of and tion thing"), F.col("content"), 20).select("id", "rerank_score", "rank")
+
+
+@query("select doc_id as id, left(text, 150) as preview from documents")
+def preview(spark, sf):
+    return chunks(spark, sf).select("id", F.substring("content", 1, 150).alias("preview"))
+
+
+@query()
+def sentence_split(spark, sf):
+    return chunks(spark, sf).select("id", F.posexplode(chunking.sentences(F.col("content"))).alias("i", "sentence"))
+
+
+@query()
+def chunk_fixed(spark, sf):
+    return chunking.fixed_chunks(chunks(spark, sf))
+
+
+@query()
+def chunk_semantic(spark, sf):
+    return chunking.semantic_chunks(chunks(spark, sf), embedding.hashing_embedder())
+
+
+@query()
+def chunk_hierarchical(spark, sf):
+    return chunking.hierarchical_chunks(chunks(spark, sf), embedding.hashing_embedder())
+
+
+@query()
+def batch_embed(spark, sf):
+    return embedding.embed_texts(chunks(spark, sf).select("id", "content"), "content", embedding.hashing_embedder())
+
+
+@query("select vec_id as doc_id, len(embedding) * 4 as n_bytes, true as same from embeddings")
+def vector_codec_roundtrip(spark, sf):
+    raw = vectors(spark, sf).withColumn("raw", embedding.encode_vector("embedding"))
+    return raw.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), (embedding.decode_vector("raw") == F.col("embedding")).alias("same"))
+
+
+@query()
+def html_to_text(spark, sf):
+    return files.html_column(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+QUERIES = Q
