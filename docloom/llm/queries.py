@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, line_dedup, mtree, near_dup, packing, secrets, spotsigs, token_counts
+from docloom.llm import language, line_dedup, mtree, near_dup, packing, secrets, spotsigs, token_counts, warc
 from docloom.storage import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,34 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    joined = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return out.select(F.expr("(id - 1) div 2").alias("page_id"), "status", F.expr("response_id div 2").alias("response_page_id"), "digest", joined.alias("headers"))
+
+
+OP5_SQL = r"""
+with bare as (
+  select page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as b from pages),
+parts as (
+  select page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') as host,
+         regexp_replace(regexp_replace(regexp_extract(b, '^[^/?]*(/[^?]*)', 1), '/index\.html?$', '/'), '/+$', '') as path,
+         list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda a: a <> '' and not regexp_matches(a, '^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))) as args
+  from bare),
+keyed as (
+  select page_id, sha1(coalesce(html, '')) as digest, host || path || case when len(args) > 0 then '?' || array_to_string(args, '&') else '' end as key from parts),
+found as (
+  select r.page_id, r.digest as own, max(w.page_id) as response from keyed r left join keyed w
+    on r.key = w.key and (w.page_id < r.page_id + 7 or (w.page_id = r.page_id + 7 and w.page_id * 2 < r.page_id * 2 + 1))
+  group by all)
+select f.page_id, case when f.response is null then 'missing' when left(f.own, 16) <> left(k.digest, 16) then 'mismatch' else 'resolved' end as status,
+       case when left(f.own, 16) = left(k.digest, 16) then f.response end as response_page_id,
+       case when left(f.own, 16) = left(k.digest, 16) then k.digest end as digest,
+       case when left(f.own, 16) = left(k.digest, 16) then 'content-type=text/html;date=' || (f.page_id + 7) || ';etag=W/"' || left(f.own, 16) || '"' end as headers
+from found f left join keyed k on f.response = k.page_id
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -115,5 +143,5 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates)}
-SQL = {"op1_line_dedup": OP1_SQL, "op4_exact_topk": OP4_SQL, "op7_spot_signatures": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op5_warc_revisits, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates)}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_exact_topk": OP4_SQL, "op5_warc_revisits": OP5_SQL, "op7_spot_signatures": OP7_SQL}

@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.storage import cut
+
 # Frequent function words of English, German, Spanish and French.
 ANCHORS = """
 a an and are as at be by for from has he in is it of on or that the this to was were will with
@@ -65,14 +67,16 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 def similar(queries: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFrame:
     """(query_id, doc_id, likeness) of documents at least that similar to a query; both inputs are (doc_id, text).
 
+    The sets are written first: the optimiser would copy their expression into filters and evaluate it per element.
+
     A query's sets meet documents by one signature and length partition. A set of n must share one of any
     n - ceil(least * n) + 1 signatures with a partner, so that many of each query's are joined, in hash order.
     """
-    sets = lambda df: with_signatures(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "s").select("doc_id", "s").filter(F.size("s") > 0)
+    sets = lambda df: cut(with_signatures(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "s").select("doc_id", "s"), "spots")
     q = sets(queries).toDF("query_id", "qs").withColumn("p", partition(F.size("qs"), least))
     prefix = F.expr(f"slice(array_sort(qs, (a, b) -> case when xxhash64(a) < xxhash64(b) then -1 when xxhash64(a) > xxhash64(b) then 1 else 0 end), 1, size(qs) - cast(ceil({least} * size(qs) - 1e-9) as int) + 1)")
-    q = q.select("query_id", "qs", F.explode(prefix).alias("sig"), "p").select("query_id", "qs", "sig", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1)).alias("p"))
-    d = sets(docs).withColumn("p", partition(F.size("s"), least)).select("doc_id", "s", "p", F.explode("s").alias("sig"))
+    q = q.select("query_id", "qs", F.explode_outer(prefix).alias("sig"), "p").filter("sig is not null").select("query_id", "qs", "sig", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1)).alias("p"))
+    d = sets(docs).withColumn("p", partition(F.size("s"), least)).select("doc_id", "s", "p", F.explode_outer("s").alias("sig"))
     met = q.join(d, ["sig", "p"]).select("query_id", "doc_id", likeness(F.col("qs"), F.col("s"), least).alias("likeness"))
     return met.filter(F.col("likeness") >= least).distinct()
 
