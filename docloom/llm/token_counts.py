@@ -15,10 +15,12 @@ row is a document of its own, whatever its doc_id. An empty table gives an empty
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from tokenizers import Tokenizer
 
 PLAIN = "ɏ"
 HOT_SHARE = 0.02
-BLOCK = 4000
+BLOCK = 2000
 HELD = 500_000
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0d\x20\x85\xa0\p{L}\p{N}]+")
@@ -60,8 +62,15 @@ class Splitter:
         return out, n
 
     def count(self, pretokens: list[str]) -> list[int]:
-        """Pieces of each pre-token."""
-        return [len(e) for e in self.library.encode_batch(pretokens, add_special_tokens=False)]
+        """Pieces of each pre-token, a few at a time, as the library returns much more than the number."""
+        return [len(e) for at in range(0, len(pretokens), 1000) for e in self.library.encode_batch_fast(pretokens[at : at + 1000], add_special_tokens=False)]
+
+
+@lru_cache(maxsize=2)
+def splitter(path: str) -> Splitter:
+    """One per Python worker. The library's own threads would each hold memory besides the task's."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Splitter(path)
 
 
 def byte_letters() -> dict[int, str]:
@@ -81,32 +90,32 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, known = Splitter(path), {}
+        split, known = splitter(path), {}
         for batch in batches:
             for at in range(0, len(batch), BLOCK):
                 b = batch.iloc[at : at + BLOCK]
-                places, times, sums = {}, {}, np.zeros(len(b), np.int64)
+                own, sums = {}, np.zeros(len(b), np.int64)  # of each pre-token: place, times, place, times ...
                 for i, text in enumerate(b["text"]):
                     words, sums[i] = split(text or "")
                     for w, n in Counter(words).items():
-                        if w in places:
-                            places[w].append(i)
-                            times[w].append(n)
+                        if w in own:
+                            own[w] += (i, n)
                         else:
-                            places[w], times[w] = [i], [n]
-                hot = [w for w, own in places.items() if len(own) > max(20, HOT_SHARE * len(b))]
+                            own[w] = [i, n]
+                hot = [w for w, x in own.items() if len(x) > 2 * max(20, HOT_SHARE * len(b))]
                 new = [w for w in hot if w not in known]
                 known.update(zip(new, split.count(new), strict=True))
                 for w in hot:
-                    sums[places.pop(w)] += np.array(times.pop(w)) * known[w]
+                    x = np.array(own.pop(w))
+                    sums[x[::2]] += x[1::2] * known[w]
                 block = int(b["row"].iloc[0])
                 names = [None if x is None else int(x) for x in b["doc_id"]]
                 heads = np.array([[x or 0 for x in names], [x is None for x in names], b["n_bytes"]], "<i8")
-                words = list(places)
+                words = list(own)
                 yield pd.DataFrame([(block, len(b), None, heads.tobytes(), sums.astype("<i8").tobytes())], columns=["block", "size", "pretoken", "places", "times"])
-                for lo in range(0, len(words), 50_000):
-                    part = words[lo : lo + 50_000]
-                    yield pd.DataFrame({"block": block, "size": len(b), "pretoken": part, "places": [np.array(places[w], "<u2").tobytes() for w in part], "times": [packed(times[w]) for w in part]})
+                for lo in range(0, len(words), 20_000):
+                    part = words[lo : lo + 20_000]
+                    yield pd.DataFrame({"block": block, "size": len(b), "pretoken": part, "places": [np.array(own[w][::2], "<u2").tobytes() for w in part], "times": [packed(own[w][1::2]) for w in part]})
 
     return docs.mapInPandas(run, FREQUENCIES)
 
@@ -129,7 +138,7 @@ def counted(rows: DataFrame, path: str) -> DataFrame:
     """(block, heads, sums): what the pre-tokens met in a task add to each document of a block; and the blocks' own rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, last, n, sums = Splitter(path), None, 0, {}
+        split, last, n, sums = splitter(path), None, 0, {}
 
         def flushed() -> pd.DataFrame:
             out = pd.DataFrame({"block": list(sums), "heads": None, "sums": [x.astype("<i8").tobytes() for x in sums.values()]})
