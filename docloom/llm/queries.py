@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, line_dedup, mtree, near_dup, packing, secrets, spotsigs, token_counts, warc
+from docloom.llm import language, line_dedup, mtree, near_dup, packing, secrets, sentence_pieces, spotsigs, token_counts, warc
 from docloom.storage import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -143,5 +143,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op5_warc_revisits, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates)}
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_sums(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op5_warc_revisits, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates, op10_sentence_pieces)}
 SQL = {"op1_line_dedup": OP1_SQL, "op4_exact_topk": OP4_SQL, "op5_warc_revisits": OP5_SQL, "op7_spot_signatures": OP7_SQL}
