@@ -69,7 +69,8 @@ def merged(n: Column, edges: Column) -> Column:
         last = F.size(b) - 3
         pairs = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.try_element_at(edges, at(b, i) * 64 + at(b, i + 2))["score"].alias("s"), (-i).alias("i"))))
         best = F.array_max(F.filter(pairs, lambda p: p["s"].isNotNull()))
-        return F.when(best.isNull(), b).otherwise(F.filter(b, lambda x, j: j != 1 - best["i"]))
+        # Bound by a one-element transform: inside the filter it would be worked out again for every element.
+        return F.get(F.transform(F.array(best), lambda m: F.when(m.isNull(), b).otherwise(F.filter(b, lambda x, j: j != 1 - m["i"]))), F.lit(0))
 
     return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(1), n + 1), step)
 
