@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Normalised texts fall into units at the space mark, which no piece crosses. Each distinct unit is encoded once: its
+Normalised texts fall into units where no piece crosses: at the space mark and, if the model allows it, between letters
+and other characters. Each distinct unit is encoded once: its
 substrings of bounded length are exploded and equi-joined to the piece table, the edges that remain are grouped by
-unit, and a higher-order ``aggregate`` folds them into a segmentation. Documents meet the units through block
+unit as they stream by, and a higher-order ``aggregate`` folds them into a segmentation. Documents meet the units through block
 frequencies, so that sums over a document need no row per token.
 
 The fold follows the model. A unigram model takes the path of the highest score (Viterbi). A BPE model does not choose
@@ -24,17 +25,23 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.token_counts import FREQUENCIES, packed, unpacked
+from docloom.llm.token_counts import FREQUENCIES, HELD, packed, unpacked
 from docloom.storage import cut
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-LONG_UNIT, BLOCK = 40, 2000
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Runs of letters or of other characters, each with the marks before it; marks that end a text.
+FINE = re.compile(f"{MARK}*[{LETTERS}]+|{MARK}*[^{MARK}{LETTERS}]+|{MARK}+")
+#: The same without a cut between letters and others, for models that have pieces across.
+COARSE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+LONG_UNIT, BLOCK = 40, 4000
 UNITS = "unit string, ids array<int>"
+ID_BITS = 20
 
 
 @lru_cache(maxsize=2)
@@ -42,45 +49,71 @@ def model(path: str) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def units(text: str, sp) -> list[str]:
-    return UNIT.findall(sp.normalize(text)) if text else []
+def plain_ids(sp) -> list[int]:
+    return [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+
+
+@lru_cache(maxsize=2)
+def cutter(path: str) -> re.Pattern:
+    """The finest pattern that no piece of the model crosses: units cut by it are independent of each other."""
+    pieces = [model(path).id_to_piece(i) for i in plain_ids(model(path))]
+    for pattern in (FINE, COARSE):
+        if all(pattern.fullmatch(p) for p in pieces):
+            return pattern
+    raise ValueError("a piece crosses the space mark; units would not be independent")
+
+
+def units(text: str, path: str) -> list[str]:
+    return cutter(path).findall(model(path).normalize(text)) if text else []
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, score, bytes, plain): as many rows as the vocabulary has, which bounds what is broadcast."""
-    sp, rows = model(path), []
-    for i in range(sp.get_piece_size()):
-        p = sp.id_to_piece(i)
-        if sp.is_byte(i):
-            rows.append((p, i, 0.0, p[3:5], False))
-        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-            rows.append((p, i, float(sp.get_score(i)), p.encode().hex().upper(), True))
-    if any(MARK in r[0].lstrip(MARK) for r in rows if r[4]):
-        raise ValueError("a piece crosses the space mark; units would not be independent")
-    return spark.createDataFrame(rows, "piece string, id int, score double, bytes string, plain boolean")
-
-
-def merged(n: Column, edges: Column) -> Column:
-    """Starts of the pieces, and the end, of a unit of n characters under a BPE model. ``edges``: map of
-    start * 64 + end to (score, id), places from 1."""
-    at = lambda b, i: F.get(b, i)
-
-    def step(b: Column, _: Column) -> Column:
-        last = F.size(b) - 3
-        pairs = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.try_element_at(edges, at(b, i) * 64 + at(b, i + 2))["score"].alias("s"), (-i).alias("i"))))
-        best = F.array_max(F.filter(pairs, lambda p: p["s"].isNotNull()))
-        # Bound by a one-element transform: inside the filter it would be worked out again for every element.
-        return F.get(F.transform(F.array(best), lambda m: F.when(m.isNull(), b).otherwise(F.filter(b, lambda x, j: j != 1 - m["i"]))), F.lit(0))
-
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(1), n + 1), step)
-
-
-def viterbi(n: Column, edges: Column, missing: float = -1e6) -> Column:
+    """(piece, id, rank, bytes, plain): as many rows as the vocabulary has, which bounds what is broadcast. ``rank``:
+    the place of a piece's score among all scores, highest first; equal scores share it."""
+    sp, plain = model(path), plain_ids(model(path))
+    ranks = {x: i for i, x in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
+    rows = [(p := sp.id_to_piece(i), i, ranks[sp.get_score(i)], p.encode().hex().upper(), True, float(sp.get_score(i))) for i in plain]
+    rows += [(p := sp.id_to_piece(i), i, 0, p[3:5], False, 0.0) for i in range(sp.get_piece_size()) if sp.is_byte(i)]
+    return spark.createDataFrame(rows, "piece string, id int, rank int, bytes string, plain boolean, score double")
+
+
+def found(keys: Column, values: Column, lo: Column, hi: Column) -> Column:
+    """The value of the edge from lo to hi, or null. ``keys``: start * 64 + end of each edge, places from 1."""
+    return F.get(values, F.array_position(keys, lo * 64 + hi).cast("int") - 1)
+
+
+def merged(n: Column, keys: Column, ranks: Column) -> Column:
+    """Starts of the pieces, and the end, of a unit of n characters under a BPE model.
+
+    The fold carries the starts b and, for each two neighbours, rank * 64 + start of their joint edge (null if there
+    is none). The least of these, which is leftmost among equals, is merged; the two beside it are looked up again.
+    """
+    joint = lambda lo, hi: found(keys, ranks, lo, hi) * 64 + lo
+
+    def merge(b: Column, r: Column, j: Column) -> Column:
+        at = lambda i: F.get(b, i - 1)
+        beside = F.slice(F.array(joint(at(j - 1), at(j + 2)), joint(at(j), at(j + 3))), F.when(j > 1, 1).otherwise(2), F.lit(2))
+        return F.struct(
+            F.concat(F.slice(b, F.lit(1), j), F.slice(b, j + 2, F.lit(64))).alias("b"),
+            F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), beside, F.slice(r, j + 2, F.lit(64))).alias("r"),
+        )
+
+    def step(state: Column, _: Column) -> Column:
+        least = F.array_position(state["b"], (F.array_min(state["r"]) % 64).cast("int")).cast("int")
+        # Bound by a one-element transform, or it would be worked out again at each use.
+        return F.get(F.transform(F.array(least), lambda j: F.when(j.isNull(), state).otherwise(merge(state["b"], state["r"], j))), F.lit(0))
+
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: joint(i, i + 2))).otherwise(F.array().cast("array<bigint>"))
+    start = F.struct(F.sequence(F.lit(1), n + 1).alias("b"), pairs.alias("r"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["b"])
+
+
+def viterbi(n: Column, keys: Column, scores: Column, missing: float = -1e6) -> Column:
     """The same for a unigram model: the path of the highest total score; a character without a piece costs most."""
     empty = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("from")))
 
     def step(best: Column, end: Column) -> Column:
-        ways = F.transform(F.sequence(F.greatest(F.lit(1), end - 63), end), lambda start: F.struct((F.get(best, start - 1)["s"] + F.coalesce(F.try_element_at(edges, start * 64 + end + 1)["score"], F.when(start == end, F.lit(missing)).otherwise(F.lit(-1e12)))).alias("s"), start.alias("from")))
+        ways = F.transform(F.sequence(F.greatest(F.lit(1), end - 63), end), lambda start: F.struct((F.get(best, start - 1)["s"] + F.coalesce(found(keys, scores, start, end + 1), F.when(start == end, F.lit(missing)).otherwise(F.lit(-1e12)))).alias("s"), start.alias("from")))
         return F.concat(best, F.array(F.array_max(ways)))
 
     table = F.aggregate(F.sequence(F.lit(1), n), empty, step)
@@ -88,24 +121,65 @@ def viterbi(n: Column, edges: Column, missing: float = -1e6) -> Column:
     return back(table)
 
 
+def lattices(spans: DataFrame) -> DataFrame:
+    """(unit, keys, values): the edges of each unit as arrays.
+
+    A unit's rows lie next to each other, as exploding and joining a broadcast table keep them; so they are grouped as
+    they stream by, with no shuffle, sort or hash table. Rows in another order are an error, not a wrong lattice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, last = None, -1
+
+        def made(t: pa.Table, starts: np.ndarray, end: int) -> pa.RecordBatch:
+            offsets = pa.array(np.append(starts, end).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, t.column(c).combine_chunks()) for c in ("key", "value")]
+            return pa.RecordBatch.from_arrays([t.column("unit").take(pa.array(starts)).combine_chunks(), *lists], names=["unit", "keys", "values"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if not len(t):
+                continue
+            order, starts = t.column("at").to_numpy(), np.flatnonzero(t.column("key").to_numpy() == 0)
+            if order[0] < last or (np.diff(order) < 0).any() or len(np.unique(order)) != len(starts) or starts[0] != 0:
+                raise RuntimeError("the edges of a unit do not lie together")
+            last = order[-1]
+            if len(starts) > 1:
+                head = t.slice(0, starts[-1])
+                yield made(head, starts[:-1], len(head))
+            rest = t.slice(starts[-1])
+        if rest is not None:
+            yield made(rest, np.array([0]), len(rest))
+
+    return spans.mapInArrow(run, "unit string, keys array<int>, values array<bigint>")
+
+
 def encode_units(distinct: DataFrame, path: str, unigram: bool = False) -> DataFrame:
     """(unit, ids) for distinct units."""
     spark, sp = distinct.sparkSession, model(path)
-    table = piece_table(spark, path)
-    longest = max(len(r["piece"]) for r in table.filter("plain").select("piece").collect())
-    plain = F.broadcast(table.filter("plain").select("piece", "id", "score"))
-    short = distinct.filter(F.length("unit") <= LONG_UNIT)
+    longest = max(len(sp.id_to_piece(i)) for i in plain_ids(sp))
+    pieces = piece_table(spark, path).filter("plain")
+    plain = F.broadcast(pieces.select("piece", (F.col("rank").cast("long") * 2**ID_BITS + F.col("id")).alias("value")))
     n = F.length("unit")
-    spans = short.select("unit", F.explode(F.sequence(F.lit(1), n)).alias("s")).select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s") + 1))).alias("l"))
-    edges = spans.withColumn("piece", F.expr("substring(unit, s, l)")).join(plain, "piece").groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct((F.col("s") * 64 + F.col("s") + F.col("l")).alias("k"), F.struct("score", "id").alias("v")))).alias("edges"))
-    lattice = short.join(edges, "unit", "left").withColumn("edges", F.coalesce("edges", F.create_map().cast("map<int,struct<score:double,id:int>>")))
-    cuts = lattice.withColumn("b", (viterbi if unigram else merged)(F.length("unit"), F.col("edges")))
+    # Each unit starts with a row of its own, which has key 0 and carries the text.
+    numbered = distinct.filter(n <= LONG_UNIT).select(F.monotonically_increasing_id().alias("at"), "unit")
+    starts = numbered.select("at", "unit", F.explode(F.sequence(F.lit(0), n)).alias("s"))
+    spans = starts.select("at", "unit", "s", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s") + 1)))).alias("l"))
+    edges = spans.withColumn("piece", F.expr("if(s = 0, null, substring(unit, s, l))")).join(plain, "piece", "left").filter("s = 0 or value is not null")
+    lattice = lattices(edges.select("at", F.expr("if(s = 0, unit, null)").alias("unit"), F.expr("if(s = 0, 0, s * 64 + s + l)").alias("key"), "value"))
+    if unigram:
+        levels = [r["score"] for r in pieces.groupBy("rank").agg(F.first("score").alias("score")).orderBy("rank").collect()]
+        weights = F.transform("values", lambda v: F.get(F.lit(levels), F.shiftright(v, ID_BITS).cast("int")))
+    else:
+        weights = F.transform("values", lambda v: F.shiftright(v, ID_BITS))
+    weighed = lattice.select("unit", "keys", F.transform("values", lambda v: v.bitwiseAND(2**ID_BITS - 1).cast("int")).alias("own"), weights.alias("weights"))
+    cuts = weighed.withColumn("b", (viterbi if unigram else merged)(F.length("unit"), F.col("keys"), F.col("weights")))
     first_byte = sp.piece_to_id("<0x00>")
     as_bytes = lambda ch: F.transform(F.sequence(F.lit(1), F.octet_length(ch)), lambda k: F.conv(F.substring(F.hex(F.encode(ch, "UTF-8")), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
 
     def ids_of(i: Column) -> Column:
         lo, hi = F.get("b", i), F.get("b", i + 1)
-        known = F.try_element_at(F.col("edges"), lo * 64 + hi)["id"]
+        known = found(F.col("keys"), F.col("own"), lo, hi)
         return F.when(known.isNotNull(), F.array(known)).otherwise(as_bytes(F.substring(F.col("unit"), lo, hi - lo)))
 
     folded = cuts.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of)).alias("ids"))
@@ -122,10 +196,10 @@ def encode_units(distinct: DataFrame, path: str, unigram: bool = False) -> DataF
 
 def distinct_units(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sp, seen = model(path), set()
+        seen = set()
         for b in batches:
             for text in b["text"]:
-                seen.update(units(text, sp))
+                seen.update(units(text, path))
                 if len(seen) > 200_000:
                     yield pd.DataFrame({"unit": list(seen)})
                     seen.clear()
@@ -152,7 +226,7 @@ def dictionary(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
     """(row, doc_id, ids) for every row of ``docs``; ``row`` tells apart rows with one doc_id."""
-    split = F.pandas_udf(lambda s: s.map(lambda t: units(t or "", model(path))), "array<string>")
+    split = F.pandas_udf(lambda s: s.map(lambda t: units(t or "", path)), "array<string>")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", split(F.coalesce("text", F.lit(""))).alias("u"))
     rows = cut(rows, "encode-rows")
     met = rows.select("row", F.posexplode("u").alias("i", "unit")).join(dictionary(docs, path, unigram), "unit")
@@ -173,12 +247,11 @@ def piece_sums(docs: DataFrame, path: str) -> DataFrame:
     unit's ids decode to it."""
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sp = model(path)
         for batch in batches:
             for at in range(0, len(batch), BLOCK):
                 b, own = batch.iloc[at : at + BLOCK], {}
                 for i, text in enumerate(b["text"]):
-                    for w, n in Counter(units(text or "", sp)).items():
+                    for w, n in Counter(units(text or "", path)).items():
                         if w in own:
                             own[w] += (i, n)
                         else:
@@ -192,26 +265,39 @@ def piece_sums(docs: DataFrame, path: str) -> DataFrame:
                     yield pd.DataFrame({"block": block, "size": len(b), "pretoken": part, "places": [np.array(own[w][::2], "<u2").tobytes() for w in part], "times": [packed(own[w][1::2]) for w in part]})
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {}
+        base, held = {}, np.zeros((0, 3), "<i8")  # where each block's sums begin; the sums, a row per document
+
+        def flushed() -> pd.DataFrame:
+            ends = [*list(base.values())[1:], len(held)]
+            out = pd.DataFrame({"block": list(base), "heads": None, "sums": [held[lo:hi].T.tobytes() for lo, hi in zip(base.values(), ends, strict=True)]})
+            base.clear()
+            return out
+
         for b in batches:
             own_row = b["pretoken"].isna()
             heads = b[own_row]
             yield pd.DataFrame({"block": heads["block"], "heads": heads["places"], "sums": [np.zeros(3 * n, "<i8").tobytes() for n in heads["size"]]})
             b = b[~own_row]
-            for block, size, places, times, n, s, bad in zip(b["block"].tolist(), b["size"].tolist(), b["places"], b["times"], b["n"].tolist(), b["s"].tolist(), b["bad"].tolist(), strict=True):
-                if block not in sums:
-                    if len(sums) * BLOCK > 200_000:
-                        yield pd.DataFrame({"block": list(sums), "heads": None, "sums": [x.tobytes() for x in sums.values()]})
-                        sums.clear()
-                    sums[block] = np.zeros((3, size), "<i8")
-                at = np.frombuffer(places, "<u2")
-                f = unpacked(times, len(at))
-                own = sums[block]
-                own[0, at] += f * int(n)
-                own[1, at] += f * int(s)
-                own[2, at] += f * int(bad)
-        if sums:
-            yield pd.DataFrame({"block": list(sums), "heads": None, "sums": [x.tobytes() for x in sums.values()]})
+            if b.empty:
+                continue
+            if len(held) > HELD:
+                yield flushed()
+                held = held[:0]
+            new = b[~b["block"].isin(base.keys())].drop_duplicates("block")
+            top = len(held)
+            for block, size in zip(new["block"].tolist(), new["size"].tolist(), strict=True):
+                base[block] = top
+                top += size
+            held = np.concatenate([held, np.zeros((top - len(held), 3), "<i8")])
+            many = b["places"].map(len).to_numpy() // 2
+            at = np.repeat(b["block"].map(base).to_numpy("<i8"), many) + np.frombuffer(b"".join(b["places"]), "<u2")
+            times, ends = np.ones(len(at), "<i8"), np.cumsum(many)
+            for i in np.flatnonzero(b["times"].map(len).to_numpy()):
+                times[ends[i] - many[i] : ends[i]] = unpacked(b["times"].iat[i], many[i])
+            for c, name in enumerate(("n", "s", "bad")):
+                np.add.at(held[:, c], at, times * np.repeat(b[name].to_numpy("<i8"), many))
+        if base:
+            yield flushed()
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, heads, own = None, None, None
@@ -234,6 +320,6 @@ def piece_sums(docs: DataFrame, path: str) -> DataFrame:
 
     known = dictionary(docs, path).select(F.col("unit").alias("pretoken"), F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), (~F.col("ok")).cast("int").alias("bad"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    met = rows.mapInPandas(frequencies, FREQUENCIES).join(known, "pretoken", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "s", "bad")})
+    met = rows.mapInPandas(frequencies, FREQUENCIES).join(known.hint("shuffle_hash"), "pretoken", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "s", "bad")})
     sums = met.mapInPandas(summed, "block long, heads binary, sums binary").repartition("block").sortWithinPartitions("block", F.col("heads").desc_nulls_last())
     return sums.mapInPandas(total, "doc_id long, n_pieces long, id_sum long, round_trip boolean")

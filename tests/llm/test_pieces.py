@@ -28,5 +28,35 @@ def test_edges(spark):
 def test_viterbi_fold(spark):
     from pyspark.sql import functions as F
 
-    df = spark.sql("select 3 as n, map(65 + 1, named_struct('score', -1.0D, 'id', 1), 65 + 2, named_struct('score', -1.5D, 'id', 2), 2 * 64 + 3, named_struct('score', -9.0D, 'id', 3), 3 * 64 + 4, named_struct('score', -1.0D, 'id', 4), 2 * 64 + 4, named_struct('score', -0.1D, 'id', 5)) as e")
-    assert df.select(sentence_pieces.viterbi(F.col("n"), F.col("e"))).first()[0] == [1, 2, 4]
+    df = spark.sql("select 3 as n, array(0, 65 + 1, 65 + 2, 2 * 64 + 3, 3 * 64 + 4, 2 * 64 + 4) as k, array(null, -1.0D, -1.5D, -9.0D, -1.0D, -0.1D) as v")
+    assert df.select(sentence_pieces.viterbi(F.col("n"), F.col("k"), F.col("v"))).first()[0] == [1, 2, 4]
+
+
+def test_merges_against_library(spark):
+    """Units of every length up to the limit and beyond, alone and behind other units."""
+    import random
+
+    rng = random.Random(5)
+    sp = sentence_pieces.model(PATH)
+    texts = ["".join(rng.choice("etaonrisühé.,-=$'1² ") for _ in range(rng.randrange(1, 90))) for _ in range(400)] + ["x" + "=" * 100, "=" * 39 + "x" * 41, "²." * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in sentence_pieces.encode(docs, PATH).collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+    sums = {r.doc_id: (r.n_pieces, r.id_sum, r.round_trip) for r in sentence_pieces.piece_sums(docs.repartition(3), PATH).collect()}
+    assert sums == {i: (len(sp.encode(t)), sum(sp.encode(t)), True) for i, t in enumerate(texts)}
+
+
+def test_unigram_path(spark):
+    """The operator with the other fold: each unit's path has the highest total score."""
+    sp = sentence_pieces.model(PATH)
+    score = {sp.id_to_piece(i): sp.get_score(i) for i in sentence_pieces.plain_ids(sp)}
+    words = ["▁the", "▁hausen", "▁electricity", "...", "▁été"]
+
+    def best(u):
+        top = [0.0] + [None] * len(u)
+        for end in range(1, len(u) + 1):
+            top[end] = max(top[lo] + score.get(u[lo:end], -1e6 if end - lo == 1 else -1e12) for lo in range(end))
+        return top[-1]
+
+    got = {r.unit: r.ids for r in sentence_pieces.encode_units(spark.createDataFrame([(w,) for w in words], "unit string"), PATH, unigram=True).collect()}
+    for w in words:
+        assert sum(sp.get_score(i) for i in got[w]) == best(w)
