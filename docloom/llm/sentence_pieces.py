@@ -22,10 +22,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 FINE = re.compile(f"{MARK}*[{LETTERS}]+|{MARK}*[^{MARK}{LETTERS}]+|{MARK}+")
 #: The same without a cut between letters and others, for models that have pieces across.
 COARSE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-LONG_UNIT, BLOCK = 40, 4000
-UNITS = "unit string, ids array<int>"
+LONG_UNIT, BLOCK = 40, 6000
+UNITS = "unit string, ids array<int>, ok boolean"
 ID_BITS = 20
 
 
@@ -77,43 +79,33 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, rank int, bytes string, plain boolean, score double")
 
 
-def found(keys: Column, values: Column, lo: Column, hi: Column) -> Column:
-    """The value of the edge from lo to hi, or null. ``keys``: start * 64 + end of each edge, places from 1."""
-    return F.get(values, F.array_position(keys, lo * 64 + hi).cast("int") - 1)
+def found(n: Column, values: Column, lo: Column, hi: Column) -> Column:
+    """The value of the edge from lo to hi, or null; places from 1. ``values``: a row of n ends for each start."""
+    return F.get(values, lo * n + hi - n - 2)
 
 
-def merged(n: Column, keys: Column, ranks: Column) -> Column:
+def merged(n: Column, values: Column) -> Column:
     """Starts of the pieces, and the end, of a unit of n characters under a BPE model.
 
-    The fold carries the starts b and, for each two neighbours, rank * 64 + start of their joint edge (null if there
-    is none). The least of these, which is leftmost among equals, is merged; the two beside it are looked up again.
+    The fold carries the starts. A step looks up rank * 64 + start of the joint edge of each two neighbours (null if
+    there is none) and merges where it is least, which is leftmost among equals.
     """
-    joint = lambda lo, hi: found(keys, ranks, lo, hi) * 64 + lo
-
-    def merge(b: Column, r: Column, j: Column) -> Column:
-        at = lambda i: F.get(b, i - 1)
-        beside = F.slice(F.array(joint(at(j - 1), at(j + 2)), joint(at(j), at(j + 3))), F.when(j > 1, 1).otherwise(2), F.lit(2))
-        return F.struct(
-            F.concat(F.slice(b, F.lit(1), j), F.slice(b, j + 2, F.lit(64))).alias("b"),
-            F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), beside, F.slice(r, j + 2, F.lit(64))).alias("r"),
-        )
-
-    def step(state: Column, _: Column) -> Column:
-        least = F.array_position(state["b"], (F.array_min(state["r"]) % 64).cast("int")).cast("int")
+    joint = lambda lo, hi: F.when(hi <= n + 1, F.shiftright(found(n, values, lo, hi), ID_BITS) * 64 + lo)
+
+    def step(b: Column, _: Column) -> Column:
+        least = (F.array_min(F.transform(b, lambda lo, i: joint(lo, F.get(b, i + 2)))) % 64).cast("int")
         # Bound by a one-element transform, or it would be worked out again at each use.
-        return F.get(F.transform(F.array(least), lambda j: F.when(j.isNull(), state).otherwise(merge(state["b"], state["r"], j))), F.lit(0))
+        return F.get(F.transform(F.array(least), lambda p: F.when(p.isNull(), b).otherwise(F.array_remove(b, F.get(b, F.array_position(b, p).cast("int"))))), F.lit(0))
 
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: joint(i, i + 2))).otherwise(F.array().cast("array<bigint>"))
-    start = F.struct(F.sequence(F.lit(1), n + 1).alias("b"), pairs.alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["b"])
+    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(1), n + 1), step)
 
 
-def viterbi(n: Column, keys: Column, scores: Column, missing: float = -1e6) -> Column:
+def viterbi(n: Column, scores: Column, missing: float = -1e6) -> Column:
     """The same for a unigram model: the path of the highest total score; a character without a piece costs most."""
     empty = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("from")))
 
     def step(best: Column, end: Column) -> Column:
-        ways = F.transform(F.sequence(F.greatest(F.lit(1), end - 63), end), lambda start: F.struct((F.get(best, start - 1)["s"] + F.coalesce(found(keys, scores, start, end + 1), F.when(start == end, F.lit(missing)).otherwise(F.lit(-1e12)))).alias("s"), start.alias("from")))
+        ways = F.transform(F.sequence(F.greatest(F.lit(1), end - 63), end), lambda start: F.struct((F.get(best, start - 1)["s"] + F.coalesce(found(n, scores, start, end + 1), F.when(start == end, F.lit(missing)).otherwise(F.lit(-1e12)))).alias("s"), start.alias("from")))
         return F.concat(best, F.array(F.array_max(ways)))
 
     table = F.aggregate(F.sequence(F.lit(1), n), empty, step)
@@ -122,7 +114,7 @@ def viterbi(n: Column, keys: Column, scores: Column, missing: float = -1e6) -> C
 
 
 def lattices(spans: DataFrame) -> DataFrame:
-    """(unit, keys, values): the edges of each unit as arrays.
+    """(unit, n, values): the lattice of each unit of n characters, a row of n ends for each start; null: no piece.
 
     A unit's rows lie next to each other, as exploding and joining a broadcast table keep them; so they are grouped as
     they stream by, with no shuffle, sort or hash table. Rows in another order are an error, not a wrong lattice.
@@ -131,67 +123,80 @@ def lattices(spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, last = None, -1
 
-        def made(t: pa.Table, starts: np.ndarray, end: int) -> pa.RecordBatch:
-            offsets = pa.array(np.append(starts, end).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, t.column(c).combine_chunks()) for c in ("key", "value")]
-            return pa.RecordBatch.from_arrays([t.column("unit").take(pa.array(starts)).combine_chunks(), *lists], names=["unit", "keys", "values"])
+        def made(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            n = t.column("n").to_numpy()
+            place, value = t.column("place").to_numpy(), t.column("value").to_numpy()
+            for at in range(0, len(starts), 2000):
+                own = starts[at : at + 2000]
+                lo, hi = own[0], starts[at + 2000] if at + 2000 < len(starts) else len(t)
+                size = n[own].astype(np.int64) ** 2
+                begin = np.cumsum(size) - size
+                edge = place[lo:hi] >= 0
+                where = (np.repeat(begin, np.diff(np.append(own, hi))) + place[lo:hi])[edge]
+                values = np.full(int(size.sum()), -1, np.int64)
+                values[where] = value[lo:hi][edge]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)).astype(np.int32)), pa.array(values, mask=values < 0))
+                yield pa.RecordBatch.from_arrays([t.column("unit").take(pa.array(own)).combine_chunks(), pa.array(n[own]), lists], names=["unit", "n", "values"])
 
         for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
             if not len(t):
                 continue
-            order, starts = t.column("at").to_numpy(), np.flatnonzero(t.column("key").to_numpy() == 0)
-            if order[0] < last or (np.diff(order) < 0).any() or len(np.unique(order)) != len(starts) or starts[0] != 0:
+            t = t.set_column(t.schema.get_field_index("value"), "value", pc.fill_null(t.column("value"), -1))
+            order, starts = t.column("at").to_numpy(), np.flatnonzero(t.column("place").to_numpy() < 0)
+            if order[0] < last or (np.diff(order) < 0).any() or 1 + np.count_nonzero(np.diff(order)) != len(starts) or starts[0] != 0:
                 raise RuntimeError("the edges of a unit do not lie together")
             last = order[-1]
             if len(starts) > 1:
-                head = t.slice(0, starts[-1])
-                yield made(head, starts[:-1], len(head))
+                yield from made(t.slice(0, starts[-1]), starts[:-1])
             rest = t.slice(starts[-1])
         if rest is not None:
-            yield made(rest, np.array([0]), len(rest))
+            yield from made(rest, np.array([0]))
 
-    return spans.mapInArrow(run, "unit string, keys array<int>, values array<bigint>")
+    return spans.mapInArrow(run, "unit string, n int, values array<bigint>")
 
 
 def encode_units(distinct: DataFrame, path: str, unigram: bool = False) -> DataFrame:
-    """(unit, ids) for distinct units."""
+    """(unit, ids, ok) for distinct units; ``ok``: the ids decode to the unit."""
     spark, sp = distinct.sparkSession, model(path)
     longest = max(len(sp.id_to_piece(i)) for i in plain_ids(sp))
     pieces = piece_table(spark, path).filter("plain")
     plain = F.broadcast(pieces.select("piece", (F.col("rank").cast("long") * 2**ID_BITS + F.col("id")).alias("value")))
-    n = F.length("unit")
-    # Each unit starts with a row of its own, which has key 0 and carries the text.
-    numbered = distinct.filter(n <= LONG_UNIT).select(F.monotonically_increasing_id().alias("at"), "unit")
-    starts = numbered.select("at", "unit", F.explode(F.sequence(F.lit(0), n)).alias("s"))
-    spans = starts.select("at", "unit", "s", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s") + 1)))).alias("l"))
+    # Each unit starts with a row of its own, which has no place and carries the text. Long ones have no other; the library encodes them.
+    numbered = distinct.select(F.monotonically_increasing_id().alias("at"), "unit", F.when(F.length("unit") <= LONG_UNIT, F.length("unit")).otherwise(0).alias("n"))
+    starts = numbered.select("at", "unit", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("s"))
+    spans = starts.select("at", "unit", "n", "s", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1)))).alias("l"))
     edges = spans.withColumn("piece", F.expr("if(s = 0, null, substring(unit, s, l))")).join(plain, "piece", "left").filter("s = 0 or value is not null")
-    lattice = lattices(edges.select("at", F.expr("if(s = 0, unit, null)").alias("unit"), F.expr("if(s = 0, 0, s * 64 + s + l)").alias("key"), "value"))
+    lattice = lattices(edges.select("at", F.expr("if(s = 0, unit, null)").alias("unit"), "n", F.expr("if(s = 0, -1, (s - 1) * n + s + l - 2)").alias("place"), "value"))
+    n, values = F.col("n"), F.col("values")
     if unigram:
         levels = [r["score"] for r in pieces.groupBy("rank").agg(F.first("score").alias("score")).orderBy("rank").collect()]
-        weights = F.transform("values", lambda v: F.get(F.lit(levels), F.shiftright(v, ID_BITS).cast("int")))
-    else:
-        weights = F.transform("values", lambda v: F.shiftright(v, ID_BITS))
-    weighed = lattice.select("unit", "keys", F.transform("values", lambda v: v.bitwiseAND(2**ID_BITS - 1).cast("int")).alias("own"), weights.alias("weights"))
-    cuts = weighed.withColumn("b", (viterbi if unigram else merged)(F.length("unit"), F.col("keys"), F.col("weights")))
+        lattice = lattice.withColumn("scores", F.transform("values", lambda v: F.get(F.lit(levels), F.shiftright(v, ID_BITS).cast("int"))))
+    cuts = lattice.withColumn("b", F.when(n > 0, viterbi(n, F.col("scores")) if unigram else merged(n, values)))
     first_byte = sp.piece_to_id("<0x00>")
     as_bytes = lambda ch: F.transform(F.sequence(F.lit(1), F.octet_length(ch)), lambda k: F.conv(F.substring(F.hex(F.encode(ch, "UTF-8")), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
 
     def ids_of(i: Column) -> Column:
         lo, hi = F.get("b", i), F.get("b", i + 1)
-        known = found(F.col("keys"), F.col("own"), lo, hi)
+        known = found(n, values, lo, hi).bitwiseAND(2**ID_BITS - 1).cast("int")
         return F.when(known.isNotNull(), F.array(known)).otherwise(as_bytes(F.substring(F.col("unit"), lo, hi - lo)))
 
-    folded = cuts.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of)).alias("ids"))
+    folded = cuts.select("unit", F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of))).alias("ids"))
 
-    def library(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
+        raw = [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).encode() for i in range(own.get_piece_size())]
+
         for b in batches:
-            # The library puts a mark in front of what it encodes; a unit brings its own or follows another.
-            out = [own.encode(u[1:].replace(MARK, " ")) if u.startswith(MARK) else own.encode("\n" + u)[2:] for u in b["unit"]]
-            yield pd.DataFrame({"unit": b["unit"], "ids": out})
+            texts, ids = b.column("unit").to_pylist(), b.column("ids").to_pylist()
+            for i, u in enumerate(texts):
+                if ids[i] is None:
+                    # The library puts a mark in front of what it encodes; a unit brings its own or follows another.
+                    ids[i] = own.encode(u[1:].replace(MARK, " ")) if u.startswith(MARK) else own.encode("\n" + u)[2:]
+            ok = [b"".join([raw[x] for x in x]) == u.encode() for x, u in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(ids, pa.list_(pa.int32())), pa.array(ok, pa.bool_())], names=["unit", "ids", "ok"])
 
-    return folded.unionByName(distinct.filter(F.length("unit") > LONG_UNIT).mapInPandas(library, UNITS))
+    return folded.mapInArrow(finished, UNITS)
 
 
 def distinct_units(docs: DataFrame, path: str) -> DataFrame:
@@ -208,28 +213,12 @@ def distinct_units(docs: DataFrame, path: str) -> DataFrame:
     return docs.filter("text is not null").select("text").mapInPandas(run, "unit string").distinct()
 
 
-def dictionary(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
-    """(unit, ids, ok) of all units in ``docs``, written; ``ok``: the ids decode to the unit."""
-    words = cut(encode_units(distinct_units(docs, path), path, unigram), "units")
-    raw = piece_table(docs.sparkSession, path).select("id", "bytes").collect()
-    table = [""] * (max(r["id"] for r in raw) + 1)
-    for r in raw:
-        table[r["id"]] = r["bytes"]
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def same(unit: pd.Series, ids: pd.Series) -> pd.Series:
-        return pd.Series([bytes.fromhex("".join(sent.value[i] for i in own)) == u.encode() for u, own in zip(unit, ids, strict=True)], dtype=bool)
-
-    return words.withColumn("ok", same("unit", "ids"))
-
-
 def encode(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
     """(row, doc_id, ids) for every row of ``docs``; ``row`` tells apart rows with one doc_id."""
     split = F.pandas_udf(lambda s: s.map(lambda t: units(t or "", path)), "array<string>")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", split(F.coalesce("text", F.lit(""))).alias("u"))
     rows = cut(rows, "encode-rows")
-    met = rows.select("row", F.posexplode("u").alias("i", "unit")).join(dictionary(docs, path, unigram), "unit")
+    met = rows.select("row", F.posexplode("u").alias("i", "unit")).join(cut(encode_units(distinct_units(docs, path), path, unigram), "units"), "unit")
     ids = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("x"))
     return rows.select("row", "doc_id").join(ids, "row", "left").select("row", "doc_id", F.coalesce(F.flatten(F.transform("x", lambda s: s["ids"])), F.array().cast("array<int>")).alias("ids"))
 
@@ -242,27 +231,50 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("row").join(met.select("row", F.regexp_replace(text, "^ ", "").alias("text")), "row", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of the numbers up to each end."""
+    offsets = (np.append(0, ends) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def packed_all(times: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``packed`` for the frequencies up to each end."""
+    begins = np.append(0, ends[:-1])
+    top = np.maximum.reduceat(times, begins)
+    if top.max() > 255:
+        return pa.array([packed(times[lo:hi].tolist()) for lo, hi in zip(begins, ends, strict=True)], pa.binary())
+    size = np.where(top > 1, ends - begins, 0)
+    return binaries(times[np.repeat(top > 1, ends - begins)].astype(np.uint8), np.cumsum(size))
+
+
 def piece_sums(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pieces, id_sum, round_trip) per row: the number of pieces, the sum of their ids, and whether every
     unit's ids decode to it."""
 
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(block: int, size: int, words: list, places: pa.Array, times: pa.Array) -> pa.RecordBatch:
+            n = len(words)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, size, np.int32)), pa.array(words, pa.string()), places, times], names=["block", "size", "pretoken", "places", "times"])
+
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                b, own = batch.iloc[at : at + BLOCK], {}
-                for i, text in enumerate(b["text"]):
-                    for w, n in Counter(units(text or "", path)).items():
+            for at in range(0, batch.num_rows, BLOCK):
+                b, own = batch.slice(at, BLOCK), {}
+                for i, text in enumerate(b.column("text")):
+                    for w, n in Counter(units(text.as_py() or "", path)).items():
                         if w in own:
                             own[w] += (i, n)
                         else:
                             own[w] = [i, n]
-                names = [None if x is None else int(x) for x in b["doc_id"]]
+                names = b.column("doc_id").to_pylist()
                 heads = np.array([[x or 0 for x in names], [x is None for x in names]], "<i8")
-                block, words = int(b["row"].iloc[0]), list(own)
-                yield pd.DataFrame([(block, len(b), None, heads.tobytes(), b"")], columns=["block", "size", "pretoken", "places", "times"])
+                block = b.column("row")[0].as_py()
+                yield rows(block, len(b), [None], pa.array([heads.tobytes()]), pa.array([b""]))
+                words, lists = list(own), list(own.values())
                 for lo in range(0, len(words), 20_000):
-                    part = words[lo : lo + 20_000]
-                    yield pd.DataFrame({"block": block, "size": len(b), "pretoken": part, "places": [np.array(own[w][::2], "<u2").tobytes() for w in part], "times": [packed(own[w][1::2]) for w in part]})
+                    part = lists[lo : lo + 20_000]
+                    flat = np.fromiter(chain.from_iterable(part), np.int64)
+                    ends = np.cumsum(np.fromiter(map(len, part), np.int64) // 2)
+                    yield rows(block, len(b), words[lo : lo + 20_000], binaries(flat[::2].astype("<u2"), ends), packed_all(flat[1::2], ends))
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, held = {}, np.zeros((0, 3), "<i8")  # where each block's sums begin; the sums, a row per document
@@ -318,8 +330,9 @@ def piece_sums(docs: DataFrame, path: str) -> DataFrame:
         if key is not None:
             yield made()
 
-    known = dictionary(docs, path).select(F.col("unit").alias("pretoken"), F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), (~F.col("ok")).cast("int").alias("bad"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    met = rows.mapInPandas(frequencies, FREQUENCIES).join(known.hint("shuffle_hash"), "pretoken", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "s", "bad")})
+    known = encode_units(distinct_units(docs, path), path).select(F.col("unit").alias("pretoken"), F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), (~F.col("ok")).cast("int").alias("bad"))
+    known = cut(known, "units")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    met = rows.mapInArrow(frequencies, FREQUENCIES).join(known.hint("shuffle_hash"), "pretoken", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "s", "bad")})
     sums = met.mapInPandas(summed, "block long, heads binary, sums binary").repartition("block").sortWithinPartitions("block", F.col("heads").desc_nulls_last())
     return sums.mapInPandas(total, "doc_id long, n_pieces long, id_sum long, round_trip boolean")
