@@ -4,7 +4,9 @@ Normalised texts fall into units where no piece crosses: at the space mark and,
 and other characters. Each distinct unit is encoded once: its
 substrings of bounded length are exploded and equi-joined to the piece table, the edges that remain are grouped by
 unit as they stream by, and a higher-order ``aggregate`` folds them into a segmentation. Documents meet the units through block
-frequencies, so that sums over a document need no row per token.
+frequencies, so that sums over a document need no row per token: those frequencies meet by unit, the first row of a unit
+gets the lattice, and what the fold finds goes to all its rows, which lie next to it. Units that more than HOT_SHARE of a
+block's documents hold would meet in one task; they are dealt by block instead and get a lattice in each group of blocks.
 
 The fold follows the model. A unigram model takes the path of the highest score (Viterbi). A BPE model does not choose
 by path score, so Viterbi would give other ids than the library: there the fold merges, step by step, the two neighbours
@@ -19,20 +21,21 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.llm.token_counts import FREQUENCIES, HELD, packed, unpacked
+from docloom.llm.token_counts import FREQUENCIES, HELD, HOT_SHARE, packed, unpacked
 from docloom.storage import cut
 
 MARK = "▁"
@@ -41,9 +44,10 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 FINE = re.compile(f"{MARK}*[{LETTERS}]+|{MARK}*[^{MARK}{LETTERS}]+|{MARK}+")
 #: The same without a cut between letters and others, for models that have pieces across.
 COARSE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-LONG_UNIT, BLOCK = 40, 6000
+LONG_UNIT, BLOCK = 40, 10_000
 UNITS = "unit string, ids array<int>, ok boolean"
-ID_BITS = 20
+#: Blocks that share the lattices of their hot units are those with one remainder.
+HOT_GROUPS = 4096
 
 
 @lru_cache(maxsize=2)
@@ -84,20 +88,20 @@ def found(n: Column, values: Column, lo: Column, hi: Column) -> Column:
     return F.get(values, lo * n + hi - n - 2)
 
 
-def merged(n: Column, values: Column) -> Column:
+def merged(n: Column, values: Column, id_bits: int) -> Column:
     """Starts of the pieces, and the end, of a unit of n characters under a BPE model.
 
     The fold carries the starts. A step looks up rank * 64 + start of the joint edge of each two neighbours (null if
-    there is none) and merges where it is least, which is leftmost among equals.
+    there is none, as past the end) and merges where it is least, which is leftmost among equals.
     """
-    joint = lambda lo, hi: F.when(hi <= n + 1, F.shiftright(found(n, values, lo, hi), ID_BITS) * 64 + lo)
 
     def step(b: Column, _: Column) -> Column:
-        least = (F.array_min(F.transform(b, lambda lo, i: joint(lo, F.get(b, i + 2)))) % 64).cast("int")
+        joint = F.transform(b, lambda lo, i: F.shiftright(found(n, values, lo, F.get(b, i + 2)), id_bits) * 64 + lo)
+        least = (F.array_min(joint) % 64).cast("int")
         # Bound by a one-element transform, or it would be worked out again at each use.
         return F.get(F.transform(F.array(least), lambda p: F.when(p.isNull(), b).otherwise(F.array_remove(b, F.get(b, F.array_position(b, p).cast("int"))))), F.lit(0))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(1), n + 1), step)
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.sequence(F.lit(1), n + 1), step)
 
 
 def viterbi(n: Column, scores: Column, missing: float = -1e6) -> Column:
@@ -113,12 +117,15 @@ def viterbi(n: Column, scores: Column, missing: float = -1e6) -> Column:
     return back(table)
 
 
-def lattices(spans: DataFrame) -> DataFrame:
+def lattices(spans: DataFrame, carried: list[str]) -> DataFrame:
     """(unit, n, values): the lattice of each unit of n characters, a row of n ends for each start; null: no piece.
 
     A unit's rows lie next to each other, as exploding and joining a broadcast table keep them; so they are grouped as
     they stream by, with no shuffle, sort or hash table. Rows in another order are an error, not a wrong lattice.
+    ``carried``: columns of a unit's first row that pass through.
     """
+    kind = spans.schema["value"].dataType
+    of = {"int": np.int32, "bigint": np.int64}[kind.simpleString()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, last = None, -1
@@ -133,10 +140,12 @@ def lattices(spans: DataFrame) -> DataFrame:
                 begin = np.cumsum(size) - size
                 edge = place[lo:hi] >= 0
                 where = (np.repeat(begin, np.diff(np.append(own, hi))) + place[lo:hi])[edge]
-                values = np.full(int(size.sum()), -1, np.int64)
+                values = np.full(int(size.sum()), -1, of)
                 values[where] = value[lo:hi][edge]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)).astype(np.int32)), pa.array(values, mask=values < 0))
-                yield pa.RecordBatch.from_arrays([t.column("unit").take(pa.array(own)).combine_chunks(), pa.array(n[own]), lists], names=["unit", "n", "values"])
+                first = pa.array(own)
+                kept = [t.column(c).take(first).combine_chunks() for c in ("unit", *carried)]
+                yield pa.RecordBatch.from_arrays([kept[0], pa.array(n[own]), lists, *kept[1:]], names=["unit", "n", "values", *carried])
 
         for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
@@ -153,50 +162,81 @@ def lattices(spans: DataFrame) -> DataFrame:
         if rest is not None:
             yield from made(rest, np.array([0]))
 
-    return spans.mapInArrow(run, "unit string, n int, values array<bigint>")
+    return spans.mapInArrow(run, T.StructType([*[T.StructField(c, t) for c, t in (("unit", T.StringType()), ("n", T.IntegerType()), ("values", T.ArrayType(kind)))], *[spans.schema[c] for c in carried]]))
 
 
-def encode_units(distinct: DataFrame, path: str, unigram: bool = False) -> DataFrame:
-    """(unit, ids, ok) for distinct units; ``ok``: the ids decode to the unit."""
-    spark, sp = distinct.sparkSession, model(path)
+def folded_units(rows: DataFrame, path: str, unigram: bool = False) -> DataFrame:
+    """``rows`` in their order, with the ids of their unit; null where ``fresh`` is false and for long units.
+
+    ``rows``: unit, fresh and columns that pass through.
+    """
+    spark, sp = rows.sparkSession, model(path)
+    carried = [c for c in rows.columns if c != "unit"]
     longest = max(len(sp.id_to_piece(i)) for i in plain_ids(sp))
-    pieces = piece_table(spark, path).filter("plain")
-    plain = F.broadcast(pieces.select("piece", (F.col("rank").cast("long") * 2**ID_BITS + F.col("id")).alias("value")))
-    # Each unit starts with a row of its own, which has no place and carries the text. Long ones have no other; the library encodes them.
-    numbered = distinct.select(F.monotonically_increasing_id().alias("at"), "unit", F.when(F.length("unit") <= LONG_UNIT, F.length("unit")).otherwise(0).alias("n"))
-    starts = numbered.select("at", "unit", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("s"))
-    spans = starts.select("at", "unit", "n", "s", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1)))).alias("l"))
+    pieces, id_bits = piece_table(spark, path).filter("plain"), (sp.get_piece_size() - 1).bit_length()
+    # A rank has no more bits than an id; with the start, which the fold puts beside the rank, they share an int or a long.
+    kind = "int" if 2 * id_bits <= 31 and id_bits + 6 <= 31 else "long"
+    plain = F.broadcast(pieces.select("piece", (F.col("rank").cast("long") * 2**id_bits + F.col("id")).cast(kind).alias("value")))
+    # Each row starts with a row of its own, which has no place and carries the columns. Long units and those met before have no other.
+    numbered = rows.select(F.monotonically_increasing_id().alias("at"), "unit", F.when(F.col("fresh") & (F.length("unit") <= LONG_UNIT), F.length("unit")).otherwise(0).alias("n"), *carried)
+    starts = numbered.select("at", "unit", "n", *carried, F.explode(F.sequence(F.lit(0), F.col("n"))).alias("s"))
+    spans = starts.select("at", "unit", "n", *carried, "s", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1)))).alias("l"))
     edges = spans.withColumn("piece", F.expr("if(s = 0, null, substring(unit, s, l))")).join(plain, "piece", "left").filter("s = 0 or value is not null")
-    lattice = lattices(edges.select("at", F.expr("if(s = 0, unit, null)").alias("unit"), "n", F.expr("if(s = 0, -1, (s - 1) * n + s + l - 2)").alias("place"), "value"))
+    once = [F.when(F.col("s") == 0, F.col(c)).alias(c) for c in ("unit", *carried)]
+    lattice = lattices(edges.select("at", "n", *once, F.expr("if(s = 0, -1, (s - 1) * n + s + l - 2)").alias("place"), "value"), carried)
     n, values = F.col("n"), F.col("values")
     if unigram:
         levels = [r["score"] for r in pieces.groupBy("rank").agg(F.first("score").alias("score")).orderBy("rank").collect()]
-        lattice = lattice.withColumn("scores", F.transform("values", lambda v: F.get(F.lit(levels), F.shiftright(v, ID_BITS).cast("int"))))
-    cuts = lattice.withColumn("b", F.when(n > 0, viterbi(n, F.col("scores")) if unigram else merged(n, values)))
+        lattice = lattice.withColumn("scores", F.transform("values", lambda v: F.get(F.lit(levels), F.shiftright(v, id_bits).cast("int"))))
+    cuts = lattice.withColumn("b", F.when(n > 0, viterbi(n, F.col("scores")) if unigram else merged(n, values, id_bits)))
     first_byte = sp.piece_to_id("<0x00>")
     as_bytes = lambda ch: F.transform(F.sequence(F.lit(1), F.octet_length(ch)), lambda k: F.conv(F.substring(F.hex(F.encode(ch, "UTF-8")), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
 
     def ids_of(i: Column) -> Column:
         lo, hi = F.get("b", i), F.get("b", i + 1)
-        known = found(n, values, lo, hi).bitwiseAND(2**ID_BITS - 1).cast("int")
+        known = found(n, values, lo, hi).bitwiseAND(2**id_bits - 1).cast("int")
         return F.when(known.isNotNull(), F.array(known)).otherwise(as_bytes(F.substring(F.col("unit"), lo, hi - lo)))
 
-    folded = cuts.select("unit", F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of))).alias("ids"))
+    return cuts.select("unit", *carried, F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of))).alias("ids"))
 
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model(path)
-        raw = [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).encode() for i in range(own.get_piece_size())]
 
+def finisher(path: str):
+    """A function from units and their folded ids (null: long) to the number of ids of each, all the ids, and whether
+    they decode to the unit."""
+    own = model(path)
+    raw = [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).encode() for i in range(own.get_piece_size())]
+    size = np.array([len(x) for x in raw])
+
+    def run(texts: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if ids.null_count:
+            lists = ids.to_pylist()
+            for i in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)):
+                u = texts[i].as_py()
+                # The library puts a mark in front of what it encodes; a unit brings its own or follows another.
+                lists[i] = own.encode(u[1:].replace(MARK, " ")) if u.startswith(MARK) else own.encode("\n" + u)[2:]
+            ids = pa.array(lists, pa.list_(pa.int32()))
+        many, flat = pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy()
+        ends = np.append(0, np.cumsum(size[flat]))[np.append(0, np.cumsum(many))]
+        back, texts = b"".join([raw[x] for x in flat.tolist()]), [t.encode() for t in texts.to_pylist()]
+        ok = np.diff(ends) == [len(t) for t in texts]
+        if not ok.all() or back != b"".join(texts):
+            ok = np.array([back[lo:hi] == t for lo, hi, t in zip(ends[:-1], ends[1:], texts, strict=True)], bool)
+        return many, flat, ok
+
+    return run
+
+
+def encode_units(distinct: DataFrame, path: str, unigram: bool = False) -> DataFrame:
+    """(unit, ids, ok) for distinct units; ``ok``: the ids decode to the unit."""
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = finisher(path)
         for b in batches:
-            texts, ids = b.column("unit").to_pylist(), b.column("ids").to_pylist()
-            for i, u in enumerate(texts):
-                if ids[i] is None:
-                    # The library puts a mark in front of what it encodes; a unit brings its own or follows another.
-                    ids[i] = own.encode(u[1:].replace(MARK, " ")) if u.startswith(MARK) else own.encode("\n" + u)[2:]
-            ok = [b"".join([raw[x] for x in x]) == u.encode() for x, u in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(ids, pa.list_(pa.int32())), pa.array(ok, pa.bool_())], names=["unit", "ids", "ok"])
+            many, flat, ok = of(b.column("unit"), b.column("ids"))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("unit"), lists, pa.array(ok, pa.bool_())], names=["unit", "ids", "ok"])
 
-    return folded.mapInArrow(finished, UNITS)
+    return folded_units(distinct.select("unit", F.lit(True).alias("fresh")), path, unigram).select("unit", "ids").mapInArrow(finished, UNITS)
 
 
 def distinct_units(docs: DataFrame, path: str) -> DataFrame:
@@ -258,56 +298,73 @@ def piece_sums(docs: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
-                b, own = batch.slice(at, BLOCK), {}
-                for i, text in enumerate(b.column("text")):
-                    for w, n in Counter(units(text.as_py() or "", path)).items():
-                        if w in own:
-                            own[w] += (i, n)
-                        else:
-                            own[w] = [i, n]
+                b, number = batch.slice(at, BLOCK), defaultdict()
+                number.default_factory = number.__len__
+                word, times, many = array("i"), array("i"), []  # of each document and unit: the unit's number, its frequency
+                for text in b.column("text"):
+                    own = Counter(units(text.as_py() or "", path))
+                    word.extend(map(number.__getitem__, own))
+                    times.extend(own.values())
+                    many.append(len(own))
                 names = b.column("doc_id").to_pylist()
                 heads = np.array([[x or 0 for x in names], [x is None for x in names]], "<i8")
                 block = b.column("row")[0].as_py()
                 yield rows(block, len(b), [None], pa.array([heads.tobytes()]), pa.array([b""]))
-                words, lists = list(own), list(own.values())
+                word, times = np.frombuffer(word, np.int32), np.frombuffer(times, np.int32)
+                order = np.argsort(word, kind="stable")
+                places, times = np.repeat(np.arange(len(many)), many).astype("<u2")[order], times[order]
+                ends, words = np.cumsum(np.bincount(word, minlength=len(number))), list(number)
                 for lo in range(0, len(words), 20_000):
-                    part = lists[lo : lo + 20_000]
-                    flat = np.fromiter(chain.from_iterable(part), np.int64)
-                    ends = np.cumsum(np.fromiter(map(len, part), np.int64) // 2)
-                    yield rows(block, len(b), words[lo : lo + 20_000], binaries(flat[::2].astype("<u2"), ends), packed_all(flat[1::2], ends))
+                    begin, own = ends[lo - 1] if lo else 0, ends[lo : lo + 20_000]
+                    yield rows(block, len(b), words[lo : lo + 20_000], binaries(places[begin : own[-1]], own - begin), packed_all(times[begin : own[-1]], own - begin))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, base, held = finisher(path), {}, np.zeros((0, 3), "<i8")  # where each block's sums begin; the sums, a row per document
+        known = np.zeros((1, 3), "<i8")  # of the last unit met: pieces, their sum, whether it fails to decode
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, held = {}, np.zeros((0, 3), "<i8")  # where each block's sums begin; the sums, a row per document
+        def out(blocks: list, heads: list, sums: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(heads, pa.binary()), pa.array(sums, pa.binary())], names=["block", "heads", "sums"])
 
-        def flushed() -> pd.DataFrame:
+        def flushed() -> pa.RecordBatch:
             ends = [*list(base.values())[1:], len(held)]
-            out = pd.DataFrame({"block": list(base), "heads": None, "sums": [held[lo:hi].T.tobytes() for lo, hi in zip(base.values(), ends, strict=True)]})
+            made = out(list(base), [None] * len(base), [held[lo:hi].T.tobytes() for lo, hi in zip(base.values(), ends, strict=True)])
             base.clear()
-            return out
+            return made
 
         for b in batches:
-            own_row = b["pretoken"].isna()
-            heads = b[own_row]
-            yield pd.DataFrame({"block": heads["block"], "heads": heads["places"], "sums": [np.zeros(3 * n, "<i8").tobytes() for n in heads["size"]]})
-            b = b[~own_row]
-            if b.empty:
+            own_row = pc.is_null(b.column("unit"))
+            h, b = b.filter(own_row), b.filter(pc.invert(own_row))
+            if len(h):
+                yield out(h.column("block").to_pylist(), h.column("places").to_pylist(), [np.zeros(3 * n, "<i8").tobytes() for n in h.column("size").to_pylist()])
+            if not len(b):
                 continue
+            fresh = b.filter(b.column("fresh"))
+            if len(fresh):
+                many, flat, ok = of(fresh.column("unit"), fresh.column("ids"))
+                ends = np.append(0, np.cumsum(flat, dtype=np.int64))[np.append(0, np.cumsum(many))]
+                known = np.concatenate([known[-1:], np.stack([many, np.diff(ends), ~ok], axis=1).astype("<i8")])
+            else:
+                known = known[-1:]
+            of_row = known[np.cumsum(b.column("fresh").to_numpy(zero_copy_only=False))]
             if len(held) > HELD:
                 yield flushed()
                 held = held[:0]
-            new = b[~b["block"].isin(base.keys())].drop_duplicates("block")
+            blocks, sizes = b.column("block").to_numpy(), b.column("size").to_numpy()
+            distinct, first, which = np.unique(blocks, return_index=True, return_inverse=True)
             top = len(held)
-            for block, size in zip(new["block"].tolist(), new["size"].tolist(), strict=True):
-                base[block] = top
-                top += size
-            held = np.concatenate([held, np.zeros((top - len(held), 3), "<i8")])
-            many = b["places"].map(len).to_numpy() // 2
-            at = np.repeat(b["block"].map(base).to_numpy("<i8"), many) + np.frombuffer(b"".join(b["places"]), "<u2")
-            times, ends = np.ones(len(at), "<i8"), np.cumsum(many)
-            for i in np.flatnonzero(b["times"].map(len).to_numpy()):
-                times[ends[i] - many[i] : ends[i]] = unpacked(b["times"].iat[i], many[i])
-            for c, name in enumerate(("n", "s", "bad")):
-                np.add.at(held[:, c], at, times * np.repeat(b[name].to_numpy("<i8"), many))
+            for block, size in zip(distinct.tolist(), sizes[first].tolist(), strict=True):
+                if block not in base:
+                    base[block] = top
+                    top += size
+            held = np.concatenate([held, np.zeros((top - len(held), 3), "<i8")]) if top > len(held) else held
+            many = pc.binary_length(b.column("places")).to_numpy() // 2
+            at = np.repeat(np.array([base[x] for x in distinct.tolist()])[which], many) + np.frombuffer(b"".join(b.column("places").to_pylist()), "<u2")
+            times, ends, raw = np.ones(len(at), "<i8"), np.cumsum(many), b.column("times").to_pylist()
+            for i in np.flatnonzero(pc.binary_length(b.column("times")).to_numpy()):
+                times[ends[i] - many[i] : ends[i]] = unpacked(raw[i], many[i])
+            for c in range(3):
+                if of_row[:, c].any():
+                    np.add.at(held[:, c], at, times * np.repeat(of_row[:, c], many))
         if base:
             yield flushed()
 
@@ -330,9 +387,11 @@ def piece_sums(docs: DataFrame, path: str) -> DataFrame:
         if key is not None:
             yield made()
 
-    known = encode_units(distinct_units(docs, path), path).select(F.col("unit").alias("pretoken"), F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), (~F.col("ok")).cast("int").alias("bad"))
-    known = cut(known, "units")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = rows.mapInArrow(frequencies, FREQUENCIES).join(known.hint("shuffle_hash"), "pretoken", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "s", "bad")})
-    sums = met.mapInPandas(summed, "block long, heads binary, sums binary").repartition("block").sortWithinPartitions("block", F.col("heads").desc_nulls_last())
+    posted = rows.mapInArrow(frequencies, FREQUENCIES).withColumnRenamed("pretoken", "unit")
+    by_block = F.col("unit").isNull() | (F.octet_length("places") > 2 * F.greatest(F.lit(20), HOT_SHARE * F.col("size")))
+    keyed = posted.withColumns({"cold": F.when(~by_block, F.col("unit")), "group": F.when(by_block, F.pmod(F.xxhash64("block"), F.lit(HOT_GROUPS)))})
+    before = F.lag("unit").over(Window.partitionBy("cold", "group").orderBy("unit"))
+    dealt = keyed.repartition("cold", "group").withColumn("fresh", F.col("unit").isNotNull() & ~F.col("unit").eqNullSafe(before)).drop("cold", "group")
+    sums = folded_units(dealt, path).mapInArrow(summed, "block long, heads binary, sums binary").repartition("block").sortWithinPartitions("block", F.col("heads").desc_nulls_last())
     return sums.mapInPandas(total, "doc_id long, n_pieces long, id_sum long, round_trip boolean")
