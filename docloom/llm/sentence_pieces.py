@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -84,32 +84,34 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def found(n: Column, values: Column, lo: Column, hi: Column) -> Column:
-    """The value of the edge from lo to hi, or null; places from 1. ``values``: a row of n ends for each start."""
-    return F.get(values, lo * n + hi - n - 2)
+    """The value of the edge from lo to hi, or null; places from 0. ``values``: an unused one, then a row of n ends for each start."""
+    return F.get(values, lo * n + hi)
 
 
-def merged(n: Column, values: Column, id_bits: int) -> Column:
+def merged(n: Column, values: Column, ranked: Callable[[Column], Column]) -> Column:
     """Starts of the pieces, and the end, of a unit of n characters under a BPE model.
 
-    The fold carries the starts. A step looks up rank * 64 + start of the joint edge of each two neighbours (null if
-    there is none, as past the end) and merges where it is least, which is leftmost among equals.
+    The fold carries the starts. A step looks up the joint edge of each two neighbours (null if there is none, as past
+    the end) and merges where it ranks first, which is leftmost among equals. ``ranked``: from a value to its rank.
     """
 
     def step(b: Column, _: Column) -> Column:
-        joint = F.transform(b, lambda lo, i: F.shiftright(found(n, values, lo, F.get(b, i + 2)), id_bits) * 64 + lo)
-        least = (F.array_min(joint) % 64).cast("int")
+        joint = F.transform(b, lambda lo, i: ranked(found(n, values, lo, F.get(b, i + 2))))
         # Bound by a one-element transform, or it would be worked out again at each use.
-        return F.get(F.transform(F.array(least), lambda p: F.when(p.isNull(), b).otherwise(F.array_remove(b, F.get(b, F.array_position(b, p).cast("int"))))), F.lit(0))
+        left = F.transform(F.array(joint), lambda v: F.array_remove(b, F.get(b, F.array_position(v, F.array_min(v)).cast("int"))))
+        return F.coalesce(F.get(left, F.lit(0)), b)
 
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.sequence(F.lit(1), n + 1), step)
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.sequence(F.lit(0), n), step)
 
 
 def viterbi(n: Column, scores: Column, missing: float = -1e6) -> Column:
-    """The same for a unigram model: the path of the highest total score; a character without a piece costs most."""
+    """The same for a unigram model, places from 1 and ``scores`` without the unused value: the path of the highest total
+    score; a character without a piece costs most."""
     empty = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("from")))
 
     def step(best: Column, end: Column) -> Column:
-        ways = F.transform(F.sequence(F.greatest(F.lit(1), end - 63), end), lambda start: F.struct((F.get(best, start - 1)["s"] + F.coalesce(found(n, scores, start, end + 1), F.when(start == end, F.lit(missing)).otherwise(F.lit(-1e12)))).alias("s"), start.alias("from")))
+        score = lambda start: F.coalesce(F.get(scores, (start - 1) * n + end - 1), F.when(start == end, F.lit(missing)).otherwise(F.lit(-1e12)))
+        ways = F.transform(F.sequence(F.greatest(F.lit(1), end - 63), end), lambda start: F.struct((F.get(best, start - 1)["s"] + score(start)).alias("s"), start.alias("from")))
         return F.concat(best, F.array(F.array_max(ways)))
 
     table = F.aggregate(F.sequence(F.lit(1), n), empty, step)
@@ -118,7 +120,7 @@ def viterbi(n: Column, scores: Column, missing: float = -1e6) -> Column:
 
 
 def lattices(spans: DataFrame, carried: list[str]) -> DataFrame:
-    """(unit, n, values): the lattice of each unit of n characters, a row of n ends for each start; null: no piece.
+    """(unit, n, values): the lattice of each unit of n characters, as ``found`` reads it; null: no piece.
 
     A unit's rows lie next to each other, as exploding and joining a broadcast table keep them; so they are grouped as
     they stream by, with no shuffle, sort or hash table. Rows in another order are an error, not a wrong lattice.
@@ -136,7 +138,7 @@ def lattices(spans: DataFrame, carried: list[str]) -> DataFrame:
             for at in range(0, len(starts), 2000):
                 own = starts[at : at + 2000]
                 lo, hi = own[0], starts[at + 2000] if at + 2000 < len(starts) else len(t)
-                size = n[own].astype(np.int64) ** 2
+                size = n[own].astype(np.int64) ** 2 + 1
                 begin = np.cumsum(size) - size
                 edge = place[lo:hi] >= 0
                 where = (np.repeat(begin, np.diff(np.append(own, hi))) + place[lo:hi])[edge]
@@ -174,28 +176,32 @@ def folded_units(rows: DataFrame, path: str, unigram: bool = False) -> DataFrame
     carried = [c for c in rows.columns if c != "unit"]
     longest = max(len(sp.id_to_piece(i)) for i in plain_ids(sp))
     pieces, id_bits = piece_table(spark, path).filter("plain"), (sp.get_piece_size() - 1).bit_length()
-    # A rank has no more bits than an id; with the start, which the fold puts beside the rank, they share an int or a long.
-    kind = "int" if 2 * id_bits <= 31 and id_bits + 6 <= 31 else "long"
-    plain = F.broadcast(pieces.select("piece", (F.col("rank").cast("long") * 2**id_bits + F.col("id")).cast(kind).alias("value")))
+    kind = "int" if 2 * id_bits <= 31 else "long"  # a rank has no more bits than an id
+    # The join is on a fingerprint, as long keys are looked up faster; the pieces themselves are compared after it.
+    plain = F.broadcast(pieces.select(F.xxhash64("piece").alias("key"), "piece", (F.col("rank").cast("long") * 2**id_bits + F.col("id")).cast(kind).alias("value")))
     # Each row starts with a row of its own, which has no place and carries the columns. Long units and those met before have no other.
     numbered = rows.select(F.monotonically_increasing_id().alias("at"), "unit", F.when(F.col("fresh") & (F.length("unit") <= LONG_UNIT), F.length("unit")).otherwise(0).alias("n"), *carried)
     starts = numbered.select("at", "unit", "n", *carried, F.explode(F.sequence(F.lit(0), F.col("n"))).alias("s"))
     spans = starts.select("at", "unit", "n", *carried, "s", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1)))).alias("l"))
-    edges = spans.withColumn("piece", F.expr("if(s = 0, null, substring(unit, s, l))")).join(plain, "piece", "left").filter("s = 0 or value is not null")
+    parts = spans.withColumn("part", F.expr("if(s = 0, null, substring(unit, s, l))")).withColumn("key", F.expr("if(s = 0, null, xxhash64(part))"))
+    edges = parts.join(plain, "key", "left").filter("s = 0 or piece = part")
     once = [F.when(F.col("s") == 0, F.col(c)).alias(c) for c in ("unit", *carried)]
-    lattice = lattices(edges.select("at", "n", *once, F.expr("if(s = 0, -1, (s - 1) * n + s + l - 2)").alias("place"), "value"), carried)
+    lattice = lattices(edges.select("at", "n", *once, F.expr("if(s = 0, -1, (s - 1) * n + s + l - 1)").alias("place"), "value"), carried)
     n, values = F.col("n"), F.col("values")
+    # Values order pieces as their ranks do, unless two share one.
+    own_ranks = len({sp.get_score(i) for i in plain_ids(sp)}) == len(plain_ids(sp))
+    ranked = lambda v: v if own_ranks else F.shiftright(v, id_bits)
     if unigram:
         levels = [r["score"] for r in pieces.groupBy("rank").agg(F.first("score").alias("score")).orderBy("rank").collect()]
-        lattice = lattice.withColumn("scores", F.transform("values", lambda v: F.get(F.lit(levels), F.shiftright(v, id_bits).cast("int"))))
-    cuts = lattice.withColumn("b", F.when(n > 0, viterbi(n, F.col("scores")) if unigram else merged(n, values, id_bits)))
+        lattice = lattice.withColumn("scores", F.transform(F.slice("values", F.lit(2), n * n), lambda v: F.get(F.lit(levels), F.shiftright(v, id_bits).cast("int"))))
+    cuts = lattice.withColumn("b", F.when(n > 0, F.transform(viterbi(n, F.col("scores")), lambda x: x - 1) if unigram else merged(n, values, ranked)))
     first_byte = sp.piece_to_id("<0x00>")
     as_bytes = lambda ch: F.transform(F.sequence(F.lit(1), F.octet_length(ch)), lambda k: F.conv(F.substring(F.hex(F.encode(ch, "UTF-8")), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
 
     def ids_of(i: Column) -> Column:
         lo, hi = F.get("b", i), F.get("b", i + 1)
         known = found(n, values, lo, hi).bitwiseAND(2**id_bits - 1).cast("int")
-        return F.when(known.isNotNull(), F.array(known)).otherwise(as_bytes(F.substring(F.col("unit"), lo, hi - lo)))
+        return F.when(known.isNotNull(), F.array(known)).otherwise(as_bytes(F.substring(F.col("unit"), lo + 1, hi - lo)))
 
     return cuts.select("unit", *carried, F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of))).alias("ids"))
 
