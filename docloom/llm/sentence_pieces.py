@@ -396,8 +396,9 @@ def piece_sums(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     posted = rows.mapInArrow(frequencies, FREQUENCIES).withColumnRenamed("pretoken", "unit")
     by_block = F.col("unit").isNull() | (F.octet_length("places") > 2 * F.greatest(F.lit(20), HOT_SHARE * F.col("size")))
-    keyed = posted.withColumns({"cold": F.when(~by_block, F.col("unit")), "group": F.when(by_block, F.pmod(F.xxhash64("block"), F.lit(HOT_GROUPS)))})
-    before = F.lag("unit").over(Window.partitionBy("cold", "group").orderBy("unit"))
-    dealt = keyed.repartition("cold", "group").withColumn("fresh", F.col("unit").isNotNull() & ~F.col("unit").eqNullSafe(before)).drop("cold", "group")
+    # Sorted by fingerprint, then unit: nearly all comparisons are of two longs.
+    keyed = posted.withColumn("key", F.when(by_block, F.pmod(F.xxhash64("block"), F.lit(HOT_GROUPS))).otherwise(F.xxhash64("unit")))
+    before = F.lag("unit").over(Window.partitionBy("key").orderBy("unit"))
+    dealt = keyed.repartition("key").withColumn("fresh", F.col("unit").isNotNull() & ~F.col("unit").eqNullSafe(before)).drop("key")
     sums = folded_units(dealt, path).mapInArrow(summed, "block long, heads binary, sums binary").repartition("block").sortWithinPartitions("block", F.col("heads").desc_nulls_last())
     return sums.mapInPandas(total, "doc_id long, n_pieces long, id_sum long, round_trip boolean")
