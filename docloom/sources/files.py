@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +48,56 @@ def html_text(html: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-EXTRACTORS: dict[str, Callable[[bytes], str]] = {"txt": lambda b: b.decode("utf-8", "replace"), "md": lambda b: b.decode("utf-8", "replace"), "html": lambda b: html_text(b.decode("utf-8", "replace")), "htm": lambda b: html_text(b.decode("utf-8", "replace"))}
+#: Unpacked bytes that are read from one office file at most; larger ones are errors.
+MAX_UNPACKED = 16 * MAX_BYTES
+
+
+def _own(tag: str) -> str:
+    """A tag's name without its namespace."""
+    return tag.rpartition("}")[2]
+
+
+def _parts(data: bytes, pattern: str) -> list[ElementTree.Element]:
+    """The XML parts of an office file whose names fit, by the numbers in their names."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = sorted((n for n in z.namelist() if re.fullmatch(pattern, n)), key=lambda n: [int(x) for x in re.findall(r"\d+", n)])
+            if sum(z.getinfo(n).file_size for n in names) > MAX_UNPACKED:
+                raise ValueError("too large when unpacked")
+            return [ElementTree.fromstring(z.read(n)) for n in names]
+    except (zipfile.BadZipFile, ElementTree.ParseError, RuntimeError, NotImplementedError) as e:  # broken, encrypted, unknown packing
+        raise ValueError(str(e)) from e
+
+
+def paragraphs(data: bytes, pattern: str) -> str:
+    """The paragraphs of a text or slide file, a line each."""
+    lines = ("".join(t.text or "" for t in p.iter() if _own(t.tag) == "t").strip() for root in _parts(data, pattern) for p in root.iter() if _own(p.tag) == "p")
+    return "\n".join(x for x in lines if x)
+
+
+def sheet_rows(data: bytes) -> str:
+    """The rows of a workbook, a line each, cells separated by tabs; empty cells are left out."""
+    shared = ["".join(t.text or "" for t in si.iter() if _own(t.tag) == "t") for root in _parts(data, r"xl/sharedStrings\.xml") for si in root]
+
+    def value(cell: ElementTree.Element) -> str:
+        text = "".join(v.text or "" for v in cell.iter() if _own(v.tag) in {"v", "t"})
+        return shared[int(text)] if cell.get("t") == "s" and text.isdigit() and int(text) < len(shared) else text
+
+    rows = ("\t".join(x for c in row if (x := value(c))) for root in _parts(data, r"xl/worksheets/sheet\d+\.xml") for row in root.iter() if _own(row.tag) == "row")
+    return "\n".join(x for x in rows if x)
+
+
+def plain_text(data: bytes) -> str:
+    return data.decode("utf-8", "replace")
+
+
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {
+    **dict.fromkeys(("txt", "md"), plain_text),
+    **dict.fromkeys(("html", "htm"), lambda b: html_text(plain_text(b))),
+    "docx": lambda b: paragraphs(b, r"word/document\.xml"),
+    "pptx": lambda b: paragraphs(b, r"ppt/slides/slide\d+\.xml"),
+    "xlsx": sheet_rows,
+}
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Fusion, store, files, streaming, and every named query against its SQL."""
 
+import io
 import os
+import zipfile
 
 import duckdb
 import pytest
@@ -67,6 +69,29 @@ def test_empty_store(spark):
     assert store.deleted_stats(none, none.select("doc_id")).first()["deletion_ratio"] == 0.0
 
 
+def packed(**parts: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, xml in parts.items():
+            z.writestr(name, xml)
+    return out.getvalue()
+
+
+def test_office(spark):
+    slide = '<s xmlns:a="u"><a:p><a:r><a:t>slide {}</a:t></a:r></a:p></s>'
+    found = {
+        "a.docx": packed(**{"word/document.xml": '<w:d xmlns:w="u"><w:p><w:r><w:t>one </w:t></w:r><w:r><w:t>line</w:t></w:r></w:p><w:p/><w:p><w:t>two &amp; three</w:t></w:p></w:d>'}),
+        "b.pptx": packed(**{f"ppt/slides/slide{i}.xml": slide.format(i) for i in (10, 2)}),
+        "c.xlsx": packed(**{"xl/sharedStrings.xml": '<sst xmlns="u"><si><t>name</t></si><si><r><t>to</t></r><r><t>tal</t></r></si></sst>', "xl/worksheets/sheet1.xml": '<w xmlns="u"><row><c t="s"><v>0</v></c><c/><c t="s"><v>1</v></c></row><row/><row><c><v>7</v></c><c t="inlineStr"><is><t>in</t></is></c></row></w>'}),
+        "broken.docx": b"PK no archive",
+        "bad.xlsx": packed(**{"xl/worksheets/sheet1.xml": "<w>"}),
+        "other.bin": b"x",
+    }
+    rows = spark.createDataFrame([(n, len(b), "m", bytearray(b)) for n, b in found.items()], "filename string, file_size long, mime_type string, content binary")
+    got = {r.filename: r.text for r in files.extracted(rows).collect()}
+    assert got == {"a.docx": "one line\ntwo & three", "b.pptx": "slide 2\nslide 10", "c.xlsx": "name\ttotal\n7\tin", "broken.docx": None, "bad.xlsx": None, "other.bin": None}
+
+
 def test_html():
     assert files.html_text("<head><title>t</title></head><p>a&amp;b</p><script>x()</script><div>c  d</div>") == "a&b\nc d"
 
