@@ -83,6 +83,33 @@ def test_random_strings_are_told_from_identifiers():
     assert hit >= 95
 
 
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize("size", [16, 20, 24])
+@pytest.mark.parametrize(("alphabet", "least"), [(ALNUM, 0.97), (ALNUM + "+/", 0.93), (ALNUM + "-_", 0.93), (ALNUM[:52], 0.93)])
+def test_recall_of_random_strings(size, alphabet, least):
+    enc = secrets.vocabulary(queries.BYTE_BPE_RANKS, queries.public_tokenizers.PATTERN)
+    rng = random.Random(size)
+    hit = 0
+    for _ in range(500):
+        x = rng.choice(ALNUM[:52]) + "".join(rng.choice(alphabet) for _ in range(size - 2)) + rng.choice(ALNUM[:52])
+        text = f"key {x} end"
+        hit += any(k == 3 and e - s >= 16 for s, k, e in secrets.random_spans(text, [], enc, 2.2))
+    assert hit >= least * 500
+
+
+def test_clean_words_are_left_alone(spark):
+    """Long words of the documents, and names with numbers; base spans hold their secrets."""
+    enc = secrets.vocabulary(queries.BYTE_BPE_RANKS, queries.public_tokenizers.PATTERN)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    words = sum(len(secrets.RUN.findall(t)) for t in texts)
+    found = [t[s:e] for t in texts for s, _, e in secrets.random_spans(t, secrets.base_spans(t), enc, 2.2)]
+    assert words > 1000 and len(found) <= words / 1000
+    for clean in ("4201974295263078", "2024-01-15-12-30-45", "eu-west-1a-2024-01-15", "getElementByIdentifier2", "src/main/java/v2/HttpClient4", "ABSTRACT_BASE_CLASS_17"):
+        assert secrets.random_spans(clean, [], enc, 2.2) == []
+
+
 def test_redaction():
     text = "a password=abcdefabcdef123456 b"
     assert secrets.redacted(text, secrets.base_spans(text)) == "a [assign] b"
