@@ -1,7 +1,10 @@
 """Secret scans: three base patterns, and a token-efficiency test for random strings.
 
 A byte-pair vocabulary packs ordinary words and identifiers into few tokens; random strings fall apart into many. The
-test takes every unbroken run of key characters and lets its characters per token decide:
+test takes every unbroken run of key characters and cuts it where no key goes on: at ``=``, and at stretches between marks
+that are words (3 letters or more, packed well), numbers (4 digits or more), UUIDs, digests or inside a base span. What
+lies between two cuts, with the marks within (base64 has them), is a run of its own and is reported by its own span, so
+that a name or path in front of a key is not averaged with it. Its characters per token decide:
 
 - a run whose stretches of letters have more than ``max_ratio`` letters a token is words, however joined: an identifier, a path;
 - letters and digits that alternate are reported where the whole run stays at or below ``max_ratio``, too;
@@ -23,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import tiktoken
@@ -37,6 +41,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of hexadecimal digits is matched whole, so the length can be asked for here
 CLUES = ("passw", "secret", "token", "api")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16
+#: Stretches between marks; a UUID is one of them.
+STRETCH = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -84,18 +91,48 @@ def vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_cut(stretch: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
+    """Whether a stretch is a word, a number, a UUID or a digest, and so not part of a key."""
+    if is_digest(stretch):
+        return True
+    words = LETTERS.findall(stretch)
+    if not words:
+        return len(stretch) >= 4
+    letters = sum(map(len, words))
+    return letters >= 3 and looks_named(stretch) and letters > max_ratio * sum(len(encoding.encode_ordinary(w)) for w in words)
+
+
+def parts(run: str, cut: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """(start, end) of what lies between two cuts of a run; ``cut`` tells whether a stretch is one."""
+    own: list[tuple[int, int]] = []
+    for m in STRETCH.finditer(run):
+        if own and "=" in run[own[-1][1] : m.start()]:
+            yield own[0][0], own[-1][1]
+            own = []
+        if not cut(*m.span()):
+            own.append(m.span())
+        elif own:
+            yield own[0][0], own[-1][1]
+            own = []
+    if own:
+        yield own[0][0], own[-1][1]
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding: tiktoken.Encoding, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Runs of key characters that the vocabulary packs badly."""
+    """Parts of runs of key characters that the vocabulary packs badly."""
     out = []
     for m in RUN.finditer(text):
-        run = m[0].strip("+/_=-")
-        start = m.start() + m[0].index(run) if run else m.start()
-        if len(run) < 16 or is_digest(run):
-            continue
-        if any(s <= start and start + len(run) <= e for s, _, e in base):
-            continue
-        if is_random(run, encoding, max_ratio):
-            out.append((start, 3, start + len(run)))
+        at, run = m.start(), m[0]
+        covered = lambda lo, hi: any(s <= at + lo and at + hi <= e for s, _, e in base)  # noqa: B023, E731
+        for lo, hi in parts(run, lambda lo, hi: covered(lo, hi) or is_cut(run[lo:hi], encoding, max_ratio)):  # noqa: B023
+            if hi - lo < SHORTEST:  # marks that begin or end the run can belong to the key
+                lo, hi = lo if run[:lo].strip("+/_-") else 0, hi if run[hi:].strip("+/_=-") else len(run)
+            part = run[lo:hi]
+            # Letters and numbers of a few characters, however many are joined, are no key.
+            if len(part) < SHORTEST or max(map(len, STRETCH.findall(part))) < 6:
+                continue
+            if is_random(part, encoding, max_ratio):
+                out.append((at + lo, 3, at + hi))
     return out
 
 

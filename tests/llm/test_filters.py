@@ -99,6 +99,18 @@ def test_recall_of_random_strings(size, alphabet, least):
     assert hit >= least * 500
 
 
+@pytest.mark.parametrize("before", ["production_database_connection_", "production_database_connection_credential=", "/home/service/application/config/", "id=550e8400-e29b-41d4-a716-446655440000_", "release-2024/"])
+def test_keys_joined_to_names(before):
+    enc = secrets.vocabulary(queries.BYTE_BPE_RANKS, queries.public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    hit = 0
+    for i in range(300):
+        x = "".join(rng.choice(ALNUM) for _ in range((16, 20, 24)[i % 3]))
+        text = f"see {before}{x}/production.json"
+        hit += [text[s:e] for s, _, e in secrets.random_spans(text, [], enc, 2.2)] == [x]
+    assert hit >= 290
+
+
 def test_clean_words_are_left_alone(spark):
     """Long words of the documents, and names with numbers; base spans hold their secrets."""
     enc = secrets.vocabulary(queries.BYTE_BPE_RANKS, queries.public_tokenizers.PATTERN)
