@@ -144,8 +144,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_pieces.piece_sums(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return op10_encode_decode(spark, sf_dir).select("doc_id", "n_pieces", "id_sum", "round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op5_warc_revisits, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates, op10_sentence_pieces)}
+def op10_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op5_warc_revisits, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates, op10_sentence_pieces, op10_encode_decode)}
 SQL = {"op1_line_dedup": OP1_SQL, "op4_exact_topk": OP4_SQL, "op5_warc_revisits": OP5_SQL, "op7_spot_signatures": OP7_SQL}

@@ -20,7 +20,9 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -35,8 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.common import add_columns
 from docloom.llm.token_counts import FREQUENCIES, HELD, HOT_SHARE, packed, unpacked
-from docloom.storage import cut
 
 MARK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -206,11 +208,16 @@ def folded_units(rows: DataFrame, path: str, unigram: bool = False) -> DataFrame
     return cuts.select("unit", *carried, F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of))).alias("ids"))
 
 
+def piece_bytes(path: str) -> list[bytes]:
+    """The bytes that each id stands for."""
+    own = model(path)
+    return [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).encode() for i in range(own.get_piece_size())]
+
+
 def finisher(path: str):
     """A function from units and their folded ids (null: long) to the number of ids of each, all the ids, and whether
     they decode to the unit."""
-    own = model(path)
-    raw = [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).encode() for i in range(own.get_piece_size())]
+    own, raw = model(path), piece_bytes(path)
     size = np.array([len(x) for x in raw])
 
     def run(texts: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,36 +252,236 @@ def encode_units(distinct: DataFrame, path: str, unigram: bool = False) -> DataF
     return folded_units(distinct.select("unit", F.lit(True).alias("fresh")), path, unigram).select("unit", "ids").mapInArrow(finished, UNITS)
 
 
-def distinct_units(docs: DataFrame, path: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
-        for b in batches:
-            for text in b["text"]:
-                seen.update(units(text, path))
-                if len(seen) > 200_000:
-                    yield pd.DataFrame({"unit": list(seen)})
-                    seen.clear()
-        yield pd.DataFrame({"unit": list(seen)}, dtype=object)
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers below 2^31 as bytes: first bytes, then second ones and so on, compressed."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(4, "little") + (pa.Codec("zstd", 6).compress(planes.tobytes(), asbytes=True) if len(values) else b"")
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").reshape(-1)
 
-    return docs.filter("text is not null").select("text").mapInPandas(run, "unit string").distinct()
+
+def picked(flat: np.ndarray, starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``flat`` from each start on, as many values as are asked for, one after the other."""
+    ends = np.cumsum(many)
+    return flat[np.repeat(starts - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def spoken(normal: str) -> str:
+    """A normalised text as it is decoded: marks as spaces, the first one dropped."""
+    return normal.replace(MARK, " ").removeprefix(" ")
+
+
+#: Documents whose units travel in one row; rows of ids that a task gathers before it deals them by block.
+CHUNK, GATHERED, BUCKETS = 1000, 300_000, 4096
 
 
 def encode(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
-    """(row, doc_id, ids) for every row of ``docs``; ``row`` tells apart rows with one doc_id."""
-    split = F.pandas_udf(lambda s: s.map(lambda t: units(t or "", path)), "array<string>")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", split(F.coalesce("text", F.lit(""))).alias("u"))
-    rows = cut(rows, "encode-rows")
-    met = rows.select("row", F.posexplode("u").alias("i", "unit")).join(cut(encode_units(distinct_units(docs, path), path, unigram), "units"), "unit")
-    ids = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("x"))
-    return rows.select("row", "doc_id").join(ids, "row", "left").select("row", "doc_id", F.coalesce(F.flatten(F.transform("x", lambda s: s["ids"])), F.array().cast("array<int>")).alias("ids"))
+    """(row, doc_id, ids) for every row of ``docs``: all ids in order. ``row`` tells apart rows with one doc_id."""
+
+    def start():
+        return lambda head, flat, ends: [head.column("row"), head.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))]
+
+    return encoded_as(docs, path, [T.StructField("row", T.LongType()), docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))], start, unigram)
+
+
+def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: Callable, unigram: bool = False) -> DataFrame:
+    """The columns ``fields`` for every row of ``docs``, made from its ids where they are put in order.
+
+    ``start`` runs once per task and returns the function that makes them, for some documents, from their row, doc_id and
+    normal_md5 (the digest of the normalised text as it should be decoded), all their ids, and where those of each end.
+
+    A block of documents numbers its units; its documents become lists of numbers. Its units travel by hash, those of one
+    of BUCKETS buckets in one row. There each distinct unit is encoded once, and its ids go back to all its blocks, where
+    the numbers are replaced by them. So a unit counts at most once a block, however often it occurs, and no row per
+    occurrence is ever dealt out.
+    """
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(block: int, buckets: list, words: list, heads: list, data: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(buckets, pa.int32()), pa.array(words, pa.binary()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], names=["block", "bucket", "words", "heads", "data"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b, number = batch.slice(at, BLOCK), defaultdict()
+                number.default_factory = number.__len__
+                block = b.column("row")[0].as_py()
+                for lo in range(0, b.num_rows, CHUNK):
+                    c, word, many, normal = b.slice(lo, CHUNK), array("i"), [], []
+                    for text in c.column("text").to_pylist():
+                        plain = model(path).normalize(text) if text else ""
+                        own = cutter(path).findall(plain)
+                        word.extend(map(number.__getitem__, own))
+                        many.append(len(own))
+                        normal.append(hashlib.md5(spoken(plain).encode(), usedforsecurity=False).digest())
+                    head = pa.RecordBatch.from_arrays([c.column("row"), c.column("doc_id"), pa.array(many, pa.int64()), pa.array(normal, pa.binary())], names=["row", "doc_id", "many", "normal_md5"])
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                        stream.write_batch(head)
+                    yield rows(block, [zlib.crc32(b"%d" % (block + lo)) % BUCKETS], [None], [out.getvalue().to_pybytes()], [squeezed(np.frombuffer(word, np.int32))])
+                if not number:
+                    continue
+                words = [w.encode() for w in number]
+                bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
+                order, size = np.argsort(bucket, kind="stable"), np.fromiter(map(len, words), np.int32, len(words))
+                names, begin = np.unique(bucket[order], return_index=True)
+                of_bucket = [order[lo:hi] for lo, hi in zip(begin, [*begin[1:], len(order)], strict=True)]
+                texts = [b"".join([words[i] for i in own.tolist()]) for own in of_bucket]
+                texts = [len(t).to_bytes(4, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in texts]
+                yield rows(block, names.tolist(), texts, [None] * len(names), [squeezed(np.concatenate([np.diff(own, prepend=0), size[own]])) for own in of_bucket])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["unit", "fresh", "blocks", "numbers", "heads", "data"]
+        key, units_, blocks, numbers = None, [], [], []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            met = pa.concat_arrays(units_).dictionary_encode()
+            which = met.indices.to_numpy()
+            order, ends, n = np.argsort(which, kind="stable"), np.cumsum(np.bincount(which)), len(met.dictionary)
+            refs = [binaries(np.concatenate(x)[order], ends) for x in (blocks, numbers)]
+            none = pa.nulls(n, pa.binary())
+            whole = pa.RecordBatch.from_arrays([met.dictionary, pa.array(np.ones(n, bool)), *refs, none, none], names=names)
+            for at in range(0, n, 10_000):
+                yield whole.slice(at, 10_000)
+            for x in (units_, blocks, numbers):
+                x.clear()
+
+        for b in batches:
+            for block, bucket, words, heads, data in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("words"), b.column("heads"), b.column("data"), strict=True):
+                if heads.is_valid:
+                    own = np.array([block], "<i8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([False]), pa.array([own]), pa.nulls(1, pa.binary()), pa.array([heads.as_py()], pa.binary()), pa.array([data.as_py()], pa.binary())], names=names)
+                    continue
+                if units_ and bucket != key:
+                    yield from made()
+                key, raw = bucket, words.as_py()
+                number, size = unsqueezed(data.as_py()).reshape(2, -1)
+                ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                units_.append(pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True))))
+                blocks.append(np.full(len(size), block, "<i8"))
+                numbers.append(np.cumsum(number).astype("<i4"))
+        if units_:
+            yield from made()
+
+    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, size = finisher(path), [], 0
+
+        def out(blocks: list, heads: list, data: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], names=["block", "heads", "data"])
+
+        def flushed() -> pa.RecordBatch:
+            block, number, many, flat = map(np.concatenate, zip(*held, strict=True))
+            order, starts = np.lexsort((number, block)), np.cumsum(many) - many
+            names, begin = np.unique(block[order], return_index=True)
+            data = []
+            for lo, hi in zip(begin, [*begin[1:], len(order)], strict=True):
+                own = order[lo:hi]
+                data.append(squeezed(np.concatenate([[len(own)], np.diff(number[own], prepend=0), many[own], picked(flat, starts[own], many[own])])))
+            held.clear()
+            return out(names.tolist(), [None] * len(names), data)
+
+        for b in batches:
+            own_row = pc.is_null(b.column("unit"))
+            h, b = b.filter(own_row), b.filter(pc.invert(own_row))
+            for i in range(len(h)):
+                r = h.slice(i, 1)
+                yield out([int.from_bytes(r.column("blocks")[0].as_py(), "little")], *(r.column(c).to_pylist() for c in ("heads", "data")))
+            if not len(b):
+                continue
+            many, flat, _ = of(b.column("unit"), b.column("ids"))
+            blocks, numbers = (np.frombuffer(b"".join(b.column(c).to_pylist()), k) for c, k in (("blocks", "<i8"), ("numbers", "<i4")))
+            starts, which = np.cumsum(many) - many, np.repeat(np.arange(len(b)), pc.binary_length(b.column("blocks")).to_numpy() // 8)
+            held.append((blocks, numbers, many[which], picked(flat, starts[which], many[which])))
+            size += len(blocks)
+            if size > GATHERED:
+                yield flushed()
+                size = 0
+        if held:
+            yield flushed()
+
+    def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, key, known, table = start(), None, [], None
+        for b in batches:
+            for block, heads, data in zip(b.column("block").to_pylist(), b.column("heads"), b.column("data"), strict=True):
+                if block != key:
+                    key, known, table = block, [], None
+                if not heads.is_valid:
+                    known.append(unsqueezed(data.as_py()))
+                    continue
+                if table is None:
+                    sizes = [x[0] for x in known]
+                    number, many, flat = (np.concatenate([np.zeros(0, np.int32), *x]) for x in ([np.cumsum(x[1 : n + 1]) for x, n in zip(known, sizes, strict=True)], [x[n + 1 : 2 * n + 1] for x, n in zip(known, sizes, strict=True)], [x[2 * n + 1 :] for x, n in zip(known, sizes, strict=True)]))
+                    if not np.array_equal(np.sort(number), np.arange(len(number))):
+                        raise RuntimeError("a block did not get the ids of each of its units once")
+                    starts, counts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+                    starts[number], counts[number] = np.cumsum(many, dtype=np.int64) - many, many
+                    known, table = [], (starts, counts, flat)
+                starts, counts, flat = table
+                word = unsqueezed(data.as_py())
+                head = pa.ipc.open_stream(heads.as_py()).read_next_batch()
+                ends = np.append(0, np.cumsum(counts[word]))[np.append(0, np.cumsum(head.column("many").to_numpy()))]
+                yield pa.RecordBatch.from_arrays(of(head, picked(flat, starts[word], counts[word]), ends), names=[f.name for f in fields])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    posted = rows.mapInArrow(numbered, "block long, bucket int, words binary, heads binary, data binary")
+    met = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gathered, "unit string, fresh boolean, blocks binary, numbers binary, heads binary, data binary")
+    back = folded_units(met, path, unigram).mapInArrow(returned, "block long, heads binary, data binary")
+    by_block = back.repartition("block").sortWithinPartitions("block", F.col("heads").isNotNull())
+    return by_block.mapInArrow(replaced, T.StructType(fields))
+
+
+def decoder(path: str) -> Callable[[np.ndarray, np.ndarray], Iterator[str]]:
+    """A function from ids, and where those of each document end, to the texts: the bytes of the pieces in order, marks as
+    spaces, the first one dropped."""
+    raw = piece_bytes(path)
+
+    def of(flat: np.ndarray, ends: np.ndarray) -> Iterator[str]:
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield spoken(b"".join([raw[i] for i in flat[lo:hi].tolist()]).decode(errors="replace"))
+
+    return of
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(row, text) of (row, ids): pieces by id, their bytes in order, marks as spaces, the first one dropped."""
-    table = F.broadcast(piece_table(encoded.sparkSession, path).select("id", "bytes"))
-    met = encoded.select("row", F.posexplode("ids").alias("i", "id")).join(table, "id").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "bytes"))).alias("x"))
-    text = F.replace(F.decode(F.unhex(F.array_join(F.transform("x", lambda s: s["bytes"]), "")), "UTF-8"), F.lit(MARK), F.lit(" "))
-    return encoded.select("row").join(met.select("row", F.regexp_replace(text, "^ ", "").alias("text")), "row", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """``encoded`` with the text of its ids."""
+
+    def start():
+        of = decoder(path)
+
+        def texts(b: pa.RecordBatch) -> dict:
+            many = pc.fill_null(pc.list_value_length(b.column("ids")), 0).to_numpy()
+            return {"text": list(of(b.column("ids").flatten().to_numpy(), np.append(0, np.cumsum(many))))}
+
+        return texts
+
+    return add_columns(encoded, [("text", T.StringType())], start)
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_pieces, id_sum, round_trip, ids_sha256, text_sha256) per row: the number and sum of the document's ids,
+    the digests of its ids in order (joined by spaces) and of the text decoded from them, and whether that text is the
+    normalised one. What encode() and decode() return, without moving it out of the task."""
+
+    def start():
+        decoded = decoder(path)
+
+        def of(head: pa.RecordBatch, flat: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+            sums = np.append(0, np.cumsum(flat, dtype=np.int64))[ends]
+            ids = [hashlib.sha256(" ".join(map(str, flat[lo:hi].tolist())).encode()).hexdigest() for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            same, digests = [], []
+            for text, normal in zip(decoded(flat, ends), head.column("normal_md5").to_pylist(), strict=True):
+                text = text.encode()
+                same.append(hashlib.md5(text, usedforsecurity=False).digest() == normal)
+                digests.append(hashlib.sha256(text).hexdigest())
+            return [head.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.diff(sums)), pa.array(same, pa.bool_()), pa.array(ids, pa.string()), pa.array(digests, pa.string())]
+
+        return of
+
+    kinds = {"n_pieces": T.LongType(), "id_sum": T.LongType(), "round_trip": T.BooleanType(), "ids_sha256": T.StringType(), "text_sha256": T.StringType()}
+    return encoded_as(docs, path, [docs.schema["doc_id"], *[T.StructField(n, k) for n, k in kinds.items()]], start)
 
 
 def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:

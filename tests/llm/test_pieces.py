@@ -1,5 +1,7 @@
 """SentencePiece against the library, and the way back."""
 
+import hashlib
+
 from docloom.llm import queries, sentence_pieces
 
 PATH = queries.public_tokenizers.path("piece_bpe_32k.model")
@@ -13,6 +15,13 @@ def test_query(spark, sf):
     assert got == {d: (len(x), sum(x), True) for d, x in want.items()}
 
 
+def test_ids_in_order_and_decoded_texts(spark, sf):
+    sp = sentence_pieces.model(PATH)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {r.doc_id: (digest(" ".join(map(str, ids := sp.encode(r.text)))), digest(sp.decode(ids)), True) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: (r.ids_sha256, r.text_sha256, r.round_trip) for r in queries.QUERIES["op10_encode_decode"](spark, sf).collect()} == want
+
+
 def test_edges(spark):
     sp = sentence_pieces.model(PATH)
     texts = [None, "", " ", "  two  spaces ", "漢字 кириллица 🙂", "tab\tand\nline", "a" * 300, "x" + "▁y", "don't stop", "www.example.com/a?b=1"]
