@@ -73,12 +73,15 @@ def similar(queries: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFra
     n - ceil(least * n) + 1 signatures with a partner, so that many of each query's are joined, in hash order.
     """
     sets = lambda df: cut(with_signatures(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "s").select("doc_id", "s"), "spots")
-    q = sets(queries).toDF("query_id", "qs").withColumn("p", partition(F.size("qs"), least))
+    whole, d0 = sets(queries).toDF("query_id", "qs"), sets(docs)
+    q = whole.withColumn("p", partition(F.size("qs"), least))
     prefix = F.expr(f"slice(array_sort(qs, (a, b) -> case when xxhash64(a) < xxhash64(b) then -1 when xxhash64(a) > xxhash64(b) then 1 else 0 end), 1, size(qs) - cast(ceil({least} * size(qs) - 1e-9) as int) + 1)")
     q = q.select("query_id", "qs", F.explode_outer(prefix).alias("sig"), "p").filter("sig is not null").select("query_id", "qs", "sig", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1)).alias("p"))
-    d = sets(docs).withColumn("p", partition(F.size("s"), least)).select("doc_id", "s", "p", F.explode_outer("s").alias("sig"))
+    d = d0.withColumn("p", partition(F.size("s"), least)).select("doc_id", "s", "p", F.explode_outer("s").alias("sig"))
     met = q.join(d, ["sig", "p"]).select("query_id", "doc_id", likeness(F.col("qs"), F.col("s"), least).alias("likeness"))
-    return met.filter(F.col("likeness") >= least).distinct()
+    # Two empty sets have no signature to meet by; they are alike.
+    none = whole.filter(F.size("qs") == 0).select("query_id").crossJoin(d0.filter(F.size("s") == 0).select("doc_id")).withColumn("likeness", F.lit(1.0))
+    return met.filter(F.col("likeness") >= least).unionByName(none).distinct()
 
 
 def blocks(docs: DataFrame) -> DataFrame:

@@ -42,3 +42,8 @@ def test_similar_finds_all(spark, sf):
     want = {(q, d) for q in asked for d in sets if near(sets[q], sets[d]) >= 0.5}
     got = {(r.query_id, r.doc_id) for r in spotsigs.similar(docs.filter(F.col("doc_id").isin(asked)), docs, 0.5).collect()}
     assert got == want and len(want) > len(asked)
+
+
+def test_empty_sets_are_alike(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "the cat is a dog")], "doc_id long, text string")
+    assert {(r.query_id, r.doc_id, r.likeness) for r in spotsigs.similar(docs, docs, 0.5).collect()} == {(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)}
