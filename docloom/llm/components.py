@@ -15,14 +15,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of v is linked to the smallest of v and its neighbours."""
     near = both_ways(edges)
-    least = near.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("m"))
+    # Written, so that the join can split a node with very many neighbours.
+    least = cut(near.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("m")), "least")
     return near.filter("w > v").join(least, "v").select(F.col("w").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """v and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w")).filter("v <> w")
-    least = down.groupBy("v").agg(F.min("w").alias("m"))
+    least = cut(down.groupBy("v").agg(F.min("w").alias("m")), "least")
     moved = down.join(least, "v")
     out = moved.select(F.col("w").alias("a"), F.col("m").alias("b")).filter("a <> b").union(moved.select(F.col("v").alias("a"), F.col("m").alias("b")))
     return out.distinct()

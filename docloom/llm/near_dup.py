@@ -4,17 +4,23 @@
    its smallest id stands for it.
 2. BANDS x ROWS MinHash values give a class its band keys. At the similarity threshold a pair shares no band with
    probability (1 - 0.75**5)**50, about 1e-6; beyond it with less.
-3. Each bucket links its members to its centre only, the one that shares most buckets, so m members make m - 1 pairs.
+3. Each bucket links its members to its centre only, the one that shares most buckets, so a bucket of m members makes
+   m - 1 pairs, and all buckets at most BANDS pairs a class.
 4. A pair's signatures are compared in batches. After each batch the posterior (uniform prior) of the similarity is
    bounded; a pair goes once the threshold is missed with probability 1 - MISS. Survivors are confirmed on full sets.
-  Over the 12 looks, a pair right at the threshold of 0.75 is lost with probability 9.5e-6.
-5. Buckets whose members are not yet one component are looked at again: members of different components are compared
-   with each other, in tiles of bounded size, by the same sequential test, and only its survivors are sent on to exact
-   confirmation. So every pair that shares a band has been tested, pruned or found connected; no pair is capped away.
+   Over the 12 looks, a pair right at the threshold of 0.75 is lost with probability 9.5e-6.
+5. Buckets whose members are not yet one component are looked at again, in tiles of bounded size: members of different
+   components are compared by the same sequential test. What has a survivor meets again in the same tile, now with its
+   full set; there survivors are confirmed, and only links that join two components leave the tile. So every pair that
+   shares a band has been tested, pruned or found connected, no pair is capped away, and no pair is a row before it is
+   known to be a link: a tile of t rows returns fewer than t links. Rows sent to tiles grow with the members of a
+   bucket, times its number of tiles beyond one.
 
 Defined results: words are what [\\x20\\x09-\\x0D] separates, A-Z lower-cased; fewer than five words make one shingle of
 the whole sequence; a null text or one without words has an empty set and is linked with nothing. Rows with the same
-doc_id are linked by the smallest of their texts, each with its own set size and the same component. A null doc_id is kept, linked with nothing, with a null component. Other columns don't matter here and aren't returned.
+doc_id are linked by the smallest of their texts, each with its own set size and the same component. A null doc_id is
+kept, linked with nothing, with a null component. Very long texts are hashed in slices of SLICE bytes and weigh more in
+a tile. Other columns, whatever their names, don't matter here and aren't returned. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,8 +40,13 @@ from docloom.storage import cut
 WORDS, BANDS, ROWS = 5, 50, 5
 BATCH, BATCHES = 64, 12
 MISS = 1e-6
-TILE = 256
+#: Weight of one side of a tile: a class weighs 1, and 1 more for each HEAVY shingles (16 KB) of its set.
+TILE, HEAVY = 1024, 2048
 CHUNK = 64
+#: Pairs of rows that a task compares at once.
+PAIRS = 1 << 16
+#: Bytes of a text that are hashed at once.
+SLICE = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -62,6 +73,22 @@ class Words:
 
     def __call__(self, text: str) -> np.ndarray:
         data = np.frombuffer(text.encode().lower(), np.uint8)
+        if len(data) <= SLICE:
+            return self.of(data)
+        out, at = [], 0
+        while at < len(data):  # slices end before a space, or run on to the next one
+            end, size = len(data), SLICE
+            while at + size < len(data):
+                gaps = np.flatnonzero(SPACE[data[at + 1 : at + size + 1]])
+                if len(gaps):
+                    end = at + 1 + int(gaps[-1])
+                    break
+                size *= 2
+            out.append(self.of(data[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def of(self, data: np.ndarray) -> np.ndarray:
         if not len(data):
             return np.empty(0, np.uint64)
         self.grow(len(data) + 1)
@@ -158,16 +185,18 @@ def flagged(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, n_shingles, signature, shingles) of the documents in ``wanted`` (rep), read again from their texts.
 
-    A bit array sent to all tasks lets most other texts pass unread; those that share a bit with a wanted one are
-    computed as well and left out by the joins that follow.
+    While the wanted ones have FILTER_BITS / 16 rows at most, a bit array sent to all tasks lets most other texts pass
+    unread; those that share a bit with a wanted one are computed as well and left out by the joins that follow. Beyond
+    it the texts are semi-joined with the wanted ids.
     """
     mark = F.xxhash64(F.col("rep").cast("string")).alias("mark")
-    sent = bit_filter(wanted.select(mark))
+    sent = bit_filter(wanted.select(mark)) if 16 * wanted.count() <= FILTER_BITS else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags, of = sent.value, Words()
+        of = Words()
         for b in batches:
-            b = b[flagged(flags, b["mark"].to_numpy(np.int64))]
+            if sent:
+                b = b[flagged(sent.value, b["mark"].to_numpy(np.int64))]
             out = []
             for rep, text in zip(b["rep"], b["text"], strict=True):
                 own = shingles(of(text or ""))
@@ -176,6 +205,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["rep", "n_shingles", "signature", "shingles"])
 
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("rep"), "text")
+    if not sent:
+        ids = ids.join(wanted.select(F.col("rep").cast("string").alias("rep")), "rep", "left_semi")
     return cut(ids.withColumn("mark", mark).mapInPandas(run, CHOSEN), "chosen")
 
 
@@ -230,8 +261,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     A set met in many pairs is sent once for CHUNK of them, so that a popular one is dealt over many tasks.
     """
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("met"))
-    numbered = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("met") / CHUNK)).alias("chunk"))
+    popular = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") > CHUNK), "popular")
+    numbered = pairs.join(popular, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("met") / CHUNK)), F.lit(0)).alias("chunk"))
     sets = classes.select("rep", "shingles")
     left = numbered.select("a", "chunk").distinct().join(sets.withColumnRenamed("rep", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles")
     right = numbered.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "chunk", "b", "shingles")
@@ -258,84 +289,180 @@ def confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return dealt.select("a", F.col("b").cast("string"), "shingles").mapInPandas(run, "a long, b long")
 
 
-def unresolved(buckets: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that survive the sequential test.
+def tiles(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, i, j, rep, component, own): the rows of all tiles, in which classes of different components meet.
 
-    A bucket's largest component of two or more is set apart: all members of that component are dealt into tiles, once
-    for all its buckets, and its outsiders are sent to each. A bucket's other members are compared among themselves in
-    a triangle of tiles. No tile has more than about TILE members of either side.
+    A bucket's heaviest component of two or more is set apart. All its members from buckets that hold others, too, are
+    dealt into tiles once, for all their buckets; an outsider goes to the tiles of members that it shares a bucket
+    with. A bucket's other members meet each other in a triangle of tiles. ``own`` tells the two sides of a tile apart.
     """
-    needed = least_matches(threshold)
     labels = labels.toDF("rep", "component")
-    known = buckets.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m")).filter("top.n < m")
-    major = F.when(F.col("top.n") > 1, F.col("top.component"))
-    mixed = mixed.select("key", major.alias("major"), (F.col("m") - F.when(F.col("top.n") > 1, F.col("top.n")).otherwise(0)).alias("others"))
-    outside = cut(known.join(mixed, "key").filter("major is null or component <> major"), "outside")
-    mark, number = F.xxhash64("rep"), lambda n: F.ceil(F.col(n) / TILE).cast("int")
-
-    met = outside.filter("major is not null").select("major", "rep", "component").distinct()
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(met.select(F.col("major").alias("component")).distinct(), "component", "left_semi")
-    inner = labels.join(sizes, "component").select(F.col("component").alias("key"), "rep", "component", F.lit(-1).alias("own"), F.pmod(mark, number("size")).cast("int").alias("i"), F.lit(-1).alias("j"))
-    outer = met.join(sizes.toDF("major", "size"), "major").select(F.col("major").alias("key"), "rep", "component", F.lit(0).alias("own"), F.explode(F.sequence(F.lit(0), number("size") - 1)).alias("i"), F.lit(-1).alias("j"))
-    own = F.pmod(mark, number("others")).cast("int")
-    among = outside.filter("others > 1").select("key", "rep", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), number("others") - 1)).alias("other"))
-    among = among.select("key", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = inner.unionByName(outer).unionByName(among).join(classes.select("rep", "n_shingles", "signature"), "rep")
-
-    def compared(x: pd.DataFrame) -> pd.DataFrame:
-        """All tiles of ``x``, which lie one after the other."""
-        sig, n, comp, own, rep = as_rows(x["signature"]), x["n_shingles"].to_numpy(), x["component"].to_numpy(), x["own"].to_numpy(), x["rep"].to_numpy()
-        keys = x[["key", "i", "j"]].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-        out, ps, qs, held = [], [], [], 0
-
-        def flush() -> None:
-            nonlocal held
-            p, q = np.concatenate(ps), np.concatenate(qs)
-            left = may_reach(sig, sig, needed, p, q)
-            out.append(pd.DataFrame({"a": np.minimum(rep[p[left]], rep[q[left]]), "b": np.maximum(rep[p[left]], rep[q[left]])}))
-            ps.clear(), qs.clear()
-            held = 0
-
-        for start, end in zip(starts, [*starts[1:], len(x)], strict=True):
-            if end - start < 2:
-                continue
-            p, q = np.triu_indices(end - start, 1)
-            p, q = p + start, q + start
-            ok = (comp[p] != comp[q]) & (np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]))
-            i, j = keys[start, 1], keys[start, 2]
-            if j == -1:
-                ok &= (own[p] == -1) != (own[q] == -1)
-            elif i != j:
-                ok &= own[p] != own[q]
-            ps.append(p[ok])
-            qs.append(q[ok])
-            held += int(ok.sum())
-            if held > 100_000:
-                flush()
-        if ps:
-            flush()
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    known = cut(buckets.join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), (1 + F.floor(F.col("n") / HEAVY)).alias("w")), "known")
+    parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    mixed = parts.groupBy("key").agg(F.max(F.when(F.col("n") > 1, F.struct("w", "component"))).alias("top"), F.count(F.lit(1)).alias("components"), F.sum("w").alias("all")).filter("components > 1")
+    # Written, so that a bucket with very many members is no group of one task in the joins by key.
+    mixed = cut(mixed.select("key", F.col("top.component").alias("major"), (F.col("all") - F.coalesce("top.w", F.lit(0))).alias("others")), "mixed")
+    met = cut(known.join(mixed, "key"), "met")
+    number = lambda w: F.ceil(F.col(w) / TILE).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+
+    within = met.filter("component = major").select("key", "major", "rep", "w")
+    others = met.filter("major is null or component <> major")
+    outside = others.filter("major is not null").select("key", "major", "rep", "component", "w")
+    sized = lambda x, name: x.select("major", "rep", "w").distinct().groupBy("major").agg(F.sum("w").alias(name))
+    sizes = cut(sized(within, "inner").join(sized(outside, "outer"), "major"), "sizes")
+    within = within.join(sizes, "major").select("key", "major", "rep", place(number("inner")).alias("i"))
+    outside = outside.join(sizes, "major").select("key", "major", "rep", "component", place(number("outer")).alias("j"))
+    sent = cut(outside.join(within.select("key", "major", "i").distinct(), ["key", "major"]).select("major", "i", "j", "rep", "component").distinct(), "outsiders")
+    inner = within.select("major", "i", "rep").distinct().join(sent.select("major", "i", "j").distinct(), ["major", "i"])
+    inner = inner.select(F.col("major").alias("key"), "i", "j", "rep", F.col("major").alias("component"), F.lit(-1).alias("own"))
+    outer = sent.select(F.col("major").alias("key"), "i", "j", "rep", "component", F.lit(-2).alias("own"))
+
+    among = others.filter(F.col("others") > F.col("w")).select("key", "rep", "component", place(number("others")).alias("own"), F.explode(F.sequence(F.lit(0), number("others") - 1)).alias("other"))
+    among = among.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "own")
+    return inner.unionByName(outer).unionByName(among)
+
+
+def as_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows as frames of whole tiles, and where the tiles of a frame begin."""
+    rest = None
+    for x in batches:
+        x = x if rest is None else pd.concat([rest, x], ignore_index=True)
+        starts = beginnings(x)
+        rest = x.iloc[starts[-1] :]
+        if len(starts) > 1:
+            yield x.iloc[: starts[-1]], starts[:-1]
+    if rest is not None and len(rest):
+        yield rest, np.array([0])
+
+
+def beginnings(x: pd.DataFrame) -> np.ndarray:
+    keys = x[["key", "i", "j", "side"]].to_numpy()
+    return np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+
+
+def all_pairs(starts: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(p, q), p < q, of rows in one tile, about PAIRS at once; tiles of one size are done together."""
+    sizes = np.diff(np.append(starts, rows))
+    for size in np.unique(sizes).tolist():
+        own = starts[sizes == size]
+        if size * size > PAIRS:
+            for begin in own.tolist():
+                step = max(1, PAIRS // size)
+                for lo in range(0, size, step):
+                    p, q = np.nonzero(np.arange(size) > np.arange(lo, min(size, lo + step))[:, None])
+                    yield p + begin + lo, q + begin
+            continue
+        p, q = np.triu_indices(size, 1)
+        step = max(1, PAIRS // (size * size))
+        for at in range(0, len(own) if size > 1 else 0, step):
+            part = own[at : at + step, None]
+            yield (part + p).ravel(), (part + q).ravel()
+
+
+def survivors(x: pd.DataFrame, starts: np.ndarray, needed: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one tile, of its two sides and of different components, that sizes and the sequential test
+    leave; in order."""
+    sig, n, comp, own = as_rows(x["signature"]), x["n_shingles"].to_numpy(), x["component"].to_numpy(), x["own"].to_numpy()
+    cross = (x["i"].to_numpy() != x["j"].to_numpy()) | (own < 0)
+    ps, qs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p, q in all_pairs(starts, len(x)):
+        ok = (comp[p] != comp[q]) & (np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q])) & (~cross[p] | (own[p] != own[q]))
+        p, q = p[ok], q[ok]
+        left = may_reach(sig, sig, needed, p, q)
+        ps.append(p[left])
+        qs.append(q[left])
+    p, q = np.concatenate(ps), np.concatenate(qs)
+    order = np.argsort(p, kind="stable")
+    return p[order], q[order]
+
+
+def common(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (p, q) of sets: by looking up, or for many pairs by products of incidence
+    matrices, over some thousand elements at once."""
+    if len(p) <= 4 * len(sets):
+        out = np.zeros(len(p), np.int64)
+        for k, (a, b) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+            small, large = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
+            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            out[k] = np.count_nonzero(large[at] == small)
+        return out
+    values, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[which]  # an element of one set alone is in no intersection
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts, wide = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        begin, end = np.searchsorted(column, (lo, lo + wide))
+        block = np.zeros((len(sets), wide), np.float32)
+        block[row[begin:end], column[begin:end] - lo] = 1
+        counts += block @ block.T
+    return counts[p, q].astype(np.int64)
+
+
+def forest(p: np.ndarray, q: np.ndarray, labels: np.ndarray) -> list[int]:
+    """Numbers of the links (p, q) that join components which no link before them has joined."""
+    _, at = np.unique(labels, return_inverse=True)
+    root = list(range(len(labels)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(zip(at[p].tolist(), at[q].tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            root[a] = b
+            out.append(k)
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for x in batches:
-            x = x if rest is None else pd.concat([rest, x], ignore_index=True)
-            last = (x[["key", "i", "j"]] == x[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
-            rest = x[last].reset_index(drop=True)
-            if not last.all():
-                yield compared(x[~last].reset_index(drop=True))
-        if rest is not None:
-            yield compared(rest)
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+def tile_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links between components, enough to join all that a confirmed pair in a bucket joins."""
+    threshold, needed = percent / 100, least_matches(percent / 100)
+    rows = cut(tiles(buckets, labels), "tiles")
+    deal = lambda df: df.repartition("key", "i", "j", "side").sortWithinPartitions("key", "i", "j", "side")
+    # A component and a bucket may have the same number.
+    rows = rows.withColumn("side", F.when(F.col("own") < 0, 1).otherwise(0))
+    names = ["key", "i", "j", "side", "rep", "component", "own"]
+
+    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, starts in as_tiles(batches):
+            p, q = survivors(x, starts, needed, threshold)
+            if len(p):
+                yield x.iloc[np.union1d(p, q)][names]
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, starts in as_tiles(batches):
+            p, q = survivors(x, starts, needed, threshold)
+            raw, n, rep, comp = x["shingles"].to_numpy(), x["n_shingles"].to_numpy(), x["rep"].to_numpy(), x["component"].to_numpy()
+            at, a, b = np.searchsorted(p, np.append(starts, len(x))), [], []
+            for t in np.flatnonzero(np.diff(at)).tolist():
+                begin, end = starts[t], starts[t + 1] if t + 1 < len(starts) else len(x)
+                u, v = p[at[t] : at[t + 1]] - begin, q[at[t] : at[t + 1]] - begin
+                size = n[begin:end]
+                both = common([np.frombuffer(r, np.uint64) for r in raw[begin:end]], u, v)
+                sure = 100 * both >= percent * (size[u] + size[v] - both)
+                u, v = u[sure], v[sure]
+                kept = forest(u, v, comp[begin:end])
+                a.append(rep[u[kept] + begin])
+                b.append(rep[v[kept] + begin])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    schema = "key long, i int, j int, side int, rep long, component long, own int"
+    likely = cut(deal(rows.join(classes.select("rep", "n_shingles", "signature"), "rep")).mapInPandas(tested, schema), "likely")
+    return deal(likely.join(classes, "rep")).mapInPandas(linked, "a long, b long").distinct()
 
 
 def shared_buckets(sets: DataFrame) -> DataFrame:
-    """(key, rep, m) of the buckets with m > 1 members."""
+    """(key, rep, n, m) of the buckets with m > 1 members; ``n``: the size of the member's set."""
     counts = sets.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     counts = cut(counts, "bucket-sizes")
     sent = bit_filter(counts.select("key"))
@@ -344,9 +471,9 @@ def shared_buckets(sets: DataFrame) -> DataFrame:
         for b in batches:
             keys = np.stack(b["bands"].to_numpy()) if len(b) else np.empty((0, BANDS), np.int64)
             hit = flagged(sent.value, keys.ravel())
-            yield pd.DataFrame({"key": keys.ravel()[hit], "rep": np.repeat(b["doc_id"].to_numpy(np.int64), BANDS)[hit]})
+            yield pd.DataFrame({"key": keys.ravel()[hit], "rep": np.repeat(b["doc_id"].to_numpy(np.int64), BANDS)[hit], "n": np.repeat(b["n_shingles"].to_numpy(np.int64), BANDS)[hit]})
 
-    return cut(sets.select("doc_id", "bands").mapInPandas(run, "key long, rep long").join(counts, "key"), "buckets")
+    return cut(sets.select("doc_id", "n_shingles", "bands").mapInPandas(run, "key long, rep long, n long").join(counts, "key"), "buckets")
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:
@@ -354,7 +481,7 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     a group of copies that differ from each other more than from their origin."""
     company = buckets.groupBy("rep").agg(F.sum("m").alias("company"))
     centres = buckets.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("c"))).alias("top")).select("key", (-F.col("top.c")).alias("centre"))
-    met = buckets.join(centres, "key").filter("rep <> centre")
+    met = buckets.join(cut(centres, "centres"), "key").filter("rep <> centre")
     return met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
@@ -367,14 +494,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not sets.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         first = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
         texts, full = first, cut(fingerprints(first), "sets").filter("c1 is not null and doc_id is not null")
-    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    alone = full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    buckets = shared_buckets(alone)
+    # Only sets that several have are joined; a hot one is split by the join, as its other side is a written table.
+    several = cut(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "classes")
+    member = full.join(several, ["c1", "c2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n_shingles", "bands")
+    buckets = shared_buckets(cut(member.filter("doc_id = rep").drop("rep"), "alone"))
     chosen = full_sets(texts, cut(buckets.select("rep").distinct(), "wanted"))
-    stars = star_pairs(buckets)
-    near = cut(confirmed(cut(pruned(stars, chosen, threshold), "pairs"), chosen, percent), "near")
-    more = cut(unresolved(buckets.select("key", "rep"), components(near), chosen, threshold), "pairs")
-    found = components(near.unionByName(confirmed(more, chosen, percent)))
-    member = full.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", "rep").join(found.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    near = cut(confirmed(cut(pruned(star_pairs(buckets), chosen, threshold), "pairs"), chosen, percent), "near")
+    more = cut(tile_links(buckets, components(near), chosen, percent), "links")
+    found = cut(components(near.unionByName(more)), "found")
+    member = member.select("doc_id", "rep").join(found.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles").join(member, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
