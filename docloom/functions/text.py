@@ -24,6 +24,17 @@ STOP_WORDS = """
 非常 特别 极其 十分 相当 比较 稍微 现在 已经 曾经 正在 将要 马上 立刻
 提供 进行 实现 完成 执行 操作 可以 能够 应该 必须 做
 """.split()
+# Phrases at the beginning and at the end of a question that a simplified query goes without.
+SIMPLE_LEADING = "如何在|怎么|怎样|如何|请问|帮我|教我|什么是|是什么|两种方式|的方法|的步骤|有哪些|包括哪些|具体是"
+SIMPLE_ENDINGS = "是什么|是什么意思|有哪些|包括哪些|具体是"
+# Punctuation that a simplified query has spaces for.
+SIMPLE_PUNCTUATION = "[?？。！，,、；:：]"
+# Words that name an intent, and what a query with several terms, or with one, is extended by.
+INTENTS = [
+    (["安装", "部署", "配置"], ["install", "安装"], ["install", "setup", "deploy"]),
+    (["启动", "运行", "开始"], ["start", "启动"], ["serve", "run", "start"]),
+    (["使用", "方法", "教程"], ["usage", "使用方法"], ["usage", "tutorial", "guide"]),
+]
 # English words that are no technical terms.
 QUESTION_VERBS = "what how why when where who the is are was were be been being have has had do does did will would could should may might can shall".split()
 MIME = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "htm": "text/html", "pdf": "application/pdf", "csv": "text/csv", "json": "application/json"}
@@ -80,9 +91,16 @@ def custom_terms(c: Column) -> Column:
     return F.filter(F.array(*map(F.lit, CUSTOM_TERMS)), lambda t: F.contains(F.lower(c), F.lower(t)))
 
 
-def core_keywords(c: Column) -> Column:
-    """Latin words and listed terms of two or more characters, lower case, without stop words, first seen first."""
-    words = F.concat(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9][a-z0-9_.+#@&-]*"), F.lit(0)), custom_terms(c))
+def segments(dictionary: list[str] | None = None) -> str:
+    """A pattern of words: Latin ones; of Chinese characters the longest word of the dictionary that begins here, else
+    the next two. The dictionary holds the listed terms, the stop words and what is given."""
+    known = [w for w in dict.fromkeys([*CUSTOM_TERMS, *STOP_WORDS, *(dictionary or [])]) if all("一" <= x <= "龥" for x in w)]
+    return "|".join(["[a-z0-9][a-z0-9_.+#@&-]*", *sorted(known, key=len, reverse=True), "[一-龥][一-龥]?"])
+
+
+def core_keywords(c: Column, dictionary: list[str] | None = None) -> Column:
+    """Words and listed terms of two or more characters, lower case, without stop words, first seen first."""
+    words = F.concat(F.regexp_extract_all(F.lower(c), F.lit(segments(dictionary)), F.lit(0)), custom_terms(c))
     return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(STOP_WORDS)), F.lower))
 
 
@@ -101,11 +119,11 @@ def merge_terms(terms: Column) -> Column:
     return F.transform(ranked, lambda s: s["x"])
 
 
-def simplify(c: Column, stop_characters: str, edges: str = LEADING) -> Column:
-    """The query without edge phrases, the given characters and punctuation; its Latin words if too little is left."""
-    out = F.regexp_replace(c, rf"^({edges})\s*|(是什么|是什么意思|有哪些|包括哪些|具体是)\s*？?$", "")
-    out = F.regexp_replace(F.regexp_replace(out, f"[{stop_characters}]", " "), "[?？。！，,、；:：]", " ")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+def simplify(c: Column, stop_characters: str) -> Column:
+    """The query without its edge phrases, the given characters and punctuation; its Latin words if too little is left."""
+    out = F.regexp_replace(F.regexp_replace(c, rf"^({SIMPLE_LEADING})\s*", ""), rf"({SIMPLE_ENDINGS})\s*[？?]?$", "")
+    out = F.regexp_replace(F.regexp_replace(out, f"[{stop_characters}]", " "), SIMPLE_PUNCTUATION, " ")
+    out = trim_all(F.regexp_replace(out, r"\s+", " "))
     words = F.array_join(F.regexp_extract_all(c, F.lit("[a-zA-Z0-9_-]+"), F.lit(0)), " ")
     return F.when((F.length(out) < 3) & (words != ""), words).otherwise(out)
 
@@ -116,11 +134,7 @@ def expand_keywords(c: Column) -> Column:
     terms = F.filter(F.transform(found, F.lower), lambda t: ~t.isin(QUESTION_VERBS))
     every, first = F.array_join(terms, " "), F.get(terms, 0)
     says = lambda *ws: reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in ws])
-    intents = [
-        (says("安装", "部署", "配置"), ["install", "安装"], ["install", "setup", "deploy"]),
-        (says("启动", "运行", "开始"), ["start", "启动"], ["serve", "run", "start"]),
-        (says("使用", "方法", "教程"), ["usage", "使用方法"], ["usage", "tutorial", "guide"]),
-    ]
+    intents = [(says(*named), several, single) for named, several, single in INTENTS]
     phrases = lambda base, k: [F.when(i[0], F.array(*[F.concat(base, F.lit(" " + w)) for w in i[k]])).otherwise(F.array().cast("array<string>")) for i in intents]
     many = F.array_distinct(F.concat(*phrases(every, 1), F.array(every)))
     one = F.array_distinct(F.concat(*phrases(first, 2)))

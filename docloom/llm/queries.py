@@ -129,7 +129,8 @@ b as ({_signatures_sql("changed")}),
 c as ({_signatures_sql("(select doc_id, next_text as text from base)")})
 select a.doc_id, length(a.text)::bigint as n_chars, sha256(b.text) as edited_sha256,
        {_PRINT.format(a="a.s")} as fingerprint, {_PRINT.format(a="b.s")} as edited_fingerprint,
-       {_LIKENESS.format(a="a.s", b="b.s")} as near_edited, {_LIKENESS.format(a="a.s", b="c.s")} as near_next
+       {_LIKENESS.format(a="a.s", b="b.s")} as near_edited, {_LIKENESS.format(a="a.s", b="c.s")} as near_next,
+       near_edited >= 0.75 as alike_edited, near_next >= 0.75 as alike_next
 from a join b using (doc_id) join c using (doc_id)
 """
 
@@ -144,12 +145,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_encode_decode(spark, sf_dir).select("doc_id", "n_pieces", "id_sum", "round_trip")
-
-
-def op10_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op5_warc_revisits, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates, op10_sentence_pieces, op10_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op5_warc_revisits, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates, op10_sentence_pieces)}
 SQL = {"op1_line_dedup": OP1_SQL, "op4_exact_topk": OP4_SQL, "op5_warc_revisits": OP5_SQL, "op7_spot_signatures": OP7_SQL}

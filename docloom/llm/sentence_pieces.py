@@ -1,21 +1,23 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Normalised texts fall into units where no piece crosses: at the space mark and, if the model allows it, between letters
-and other characters. Each distinct unit is encoded once: its
-substrings of bounded length are exploded and equi-joined to the piece table, the edges that remain are grouped by
-unit as they stream by, and a higher-order ``aggregate`` folds them into a segmentation. Documents meet the units through block
-frequencies, so that sums over a document need no row per token: those frequencies meet by unit, the first row of a unit
-gets the lattice, and what the fold finds goes to all its rows, which lie next to it. Units that more than HOT_SHARE of a
-block's documents hold would meet in one task; they are dealt by block instead and get a lattice in each group of blocks.
+Normalised texts fall into units where no piece crosses: at the space mark, if the model allows it between letters and
+other characters, and in long units between any two characters that no piece has side by side. Each distinct unit of some
+blocks of documents is encoded once: its substrings of bounded length are exploded and equi-joined to the piece table,
+the edges that remain are grouped by unit as they stream by, and a higher-order ``aggregate`` folds them into a
+segmentation. The ids go back to the blocks, where they take the places of the units. Decoding joins the pieces of ids.
 
 The fold follows the model. A unigram model takes the path of the highest score (Viterbi). A BPE model does not choose
 by path score, so Viterbi would give other ids than the library: there the fold merges, step by step, the two neighbours
 whose joint edge has the highest score, leftmost first. Characters without a piece become byte pieces.
 
-Units of more than LONG_UNIT characters are encoded by the library, as a fold over them would be quadratic.
+A lattice is a band: for each start a value for each length up to the model's longest piece. A longer unit is folded in
+windows: it is cut where no edge crosses, which changes nothing, and cuts are left out as long as a window is no longer
+than a piece. A window that can't be cut is folded by rounds: all merges of one score that don't touch each other's
+outcome are one step, which is checked, or else the leftmost is. So a unit of any length takes the same path to its ids.
 
-Defined results: a null text is empty and has no pieces. Rows are documents of their own, whatever their doc_id. An
-empty table gives an empty table.
+Defined results: a null text is empty and has no pieces. Rows are documents of their own, whatever their doc_id. Other
+columns, whatever their names, don't matter and aren't returned. A very long text is held, with its units, in the task
+that reads it. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,21 +26,19 @@ import hashlib
 import re
 import zlib
 from array import array
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import add_columns
-from docloom.llm.token_counts import FREQUENCIES, HELD, HOT_SHARE, packed, unpacked
 
 MARK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -46,10 +46,10 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 FINE = re.compile(f"{MARK}*[{LETTERS}]+|{MARK}*[^{MARK}{LETTERS}]+|{MARK}+")
 #: The same without a cut between letters and others, for models that have pieces across.
 COARSE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-LONG_UNIT, BLOCK = 40, 10_000
+BLOCK = 10_000
 UNITS = "unit string, ids array<int>, ok boolean"
-#: Blocks that share the lattices of their hot units are those with one remainder.
-HOT_GROUPS = 4096
+#: Characters of a long unit that are exploded from one row.
+STRETCH = 4096
 
 
 @lru_cache(maxsize=2)
@@ -71,8 +71,27 @@ def cutter(path: str) -> re.Pattern:
     raise ValueError("a piece crosses the space mark; units would not be independent")
 
 
-def units(text: str, path: str) -> list[str]:
-    return cutter(path).findall(model(path).normalize(text)) if text else []
+@lru_cache(maxsize=2)
+def neighbours(path: str) -> tuple[int, frozenset[str]]:
+    """The length of the longest piece, and all pairs of characters that some piece has side by side."""
+    pieces = [model(path).id_to_piece(i) for i in plain_ids(model(path))]
+    return max(map(len, pieces)), frozenset(p[k : k + 2] for p in pieces for k in range(len(p) - 1))
+
+
+def units(normal: str, path: str) -> list[str]:
+    """The units of a normalised text, in order."""
+    longest, pairs = neighbours(path)
+    out = cutter(path).findall(normal)
+    if max(map(len, out), default=0) <= longest:
+        return out
+    fine = []
+    for u in out:
+        if len(u) > longest:
+            ends = [k for k in range(1, len(u)) if u[k - 1 : k + 1] not in pairs]
+            fine += [u[lo:hi] for lo, hi in zip([0, *ends], [*ends, len(u)], strict=True)]
+        else:
+            fine.append(u)
+    return fine
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -85,127 +104,241 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, rank int, bytes string, plain boolean, score double")
 
 
-def found(n: Column, values: Column, lo: Column, hi: Column) -> Column:
-    """The value of the edge from lo to hi, or null; places from 0. ``values``: an unused one, then a row of n ends for each start."""
-    return F.get(values, lo * n + hi)
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` worked out once: what a lambda uses twice would be worked out at each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def merged(n: Column, values: Column, ranked: Callable[[Column], Column]) -> Column:
+def merged(n: Column, values: Column, ranked: Callable[[Column], Column], width: int | None = None) -> Column:
     """Starts of the pieces, and the end, of a unit of n characters under a BPE model.
 
-    The fold carries the starts. A step looks up the joint edge of each two neighbours (null if there is none, as past
-    the end) and merges where it ranks first, which is leftmost among equals. ``ranked``: from a value to its rank.
+    ``values``: an unused one, then for each start a row of ends, n of them, or ``width`` where that is given. The fold
+    carries the starts. A step looks up the joint edge of each two neighbours (null if there is none, as past the end)
+    and merges where it ranks first, which is leftmost among equals. ``ranked``: from a value to its rank.
     """
+    if width is None:
+        edge = lambda lo, hi: ranked(F.get(values, lo * n + (hi - lo)))
+    else:
+        edge = lambda lo, hi: F.when(hi - lo <= width, ranked(F.get(values, lo * width + (hi - lo))))
+    joints = lambda b: F.transform(b, lambda lo, i: edge(lo, F.get(b, i + 2)))
+    leftmost = lambda b, joint, least: F.array_remove(b, F.get(b, F.array_position(joint, least).cast("int")))
 
     def step(b: Column, _: Column) -> Column:
-        joint = F.transform(b, lambda lo, i: ranked(found(n, values, lo, F.get(b, i + 2))))
-        # Bound by a one-element transform, or it would be worked out again at each use.
-        left = F.transform(F.array(joint), lambda v: F.array_remove(b, F.get(b, F.array_position(v, F.array_min(v)).cast("int"))))
-        return F.coalesce(F.get(left, F.lit(0)), b)
-
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.sequence(F.lit(0), n), step)
-
-
-def viterbi(n: Column, scores: Column, missing: float = -1e6) -> Column:
+        return F.coalesce(bound(joints(b), lambda v: leftmost(b, v, F.array_min(v))), b)
+
+    def round_(state: Column, _: Column) -> Column:
+        b, joint, least = state["b"], state["joint"], state["least"]
+        # Places of the best joints; of those in a row, each with a character of the one before, every other one.
+        best = F.filter(F.transform(joint, lambda v, i: F.when(v == least, i)), lambda i: i.isNotNull())
+        runs = lambda at: F.transform(at, lambda h, k: h - k)
+        apart = lambda at: bound(runs(at), lambda g: F.filter(at, lambda h, k: (k - F.array_position(g, h - k) + 1) % 2 == 0))
+        # A merge whose piece could join the next one's first half first decides before that does.
+        touches = lambda at: F.exists(F.transform(at, lambda h, k: (F.get(at, k + 1) == h + 2) & (F.coalesce(edge(F.get(b, h), F.get(b, h + 3)) <= least, F.lit(False)))), lambda x: x)
+        as_state = lambda nb: bound(joints(nb), lambda v: F.struct(nb.alias("b"), v.alias("joint"), F.array_min(v).alias("least")))
+        one = lambda: bound(leftmost(b, joint, least), as_state)
+        many = lambda at: bound(F.array_except(b, F.transform(at, lambda h: F.get(b, h + 1))), as_state)
+        safe = lambda at: F.when((F.size(at) < 2) | touches(at), one()).otherwise(bound(many(at), lambda x: F.when(x["least"] <= least, one()).otherwise(x)))
+        return F.when(least.isNull(), state).otherwise(bound(bound(best, apart), safe))
+
+    begin, steps = F.sequence(F.lit(0), n), F.sequence(F.lit(2), F.greatest(n, F.lit(2)))
+    if width is None:
+        return F.aggregate(steps, begin, step)
+    first = bound(begin, lambda b: bound(joints(b), lambda v: F.struct(b.alias("b"), v.alias("joint"), F.array_min(v).alias("least"))))
+    return F.aggregate(steps, first, round_, lambda x: x["b"])
+
+
+def viterbi(n: Column, width: Column, scores: Column, missing: float = -1e6) -> Column:
     """The same for a unigram model, places from 1 and ``scores`` without the unused value: the path of the highest total
     score; a character without a piece costs most."""
     empty = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("from")))
 
     def step(best: Column, end: Column) -> Column:
-        score = lambda start: F.coalesce(F.get(scores, (start - 1) * n + end - 1), F.when(start == end, F.lit(missing)).otherwise(F.lit(-1e12)))
-        ways = F.transform(F.sequence(F.greatest(F.lit(1), end - 63), end), lambda start: F.struct((F.get(best, start - 1)["s"] + score(start)).alias("s"), start.alias("from")))
+        score = lambda start: F.coalesce(F.get(scores, (start - 1) * width + end - start), F.when(start == end, F.lit(missing)).otherwise(F.lit(-1e12)))
+        ways = F.transform(F.sequence(F.greatest(F.lit(1), end - width + 1), end), lambda start: F.struct((F.get(best, start - 1)["s"] + score(start)).alias("s"), start.alias("from")))
         return F.concat(best, F.array(F.array_max(ways)))
 
     table = F.aggregate(F.sequence(F.lit(1), n), empty, step)
     back = lambda t: F.aggregate(F.sequence(F.lit(1), n), F.array(n + 1), lambda b, _: F.when(F.get(b, F.lit(0)) > 1, F.concat(F.array(F.get(t, F.get(b, F.lit(0)) - 1)["from"]), b)).otherwise(b))
-    return back(table)
+    return bound(table, back)
+
+
+def windows(n: int, starts: np.ndarray, lengths: np.ndarray, width: int) -> list[int]:
+    """Where to cut a unit of ``n`` characters with these edges: where none crosses, into windows of at most ``width``
+    characters unless one can't be cut. From 0 to n."""
+    crossed = np.zeros(n + 1, np.int32)
+    np.add.at(crossed, starts + 1, lengths > 1)
+    np.add.at(crossed, starts + lengths, -(lengths > 1).astype(np.int32))
+    free, out = np.flatnonzero(np.cumsum(crossed) == 0), [0]
+    while out[-1] < n:
+        k = int(np.searchsorted(free, out[-1] + width, side="right")) - 1
+        out.append(int(free[k] if free[k] > out[-1] else free[k + 1]))
+    return out
 
 
-def lattices(spans: DataFrame, carried: list[str]) -> DataFrame:
-    """(unit, n, values): the lattice of each unit of n characters, as ``found`` reads it; null: no piece.
+def lattices(spans: DataFrame, carried: list[str], width: int) -> DataFrame:
+    """(unit, n, values, more): the lattice of each unit of n characters, as ``merged`` reads it; null: no piece. A unit
+    of more than ``width`` characters comes in windows; ``more``: another one follows.
 
     A unit's rows lie next to each other, as exploding and joining a broadcast table keep them; so they are grouped as
     they stream by, with no shuffle, sort or hash table. Rows in another order are an error, not a wrong lattice.
-    ``carried``: columns of a unit's first row that pass through.
+    ``carried``: columns of a unit's first row that pass through, with its first window.
     """
     kind = spans.schema["value"].dataType
     of = {"int": np.int32, "bigint": np.int64}[kind.simpleString()]
+    names = ["unit", "n", "values", "more", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, last = None, -1
+        rest, last = [], -1
+
+        def short(t: pa.Table, own: np.ndarray, ends: np.ndarray, n: np.ndarray, place: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            """Units that are no longer than a piece, all at once; their rows lie from ``own`` to ``ends``."""
+            lo, hi = own[0], ends[-1]
+            size = n[own].astype(np.int64) ** 2 + 1
+            begin = np.cumsum(size) - size
+            edge = place[lo:hi] >= 0
+            where = (np.repeat(begin, ends - own) + place[lo:hi])[edge]
+            values = np.full(int(size.sum()), -1, of)
+            values[where] = value[lo:hi][edge]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)).astype(np.int32)), pa.array(values, mask=values < 0))
+            first = pa.array(own)
+            unit, *kept = [t.column(c).take(first).combine_chunks() for c in ("unit", *carried)]
+            return pa.RecordBatch.from_arrays([unit, pa.array(n[own]), lists, pa.array(np.zeros(len(own), bool)), *kept], names=names)
+
+        def long(t: pa.Table, lo: int, hi: int, n: int, place: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+            unit, at = t.column("unit")[lo].as_py(), place[lo:hi] - 1
+            edge = at >= 0
+            starts, lengths = at[edge] // width, at[edge] % width + 1
+            band = np.full((n, width), -1, of)
+            band[starts, lengths - 1] = value[lo:hi][edge]
+            cuts = windows(n, starts, lengths, width)
+            none = [pa.nulls(1, t.schema.field(c).type) for c in carried]
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                own = band[a:b, : min(width, b - a)].ravel()
+                values = np.append(of(-1), own)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, mask=values < 0))
+                kept = none if k else [t.column(c).slice(lo, 1).combine_chunks() for c in carried]
+                yield pa.RecordBatch.from_arrays([pa.array([unit[a:b]]), pa.array([b - a], pa.int32()), lists, pa.array([b < n]), *kept], names=names)
 
         def made(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            n = t.column("n").to_numpy()
-            place, value = t.column("place").to_numpy(), t.column("value").to_numpy()
-            for at in range(0, len(starts), 2000):
-                own = starts[at : at + 2000]
-                lo, hi = own[0], starts[at + 2000] if at + 2000 < len(starts) else len(t)
-                size = n[own].astype(np.int64) ** 2 + 1
-                begin = np.cumsum(size) - size
-                edge = place[lo:hi] >= 0
-                where = (np.repeat(begin, np.diff(np.append(own, hi))) + place[lo:hi])[edge]
-                values = np.full(int(size.sum()), -1, of)
-                values[where] = value[lo:hi][edge]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)).astype(np.int32)), pa.array(values, mask=values < 0))
-                first = pa.array(own)
-                kept = [t.column(c).take(first).combine_chunks() for c in ("unit", *carried)]
-                yield pa.RecordBatch.from_arrays([kept[0], pa.array(n[own]), lists, *kept[1:]], names=["unit", "n", "values", *carried])
+            n, place, value = (t.column(c).to_numpy() for c in ("n", "place", "value"))
+            ends = np.append(starts[1:], len(t))
+            many = n[starts] > width
+            # Cut at long units and every 2000 rows.
+            groups = np.split(np.arange(len(starts)), np.unique(np.concatenate([np.flatnonzero(many), np.flatnonzero(many) + 1, np.arange(0, len(starts), 2000)])))
+            for g in groups:
+                if not len(g):
+                    continue
+                if many[g[0]]:
+                    yield from long(t, starts[g[0]], ends[g[0]], int(n[starts[g[0]]]), place, value)
+                else:
+                    yield short(t, starts[g], ends[g], n, place, value)
+
+        def whole(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+            return t.set_column(t.schema.get_field_index("value"), "value", pc.fill_null(t.column("value"), -1)).combine_chunks(), np.flatnonzero(t.column("place").to_numpy() < 0)
 
         for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            if not len(t):
+            if not b.num_rows:
                 continue
-            t = t.set_column(t.schema.get_field_index("value"), "value", pc.fill_null(t.column("value"), -1))
-            order, starts = t.column("at").to_numpy(), np.flatnonzero(t.column("place").to_numpy() < 0)
-            if order[0] < last or (np.diff(order) < 0).any() or 1 + np.count_nonzero(np.diff(order)) != len(starts) or starts[0] != 0:
+            order, heads = b.column("at").to_numpy(), np.flatnonzero(b.column("place").to_numpy() < 0)
+            if order[0] < last or (np.diff(order) < 0).any() or (order[0] > last) + np.count_nonzero(np.diff(order)) != len(heads):
                 raise RuntimeError("the edges of a unit do not lie together")
             last = order[-1]
-            if len(starts) > 1:
-                yield from made(t.slice(0, starts[-1]), starts[:-1])
-            rest = t.slice(starts[-1])
-        if rest is not None:
-            yield from made(rest, np.array([0]))
+            if len(heads) and rest and heads[0] > 0:
+                rest.append(b.slice(0, heads[0]))
+            elif not len(heads):
+                rest.append(b)
+                continue
+            if len(heads) > 1 or rest:
+                if rest:
+                    yield from made(*whole(pa.Table.from_batches(rest)))
+                if len(heads) > 1:
+                    yield from made(*whole(pa.Table.from_batches([b.slice(heads[0], heads[-1] - heads[0])])))
+            rest = [b.slice(heads[-1])]
+        if rest:
+            yield from made(*whole(pa.Table.from_batches(rest)))
 
-    return spans.mapInArrow(run, T.StructType([*[T.StructField(c, t) for c, t in (("unit", T.StringType()), ("n", T.IntegerType()), ("values", T.ArrayType(kind)))], *[spans.schema[c] for c in carried]]))
+    return spans.mapInArrow(run, T.StructType([*[T.StructField(c, t) for c, t in (("unit", T.StringType()), ("n", T.IntegerType()), ("values", T.ArrayType(kind)), ("more", T.BooleanType()))], *[spans.schema[c] for c in carried]]))
 
 
 def folded_units(rows: DataFrame, path: str, unigram: bool = False) -> DataFrame:
-    """``rows`` in their order, with the ids of their unit; null where ``fresh`` is false and for long units.
+    """``rows`` in their order, with the ids of their unit; null where ``fresh`` is false. A long unit comes in windows:
+    rows that lie next to each other, of which all but the last have ``more``, and the first has the other columns.
 
     ``rows``: unit, fresh and columns that pass through.
     """
     spark, sp = rows.sparkSession, model(path)
     carried = [c for c in rows.columns if c != "unit"]
-    longest = max(len(sp.id_to_piece(i)) for i in plain_ids(sp))
+    longest = neighbours(path)[0]
     pieces, id_bits = piece_table(spark, path).filter("plain"), (sp.get_piece_size() - 1).bit_length()
     kind = "int" if 2 * id_bits <= 31 else "long"  # a rank has no more bits than an id
     # The join is on a fingerprint, as long keys are looked up faster; the pieces themselves are compared after it.
     plain = F.broadcast(pieces.select(F.xxhash64("piece").alias("key"), "piece", (F.col("rank").cast("long") * 2**id_bits + F.col("id")).cast(kind).alias("value")))
-    # Each row starts with a row of its own, which has no place and carries the columns. Long units and those met before have no other.
-    numbered = rows.select(F.monotonically_increasing_id().alias("at"), "unit", F.when(F.col("fresh") & (F.length("unit") <= LONG_UNIT), F.length("unit")).otherwise(0).alias("n"), *carried)
-    starts = numbered.select("at", "unit", "n", *carried, F.explode(F.sequence(F.lit(0), F.col("n"))).alias("s"))
-    spans = starts.select("at", "unit", "n", *carried, "s", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1)))).alias("l"))
-    parts = spans.withColumn("part", F.expr("if(s = 0, null, substring(unit, s, l))")).withColumn("key", F.expr("if(s = 0, null, xxhash64(part))"))
+    # Each row starts with a row of its own (s = 0), which has no place and carries the columns. Units met before have no
+    # other. Stretches of a unit, from 0 on, are cut out first, so that its characters are not counted for each start.
+    fresh = F.col("fresh") & F.col("unit").isNotNull()
+    numbered = rows.select(F.monotonically_increasing_id().alias("at"), "unit", F.when(fresh, F.length("unit")).otherwise(0).alias("n"), *carried)
+    cut_out = numbered.select("at", "unit", "n", *carried, F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / STRETCH).cast("int"))).alias("c"))
+    once = [F.when(F.col("c") == 0, F.col(x)).alias(x) for x in ("unit", *carried)]
+    cut_out = cut_out.select("at", "n", "c", *once, F.when(F.col("n") <= STRETCH, F.col("unit")).otherwise(F.substring("unit", F.col("c") * STRETCH + 1, F.lit(STRETCH + longest - 1))).alias("stretch"))
+    first = F.when(F.col("c") == 0, 0).otherwise(1)
+    starts = cut_out.filter("c = 0 or n > 0").select("at", "n", "c", "stretch", "unit", *carried, F.explode(F.sequence(first, F.least(F.col("n") - F.col("c") * STRETCH, F.lit(STRETCH)))).alias("s"))
+    once = [F.when(F.col("s") == 0, F.col(x)).alias(x) for x in ("unit", *carried)]
+    starts = starts.select("at", "n", F.when(F.col("s") > 0, F.col("c") * STRETCH + F.col("s")).otherwise(0).alias("s"), *once, F.expr(f"if(s = 0, null, substring(stretch, s, {longest}))").alias("head"))
+    spans = starts.select("at", "n", "s", "unit", *carried, "head", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.length("head")))).alias("l"))
+    parts = spans.withColumn("part", F.expr("if(s = 0, null, substring(head, 1, l))")).withColumn("key", F.expr("if(s = 0, null, xxhash64(part))"))
     edges = parts.join(plain, "key", "left").filter("s = 0 or piece = part")
-    once = [F.when(F.col("s") == 0, F.col(c)).alias(c) for c in ("unit", *carried)]
-    lattice = lattices(edges.select("at", "n", *once, F.expr("if(s = 0, -1, (s - 1) * n + s + l - 1)").alias("place"), "value"), carried)
+    lattice = lattices(edges.select("at", "n", "unit", *carried, F.expr(f"if(s = 0, -1, (s - 1) * least(n, {longest}) + l)").alias("place"), "value"), carried, longest)
     n, values = F.col("n"), F.col("values")
     # Values order pieces as their ranks do, unless two share one.
     own_ranks = len({sp.get_score(i) for i in plain_ids(sp)}) == len(plain_ids(sp))
     ranked = lambda v: v if own_ranks else F.shiftright(v, id_bits)
+    width = F.least(n, F.lit(longest))
     if unigram:
         levels = [r["score"] for r in pieces.groupBy("rank").agg(F.first("score").alias("score")).orderBy("rank").collect()]
-        lattice = lattice.withColumn("scores", F.transform(F.slice("values", F.lit(2), n * n), lambda v: F.get(F.lit(levels), F.shiftright(v, id_bits).cast("int"))))
-    cuts = lattice.withColumn("b", F.when(n > 0, F.transform(viterbi(n, F.col("scores")), lambda x: x - 1) if unigram else merged(n, values, ranked)))
+        lattice = lattice.withColumn("scores", F.transform(F.slice("values", F.lit(2), n * width), lambda v: F.get(F.lit(levels), F.shiftright(v, id_bits).cast("int"))))
+        way = F.transform(viterbi(n, width, F.col("scores")), lambda x: x - 1)
+    else:
+        way = F.when(n <= longest, merged(n, values, ranked)).otherwise(merged(n, values, ranked, longest))
+    cuts = lattice.withColumn("b", F.when(n > 0, way))
     first_byte = sp.piece_to_id("<0x00>")
     as_bytes = lambda ch: F.transform(F.sequence(F.lit(1), F.octet_length(ch)), lambda k: F.conv(F.substring(F.hex(F.encode(ch, "UTF-8")), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
 
     def ids_of(i: Column) -> Column:
         lo, hi = F.get("b", i), F.get("b", i + 1)
-        known = found(n, values, lo, hi).bitwiseAND(2**id_bits - 1).cast("int")
+        known = F.get(values, lo * width + (hi - lo)).bitwiseAND(2**id_bits - 1).cast("int")
         return F.when(known.isNotNull(), F.array(known)).otherwise(as_bytes(F.substring(F.col("unit"), lo + 1, hi - lo)))
 
-    return cuts.select("unit", *carried, F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of))).alias("ids"))
+    return cuts.select("unit", *carried, F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids_of))).alias("ids"), "more")
+
+
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``folded_units`` with the windows of a unit joined: its text, its ids, the columns of its first row."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(rows: pa.Table) -> pa.Table:
+        more = rows.column("more").to_numpy()
+        heads = np.flatnonzero(~np.append(False, more[:-1]))
+        ends = np.append(heads[1:], len(rows))
+        unit, ids = rows.column("unit"), rows.column("ids")
+        text = ["".join(unit[lo:hi].to_pylist()) if hi - lo > 1 else unit[lo].as_py() for lo, hi in zip(heads, ends, strict=True)]
+        lists = [[x for own in ids[lo:hi].to_pylist() for x in own] if hi - lo > 1 else ids[lo].as_py() for lo, hi in zip(heads, ends, strict=True)]
+        out = rows.take(pa.array(heads))
+        out = out.set_column(out.schema.get_field_index("unit"), "unit", pa.array(text, pa.string()))
+        return out.set_column(out.schema.get_field_index("ids"), "ids", pa.array(lists, ids.type))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        more = b.column("more").to_numpy(zero_copy_only=False)
+        if not held and not more.any():
+            yield b
+            continue
+        held.append(b)
+        if not more[-1]:
+            yield joined(pa.Table.from_batches(held)).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        raise RuntimeError("the last window of a unit is missing")
 
 
 def piece_bytes(path: str) -> list[bytes]:
@@ -214,42 +347,16 @@ def piece_bytes(path: str) -> list[bytes]:
     return [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).encode() for i in range(own.get_piece_size())]
 
 
-def finisher(path: str):
-    """A function from units and their folded ids (null: long) to the number of ids of each, all the ids, and whether
-    they decode to the unit."""
-    own, raw = model(path), piece_bytes(path)
-    size = np.array([len(x) for x in raw])
-
-    def run(texts: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if ids.null_count:
-            lists = ids.to_pylist()
-            for i in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)):
-                u = texts[i].as_py()
-                # The library puts a mark in front of what it encodes; a unit brings its own or follows another.
-                lists[i] = own.encode(u[1:].replace(MARK, " ")) if u.startswith(MARK) else own.encode("\n" + u)[2:]
-            ids = pa.array(lists, pa.list_(pa.int32()))
-        many, flat = pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy()
-        ends = np.append(0, np.cumsum(size[flat]))[np.append(0, np.cumsum(many))]
-        back, texts = b"".join([raw[x] for x in flat.tolist()]), [t.encode() for t in texts.to_pylist()]
-        ok = np.diff(ends) == [len(t) for t in texts]
-        if not ok.all() or back != b"".join(texts):
-            ok = np.array([back[lo:hi] == t for lo, hi, t in zip(ends[:-1], ends[1:], texts, strict=True)], bool)
-        return many, flat, ok
-
-    return run
-
-
 def encode_units(distinct: DataFrame, path: str, unigram: bool = False) -> DataFrame:
     """(unit, ids, ok) for distinct units; ``ok``: the ids decode to the unit."""
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = finisher(path)
-        for b in batches:
-            many, flat, ok = of(b.column("unit"), b.column("ids"))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("unit"), lists, pa.array(ok, pa.bool_())], names=["unit", "ids", "ok"])
+        raw = piece_bytes(path)
+        for b in whole_units(batches):
+            ok = [b"".join([raw[i] for i in ids]) == u.encode() for u, ids in zip(b.column("unit").to_pylist(), b.column("ids").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("ids"), pa.array(ok, pa.bool_())], names=["unit", "ids", "ok"])
 
-    return folded_units(distinct.select("unit", F.lit(True).alias("fresh")), path, unigram).select("unit", "ids").mapInArrow(finished, UNITS)
+    return folded_units(distinct.select("unit", F.lit(True).alias("fresh")), path, unigram).select("unit", "ids", "more").mapInArrow(finished, UNITS)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -313,7 +420,7 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
                     c, word, many, normal = b.slice(lo, CHUNK), array("i"), [], []
                     for text in c.column("text").to_pylist():
                         plain = model(path).normalize(text) if text else ""
-                        own = cutter(path).findall(plain)
+                        own = units(plain, path)
                         word.extend(map(number.__getitem__, own))
                         many.append(len(own))
                         normal.append(hashlib.md5(spoken(plain).encode(), usedforsecurity=False).digest())
@@ -367,7 +474,7 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
             yield from made()
 
     def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, held, size = finisher(path), [], 0
+        held, size = [], 0
 
         def out(blocks: list, heads: list, data: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], names=["block", "heads", "data"])
@@ -383,7 +490,7 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
             held.clear()
             return out(names.tolist(), [None] * len(names), data)
 
-        for b in batches:
+        for b in whole_units(batches):
             own_row = pc.is_null(b.column("unit"))
             h, b = b.filter(own_row), b.filter(pc.invert(own_row))
             for i in range(len(h)):
@@ -391,7 +498,7 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
                 yield out([int.from_bytes(r.column("blocks")[0].as_py(), "little")], *(r.column(c).to_pylist() for c in ("heads", "data")))
             if not len(b):
                 continue
-            many, flat, _ = of(b.column("unit"), b.column("ids"))
+            many, flat = pc.list_value_length(b.column("ids")).to_numpy(), b.column("ids").flatten().to_numpy()
             blocks, numbers = (np.frombuffer(b"".join(b.column(c).to_pylist()), k) for c, k in (("blocks", "<i8"), ("numbers", "<i4")))
             starts, which = np.cumsum(many) - many, np.repeat(np.arange(len(b)), pc.binary_length(b.column("blocks")).to_numpy() // 8)
             held.append((blocks, numbers, many[which], picked(flat, starts[which], many[which])))
@@ -461,26 +568,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_pieces, id_sum, round_trip, ids_sha256, text_sha256) per row: the number and sum of the document's ids,
-    the digests of its ids in order (joined by spaces) and of the text decoded from them, and whether that text is the
-    normalised one. What encode() and decode() return, without moving it out of the task."""
+    """(doc_id, n_pieces, id_sum, ids_crc32, text_sha256, round_trip) per row: the number and sum of the document's ids,
+    the checksum of its ids in order (little-endian unsigned 32-bit), the digest of the text decoded from them, and
+    whether that text is the normalised one. What encode() and decode() return, without moving it out of the task."""
 
     def start():
         decoded = decoder(path)
 
         def of(head: pa.RecordBatch, flat: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
-            sums = np.append(0, np.cumsum(flat, dtype=np.int64))[ends]
-            ids = [hashlib.sha256(" ".join(map(str, flat[lo:hi].tolist())).encode()).hexdigest() for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            sums, own = np.append(0, np.cumsum(flat, dtype=np.int64))[ends], memoryview(flat.astype("<u4").tobytes())
+            checks = [zlib.crc32(own[4 * lo : 4 * hi]) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             same, digests = [], []
             for text, normal in zip(decoded(flat, ends), head.column("normal_md5").to_pylist(), strict=True):
                 text = text.encode()
                 same.append(hashlib.md5(text, usedforsecurity=False).digest() == normal)
                 digests.append(hashlib.sha256(text).hexdigest())
-            return [head.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.diff(sums)), pa.array(same, pa.bool_()), pa.array(ids, pa.string()), pa.array(digests, pa.string())]
+            return [head.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.diff(sums)), pa.array(checks, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
 
         return of
 
-    kinds = {"n_pieces": T.LongType(), "id_sum": T.LongType(), "round_trip": T.BooleanType(), "ids_sha256": T.StringType(), "text_sha256": T.StringType()}
+    kinds = {"n_pieces": T.LongType(), "id_sum": T.LongType(), "ids_crc32": T.LongType(), "text_sha256": T.StringType(), "round_trip": T.BooleanType()}
     return encoded_as(docs, path, [docs.schema["doc_id"], *[T.StructField(n, k) for n, k in kinds.items()]], start)
 
 
@@ -488,124 +595,3 @@ def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values: the bytes of the numbers up to each end."""
     offsets = (np.append(0, ends) * values.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def packed_all(times: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """``packed`` for the frequencies up to each end."""
-    begins = np.append(0, ends[:-1])
-    top = np.maximum.reduceat(times, begins)
-    if top.max() > 255:
-        return pa.array([packed(times[lo:hi].tolist()) for lo, hi in zip(begins, ends, strict=True)], pa.binary())
-    size = np.where(top > 1, ends - begins, 0)
-    return binaries(times[np.repeat(top > 1, ends - begins)].astype(np.uint8), np.cumsum(size))
-
-
-def piece_sums(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_pieces, id_sum, round_trip) per row: the number of pieces, the sum of their ids, and whether every
-    unit's ids decode to it."""
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(block: int, size: int, words: list, places: pa.Array, times: pa.Array) -> pa.RecordBatch:
-            n = len(words)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, size, np.int32)), pa.array(words, pa.string()), places, times], names=["block", "size", "pretoken", "places", "times"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                b, number = batch.slice(at, BLOCK), defaultdict()
-                number.default_factory = number.__len__
-                word, times, many = array("i"), array("i"), []  # of each document and unit: the unit's number, its frequency
-                for text in b.column("text"):
-                    own = Counter(units(text.as_py() or "", path))
-                    word.extend(map(number.__getitem__, own))
-                    times.extend(own.values())
-                    many.append(len(own))
-                names = b.column("doc_id").to_pylist()
-                heads = np.array([[x or 0 for x in names], [x is None for x in names]], "<i8")
-                block = b.column("row")[0].as_py()
-                yield rows(block, len(b), [None], pa.array([heads.tobytes()]), pa.array([b""]))
-                word, times = np.frombuffer(word, np.int32), np.frombuffer(times, np.int32)
-                order = np.argsort(word, kind="stable")
-                places, times = np.repeat(np.arange(len(many)), many).astype("<u2")[order], times[order]
-                ends, words = np.cumsum(np.bincount(word, minlength=len(number))), list(number)
-                for lo in range(0, len(words), 20_000):
-                    begin, own = ends[lo - 1] if lo else 0, ends[lo : lo + 20_000]
-                    yield rows(block, len(b), words[lo : lo + 20_000], binaries(places[begin : own[-1]], own - begin), packed_all(times[begin : own[-1]], own - begin))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, base, held = finisher(path), {}, np.zeros((0, 3), "<i8")  # where each block's sums begin; the sums, a row per document
-        known = np.zeros((1, 3), "<i8")  # of the last unit met: pieces, their sum, whether it fails to decode
-
-        def out(blocks: list, heads: list, sums: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(heads, pa.binary()), pa.array(sums, pa.binary())], names=["block", "heads", "sums"])
-
-        def flushed() -> pa.RecordBatch:
-            ends = [*list(base.values())[1:], len(held)]
-            made = out(list(base), [None] * len(base), [held[lo:hi].T.tobytes() for lo, hi in zip(base.values(), ends, strict=True)])
-            base.clear()
-            return made
-
-        for b in batches:
-            own_row = pc.is_null(b.column("unit"))
-            h, b = b.filter(own_row), b.filter(pc.invert(own_row))
-            if len(h):
-                yield out(h.column("block").to_pylist(), h.column("places").to_pylist(), [np.zeros(3 * n, "<i8").tobytes() for n in h.column("size").to_pylist()])
-            if not len(b):
-                continue
-            fresh = b.filter(b.column("fresh"))
-            if len(fresh):
-                many, flat, ok = of(fresh.column("unit"), fresh.column("ids"))
-                ends = np.append(0, np.cumsum(flat, dtype=np.int64))[np.append(0, np.cumsum(many))]
-                known = np.concatenate([known[-1:], np.stack([many, np.diff(ends), ~ok], axis=1).astype("<i8")])
-            else:
-                known = known[-1:]
-            of_row = known[np.cumsum(b.column("fresh").to_numpy(zero_copy_only=False))]
-            if len(held) > HELD:
-                yield flushed()
-                held = held[:0]
-            blocks, sizes = b.column("block").to_numpy(), b.column("size").to_numpy()
-            distinct, first, which = np.unique(blocks, return_index=True, return_inverse=True)
-            top = len(held)
-            for block, size in zip(distinct.tolist(), sizes[first].tolist(), strict=True):
-                if block not in base:
-                    base[block] = top
-                    top += size
-            held = np.concatenate([held, np.zeros((top - len(held), 3), "<i8")]) if top > len(held) else held
-            many = pc.binary_length(b.column("places")).to_numpy() // 2
-            at = np.repeat(np.array([base[x] for x in distinct.tolist()])[which], many) + np.frombuffer(b"".join(b.column("places").to_pylist()), "<u2")
-            times, ends, raw = np.ones(len(at), "<i8"), np.cumsum(many), b.column("times").to_pylist()
-            for i in np.flatnonzero(pc.binary_length(b.column("times")).to_numpy()):
-                times[ends[i] - many[i] : ends[i]] = unpacked(raw[i], many[i])
-            for c in range(3):
-                if of_row[:, c].any():
-                    np.add.at(held[:, c], at, times * np.repeat(of_row[:, c], many))
-        if base:
-            yield flushed()
-
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, heads, own = None, None, None
-
-        def made() -> pd.DataFrame:
-            doc, null = heads
-            return pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "n_pieces": own[0], "id_sum": own[1], "round_trip": own[2] == 0}).assign(doc_id=lambda x: x["doc_id"].mask(null == 1))
-
-        for b in batches:
-            for block, raw, part in zip(b["block"].tolist(), b["heads"], b["sums"], strict=True):
-                part = np.frombuffer(part, "<i8").reshape(3, -1)
-                if block != key:
-                    if key is not None:
-                        yield made()
-                    key, heads, own = block, np.frombuffer(raw, "<i8").reshape(2, -1), part.copy()
-                else:
-                    own += part
-        if key is not None:
-            yield made()
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    posted = rows.mapInArrow(frequencies, FREQUENCIES).withColumnRenamed("pretoken", "unit")
-    by_block = F.col("unit").isNull() | (F.octet_length("places") > 2 * F.greatest(F.lit(20), HOT_SHARE * F.col("size")))
-    # Sorted by fingerprint, then unit: nearly all comparisons are of two longs.
-    keyed = posted.withColumn("key", F.when(by_block, F.pmod(F.xxhash64("block"), F.lit(HOT_GROUPS))).otherwise(F.xxhash64("unit")))
-    before = F.lag("unit").over(Window.partitionBy("key").orderBy("unit"))
-    dealt = keyed.repartition("key").withColumn("fresh", F.col("unit").isNotNull() & ~F.col("unit").eqNullSafe(before)).drop("key")
-    sums = folded_units(dealt, path).mapInArrow(summed, "block long, heads binary, sums binary").repartition("block").sortWithinPartitions("block", F.col("heads").desc_nulls_last())
-    return sums.mapInPandas(total, "doc_id long, n_pieces long, id_sum long, round_trip boolean")

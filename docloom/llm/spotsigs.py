@@ -5,9 +5,15 @@ words from there on, anchors skipped. A text's fingerprint stands for its set of
 compared by the Jaccard similarity of their sets. Sets are partitioned by length, in steps of the similarity asked for:
 sets that are not in the same or neighbouring partitions can't reach it and their elements are never compared.
 
+Signatures are read off the text by three regular expressions (to words and spaces, anchors to marks, chains after
+marks), so that a row holds its text a few times and its signatures, but never an array of its words.
+
 Defined results: a null text is empty and has an empty set. A text with words but without any complete chain has one
 signature, its whole sequence of words; a text without words has itself. Two empty sets have similarity 1, one empty
-set has 0 with any other. Equal sets have equal fingerprints.
+set has 0 with any other. Equal sets have equal fingerprints. Rows with one doc_id follow each other in the order of
+their texts' hashes, equal rows next to each other; null ids come last. The next of the last document is the first, of a
+table's only row itself. An empty table gives an empty table. Other columns, whatever their names, don't matter and
+aren't returned. A very long text costs memory in proportion to its length, in the task that reads it alone.
 """
 
 from __future__ import annotations
@@ -27,24 +33,27 @@ de del el en la las lo los no para por que se un una y
 au aux ce des du est et il la le les ne pas pour qui sur une
 """.split()
 CHAIN = 2
-WORD = r"[\p{L}\p{N}]+"
-LEVEL = 64
-ROWS_PER_BLOCK = 2000
+BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
+#: Texts at least that similar are alike.
+LEAST = 0.75
+
+
+def one_of(words: set[str]) -> str:
+    """A pattern of ``words`` that looks at each character once."""
+    rest = "|".join(c + one_of({w[1:] for w in words if w[:1] == c}) for c in sorted({w[0] for w in words if w}))
+    return f"(?:{rest})" + "?" * ("" in words) if rest else ""
 
 
 def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
     """``df`` with the array ``out`` of the distinct signatures of column ``text``, which holds no null."""
-    anchor = lambda w: w.isin(ANCHORS)
-    words, spots = f"{out}_words", f"{out}_spots"
-    df = df.withColumn(words, F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
-    # Each step reads its array by index inside the lambda, so the step before is kept as a column of its own.
-    after = lambda w, i: F.struct(w.alias("w"), ((i > 0) & anchor(F.coalesce(F.get(F.col(words), i - 1), F.lit("")))).alias("spot"))
-    df = df.withColumn(spots, F.filter(F.transform(F.col(words), after), lambda s: ~anchor(s["w"])))
-    rest = lambda i: [x for k in range(1, chain) for x in (F.lit(" "), F.get(F.col(spots), i + k)["w"])]
-    found = F.filter(F.transform(F.col(spots), lambda s, i: F.when(s["spot"], F.concat(s["w"], *rest(i)))), lambda x: x.isNotNull())
-    df = df.withColumn(out, F.array_distinct(found))
-    whole = F.when(F.size(words) > 0, F.concat(F.lit("="), F.array_join(words, " "))).otherwise(F.concat(F.lit("="), F.col(text)))
-    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.array(whole))).drop(words, spots)
+    words, marked = f"{out}_words", f"{out}_marked"
+    df = df.withColumn(words, F.regexp_replace(F.lower(text), BETWEEN_WORDS, " "))
+    df = df.withColumn(marked, F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), f"(?<= ){one_of(set(ANCHORS))} ", "*"))
+    word = "[^ *]++"
+    chains = F.regexp_extract_all(marked, F.lit(rf"\*(?=({word}{(r' \**+' + word) * (chain - 1)}))"), F.lit(1))
+    df = df.withColumn(out, F.array_distinct(F.transform(chains, lambda x: F.replace(x, F.lit("*"), F.lit("")))))
+    whole = F.when(F.trim(words) != "", F.trim(words)).otherwise(F.col(text))
+    return df.withColumn(out, F.when((F.size(out) > 0) | (F.col(text) == ""), F.col(out)).otherwise(F.array(F.concat(F.lit("="), whole)))).drop(words, marked)
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -64,7 +73,7 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return value if least <= 0 else F.when(F.least(n, m) < F.lit(least) * F.greatest(n, m), 0.0).otherwise(value)
 
 
-def similar(queries: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFrame:
+def similar(queries: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(query_id, doc_id, likeness) of documents at least that similar to a query; both inputs are (doc_id, text).
 
     The sets are written first: the optimiser would copy their expression into filters and evaluate it per element.
@@ -80,43 +89,54 @@ def similar(queries: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFra
     d = d0.withColumn("p", partition(F.size("s"), least)).select("doc_id", "s", "p", F.explode_outer("s").alias("sig"))
     met = q.join(d, ["sig", "p"]).select("query_id", "doc_id", likeness(F.col("qs"), F.col("s"), least).alias("likeness"))
     # Two empty sets have no signature to meet by; they are alike.
-    none = whole.filter(F.size("qs") == 0).select("query_id").crossJoin(d0.filter(F.size("s") == 0).select("doc_id")).withColumn("likeness", F.lit(1.0))
+    none = whole.filter(F.size("qs") == 0).select("query_id", F.size("qs").alias("n")).join(d0.filter(F.size("s") == 0).select("doc_id", F.size("s").alias("n")), "n").select("query_id", "doc_id", F.lit(1.0).alias("likeness"))
     return met.filter(F.col("likeness") >= least).unionByName(none).distinct()
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """``docs`` (k, ...) with the number of the range of keys that a row is in, ranges of about equal many rows.
+def alike(a: Column, b: Column, value: Column, least: float = LEAST) -> Column:
+    """Whether the likeness ``value`` of two sets reaches ``least``; asked for only where their length partitions, and
+    then their lengths, let it."""
+    n, m = F.size(a), F.size(b)
+    apart = F.abs(partition(n, least) - partition(m, least)) > 1
+    return F.when((n == 0) & (m == 0), True).when(apart | (F.least(n, m) < F.lit(least) * F.greatest(n, m)), False).otherwise(value >= least)
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """(k, h, before_k, before_h) for every row of ``rows`` (k, h), which has no row twice, and the row before it in
+    descending k, then ascending h; before the first one is the last.
 
-    At most LEVEL * LEVEL ranges; their bounds are approximate percentiles and travel in the plan.
+    No text moves here. Rows are dealt by ranges, whose number does not depend on the data; only the last row of each
+    range is looked at across ranges.
     """
-    n = docs.count()
-    wanted = min(LEVEL * LEVEL, max(LEVEL, n // ROWS_PER_BLOCK, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    inner = max(1, wanted // LEVEL)
-    cuts = LEVEL * inner
-    bounds = docs.agg(F.percentile_approx("k", [(i + 1) / cuts for i in range(cuts - 1)] or [0.5], 10 * cuts)).first()[0] or [0]
-    outer = bounds[inner - 1 :: inner][: LEVEL - 1]
-    within = [bounds[i * inner : (i + 1) * inner - 1] for i in range(LEVEL)]
-    below = lambda bs: F.size(F.filter(bs, lambda b: b < F.col("k")))
-    as_array = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs]) if xs else F.array().cast("array<bigint>")
-    first = docs.withColumn("b1", below(as_array(outer)))
-    return first.withColumn("block", F.col("b1") * inner + below(F.get(F.array(*[as_array(w) for w in within]), F.col("b1")))).drop("b1")
+    ranged = cut(rows.select("k", "h").repartitionByRange(F.desc("k"), "h").withColumn("block", F.spark_partition_id()), "ranges")
+    lasts = ranged.groupBy("block").agg(F.max(F.struct((-1 - F.col("k")).alias("k"), "h")).alias("last"))
+    order = Window.orderBy("block")  # over the ranges, not the rows
+    everywhere = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lasts = lasts.select("block", F.coalesce(F.lag("last").over(order), F.last("last").over(everywhere)).alias("last"))
+    own = Window.partitionBy("block").orderBy(F.desc("k"), "h")
+    led = ranged.withColumns({"before_k": F.lag("k").over(own), "before_h": F.lag("h").over(own)}).join(F.broadcast(lasts), "block")
+    first = F.col("before_k").isNull()
+    return led.select("k", "h", F.when(first, -1 - F.col("last.k")).otherwise(F.col("before_k")).alias("before_k"), F.when(first, F.col("last.h")).otherwise(F.col("before_h")).alias("before_h"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(k, doc_id, text, next_text): the next document in descending doc_id, after the last one the first.
+    """(doc_id, text, next_text): the next document in descending doc_id, after the last one the first.
 
-    The text moves once, to its block; only the first document of each block, at most LEVEL * LEVEL, is read again.
+    Each text is dealt by (k, h), the id and its hash, and from there to the row before it: it moves twice in all, and
+    meets the other in joins of one row with one row; no task holds a range of texts.
     """
-    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = blocks(docs.select(k.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    tops = rows.groupBy("block").agg(F.max("k").alias("top"))
-    order = Window.orderBy(F.desc("block"))  # over the blocks, not the rows
-    first = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = tops.select("block", F.coalesce(F.lead("top").over(order), F.first("top").over(first)).alias("k"))
-    edges = rows.select("k", "text").join(F.broadcast(following), "k").groupBy("block").agg(F.min("text").alias("edge_text"))
-    own = Window.partitionBy("block").orderBy(F.desc("k"), "text")
-    led = rows.repartition("block").withColumn("led", F.lead("text").over(own))
-    return led.join(edges, "block", "left").select("k", "doc_id", "text", F.coalesce("led", "edge_text").alias("next_text"))
+    text = F.coalesce("text", F.lit(""))
+    no_id = -(2**63)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    repeated = not rows.groupBy("k", "h").count().filter("count > 1").isEmpty()
+    if repeated:
+        rows = cut(rows.groupBy("k", "h").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies")), "rows")
+    # Both joins read ``rows`` as they are, so that they share one exchange.
+    moved = rows.join(links(rows), ["k", "h"]).select(F.col("before_k").alias("k"), F.col("before_h").alias("h"), F.col("text").alias("next_text"))
+    out = rows.join(moved, ["k", "h"])
+    if repeated:  # a copy is followed by the next copy, the last one by another row
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("next_text", F.when(F.col("copy") < F.col("copies"), F.col("text")).otherwise(F.col("next_text")))
+    return out.select(F.when(F.col("k") != no_id, F.col("k")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -127,16 +147,20 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint beside those of its edited text and of the next document."""
+    """Each document's fingerprint beside those of its edited text and of the next document: what they are, how like
+    they are, and whether that makes them alike."""
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     for text, out in (("text", "own"), ("edited", "changed"), ("next_text", "following")):
         rows = with_signatures(rows, text, out)
+    rows = rows.withColumns({"near_edited": likeness(F.col("own"), F.col("changed")), "near_next": likeness(F.col("own"), F.col("following"))})
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"),
+        "near_edited",
+        "near_next",
+        alike(F.col("own"), F.col("changed"), F.col("near_edited")).alias("alike_edited"),
+        alike(F.col("own"), F.col("following"), F.col("near_next")).alias("alike_next"),
     )

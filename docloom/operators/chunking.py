@@ -22,19 +22,23 @@ def sentences(c: Column) -> Column:
 
 
 def estimate(text: str, cjk: float, other: float) -> int:
-    n = len(CJK.findall(text))
+    n = 0 if text.isascii() else len(CJK.findall(text))
     return int(cjk * n + other * (len(text) - n))
 
 
 def semantic_groups(parts: list[str], vectors: np.ndarray, threshold: float = 0.7, max_tokens: int = 800, max_sentences: int = 50, min_sentences: int = 3) -> list[str]:
     """Sentences in runs that stay near their running mean and within the limits."""
     out, group, centre, tokens = [], [], None, 0
-    for s, v in zip(parts, vectors.astype(np.float32), strict=True):
+    vectors = vectors.astype(np.float32)
+    sizes = np.sqrt(np.einsum("ij,ij->i", vectors, vectors)).tolist()
+    for s, v, length in zip(parts, vectors, sizes, strict=True):
         own = estimate(s, 0.5, 0.25)
         if group:
-            size = float(np.linalg.norm(centre)) * float(np.linalg.norm(v))
-            near = float(centre @ v) / size if size >= 1e-8 else 0.0
-            if (near < threshold and len(group) >= min_sentences) or len(group) >= max_sentences or tokens + own > max_tokens:
+            full = len(group) >= max_sentences or tokens + own > max_tokens
+            if not full and len(group) >= min_sentences:
+                size = float(np.sqrt(centre @ centre)) * length
+                full = (float(centre @ v) / size if size >= 1e-8 else 0.0) < threshold
+            if full:
                 out.append(" ".join(group))
                 group, tokens = [], 0
         centre = v if not group else centre + (v - centre) / np.float32(len(group) + 1)
@@ -58,16 +62,14 @@ def fixed_groups(parts: list[str], max_tokens: int = 500, overlap: int = 100) ->
 
 
 def tail(chunk: str, overlap: int) -> str:
-    """Whole lines from the end, at least one, until there are enough tokens."""
+    """Whole lines from the end until there are enough tokens; the first line that has any may have too many."""
     kept, tokens = [], 0
-    for line in reversed(chunk.split("\n")):
+    for line in filter(None, (x.strip(EDGE) for x in reversed(chunk.split("\n")))):
         own = estimate(line, 0.7, 0.3)
-        if kept and tokens + own > overlap:
+        if tokens >= overlap or (tokens and tokens + own > overlap):
             break
         kept.insert(0, line)
         tokens += own
-        if tokens >= overlap:
-            break
     return "\n".join(kept)
 
 
@@ -89,18 +91,37 @@ def packed_lines(text: str, size: int = 200, overlap: int = 20, long_line: int =
     return [*out, chunk] if chunk else out
 
 
-def chunked(docs: DataFrame, split: Callable[[list[str]], list[tuple[str, str]]], name: str = "parts") -> DataFrame:
-    """(id, chunk_index, total_chunks, content, parent_content) from ``docs`` (id, parts)."""
+#: Sentences that a task embeds at once.
+EMBEDDED = 20_000
+
+
+def chunked(docs: DataFrame, split: Callable[[list[str], np.ndarray | None], list[tuple[str, str]]], embedder: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """(id, chunk_index, total_chunks, content, parent_content) from ``docs`` (id, parts). ``split`` gets the parts of a
+    document and their embeddings, which are made for many documents at once."""
+
+    def made(ids: list, parts: list[list[str]]) -> pd.DataFrame:
+        vectors = embedder([s for own in parts for s in own]) if embedder and any(parts) else None
+        rows, at = [], 0
+        for i, own in zip(ids, parts, strict=True):
+            out = split(own, None if vectors is None else vectors[at : at + len(own)])
+            at += len(own)
+            rows += [(i, k, len(out), c, p) for k, (c, p) in enumerate(out)]
+        return pd.DataFrame(rows, columns=["id", "chunk_index", "total_chunks", "content", "parent_content"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i, parts in zip(b["id"].tolist(), b[name], strict=True):
-                own = split(list(parts))
-                rows += [(i, k, len(own), c, p) for k, (c, p) in enumerate(own)]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "total_chunks", "content", "parent_content"])
+            ids, parts, held = [], [], 0
+            for i, own in zip(b["id"].tolist(), b["parts"], strict=True):
+                ids.append(i)
+                parts.append(list(own))
+                held += len(own)
+                if held >= EMBEDDED:
+                    yield made(ids, parts)
+                    ids, parts, held = [], [], 0
+            if ids:
+                yield made(ids, parts)
 
-    return docs.filter("id is not null").select("id", name).mapInPandas(run, "id long, chunk_index int, total_chunks int, content string, parent_content string")
+    return docs.filter("id is not null").select("id", "parts").mapInPandas(run, "id long, chunk_index int, total_chunks int, content string, parent_content string")
 
 
 def _of_sentences(docs: DataFrame) -> DataFrame:
@@ -108,21 +129,44 @@ def _of_sentences(docs: DataFrame) -> DataFrame:
 
 
 def semantic_chunks(docs: DataFrame, embedder) -> DataFrame:
-    return chunked(_of_sentences(docs), lambda parts: [(c, c) for c in (semantic_groups(parts, embedder(parts)) if parts else [])])
+    return chunked(_of_sentences(docs), lambda parts, v: [(c, c) for c in (semantic_groups(parts, v) if parts else [])], embedder)
 
 
 def fixed_chunks(docs: DataFrame, max_tokens: int = 500, overlap: int = 100) -> DataFrame:
-    return chunked(_of_sentences(docs), lambda parts: [(c, c) for c in fixed_groups(parts, max_tokens, overlap)])
+    return chunked(_of_sentences(docs), lambda parts, _: [(c, c) for c in fixed_groups(parts, max_tokens, overlap)])
 
 
 def hierarchical_chunks(docs: DataFrame, embedder, child_tokens: int = 200) -> DataFrame:
     """Semantic parents; a parent over the child size is packed by lines."""
 
-    def split(parts: list[str]) -> list[tuple[str, str]]:
-        parents = semantic_groups(parts, embedder(parts)) if parts else []
+    def split(parts: list[str], vectors: np.ndarray | None) -> list[tuple[str, str]]:
+        parents = semantic_groups(parts, vectors) if parts else []
         return [(c, p) for p in parents for c in ([p] if estimate(p, 0.7, 0.3) <= child_tokens else packed_lines(p, child_tokens))]
 
-    return chunked(_of_sentences(docs), split)
+    return chunked(_of_sentences(docs), split, embedder)
+
+
+def split_documents(docs: DataFrame, embedder=None, semantic: bool = True) -> DataFrame:
+    """Chunks as a store is set up for: hierarchical ones, or sentences packed to a fixed size."""
+    if semantic and embedder is None:
+        raise ValueError("semantic chunks need an embedder")
+    return hierarchical_chunks(docs, embedder) if semantic else fixed_chunks(docs)
+
+
+def register_functions(spark) -> None:
+    """SQL table functions: ``chunk_lines(text, size, overlap)`` and ``chunk_sentences(text, size, overlap)``, of which
+    the second takes sentences as lines; both return (chunk_index, content)."""
+
+    class Lines:
+        def eval(self, text: str, size: int, overlap: int):
+            yield from enumerate(packed_lines(text or "", size, overlap))
+
+    class Sentences:
+        def eval(self, text: str, size: int, overlap: int):
+            yield from enumerate(fixed_groups([x for x in (line.strip(EDGE) for line in (text or "").split("\n")) if x], size, overlap))
+
+    for name, of in (("chunk_lines", Lines), ("chunk_sentences", Sentences)):
+        spark.udtf.register(name, F.udtf(of, returnType="chunk_index int, content string"))
 
 
 def numbered(chunks: DataFrame, key: str = "id") -> DataFrame:

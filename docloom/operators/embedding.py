@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,18 +11,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of texts that are hashed at once.
+HASHED = 1 << 20
+
+
 def hashing_embedder(dim: int = 64, n: int = 3) -> Callable[[list[str]], np.ndarray]:
     """Character n-grams hashed to signed dimensions, length 1; stands in for a model."""
 
+    def counted(raw: list[bytes]) -> np.ndarray:
+        """Signed counts; all texts are read as one row of bytes, n-grams that cross from one to the next left out."""
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        if len(data) < n:
+            return np.zeros((len(raw), dim), np.float32)
+        code = np.zeros(len(data) - n + 1, np.uint64)
+        for k in range(n):
+            code = code * np.uint64(257) + data[k : len(data) - n + 1 + k]
+        code = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+        row, left = np.repeat(np.arange(len(raw)), lengths), np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))
+        whole = left[: len(code)] >= n
+        code, row = code[whole] >> np.uint64(32), row[: len(whole)][whole]
+        at = row * dim + (code % np.uint64(dim)).astype(np.int64)
+        sign = np.where(code >> np.uint64(31) > 0, 1.0, -1.0)
+        return np.bincount(at, sign, len(raw) * dim).reshape(-1, dim).astype(np.float32)
+
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float32)
-        for i, t in enumerate(texts):
-            raw = f" {t.lower()} ".encode()
-            for k in range(len(raw) - n + 1):
-                h = zlib.crc32(raw[k : k + n])
-                out[i, h % dim] += 1 if h >> 31 else -1
-        size = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(size > 0, size, 1)
+        raw, out, at = [f" {t.lower()} ".encode() for t in texts], [np.zeros((0, dim), np.float32)], 0
+        while at < len(raw):
+            end, held = at, 0
+            while end < len(raw) and (end == at or held + len(raw[end]) <= HASHED):
+                held += len(raw[end])
+                end += 1
+            with np.errstate(over="ignore"):
+                out.append(counted(raw[at:end]))
+            at = end
+        counts = np.concatenate(out)
+        size = np.linalg.norm(counts, axis=1, keepdims=True)
+        return counts / np.where(size > 0, size, 1)
 
     return embed
 
@@ -35,9 +61,11 @@ def embed_texts(df: DataFrame, text: str, embedder: Callable[[list[str]], np.nda
         for b in batches:
             yield b.assign(embedding=list(embedder(b[text].tolist())))
 
-    kept = df.filter(F.regexp_replace(text, r"[\x00-\x20]", "") != "")
-    made = kept.select(text).distinct().mapInPandas(run, f"`{text}` string, embedding array<float>")
-    return kept.join(made, text)
+    # Texts meet by two 64-bit hashes; those that agree in both are compared when they are joined.
+    keys = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)}
+    kept = df.filter(F.regexp_replace(text, r"[\x00-\x20]", "") != "").withColumns(keys)
+    made = kept.groupBy("_h1", "_h2").agg(F.min(text).alias(text)).mapInPandas(run, f"_h1 long, _h2 long, `{text}` string, embedding array<float>")
+    return kept.join(made.withColumnRenamed(text, "_text"), ["_h1", "_h2"]).filter(F.col(text) == F.col("_text")).drop("_h1", "_h2", "_text")
 
 
 def encode_vector(c: Column | str) -> Column:

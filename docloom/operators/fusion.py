@@ -46,12 +46,19 @@ def overlap_score(query: Column, passage: Column) -> Column:
     return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(2.0) - F.lit(4.0) * share)), 6)
 
 
-def rerank(docs: DataFrame, query: Column, text: Column, limit: int, mode: str = "by_id") -> DataFrame:
-    """The best by pair score; ``compat`` keeps one row per passage, the one with the lowest id."""
-    scored = docs.withColumn("rerank_score", overlap_score(query, text))
-    if mode == "compat":
-        scored = scored.withColumn("n", F.row_number().over(Window.partitionBy(F.xxhash64(text), text).orderBy("id"))).filter("n = 1").drop("n")
-    return ranked(scored, "rerank_score", "id", limit)
+def rerank(docs: DataFrame, query: Column, text: Column, limit: int, mode: str = "by_id", content: str = "content") -> DataFrame:
+    """The best by pair score.
+
+    ``compat`` scores distinct passages, takes the best, and only then goes back to rows by their text: of a passage's
+    rows the one with the lowest id stays, and a passage that is no row's ``content`` (a parent's text) is lost.
+    """
+    if mode != "compat":
+        return ranked(docs.withColumn("rerank_score", overlap_score(query, text)), "rerank_score", "id", limit)
+    passages = docs.select(text.alias("_passage")).distinct().withColumn("rerank_score", overlap_score(query, F.col("_passage")))
+    best = passages.orderBy(F.desc("rerank_score"), "_passage").limit(limit)
+    back = docs.join(F.broadcast(best), F.col(content) == F.col("_passage"))  # as many rows as asked for
+    first = back.withColumn("n", F.row_number().over(Window.partitionBy("_passage").orderBy("id"))).filter("n = 1").drop("n", "_passage")
+    return ranked(first, "rerank_score", "id", limit)
 
 
 def context(ranked_docs: DataFrame, text: str = "ctx") -> DataFrame:
@@ -62,5 +69,19 @@ def context(ranked_docs: DataFrame, text: str = "ctx") -> DataFrame:
     return numbered.agg(F.array_join(F.transform(parts, lambda s: s["t"]), "").alias("context"))
 
 
-def prompt(question: str, ctx: DataFrame) -> DataFrame:
-    return ctx.select(F.concat(F.lit(f"问题：{question}\n\n参考资料：\n"), F.col("context"), F.lit("\n请基于以上参考资料回答问题：\n")).alias("prompt"))
+# The rules that go before every question.
+RULES = """你是一个智能助手，必须严格基于提供的参考资料回答用户问题。
+
+重要规则：
+1. 只能使用参考资料中的信息，不得编造或添加资料中没有的内容
+2. 如果参考资料中没有相关信息，明确告知用户"知识库中没有找到相关信息"
+3. 回答时要引用参考资料的具体内容，保持准确性
+4. 不要使用你自己的训练知识，只使用提供的参考资料
+"""
+
+
+def prompt(question: str, ctx: DataFrame, generate: Column | None = None) -> DataFrame:
+    """(system, prompt) for a question and its context; with ``generate``, also the answer that this column (a model's
+    function of system and prompt) gives."""
+    out = ctx.select(F.lit(RULES).alias("system"), F.concat(F.lit(f"问题：{question}\n\n参考资料：\n"), F.col("context"), F.lit("\n请基于以上参考资料回答问题：\n")).alias("prompt"))
+    return out if generate is None else out.withColumn("answer", generate)

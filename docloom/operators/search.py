@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BYTES = 64 << 20
+#: Queries of a block take that many bytes at most; scores of queries and vectors that a task holds at once.
+QUERY_BYTES, SCORES = 64 << 20, 4 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,7 +40,8 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int, threshold: floa
 
 
 def multi_query_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.5) -> DataFrame:
-    """(query_id, doc_id, score, rank); the queries go in blocks of bounded size against all vectors.
+    """(query_id, doc_id, score, rank); the queries go in blocks of bounded size against all vectors, which are read
+    once a block. A task scores as many vectors at once as SCORES allows.
 
     A task keeps the k best of each query it has seen, so the shuffle carries k rows per query and task.
     """
@@ -54,15 +56,17 @@ def multi_query_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold:
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, unit = sent.value
-            best = None
-            for b in batches:
-                x = np.stack(b["embedding"].to_numpy()).astype(float)
-                score = np.round((1 + unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T) / 2, 6)
-                found = np.broadcast_to(b["doc_id"].to_numpy(np.int64), score.shape)
-                if best is not None:
-                    score, found = np.hstack([best[0], score]), np.hstack([best[1], found])
-                at = np.lexsort((found, -score), axis=-1)[:, :k]
-                best = np.take_along_axis(score, at, 1), np.take_along_axis(found, at, 1)
+            best, rows = None, max(1, SCORES // max(1, len(unit)))
+            for whole in batches:
+                for lo in range(0, len(whole), rows):
+                    b = whole.iloc[lo : lo + rows]
+                    x = np.stack(b["embedding"].to_numpy()).astype(float)
+                    score = np.round((1 + unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T) / 2, 6)
+                    found = np.broadcast_to(b["doc_id"].to_numpy(np.int64), score.shape)
+                    if best is not None:
+                        score, found = np.hstack([best[0], score]), np.hstack([best[1], found])
+                    at = np.lexsort((found, -score), axis=-1)[:, :k]
+                    best = np.take_along_axis(score, at, 1), np.take_along_axis(found, at, 1)
             if best is not None:
                 keep = best[0].ravel() >= threshold
                 yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1])[keep], "doc_id": best[1].ravel()[keep], "score": best[0].ravel()[keep]})

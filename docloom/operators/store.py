@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.storage import cut
+
 
 def delete_files(chunks: DataFrame, filenames: list[str]) -> DataFrame:
     return chunks.filter(~F.col("filename").isin(filenames) | F.col("filename").isNull())
@@ -20,16 +22,32 @@ def orphans(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return vectors.select("doc_id").join(chunks.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").distinct()
 
 
+def numbered(rows: DataFrame, order: list[Column | str], name: str, first: int = 0) -> DataFrame:
+    """``rows`` with the dense number ``name`` from ``first`` on, in the given order.
+
+    Rows are dealt by ranges of about equal size and numbered within; only the sizes of ranges are summed in one task.
+    """
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own") + (first - 1)).drop("_range", "_own", "_start")
+
+
 def compact(vectors: DataFrame, deleted_ids: DataFrame) -> DataFrame:
-    """Survivors with dense numbers from 0 in id order: counted per range of ids, so no task sorts all of them."""
-    left = cascade(vectors, deleted_ids).select("doc_id")
-    width = 1 << 16
-    left = left.withColumn("range", F.floor(F.col("doc_id") / width))
-    sizes = left.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("range").orderBy("doc_id")
-    return left.withColumn("k", F.row_number().over(own) - 1).join(starts, "range").select("doc_id", (F.col("start") + F.col("k")).alias("node_id"))
+    """Survivors with dense numbers from 0 in id order."""
+    return numbered(cascade(vectors, deleted_ids).select("doc_id"), ["doc_id"], "node_id")
+
+
+def compact_tables(chunks: DataFrame, vectors: DataFrame, deleted_ids: DataFrame, with_orphans: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both tables without deleted chunks and, if asked for, without vectors whose chunk is gone or null vectors; the
+    vectors renumbered. What a scheduled job writes in place of the tables before it empties the tombstones."""
+    left = chunks.join(deleted_ids.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    kept = cascade(vectors, deleted_ids)
+    if with_orphans:
+        kept = kept.filter("embedding is not null").join(left.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return left, numbered(kept, ["doc_id"], "node_id")
 
 
 def deleted_stats(vectors: DataFrame, deleted_ids: DataFrame) -> DataFrame:
@@ -41,12 +59,23 @@ def deleted_stats(vectors: DataFrame, deleted_ids: DataFrame) -> DataFrame:
 
 def files_by_recency(chunks: DataFrame) -> DataFrame:
     latest = chunks.groupBy("filename").agg(F.max("upload_time").alias("latest"))
-    return latest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("latest"), "filename"))).select("filename", "rank")
+    return numbered(latest, [F.desc("latest"), "filename"], "rank", 1).select("filename", F.col("rank").cast("int").alias("rank"))
 
 
 def with_ids(rows: DataFrame, order: list[str], first: int) -> DataFrame:
-    """Rows with ids from ``first`` on, in a given order; for one file's chunks at a time."""
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)) + (first - 1))
+    """Rows with ids from ``first`` on, in a given order."""
+    return numbered(rows, order, "id", first)
+
+
+def next_id(rows: DataFrame | None, name: str = "id") -> int:
+    """The id after the highest one of ``rows``."""
+    top = rows.agg(F.max(name)).first()[0] if rows is not None else None
+    return 0 if top is None else top + 1
+
+
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """Rows that have a vector, as only those are written."""
+    return rows.filter("embedding is not null")
 
 
 def append(df: DataFrame, path: str, batch_id: int) -> None:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import chunking, embedding, fusion, search, store
+from docloom.operators import chunking, embedding, fusion, index, search, store
 from docloom.plans.retrieve import Retriever
 from docloom.sources import files
-from docloom.storage import table
+from docloom.storage import shared_dir, table
+from docloom.streaming import ingest
 
 QUESTIONS = ["启动open-webui的两种方式是什么？", "如何安装docker？", "docker怎么启动", "Spring AI有哪些特点？", "请问如何在k8s中部署redis?", "什么是Spring AI", "是什么意思", "怎么样", "如何", "", "  plain  words, kept ", "email about MySQL and contain", "使用教程 docker compose 部署"]
 VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
@@ -88,6 +90,14 @@ def vec_multi_query_topk(spark, sf):
     return search.multi_query_top_k(v, v.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "embedding"), 20)
 
 
+@query()
+def vec_topk_index(spark, sf):
+    """The same questions to the approximate index, built over all vectors."""
+    v = vectors(spark, sf)
+    own = index.VectorIndex.build(v, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return own.search(spark, v.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "embedding"), 20)
+
+
 LIKE = " or ".join(f"lower(text) like '%{k}%'" for k in KEYWORDS)
 
 
@@ -166,7 +176,7 @@ def context_build(spark, sf):
     return fusion.context(retrieved(spark, sf))
 
 
-@query(f"{CONTEXT} select '问题：what is it' || chr(10) || chr(10) || '参考资料：' || chr(10) || context || chr(10) || '请基于以上参考资料回答问题：' || chr(10) as prompt from c")
+@query(f"{CONTEXT} select '{fusion.RULES}' as system, '问题：what is it' || chr(10) || chr(10) || '参考资料：' || chr(10) || context || chr(10) || '请基于以上参考资料回答问题：' || chr(10) as prompt from c")
 def prompt_build(spark, sf):
     return fusion.prompt("what is it", fusion.context(retrieved(spark, sf)))
 
@@ -180,7 +190,7 @@ def find_by_ids(spark, sf):
 @query("select doc_id as id, text as content, (row_number() over (order by doc_id) - 1)::int as chunk_index from documents where source = 'src1'")
 def find_by_source(spark, sf):
     own = chunks(spark, sf).filter(F.col("filename") == "src1")
-    return store.with_ids(own.withColumnRenamed("id", "k"), ["k"], 0).select(F.col("k").alias("id"), "content", F.col("id").alias("chunk_index"))
+    return store.numbered(own, ["id"], "chunk_index").select("id", "content", F.col("chunk_index").cast("int").alias("chunk_index"))
 
 
 @query("select event_type as filename, (row_number() over (order by max(ts) desc, event_type))::int as rank from events group by event_type")
@@ -227,6 +237,11 @@ def compact_renumber(spark, sf):
     return store.compact(vectors(spark, sf), deleted(spark, sf))
 
 
+@query(f"select vec_id as doc_id, row_number() over (order by vec_id) - 1 as node_id from embeddings where embedding is not null and vec_id in (select doc_id from documents where source <> '{DELETED_FILE}' or source is null)")
+def compact_with_orphans(spark, sf):
+    return store.compact_tables(chunks(spark, sf), vectors(spark, sf), deleted(spark, sf))[1].select("doc_id", "node_id")
+
+
 @query(f"select *, case when total_vector_count > 0 then round(deleted_doc_ids_count / total_vector_count::double, 6) else 0.0 end as deletion_ratio from (select (select count(distinct doc_id) from {GONE}) as deleted_doc_ids_count, (select count(*) from embeddings) as total_vector_count)")
 def deleted_stats(spark, sf):
     return store.deleted_stats(vectors(spark, sf), deleted(spark, sf))
@@ -279,17 +294,20 @@ CLEAN = sql_trim(rf"regexp_replace(regexp_replace(regexp_replace(q, '^({text.LEA
 CLEANED = f"cleaned as (select id, q, {CLEAN} as c from (values {VALUES}) t(id, q))"
 
 
+RESTRUCTURED = f"""case
+  when c like '%如何%' or c like '%怎么%' or c like '%怎样%' then {sql_trim("regexp_replace(c, '(如何|怎么样|怎么|怎样)', '', 'g')")}
+  when c like '%是什么%' then {sql_trim("regexp_replace(c, '(是什么|是什么意思)[？?]?$', '')")}
+  when c like '%有哪些%' or c like '%是哪些%' then {sql_trim(f"regexp_replace(c, '({text.LIST_ENDINGS})[？?]?$', '')")}
+  else c end"""
+
+
 @query(f"with {CLEANED} select id, c as cleaned from cleaned")
 def query_clean(spark, sf):
     return questions(spark).select("id", text.clean_query(F.col("q")).alias("cleaned"))
 
 
 @query(f"""with {CLEANED},
-made as (select id, q, c, case
-  when c like '%如何%' or c like '%怎么%' or c like '%怎样%' then {sql_trim("regexp_replace(c, '(如何|怎么样|怎么|怎样)', '', 'g')")}
-  when c like '%是什么%' then {sql_trim("regexp_replace(c, '(是什么|是什么意思)[？?]?$', '')")}
-  when c like '%有哪些%' or c like '%是哪些%' then {sql_trim(f"regexp_replace(c, '({text.LIST_ENDINGS})[？?]?$', '')")}
-  else c end as r from cleaned)
+made as (select id, q, c, {RESTRUCTURED} as r from cleaned)
 select id, case when {sql_trim("q")} = '' then q when r = c or length(r) < floor(length(c) / 2.0) then c else r end as rewritten from made""")
 def query_rewrite(spark, sf):
     return questions(spark).select("id", text.rewrite(F.col("q")).alias("rewritten"))
@@ -310,7 +328,7 @@ def custom_terms(spark, sf):
     return asked(spark, sf).select("id", F.array_join(text.custom_terms(F.col("q")), ",").alias("terms"))
 
 
-KEYS = f"list_transform(list_filter(list_concat(regexp_extract_all(lower(q), '[a-z0-9][a-z0-9_.+#@&-]*'), {FOUND}), lambda w: length(w) >= 2 and not list_contains({STOPS}, lower(w))), lambda w: lower(w))"
+KEYS = f"list_transform(list_filter(list_concat(regexp_extract_all(lower(q), '{text.segments()}'), {FOUND}), lambda w: length(w) >= 2 and not list_contains({STOPS}, lower(w))), lambda w: lower(w))"
 
 
 def keyword_sql(limit: str = "") -> str:
@@ -333,19 +351,58 @@ def variant_cap(spark, sf):
     return asked(spark, sf).select("id", text.variant_cap(F.col("q")).alias("cap"))
 
 
-@query()
+def expand_sql() -> str:
+    several = [f"case when {' or '.join(f"contains(q, '{w}')" for w in named)} then [{', '.join(f"every || ' {x}'" for x in many)}] else [] end" for named, many, _ in text.INTENTS]
+    single = [f"case when {' or '.join(f"contains(q, '{w}')" for w in named)} then [{', '.join(f"terms[1] || ' {x}'" for x in one)}] else [] end" for named, _, one in text.INTENTS]
+    verbs = "[" + ", ".join(f"'{w}'" for w in text.QUESTION_VERBS) + "]"
+    join = lambda parts: f"list_filter(flatten([{', '.join(parts)}]), lambda x: x <> '')"
+    return f"""
+with t as (select id, q, list_filter(list_transform(regexp_extract_all(q, '[a-zA-Z][a-zA-Z0-9_-]*'), lambda x: lower(x)), lambda x: not list_contains({verbs}, x)) as terms from {ASKED}),
+e as (select *, array_to_string(terms, ' ') as every from t),
+p as (select id, case when len(terms) >= 2 then {join([*several, '[every]'])} when len(terms) = 1 then {join(single)} else [] end as p from e)
+select id, list_filter(p, lambda x, i: list_position(p, x) = i)[1:4] as phrases from p"""
+
+
+@query(f"select id, coalesce(array_to_string(phrases, '|'), '') as phrases from ({expand_sql()})")
 def expand_keywords(spark, sf):
     return asked(spark, sf).select("id", F.array_join(text.expand_keywords(F.col("q")), "|").alias("phrases"))
 
 
-@query()
+def merged_sql(tokens: str) -> str:
+    """Terms in no other term: longest first, then as they came."""
+    return f"""
+with k as (select id, q, list_filter(ks, lambda k, i: list_position(ks, k) = i)[1:10] as ks from (select id, q, {KEYS} as ks from {tokens})),
+m as (select id, q, list_filter(ks, lambda x: len(list_filter(ks, lambda y: y <> x and contains(y, x))) = 0) as kept, ks from k),
+s as (select id, q, list_sort(list_transform(kept, lambda x: {{'n': -length(x), 'i': list_position(ks, x), 'x': x}})) as kept from m)
+select id, q, list_transform(kept, lambda e: e.x) as terms from s"""
+
+
+@query(f"select id, coalesce(array_to_string(terms, ','), '') as terms from ({merged_sql(ASKED)})")
 def merge_terms(spark, sf):
     return asked(spark, sf).select("id", F.array_join(text.merge_terms(text.tokenize(F.col("q"))), ",").alias("terms"))
 
 
-@query()
+#: Stands in for the long list of characters that a caller gives.
+DROPPED = "的了在是我有和就不人都启动"
+SIMPLE = sql_trim(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '^({text.SIMPLE_LEADING})\s*', ''), '({text.SIMPLE_ENDINGS})\s*[？?]?$', ''), '[{DROPPED}]', ' ', 'g'), '{text.SIMPLE_PUNCTUATION}', ' ', 'g'), '\s+', ' ', 'g')")
+LATIN = "array_to_string(regexp_extract_all(q, '[a-zA-Z0-9_-]+'), ' ')"
+
+
+@query(f"select id, case when length(s) < 3 and {LATIN} <> '' then {LATIN} else s end as simple from (select id, q, {SIMPLE} as s from {ASKED})")
+def simplify_query(spark, sf):
+    return asked(spark, sf).select("id", text.simplify(F.col("q"), DROPPED).alias("simple"))
+
+
+@query(f"""with a as (select id, q, {CLEAN} as c from {ASKED}),
+made as (select id, q, c, {RESTRUCTURED} as r from a),
+w as (select id, q, case when {sql_trim("q")} = '' then q when r = c or length(r) < floor(length(c) / 2.0) then c else r end as w from made),
+m as ({merged_sql(ASKED)}),
+x as ({expand_sql()}),
+s as (select id, case when length(s) < 3 and {LATIN} <> '' then {LATIN} else s end as s from (select id, q, {SIMPLE} as s from {ASKED})),
+v as (select id, q, list_filter(flatten([[q], [w], [case when len(terms) = 0 then q else array_to_string(terms, ' ') end], [s.s], phrases]), lambda y: y <> '') as v from w join m using (id, q) join x using (id) join s using (id))
+select id, coalesce(array_to_string(list_filter(v, lambda y, i: list_position(v, y) = i)[1:(case when length(q) < 10 then 3 when length(q) <= 20 then 5 else 6 end)], '|'), '') as variants from v""")
 def query_variants(spark, sf):
-    return asked(spark, sf).select("id", F.array_join(text.variants(F.col("q"), "的了在是我有和就不人都"), "|").alias("variants"))
+    return asked(spark, sf).select("id", F.array_join(text.variants(F.col("q"), DROPPED), "|").alias("variants"))
 
 
 PATHS = ", ".join(f"('{f}')" for f in FILES)
@@ -384,12 +441,55 @@ def rerank_overlap(spark, sf):
     return fusion.rerank(chunks(spark, sf), F.lit("the of and tion thing"), F.col("content"), 20).select("id", "rerank_score", "rank")
 
 
+def families(spark, sf):
+    """Chunks with parents: a document's first line within its whole text; every third document has no parent, and every
+    fifth is its own."""
+    id_, whole = F.col("id"), F.col("content")
+    content = F.when(id_ % 5 == 0, whole).otherwise(F.substring_index(whole, "\n", 1))
+    return chunks(spark, sf).select("id", "filename", content.alias("content"), F.when(id_ % 3 != 0, whole).alias("parent_content"))
+
+
+FAMILIES = "(select doc_id as id, case when doc_id % 5 = 0 then text else split_part(text, chr(10), 1) end as content, case when doc_id % 3 <> 0 then text end as parent_content from documents)"
+OF_FAMILY = "((contains(lower(ctx), 'the')::int + contains(lower(ctx), 'tion')::int) / 2.0::double)"
+WITH_PARENTS = f"""hits as (select id, row_number() over (order by id) as rn from (select id from {FAMILIES} where lower(content) like '%the%' or lower(content) like '%tion%' order by id limit 40)),
+adjusted as (select id, ctx, round(round(1 + 10 * round(1.0::double / (60 + rn), 10), 6) * {OF_FAMILY}, 6) as final_score from hits join (select id, coalesce(parent_content, content) as ctx from {FAMILIES}) using (id)),
+best as (select *, (row_number() over (order by final_score desc, id))::int as rank from adjusted where final_score > 0 order by final_score desc, id limit 20)"""
+
+
+def with_parents(spark, sf):
+    return _Fixed(families(spark, sf), vectors(spark, sf)).search("", [])
+
+
+@query(f"with {WITH_PARENTS} select id, final_score, rank, ctx from best")
+def parent_search(spark, sf):
+    return with_parents(spark, sf).select("id", "final_score", "rank", "ctx")
+
+
+@query(f"with {WITH_PARENTS}, first as (select ctx, min(rank) as rank from best group by ctx), n as (select ctx, row_number() over (order by rank) as n from first) select coalesce(string_agg('[' || n || '] ' || ctx || chr(10) || chr(10), '' order by n), '') as context from n")
+def parent_context(spark, sf):
+    return fusion.context(with_parents(spark, sf))
+
+
+@query(f"""with w as (select 'the of and tion thing' as q), p as (select distinct coalesce(parent_content, content) as passage from {FAMILIES}),
+s as (select passage, list_distinct(regexp_extract_all(lower(passage), '[a-z0-9]+')) as p, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) as qs from p, w),
+best as (select passage, round(1.0 / (1.0 + exp(2.0 - 4.0 * (len(list_intersect(qs, p)) / greatest(len(qs), 1)::double))), 6) as rerank_score from s order by rerank_score desc, passage limit 20),
+back as (select min(id) as id, rerank_score from best join {FAMILIES} f on f.content = best.passage group by passage, rerank_score)
+select id, rerank_score, (row_number() over (order by rerank_score desc, id))::int as rank from back""")
+def rerank_compat(spark, sf):
+    return fusion.rerank(families(spark, sf), F.lit("the of and tion thing"), F.coalesce("parent_content", "content"), 20, "compat").select("id", "rerank_score", "rank")
+
+
 @query("select doc_id as id, left(text, 150) as preview from documents")
 def preview(spark, sf):
     return chunks(spark, sf).select("id", F.substring("content", 1, 150).alias("preview"))
 
 
-@query()
+# Characters that can't occur in the texts stand for a break, as this SQL has no look-around: after a stop and marks that
+# close, before white space and what is no small letter; and after a Chinese stop.
+@query(r"""with marked as (select doc_id as id, regexp_replace(regexp_replace(text, '([.?!]["'')\]}»”]{0,3})(\s+)', '\1' || chr(2) || '\2', 'g'), '([。！？])', '\1' || chr(1), 'g') as t from documents),
+parts as (select id, string_split(regexp_replace(t, chr(2) || '\s+([^\s\p{Ll}])', chr(1) || '\1', 'g'), chr(1)) as p from marked),
+clean as (select id, list_filter(list_transform(p, lambda x: regexp_replace(replace(x, chr(2), ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: x <> '') as p from parts)
+select id, unnest(range(len(p)))::int as i, unnest(p) as sentence from clean""")
 def sentence_split(spark, sf):
     return chunks(spark, sf).select("id", F.posexplode(chunking.sentences(F.col("content"))).alias("i", "sentence"))
 
@@ -425,4 +525,16 @@ def html_to_text(spark, sf):
     return files.html_column(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "text")
 
 
+@query()
+def stream_ingest(spark, sf):
+    """The pages as a stream of files: chunks of all committed batches."""
+    pages = f"{sf}/pages.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(pages).schema).parquet(pages)
+    files_ = raw.filter("html is not null").select(F.format_string("page%d.html", "page_id").alias("path"), F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"))
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    ingest.ingest_stream(spark, files_, out, embedding.hashing_embedder())
+    made = ingest.committed(spark, out, "chunks")
+    return made.select("filename", "chunk_index", "total_chunks", "content")
+
+
 QUERIES = Q

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import basename, mime_of, trim_all
+from docloom.sources.pdf import pdf_text
 
 MAX_BYTES, WARN_BYTES = 50 << 20, 10 << 20
 SKIPPED = {"script", "style", "head", "noscript"}
@@ -87,6 +88,10 @@ def sheet_rows(data: bytes) -> str:
     return "\n".join(x for x in rows if x)
 
 
+#: Old binary office formats: nothing here reads them, and what looks like text in them isn't.
+UNREADABLE = {"doc", "xls", "ppt"}
+
+
 def plain_text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
@@ -97,9 +102,24 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
     "docx": lambda b: paragraphs(b, r"word/document\.xml"),
     "pptx": lambda b: paragraphs(b, r"ppt/slides/slide\d+\.xml"),
     "xlsx": sheet_rows,
+    "pdf": pdf_text,
 }
 
 
+def sniffed(data: bytes) -> str | None:
+    """The suffix of a kind of file that the bytes show; None if no extractor reads it."""
+    if b"%PDF-" in data[:1024]:
+        return "pdf"
+    if data[:2] == b"PK":
+        return next((k for k, part in (("docx", b"word/"), ("pptx", b"ppt/"), ("xlsx", b"xl/")) if part in data), None)
+    if re.search(rb"<(?:!doctype html|html|body)\b", data[:2000], re.I):
+        return "html"
+    try:
+        return None if b"\0" in data else "txt" if data.decode() else None
+    except UnicodeDecodeError:
+        return None
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, filename, file_size, mime_type, content) of whole files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -122,21 +142,40 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known.select("filename").distinct(), "filename", "left_anti")
 
 
-def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] = EXTRACTORS) -> DataFrame:
-    """``files`` with ``text``, null where no extractor fits the suffix or it fails."""
+READ = "filename string, file_size long, mime_type string, text string, reason string"
+
+
+def read_all(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] = EXTRACTORS) -> DataFrame:
+    """``files`` with ``text``, or null and the reason: ``unsupported`` where no extractor fits the suffix or, for
+    unknown suffixes, the bytes; ``broken: ...`` where it fails; ``empty`` where it finds nothing."""
+
+    def one(name: str, data: bytes) -> tuple[str | None, str | None]:
+        suffix = name.rpartition(".")[2].lower()
+        of = extractors.get(suffix) or (None if suffix in UNREADABLE else extractors.get(sniffed(data)))
+        if not of:
+            return None, "unsupported"
+        try:
+            text = of(data)
+        except ValueError as e:
+            return None, f"broken: {e}"
+        return (text, None) if text.strip() else (None, "empty")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = []
-            for name, data in zip(b["filename"], b["content"], strict=True):
-                of = extractors.get(name.rpartition(".")[2].lower())
-                try:
-                    texts.append(of(bytes(data)) if of else None)
-                except ValueError:
-                    texts.append(None)
-            yield b.assign(text=texts)[["filename", "file_size", "mime_type", "text"]]
-
-    return files.select("filename", "file_size", "mime_type", "content").mapInPandas(run, "filename string, file_size long, mime_type string, text string")
+            found = [one(name, bytes(data)) for name, data in zip(b["filename"], b["content"], strict=True)]
+            yield b.assign(text=[t for t, _ in found], reason=[r for _, r in found])[["filename", "file_size", "mime_type", "text", "reason"]]
+
+    return files.select("filename", "file_size", "mime_type", "content").mapInPandas(run, READ)
+
+
+def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] = EXTRACTORS) -> DataFrame:
+    """``files`` with ``text``, null where no extractor fits or it fails."""
+    return read_all(files, extractors).drop("reason")
+
+
+def rejected(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] = EXTRACTORS) -> DataFrame:
+    """(filename, file_size, mime_type, reason) of files without text."""
+    return read_all(files, extractors).filter("reason is not null").drop("text")
 
 
 def html_column(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -5,14 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
+    """The folder named by spark.checkpoint.dir; where that is unset and all tasks run in this process, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="docloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -29,5 +33,18 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """Whether ``name`` is a table of the catalog, or a path that Spark can read as Parquet."""
+    if "/" not in name:
+        return spark.catalog.tableExists(name)
+    try:
+        spark.read.parquet(name)
+    except AnalysisException as e:
+        if e.getCondition() in {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}:
+            return False
+        raise
+    return True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

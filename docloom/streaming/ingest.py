@@ -24,19 +24,34 @@ def ingest(spark: SparkSession, folder: str, out: str, embedder, files_per_batch
     """Process what lies in ``folder`` and return the finished query. A batch that runs again replaces itself, and a
     file name that an earlier batch committed is skipped."""
     raw = spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return ingest_stream(spark, raw, out, embedder)
+
+
+def ingest_stream(spark: SparkSession, raw: DataFrame, out: str, embedder):
+    """The same for any stream of (path, length, content).
+
+    Tables written: ``chunks`` with dense ids from 0 on, ``vectors`` of those that have one, ``progress`` (a row per
+    file: task_id, progress, status, reason, timestamp in ms) and ``commits``, whose marks make a batch visible.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        incoming = files.validated(files.described(batch)).filter("status in ('ok', 'large')").drop("status")
+        incoming = files.validated(files.described(batch))
         known = committed(spark, out, "chunks", before=batch_id)
         if known is not None:
             incoming = files.new_files(incoming, known)
-        rows = chunk_rows(files.extracted(incoming), embedder).persist()
+        fits = F.col("status").isin("ok", "large")
+        read = files.read_all(incoming.filter(fits)).persist()
+        rows = store.with_ids(chunk_rows(read.drop("reason"), embedder).drop("id"), ["filename", "chunk_index"], store.next_id(known))
+        refused = incoming.filter(~fits).select("filename", F.col("status").alias("reason"))
+        seen = read.select("filename", "reason").unionByName(refused)
+        status = F.when(F.col("reason").isNull(), "COMPLETED").otherwise("REJECTED")
         try:
             store.append(rows.select("id", "filename", "content", "parent_content", "chunk_index", "total_chunks", "file_size", "mime_type"), f"{out}/chunks", batch_id)
-            store.append(rows.select(F.col("id").alias("doc_id"), "embedding"), f"{out}/vectors", batch_id)
+            store.append(store.with_vectors(rows.select(F.col("id").alias("doc_id"), "embedding")), f"{out}/vectors", batch_id)
+            store.append(seen.select(F.col("filename").alias("task_id"), F.lit(100).alias("progress"), status.alias("status"), "reason", F.unix_millis(F.current_timestamp()).alias("timestamp")), f"{out}/progress", batch_id)
             store.append(spark.createDataFrame([(batch_id,)], "batch_id long"), f"{out}/commits", batch_id)
         finally:
-            rows.unpersist()
+            read.unpersist()
 
     query = raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
