@@ -529,7 +529,8 @@ def html_to_text(spark, sf):
 def stream_ingest(spark, sf):
     """The pages as a stream of files: chunks of all committed batches."""
     pages = f"{sf}/pages.parquet"
-    raw = spark.readStream.schema(spark.read.parquet(pages).schema).parquet(pages)
+    # A pattern, as a stream takes a path without one for a folder.
+    raw = spark.readStream.schema(spark.read.parquet(pages).schema).parquet(f"{sf}/pages.parque[t]")
     files_ = raw.filter("html is not null").select(F.format_string("page%d.html", "page_id").alias("path"), F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"))
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     ingest.ingest_stream(spark, files_, out, embedding.hashing_embedder())
