@@ -3,7 +3,8 @@
 A spot is a content word that directly follows a common word (an anchor). Its signature is the chain of CHAIN content
 words from there on, anchors skipped. A text's fingerprint stands for its set of distinct signatures; two texts are
 compared by the Jaccard similarity of their sets. Sets are partitioned by length, in steps of the similarity asked for:
-sets that are not in the same or neighbouring partitions can't reach it and their elements are never compared.
+sets that are not in the same or neighbouring partitions can't reach it and their elements are never compared. A
+similarity below the one asked for counts as 0, so that what is pruned and what is not have the same result.
 
 Signatures are read off the text by three regular expressions (to words and spaces, anchors to marks, chains after
 marks), so that a row holds its text a few times and its signatures, but never an array of its words.
@@ -34,8 +35,8 @@ au aux ce des du est et il la le les ne pas pour qui sur une
 """.split()
 CHAIN = 2
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
-#: Texts at least that similar are alike.
-LEAST = 0.75
+#: Texts at least that similar are alike; a likeness below FLOOR is reported as none.
+LEAST, FLOOR = 0.75, 0.1
 
 
 def one_of(words: set[str]) -> str:
@@ -65,12 +66,14 @@ def partition(n: Column, least: float) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(-math.log(least)) + F.lit(1e-9)).cast("int")
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard similarity of two sets; 0 where their lengths alone keep it below ``least``."""
+def likeness(a: Column, b: Column, least: float) -> Column:
+    """Jaccard similarity of two sets, 0 below ``least``; elements are compared only where the sets' length partitions, and
+    then their lengths, let them reach it."""
     n, m = F.size(a), F.size(b)
+    apart = (F.abs(partition(n, least) - partition(m, least)) > 1) | (F.least(n, m) < F.lit(least) * F.greatest(n, m))
     both = F.size(F.array_intersect(a, b)).cast("double")
-    value = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(both / (n + m - both))
-    return value if least <= 0 else F.when(F.least(n, m) < F.lit(least) * F.greatest(n, m), 0.0).otherwise(value)
+    value = both / (n + m - both)
+    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | apart, 0.0).otherwise(F.when(value >= least, value).otherwise(0.0))
 
 
 def similar(queries: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -93,14 +96,6 @@ def similar(queries: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFr
     return met.filter(F.col("likeness") >= least).unionByName(none).distinct()
 
 
-def alike(a: Column, b: Column, value: Column, least: float = LEAST) -> Column:
-    """Whether the likeness ``value`` of two sets reaches ``least``; asked for only where their length partitions, and
-    then their lengths, let it."""
-    n, m = F.size(a), F.size(b)
-    apart = F.abs(partition(n, least) - partition(m, least)) > 1
-    return F.when((n == 0) & (m == 0), True).when(apart | (F.least(n, m) < F.lit(least) * F.greatest(n, m)), False).otherwise(value >= least)
-
-
 def links(rows: DataFrame) -> DataFrame:
     """(k, h, before_k, before_h) for every row of ``rows`` (k, h), which has no row twice, and the row before it in
     descending k, then ascending h; before the first one is the last.
@@ -152,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     for text, out in (("text", "own"), ("edited", "changed"), ("next_text", "following")):
         rows = with_signatures(rows, text, out)
-    rows = rows.withColumns({"near_edited": likeness(F.col("own"), F.col("changed")), "near_next": likeness(F.col("own"), F.col("following"))})
+    rows = rows.withColumns({"near_edited": likeness(F.col("own"), F.col("changed"), FLOOR), "near_next": likeness(F.col("own"), F.col("following"), FLOOR)})
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -161,6 +156,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("changed")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
-        alike(F.col("own"), F.col("changed"), F.col("near_edited")).alias("alike_edited"),
-        alike(F.col("own"), F.col("following"), F.col("near_next")).alias("alike_next"),
+        (F.col("near_edited") >= LEAST).alias("alike_edited"),
+        (F.col("near_next") >= LEAST).alias("alike_next"),
     )
