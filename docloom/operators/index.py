@@ -1,7 +1,9 @@
 """An approximate vector index: cells around centres, kept as a table partitioned by cell.
 
 The centres are fitted on a sample of at most SAMPLE vectors, the lowest by a hash of their id; every vector is put in the
-cell of its nearest centre. A search reads the cells nearest to its queries only, and scores their vectors exactly.
+cell of its nearest centre. A search reads the cells nearest to its queries only, and scores their vectors exactly. How
+many cells that are is measured when the index is built: as many as hold RECALL of the nearest vectors of some of the
+sample. Vectors lie denser in the whole table than in its sample, so the search finds at least about that share.
 Vectors that are null, hold nulls or are zero have no direction: they are left out. An empty table makes an empty index.
 """
 
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE, ROUNDS = 20_000, 12
+#: Share of the exact answers to find; vectors of the sample, and their nearest ones, that it is measured on.
+RECALL, ASKED, NEAREST = 0.97, 256, 20
 #: Scores that a task holds at once; queries that are sent at once.
 SCORES, QUERIES = 4 << 20, 20_000
 
@@ -45,12 +49,25 @@ def fitted(x: np.ndarray, cells: int, seed: int = 3) -> np.ndarray:
     return centres
 
 
+def probes_for(x: np.ndarray, centres: np.ndarray) -> int:
+    """How many cells nearest to a vector hold RECALL of the others that are nearest to it, over ASKED rows of ``x``."""
+    own, asked = (x @ centres.T).argmax(axis=1), x[:ASKED]
+    score = asked @ x.T
+    score[np.arange(len(asked)), np.arange(len(asked))] = -2  # a vector finds itself in its own cell
+    near = np.argsort(-score, axis=1, kind="stable")[:, : min(NEAREST, len(x) - 1)]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    rank = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(rank[min(len(rank) - 1, int(np.ceil(RECALL * len(rank))))]) + 1 if len(rank) else len(centres)
+
+
 @dataclass
 class VectorIndex:
-    """``path``: a table (doc_id, embedding) partitioned by ``cell``; ``centres``: a row for each cell."""
+    """``path``: a table (doc_id, embedding) partitioned by ``cell``; ``centres``: a row for each cell; ``probes``: cells
+    that a search reads for each query."""
 
     path: str
     centres: np.ndarray
+    probes: int
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, cells: int | None = None) -> VectorIndex:
@@ -71,11 +88,12 @@ class VectorIndex:
         # Rows of a cell are dealt over a few tasks, so that a very full cell isn't one.
         dealt = rows.mapInPandas(run, "doc_id long, embedding array<float>, cell int").repartition("cell", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
         dealt.write.mode("overwrite").partitionBy("cell").parquet(path)
-        return cls(path, centres)
+        return cls(path, centres, probes_for(x, centres) if len(x) else 0)
 
-    def search(self, spark: SparkSession, queries: DataFrame, k: int, threshold: float = 0.5, probes: int = 8, deleted: DataFrame | None = None) -> DataFrame:
+    def search(self, spark: SparkSession, queries: DataFrame, k: int, threshold: float = 0.5, probes: int | None = None, deleted: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score, rank) of the k best found in the ``probes`` nearest cells of each query (query_id,
         embedding), of which there may be QUERIES: a question's variants, not a table."""
+        probes = probes or self.probes
         asked = usable(queries, "query_id").limit(QUERIES + 1).toPandas()
         if len(asked) > QUERIES:
             raise ValueError(f"more than {QUERIES} queries; use the exact search")

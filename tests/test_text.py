@@ -28,6 +28,7 @@ def test_estimates(spark):
 def test_keywords_and_variants(spark):
     q = "启动open-webui的两种方式是什么？"
     assert values(spark, text.expand_keywords, [q, "什么"]) == [["open-webui serve", "open-webui run", "open-webui start"], []]
+    assert values(spark, lambda c: text.simplify(c, "启动的是什么"), [q]) == ["open-webui 两种方式"]
     assert values(spark, text.variant_cap, ["x" * n for n in (9, 10, 20, 21)]) == [3, 5, 5, 6]
     assert values(spark, lambda c: text.merge_terms(F.split(c, ",")), ["华为云,云桌面,桌面"]) == [["华为云", "云桌面"]]
     assert "mysql" in values(spark, text.core_keywords, ["contain MySQL"])[0] and "ai" in values(spark, text.core_keywords, ["contain MySQL"])[0]
