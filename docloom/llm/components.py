@@ -1,4 +1,9 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds."""
+"""Connected components of a link table, by alternating large-star and small-star rounds.
+
+Defined results: repeated links, links both ways and links of a node with itself count once or not at all; a link with a
+null end is none. Nodes without a link to another one aren't returned. Other columns don't matter. An empty table gives an
+empty table.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +45,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round is written to the shared folder. Rounds end when the links no longer change, which takes about the
     logarithm of the longest path; links are then stars around each component's smallest node.
     """
-    links = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = mark(links)
     for _ in range(max_rounds):
         if not before[0]:

@@ -4,11 +4,12 @@ Documents become pieces of at most ``capacity`` tokens. The pieces' length histo
 of the corpus, so the plan is made on the driver: all patterns of up to three lengths that fill a sequence are
 enumerated, non-negative least squares fits how often each repeats, the counts are rounded down to whole ones within
 the histogram, and best-fit packs the residual lengths. The plan is a list of intervals "pieces number lo.. of length
-L lie in sequences s.. at offset o". Pieces are numbered within their length by counting per bucket, so a length that
-most pieces share is dealt over many tasks, and each looks its place up.
+L lie in sequences s.. at offset o". Pieces are numbered within their length by counting per bucket, of which there are
+more the more pieces there are, so a length that most pieces share is dealt over many tasks, and each looks its place up.
 
 Defined results: a null text is an empty document, one piece that holds only the end token. Rows are separate
-documents even where doc_ids repeat or are null. An empty table gives an empty table.
+documents even where doc_ids repeat or are null. Other columns, whatever their names, don't matter and aren't returned. A
+very long text is held, with its ids, in the task that reads it. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from tokenizers import Tokenizer
 
 from docloom.storage import cut
 
-BUCKETS = 256
+#: Buckets of each length at least, and pieces of all lengths for each one beyond.
+BUCKETS, BUCKET_PIECES = 256, 1_000_000
 #: Up to here the two libraries' letter, number and space classes agree, and so do their ids.
 PLAIN = "\u024f"
 
@@ -177,7 +179,9 @@ def plan(histogram: np.ndarray) -> Plan:
 
 def pack(docs: DataFrame, ids: dict[str, str], end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece."""
-    pieces = cut(token_pieces(docs, ids, end_id, capacity).withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(BUCKETS)).cast("int")), "pieces")
+    pieces = cut(token_pieces(docs, ids, end_id, capacity), "pieces")
+    buckets = max(BUCKETS, pieces.count() // BUCKET_PIECES)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)).cast("int"))
     counts = cut(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():

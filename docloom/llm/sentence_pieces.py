@@ -15,8 +15,8 @@ windows: it is cut where no edge crosses, which changes nothing, and cuts are le
 than a piece. A window that can't be cut is folded by rounds: all merges of one score that don't touch each other's
 outcome are one step, which is checked, or else the leftmost is. So a unit of any length takes the same path to its ids.
 
-Defined results: a null text is empty and has no pieces. Rows are documents of their own, whatever their doc_id. Other
-columns, whatever their names, don't matter and aren't returned. A very long text is held, with its units, in the task
+Defined results: a null text is empty and has no pieces. Rows are documents of their own, whatever their doc_id, repeated
+ones too. Other columns, whatever their names, don't matter and aren't returned. A very long text is held, with its units, in the task
 that reads it. An empty table gives an empty table.
 """
 
@@ -360,15 +360,25 @@ def encode_units(distinct: DataFrame, path: str, unigram: bool = False) -> DataF
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """Numbers below 2^31 as bytes: first bytes, then second ones and so on, compressed."""
-    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return len(values).to_bytes(4, "little") + (pa.Codec("zstd", 6).compress(planes.tobytes(), asbytes=True) if len(values) else b"")
+    """Numbers from 0 on as bytes, compressed: one each for those below 255, then what the others have beyond in bytes of
+    their own, the lower ones first. Most numbers are small where they are places in an order by frequency."""
+    more = values[values >= 255] - 255
+    high = more >> 8
+    rest = high[high >= 255] - 255
+    planes = [np.minimum(values, 255).astype(np.uint8), (more & 255).astype(np.uint8), np.minimum(high, 255).astype(np.uint8), rest.astype("<i4")]
+    sizes = np.array([len(values), len(more), len(rest)], "<i4").tobytes()
+    return sizes + (pa.Codec("zstd", 6).compress(b"".join(x.tobytes() for x in planes), asbytes=True) if len(values) else b"")
 
 
 def unsqueezed(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    planes = np.frombuffer(pa.decompress(raw[4:], 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").reshape(-1)
+    n, m, k = np.frombuffer(raw[:12], "<i4").tolist()
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = pa.decompress(raw[12:], n + 2 * m + 4 * k, codec="zstd", asbytes=True)
+    out, low, high = (np.frombuffer(planes[lo:hi], np.uint8).astype(np.int32) for lo, hi in ((0, n), (n, n + m), (n + m, n + 2 * m)))
+    high[high == 255] += np.frombuffer(planes[n + 2 * m :], "<i4")
+    out[out == 255] += low + (high << 8)
+    return out
 
 
 def picked(flat: np.ndarray, starts: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -413,7 +423,7 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
 
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
-                b, number = batch.slice(at, BLOCK), defaultdict()
+                b, number, held = batch.slice(at, BLOCK), defaultdict(), []
                 number.default_factory = number.__len__
                 block = b.column("row")[0].as_py()
                 for lo in range(0, b.num_rows, CHUNK):
@@ -428,10 +438,18 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
                     out = pa.BufferOutputStream()
                     with pa.ipc.new_stream(out, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                         stream.write_batch(head)
-                    yield rows(block, [zlib.crc32(b"%d" % (block + lo)) % BUCKETS], [None], [out.getvalue().to_pybytes()], [squeezed(np.frombuffer(word, np.int32))])
+                    held.append((lo, out.getvalue().to_pybytes(), np.array(word, np.int32)))
+                # A unit's number is its place by frequency in the block.
+                times = sum(np.bincount(word, minlength=len(number)) for _, _, word in held)
+                by_times = np.argsort(-times, kind="stable")
+                place = np.empty(len(number), np.int32)
+                place[by_times] = np.arange(len(number))
+                for lo, head, word in held:
+                    yield rows(block, [zlib.crc32(b"%d" % (block + lo)) % BUCKETS], [None], [head], [squeezed(place[word])])
                 if not number:
                     continue
                 words = [w.encode() for w in number]
+                words = [words[i] for i in by_times.tolist()]
                 bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
                 order, size = np.argsort(bucket, kind="stable"), np.fromiter(map(len, words), np.int32, len(words))
                 names, begin = np.unique(bucket[order], return_index=True)

@@ -10,7 +10,9 @@ make the longest lists and all meet in one task.
 
 Texts of plain Latin characters are split here by the rules of the tokenizer file; all others, and those that hold a
 special token's string, are split by the library itself. Defined results: a null text is empty and has no tokens. Each
-row is a document of its own, whatever its doc_id. An empty table gives an empty table.
+row is a document of its own, whatever its doc_id, and repeated rows are counted each. Other columns, whatever their
+names, don't matter and aren't returned. A very long text is held, with its pre-tokens, in the task that reads it. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations

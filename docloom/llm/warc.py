@@ -23,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Ranges of time at least and at most, in between one for RANGE_ROWS records; a URL may have records in all of them.
+FEWEST, MOST, RANGE_ROWS = 64, 4096, 2_000_000
+#: Ranges whose bounds are compared with a time one after the other.
+SIDE = 64
 # Header fields that a not-modified answer may replace.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary"]
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$"
@@ -56,15 +59,21 @@ def merged(response: Column, revisit: Column) -> Column:
 
 def as_of(records: DataFrame) -> DataFrame:
     """``records`` (key, ts, id, full, carried) with ``found``: ``carried`` of the latest earlier full row of the key."""
-    cuts = records.agg(F.percentile_approx("ts", [(i + 1) / RANGES for i in range(RANGES - 1)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(f"array<{dict(records.dtypes)['ts']}>")
-    rows = records.withColumn("range", F.size(F.filter(bounds, lambda b: b < F.col("ts"))))
+    many, cuts = records.agg(F.count(F.lit(1)), F.percentile_approx("ts", [(i + 1) / MOST for i in range(MOST - 1)], 10_000)).first()
+    step = MOST // min(MOST, max(FEWEST, 1 << (many // RANGE_ROWS).bit_length()))
+    cuts = (cuts or [])[step - 1 :: step]
+    literals = lambda own: F.array(*[F.lit(c) for c in own]) if own else F.array().cast(f"array<{dict(records.dtypes)['ts']}>")
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col("ts")))
+    # Every SIDE-th bound first, then those between two of them.
+    groups = F.array(*[literals(cuts[lo : lo + SIDE]) for lo in range(0, max(1, len(cuts)), SIDE)])
+    rows = records.withColumn("group", below(literals(cuts[SIDE - 1 :: SIDE][: (len(cuts) - 1) // SIDE])))
+    rows = rows.withColumn("range", F.col("group") * SIDE + below(F.get(groups, F.col("group")))).drop("group")
     value = F.when(F.col("full"), F.struct("carried"))
     within = Window.partitionBy("key", "range").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("near", F.last(value, ignorenulls=True).over(within))
     last = rows.filter("full").groupBy("key", "range").agg(F.max_by("carried", F.struct("ts", "id")).alias("c"))
     slots = rows.groupBy("key", "range").agg(F.count(F.lit(1)).alias("n")).join(last, ["key", "range"], "left")
-    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a key
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most MOST rows a key
     slots = slots.select("key", "range", F.last("c", ignorenulls=True).over(before).alias("far"))
     return rows.join(slots, ["key", "range"]).withColumn("found", F.coalesce("near.carried", "far")).drop("near", "far", "range")
 
