@@ -393,7 +393,9 @@ def spoken(normal: str) -> str:
 
 
 #: Documents whose units travel in one row; rows of ids that a task gathers before it deals them by block.
-CHUNK, GATHERED, BUCKETS = 1000, 300_000, 4096
+CHUNK, GATHERED = 1000, 300_000
+#: Buckets of units at least and at most, in between one for BUCKET_DOCS documents: a task holds one of them at a time.
+BUCKETS, MOST_BUCKETS, BUCKET_DOCS = 1024, 1 << 18, 2500
 
 
 def encode(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
@@ -412,14 +414,15 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
     normal_md5 (the digest of the normalised text as it should be decoded), all their ids, and where those of each end.
 
     A block of documents numbers its units; its documents become lists of numbers. Its units travel by hash, those of one
-    of BUCKETS buckets in one row. There each distinct unit is encoded once, and its ids go back to all its blocks, where
+    bucket in one row. There each distinct unit is encoded once, and its ids go back to all its blocks, where
     the numbers are replaced by them. So a unit counts at most once a block, however often it occurs, and no row per
     occurrence is ever dealt out.
     """
+    buckets = max(BUCKETS, min(MOST_BUCKETS, docs.count() // BUCKET_DOCS))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(block: int, buckets: list, words: list, heads: list, data: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(buckets, pa.int32()), pa.array(words, pa.binary()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], names=["block", "bucket", "words", "heads", "data"])
+        def rows(block: int, bucket: list, words: list, heads: list, data: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(bucket, pa.int32()), pa.array(words, pa.binary()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], names=["block", "bucket", "words", "heads", "data"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
@@ -445,12 +448,12 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
                 place = np.empty(len(number), np.int32)
                 place[by_times] = np.arange(len(number))
                 for lo, head, word in held:
-                    yield rows(block, [zlib.crc32(b"%d" % (block + lo)) % BUCKETS], [None], [head], [squeezed(place[word])])
+                    yield rows(block, [zlib.crc32(b"%d" % (block + lo)) % buckets], [None], [head], [squeezed(place[word])])
                 if not number:
                     continue
                 words = [w.encode() for w in number]
                 words = [words[i] for i in by_times.tolist()]
-                bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int32, len(words))
+                bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
                 order, size = np.argsort(bucket, kind="stable"), np.fromiter(map(len, words), np.int32, len(words))
                 names, begin = np.unique(bucket[order], return_index=True)
                 of_bucket = [order[lo:hi] for lo, hi in zip(begin, [*begin[1:], len(order)], strict=True)]
