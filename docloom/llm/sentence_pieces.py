@@ -472,8 +472,8 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
             refs = [binaries(np.concatenate(x)[order], ends) for x in (blocks, numbers)]
             none = pa.nulls(n, pa.binary())
             whole = pa.RecordBatch.from_arrays([met.dictionary, pa.array(np.ones(n, bool)), *refs, none, none], names=names)
-            for at in range(0, n, 10_000):
-                yield whole.slice(at, 10_000)
+            for at in range(0, n, 4000):
+                yield whole.slice(at, 4000)
             for x in (units_, blocks, numbers):
                 x.clear()
 
