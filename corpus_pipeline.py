@@ -1,6 +1,8 @@
 """From documents to packed training sequences: five stages, each written as Parquet and read by the next.
 
-Every stage but the last returns the columns of ``documents``; ``n_chars`` follows the text.
+Every stage but the last returns the columns of ``documents``; ``n_chars`` follows the text. Each works on whole texts and
+on all rows that the one before kept. Other columns, whatever their names, are dropped by the first stage. Rows with a null
+doc_id are documents of their own; rows that share a doc_id are one document. An empty table passes as an empty table.
 """
 
 from __future__ import annotations
@@ -22,29 +24,34 @@ def as_documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows teach."""
+    """Documents in a language that the labelled rows teach. A null or empty text, or one without a letter, has none and
+    goes; a null ``lang`` teaches nothing. Repeated rows have one fate. Very long texts are counted in slices."""
     found = language.identify(docs, language.learn(docs.select("text", "lang")))
     return found.filter((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines that many documents share stay in one of them."""
+    """Long lines that many documents share stay in the one with the largest doc_id, in all rows of it. A null text
+    becomes an empty one. A very long text is held, with its lines, in the task that reads it."""
     return as_documents(line_dedup.dedup_lines(docs))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that with the smallest doc_id; all its rows stay, as one document. A
+    text without words, and a row with a null doc_id, is like no other and stays. Very long texts are hashed in slices."""
     gone = near_dup.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their secrets replaced by the secret's kind."""
+    """Texts with their secrets replaced by the secret's kind; every row stays. A null text becomes an empty one; a very
+    long one is scanned whole."""
     return as_documents(secrets.scan_secrets(docs, BYTE_BPE_RANKS, public_tokenizers.PATTERN, redact=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a packed sequence."""
+    """A row per piece of a packed sequence. Each row is packed by itself, repeated ones too; a null or empty text is one
+    piece with the end token alone. A very long text is cut into pieces of a sequence's length."""
     return packing.pack(docs.select("doc_id", "text"), BYTE_BPE_IDS)
 
 
