@@ -126,9 +126,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     repeated = not rows.groupBy("k", "h").count().filter("count > 1").isEmpty()
     if repeated:
         rows = cut(rows.groupBy("k", "h").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies")), "rows")
-    # Both joins read ``rows`` as they are, so that they share one exchange.
-    moved = rows.join(links(rows), ["k", "h"]).select(F.col("before_k").alias("k"), F.col("before_h").alias("h"), F.col("text").alias("next_text"))
-    out = rows.join(moved, ["k", "h"])
+    # Both joins read ``rows`` as they are, so that they share one exchange. Texts are dealt at any size, as what follows
+    # takes much more time than its bytes tell; a broadcast one would leave it to the few tasks that read the links.
+    moved = rows.join(links(rows).hint("merge"), ["k", "h"]).select(F.col("before_k").alias("k"), F.col("before_h").alias("h"), F.col("text").alias("next_text"))
+    out = rows.join(moved.hint("merge"), ["k", "h"])
     if repeated:  # a copy is followed by the next copy, the last one by another row
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("next_text", F.when(F.col("copy") < F.col("copies"), F.col("text")).otherwise(F.col("next_text")))
     return out.select(F.when(F.col("k") != no_id, F.col("k")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "next_text")

@@ -59,7 +59,7 @@ def merged(response: Column, revisit: Column) -> Column:
 
 def as_of(records: DataFrame) -> DataFrame:
     """``records`` (key, ts, id, full, carried) with ``found``: ``carried`` of the latest earlier full row of the key."""
-    many, cuts = records.agg(F.count(F.lit(1)), F.percentile_approx("ts", [(i + 1) / MOST for i in range(MOST - 1)], 10_000)).first()
+    many, cuts = records.agg(F.count(F.lit(1)), F.expr(f"percentile_approx(ts, array({', '.join(f'{(i + 1) / MOST!r}D' for i in range(MOST - 1))}), 10000)")).first()
     step = MOST // min(MOST, max(FEWEST, 1 << (many // RANGE_ROWS).bit_length()))
     cuts = (cuts or [])[step - 1 :: step]
     literals = lambda own: F.array(*[F.lit(c) for c in own]) if own else F.array().cast(f"array<{dict(records.dtypes)['ts']}>")
