@@ -12,7 +12,7 @@ from docloom.functions import text
 from docloom.operators import chunking, embedding, fusion, index, search, store
 from docloom.plans.retrieve import Retriever
 from docloom.sources import files
-from docloom.storage import shared_dir, table
+from docloom.storage import shared_dir, spread, table
 from docloom.streaming import ingest
 
 QUESTIONS = ["启动open-webui的两种方式是什么？", "如何安装docker？", "docker怎么启动", "Spring AI有哪些特点？", "请问如何在k8s中部署redis?", "什么是Spring AI", "是什么意思", "怎么样", "如何", "", "  plain  words, kept ", "email about MySQL and contain", "使用教程 docker compose 部署"]
@@ -496,17 +496,17 @@ def sentence_split(spark, sf):
 
 @query()
 def chunk_fixed(spark, sf):
-    return chunking.fixed_chunks(chunks(spark, sf))
+    return chunking.fixed_chunks(spread(chunks(spark, sf), "id"))
 
 
 @query()
 def chunk_semantic(spark, sf):
-    return chunking.semantic_chunks(chunks(spark, sf), embedding.hashing_embedder())
+    return chunking.semantic_chunks(spread(chunks(spark, sf), "id"), embedding.hashing_embedder())
 
 
 @query()
 def chunk_hierarchical(spark, sf):
-    return chunking.hierarchical_chunks(chunks(spark, sf), embedding.hashing_embedder())
+    return chunking.hierarchical_chunks(spread(chunks(spark, sf), "id"), embedding.hashing_embedder())
 
 
 @query()

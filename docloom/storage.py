@@ -48,3 +48,10 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all cores where it lies in fewer files than there are: for work that takes much longer than moving
+    its rows does. A table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
