@@ -26,7 +26,6 @@ import hashlib
 import re
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -80,12 +79,14 @@ def neighbours(path: str) -> tuple[int, frozenset[str]]:
 
 def units(normal: str, path: str) -> list[str]:
     """The units of a normalised text, in order."""
+    return finer(cutter(path).findall(normal), path)
+
+
+def finer(coarse: list[str], path: str) -> list[str]:
+    """``coarse`` with those units that are longer than a piece cut between characters that no piece has side by side."""
     longest, pairs = neighbours(path)
-    out = cutter(path).findall(normal)
-    if max(map(len, out), default=0) <= longest:
-        return out
     fine = []
-    for u in out:
+    for u in coarse:
         if len(u) > longest:
             ends = [k for k in range(1, len(u)) if u[k - 1 : k + 1] not in pairs]
             fine += [u[lo:hi] for lo, hi in zip([0, *ends], [*ends, len(u)], strict=True)]
@@ -94,6 +95,23 @@ def units(normal: str, path: str) -> list[str]:
     return fine
 
 
+class Numbers(dict):
+    """Units and their numbers, in the order in which they are met. A new unit that is longer than a piece is a KeyError, as
+    it may have to be cut; one that ``add`` took is known."""
+
+    def __init__(self, longest: int):
+        super().__init__()
+        self.longest = longest
+
+    def __missing__(self, unit: str) -> int:
+        if len(unit) > self.longest:
+            raise KeyError(unit)
+        return self.add(unit)
+
+    def add(self, unit: str) -> int:
+        return self.setdefault(unit, len(self))
+
+
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
     """(piece, id, rank, bytes, plain): as many rows as the vocabulary has, which bounds what is broadcast. ``rank``:
     the place of a piece's score among all scores, highest first; equal scores share it."""
@@ -367,7 +385,7 @@ def squeezed(values: np.ndarray) -> bytes:
     rest = high[high >= 255] - 255
     planes = [np.minimum(values, 255).astype(np.uint8), (more & 255).astype(np.uint8), np.minimum(high, 255).astype(np.uint8), rest.astype("<i4")]
     sizes = np.array([len(values), len(more), len(rest)], "<i4").tobytes()
-    return sizes + (pa.Codec("zstd", 6).compress(b"".join(x.tobytes() for x in planes), asbytes=True) if len(values) else b"")
+    return sizes + (pa.Codec("zstd", 3).compress(b"".join(x.tobytes() for x in planes), asbytes=True) if len(values) else b"")
 
 
 def unsqueezed(raw: bytes) -> np.ndarray:
@@ -426,15 +444,19 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
 
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
-                b, number, held = batch.slice(at, BLOCK), defaultdict(), []
-                number.default_factory = number.__len__
+                b, number, held = batch.slice(at, BLOCK), Numbers(neighbours(path)[0]), []
                 block = b.column("row")[0].as_py()
                 for lo in range(0, b.num_rows, CHUNK):
                     c, word, many, normal = b.slice(lo, CHUNK), array("i"), [], []
                     for text in c.column("text").to_pylist():
                         plain = model(path).normalize(text) if text else ""
-                        own = units(plain, path)
-                        word.extend(map(number.__getitem__, own))
+                        own, before = cutter(path).findall(plain), len(word)
+                        try:
+                            word.extend(map(number.__getitem__, own))
+                        except KeyError:
+                            del word[before:]
+                            own = finer(own, path)
+                            word.extend(map(number.add, own))
                         many.append(len(own))
                         normal.append(hashlib.md5(spoken(plain).encode(), usedforsecurity=False).digest())
                     head = pa.RecordBatch.from_arrays([c.column("row"), c.column("doc_id"), pa.array(many, pa.int64()), pa.array(normal, pa.binary())], names=["row", "doc_id", "many", "normal_md5"])
