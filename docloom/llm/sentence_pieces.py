@@ -113,13 +113,29 @@ class Numbers(dict):
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, rank, bytes, plain): as many rows as the vocabulary has, which bounds what is broadcast. ``rank``:
-    the place of a piece's score among all scores, highest first; equal scores share it."""
-    sp, plain = model(path), plain_ids(model(path))
-    ranks = {x: i for i, x in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
-    rows = [(p := sp.id_to_piece(i), i, ranks[sp.get_score(i)], p.encode().hex().upper(), True, float(sp.get_score(i))) for i in plain]
-    rows += [(p := sp.id_to_piece(i), i, 0, p[3:5], False, 0.0) for i in range(sp.get_piece_size()) if sp.is_byte(i)]
-    return spark.createDataFrame(rows, "piece string, id int, rank int, bytes string, plain boolean, score double")
+    """(piece, id, bytes, plain): as many rows as the vocabulary has, which bounds what is broadcast."""
+    sp = model(path)
+    rows = [(p := sp.id_to_piece(i), i, p.encode().hex().upper(), True) for i in plain_ids(sp)]
+    rows += [(p := sp.id_to_piece(i), i, p[3:5], False) for i in range(sp.get_piece_size()) if sp.is_byte(i)]
+    return spark.createDataFrame(rows, "piece string, id int, bytes string, plain boolean")
+
+
+@lru_cache(maxsize=2)
+def scores(path: str) -> list[float]:
+    """The scores that pieces have, highest first, each once."""
+    return sorted({model(path).get_score(i) for i in plain_ids(model(path))}, reverse=True)
+
+
+@lru_cache(maxsize=2)
+def values_of(path: str) -> tuple[int, np.ndarray]:
+    """The bits of an id, and the value of each id of so many bits: its rank, which is its score's place in ``scores``,
+    above its id; -1 for what is no piece of text."""
+    sp, ranks = model(path), {x: i for i, x in enumerate(scores(path))}
+    id_bits = (sp.get_piece_size() - 1).bit_length()
+    out = np.full(1 << id_bits, -1, np.int32 if 2 * id_bits <= 31 else np.int64)  # a rank has no more bits than an id
+    for i in plain_ids(sp):
+        out[i] = (ranks[sp.get_score(i)] << id_bits) + i
+    return id_bits, out
 
 
 def bound(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -193,16 +209,18 @@ def windows(n: int, starts: np.ndarray, lengths: np.ndarray, width: int) -> list
     return out
 
 
-def lattices(spans: DataFrame, carried: list[str], width: int) -> DataFrame:
+def lattices(spans: DataFrame, carried: list[str], width: int, path: str) -> DataFrame:
     """(unit, n, values, more): the lattice of each unit of n characters, as ``merged`` reads it; null: no piece. A unit
     of more than ``width`` characters comes in windows; ``more``: another one follows.
 
     A unit's rows lie next to each other, as exploding and joining a broadcast table keep them; so they are grouped as
     they stream by, with no shuffle, sort or hash table. Rows in another order are an error, not a wrong lattice.
-    ``carried``: columns of a unit's first row that pass through, with its first window.
+
+    ``spans``: at, the number of the unit's row; edge, below 0 in a unit's first row, -1 - n there, else its place with
+    its id in the lowest bits; unit and ``carried``, columns of a unit's first row that pass through with its first window.
+    Few columns, as Spark measures each of them for every row that it hands over.
     """
-    kind = spans.schema["value"].dataType
-    of = {"int": np.int32, "bigint": np.int64}[kind.simpleString()]
+    of = values_of(path)[1].dtype.type
     names = ["unit", "n", "values", "more", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +229,7 @@ def lattices(spans: DataFrame, carried: list[str], width: int) -> DataFrame:
         def short(t: pa.Table, own: np.ndarray, ends: np.ndarray, n: np.ndarray, place: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
             """Units that are no longer than a piece, all at once; their rows lie from ``own`` to ``ends``."""
             lo, hi = own[0], ends[-1]
-            size = n[own].astype(np.int64) ** 2 + 1
+            size = n**2 + 1
             begin = np.cumsum(size) - size
             edge = place[lo:hi] >= 0
             where = (np.repeat(begin, ends - own) + place[lo:hi])[edge]
@@ -220,7 +238,7 @@ def lattices(spans: DataFrame, carried: list[str], width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)).astype(np.int32)), pa.array(values, mask=values < 0))
             first = pa.array(own)
             unit, *kept = [t.column(c).take(first).combine_chunks() for c in ("unit", *carried)]
-            return pa.RecordBatch.from_arrays([unit, pa.array(n[own]), lists, pa.array(np.zeros(len(own), bool)), *kept], names=names)
+            return pa.RecordBatch.from_arrays([unit, pa.array(n.astype(np.int32)), lists, pa.array(np.zeros(len(own), bool)), *kept], names=names)
 
         def long(t: pa.Table, lo: int, hi: int, n: int, place: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
             unit, at = t.column("unit")[lo].as_py(), place[lo:hi] - 1
@@ -238,26 +256,27 @@ def lattices(spans: DataFrame, carried: list[str], width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([unit[a:b]]), pa.array([b - a], pa.int32()), lists, pa.array([b < n]), *kept], names=names)
 
         def made(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            n, place, value = (t.column(c).to_numpy() for c in ("n", "place", "value"))
+            (id_bits, value_of), edge = values_of(path), t.column("edge").to_numpy()
+            n, place, value = -1 - edge[starts], edge >> id_bits, value_of[edge & (len(value_of) - 1)]
             ends = np.append(starts[1:], len(t))
-            many = n[starts] > width
+            many = n > width
             # Cut at long units and every 2000 rows.
             groups = np.split(np.arange(len(starts)), np.unique(np.concatenate([np.flatnonzero(many), np.flatnonzero(many) + 1, np.arange(0, len(starts), 2000)])))
             for g in groups:
                 if not len(g):
                     continue
                 if many[g[0]]:
-                    yield from long(t, starts[g[0]], ends[g[0]], int(n[starts[g[0]]]), place, value)
+                    yield from long(t, starts[g[0]], ends[g[0]], int(n[g[0]]), place, value)
                 else:
-                    yield short(t, starts[g], ends[g], n, place, value)
+                    yield short(t, starts[g], ends[g], n[g], place, value)
 
         def whole(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
-            return t.set_column(t.schema.get_field_index("value"), "value", pc.fill_null(t.column("value"), -1)).combine_chunks(), np.flatnonzero(t.column("place").to_numpy() < 0)
+            return t.combine_chunks(), np.flatnonzero(t.column("edge").to_numpy() < 0)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            order, heads = b.column("at").to_numpy(), np.flatnonzero(b.column("place").to_numpy() < 0)
+            order, heads = b.column("at").to_numpy(), np.flatnonzero(b.column("edge").to_numpy() < 0)
             if order[0] < last or (np.diff(order) < 0).any() or (order[0] > last) + np.count_nonzero(np.diff(order)) != len(heads):
                 raise RuntimeError("the edges of a unit do not lie together")
             last = order[-1]
@@ -275,26 +294,24 @@ def lattices(spans: DataFrame, carried: list[str], width: int) -> DataFrame:
         if rest:
             yield from made(*whole(pa.Table.from_batches(rest)))
 
+    kind = T.IntegerType() if of == np.int32 else T.LongType()
     return spans.mapInArrow(run, T.StructType([*[T.StructField(c, t) for c, t in (("unit", T.StringType()), ("n", T.IntegerType()), ("values", T.ArrayType(kind)), ("more", T.BooleanType()))], *[spans.schema[c] for c in carried]]))
 
 
 def folded_units(rows: DataFrame, path: str, unigram: bool = False) -> DataFrame:
-    """``rows`` in their order, with the ids of their unit; null where ``fresh`` is false. A long unit comes in windows:
+    """``rows`` in their order, with the ids of their unit; null where there is none. A long unit comes in windows:
     rows that lie next to each other, of which all but the last have ``more``, and the first has the other columns.
 
-    ``rows``: unit, fresh and columns that pass through.
+    ``rows``: unit and columns that pass through.
     """
     spark, sp = rows.sparkSession, model(path)
     carried = [c for c in rows.columns if c != "unit"]
-    longest = neighbours(path)[0]
-    pieces, id_bits = piece_table(spark, path).filter("plain"), (sp.get_piece_size() - 1).bit_length()
-    kind = "int" if 2 * id_bits <= 31 else "long"  # a rank has no more bits than an id
+    longest, id_bits = neighbours(path)[0], values_of(path)[0]
     # The join is on a fingerprint, as long keys are looked up faster; the pieces themselves are compared after it.
-    plain = F.broadcast(pieces.select(F.xxhash64("piece").alias("key"), "piece", (F.col("rank").cast("long") * 2**id_bits + F.col("id")).cast(kind).alias("value")))
-    # Each row starts with a row of its own (s = 0), which has no place and carries the columns. Units met before have no
-    # other. Stretches of a unit, from 0 on, are cut out first, so that its characters are not counted for each start.
-    fresh = F.col("fresh") & F.col("unit").isNotNull()
-    numbered = rows.select(F.monotonically_increasing_id().alias("at"), "unit", F.when(fresh, F.length("unit")).otherwise(0).alias("n"), *carried)
+    plain = F.broadcast(piece_table(spark, path).filter("plain").select(F.xxhash64("piece").alias("key"), "piece", "id"))
+    # Each row starts with a row of its own (s = 0), which has no place and carries the columns. Rows without a unit have
+    # no other. Stretches of a unit, from 0 on, are cut out first, so that its characters are not counted for each start.
+    numbered = rows.select(F.monotonically_increasing_id().alias("at"), "unit", F.coalesce(F.length("unit"), F.lit(0)).alias("n"), *carried)
     cut_out = numbered.select("at", "unit", "n", *carried, F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / STRETCH).cast("int"))).alias("c"))
     once = [F.when(F.col("c") == 0, F.col(x)).alias(x) for x in ("unit", *carried)]
     cut_out = cut_out.select("at", "n", "c", *once, F.when(F.col("n") <= STRETCH, F.col("unit")).otherwise(F.substring("unit", F.col("c") * STRETCH + 1, F.lit(STRETCH + longest - 1))).alias("stretch"))
@@ -305,15 +322,16 @@ def folded_units(rows: DataFrame, path: str, unigram: bool = False) -> DataFrame
     spans = starts.select("at", "n", "s", "unit", *carried, "head", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.length("head")))).alias("l"))
     parts = spans.withColumn("part", F.expr("if(s = 0, null, substring(head, 1, l))")).withColumn("key", F.expr("if(s = 0, null, xxhash64(part))"))
     edges = parts.join(plain, "key", "left").filter("s = 0 or piece = part")
-    lattice = lattices(edges.select("at", "n", "unit", *carried, F.expr(f"if(s = 0, -1, (s - 1) * least(n, {longest}) + l)").alias("place"), "value"), carried, longest)
+    edge = F.expr(f"if(s = 0, -1L - n, ((s - 1L) * least(n, {longest}) + l) * {1 << id_bits} + id)")
+    lattice = lattices(edges.select("at", edge.alias("edge"), "unit", *carried), carried, longest, path)
     n, values = F.col("n"), F.col("values")
     # Values order pieces as their ranks do, unless two share one.
-    own_ranks = len({sp.get_score(i) for i in plain_ids(sp)}) == len(plain_ids(sp))
+    own_ranks = len(scores(path)) == len(plain_ids(sp))
     ranked = lambda v: v if own_ranks else F.shiftright(v, id_bits)
     width = F.least(n, F.lit(longest))
     if unigram:
-        levels = [r["score"] for r in pieces.groupBy("rank").agg(F.first("score").alias("score")).orderBy("rank").collect()]
-        lattice = lattice.withColumn("scores", F.transform(F.slice("values", F.lit(2), n * width), lambda v: F.get(F.lit(levels), F.shiftright(v, id_bits).cast("int"))))
+        levels = F.lit(scores(path))
+        lattice = lattice.withColumn("scores", F.transform(F.slice("values", F.lit(2), n * width), lambda v: F.get(levels, F.shiftright(v, id_bits).cast("int"))))
         way = F.transform(viterbi(n, width, F.col("scores")), lambda x: x - 1)
     else:
         way = F.when(n <= longest, merged(n, values, ranked)).otherwise(merged(n, values, ranked, longest))
@@ -374,7 +392,7 @@ def encode_units(distinct: DataFrame, path: str, unigram: bool = False) -> DataF
             ok = [b"".join([raw[i] for i in ids]) == u.encode() for u, ids in zip(b.column("unit").to_pylist(), b.column("ids").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("ids"), pa.array(ok, pa.bool_())], names=["unit", "ids", "ok"])
 
-    return folded_units(distinct.select("unit", F.lit(True).alias("fresh")), path, unigram).select("unit", "ids", "more").mapInArrow(finished, UNITS)
+    return folded_units(distinct.select("unit"), path, unigram).mapInArrow(finished, UNITS)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -414,6 +432,8 @@ def spoken(normal: str) -> str:
 CHUNK, GATHERED = 1000, 300_000
 #: Buckets of units at least and at most, in between one for BUCKET_DOCS documents: a task holds one of them at a time.
 BUCKETS, MOST_BUCKETS, BUCKET_DOCS = 1024, 1 << 18, 2500
+#: A unit's place: its block and its number there. Before documents it is their block and the size of their head.
+REF = np.dtype([("block", "<i8"), ("number", "<i4")])
 
 
 def encode(docs: DataFrame, path: str, unigram: bool = False) -> DataFrame:
@@ -484,16 +504,16 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
                 yield rows(block, names.tolist(), texts, [None] * len(names), [squeezed(np.concatenate([np.diff(own, prepend=0), size[own]])) for own in of_bucket])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["unit", "fresh", "blocks", "numbers", "heads", "data"]
+        names = ["unit", "load"]
         key, units_, blocks, numbers = None, [], [], []
 
         def made() -> Iterator[pa.RecordBatch]:
             met = pa.concat_arrays(units_).dictionary_encode()
             which = met.indices.to_numpy()
             order, ends, n = np.argsort(which, kind="stable"), np.cumsum(np.bincount(which)), len(met.dictionary)
-            refs = [binaries(np.concatenate(x)[order], ends) for x in (blocks, numbers)]
-            none = pa.nulls(n, pa.binary())
-            whole = pa.RecordBatch.from_arrays([met.dictionary, pa.array(np.ones(n, bool)), *refs, none, none], names=names)
+            refs = np.empty(len(order), REF)
+            refs["block"], refs["number"] = (np.concatenate(x)[order] for x in (blocks, numbers))
+            whole = pa.RecordBatch.from_arrays([met.dictionary, binaries(refs, ends)], names=names)
             for at in range(0, n, 4000):
                 yield whole.slice(at, 4000)
             for x in (units_, blocks, numbers):
@@ -502,8 +522,9 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
         for b in batches:
             for block, bucket, words, heads, data in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("words"), b.column("heads"), b.column("data"), strict=True):
                 if heads.is_valid:
-                    own = np.array([block], "<i8").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([False]), pa.array([own]), pa.nulls(1, pa.binary()), pa.array([heads.as_py()], pa.binary()), pa.array([data.as_py()], pa.binary())], names=names)
+                    head = heads.as_py()
+                    load = np.array([(block, len(head))], REF).tobytes() + head + data.as_py()
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([load], pa.binary())], names=names)
                     continue
                 if units_ and bucket != key:
                     yield from made()
@@ -537,15 +558,17 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
             own_row = pc.is_null(b.column("unit"))
             h, b = b.filter(own_row), b.filter(pc.invert(own_row))
             for i in range(len(h)):
-                r = h.slice(i, 1)
-                yield out([int.from_bytes(r.column("blocks")[0].as_py(), "little")], *(r.column(c).to_pylist() for c in ("heads", "data")))
+                load = h.column("load")[i].as_py()
+                block, size_of_head = np.frombuffer(load, REF, 1)[0].tolist()
+                data = REF.itemsize + size_of_head
+                yield out([block], [load[REF.itemsize : data]], [load[data:]])
             if not len(b):
                 continue
             many, flat = pc.list_value_length(b.column("ids")).to_numpy(), b.column("ids").flatten().to_numpy()
-            blocks, numbers = (np.frombuffer(b"".join(b.column(c).to_pylist()), k) for c, k in (("blocks", "<i8"), ("numbers", "<i4")))
-            starts, which = np.cumsum(many) - many, np.repeat(np.arange(len(b)), pc.binary_length(b.column("blocks")).to_numpy() // 8)
-            held.append((blocks, numbers, many[which], picked(flat, starts[which], many[which])))
-            size += len(blocks)
+            refs = np.frombuffer(b"".join(b.column("load").to_pylist()), REF)
+            starts, which = np.cumsum(many) - many, np.repeat(np.arange(len(b)), pc.binary_length(b.column("load")).to_numpy() // REF.itemsize)
+            held.append((refs["block"], refs["number"], many[which], picked(flat, starts[which], many[which])))
+            size += len(refs)
             if size > GATHERED:
                 yield flushed()
                 size = 0
@@ -577,7 +600,7 @@ def encoded_as(docs: DataFrame, path: str, fields: list[T.StructField], start: C
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     posted = rows.mapInArrow(numbered, "block long, bucket int, words binary, heads binary, data binary")
-    met = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gathered, "unit string, fresh boolean, blocks binary, numbers binary, heads binary, data binary")
+    met = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gathered, "unit string, load binary")
     back = folded_units(met, path, unigram).mapInArrow(returned, "block long, heads binary, data binary")
     by_block = back.repartition("block").sortWithinPartitions("block", F.col("heads").isNotNull())
     return by_block.mapInArrow(replaced, T.StructType(fields))
