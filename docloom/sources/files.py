@@ -88,8 +88,8 @@ def sheet_rows(data: bytes) -> str:
     return "\n".join(x for x in rows if x)
 
 
-#: Old binary office formats: nothing here reads them, and what looks like text in them isn't.
-UNREADABLE = {"doc", "xls", "ppt"}
+#: Old binary office formats, and names that declare raw bytes: nothing here reads them, whatever looks like text in them.
+UNREADABLE = {"doc", "xls", "ppt", "bin"}
 
 
 def plain_text(data: bytes) -> str:
