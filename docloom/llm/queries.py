@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, line_dedup, mtree, near_dup, packing, secrets, sentence_pieces, spotsigs, token_counts, warc
+from docloom.llm import conversation_trie, decontaminate, language, line_dedup, mtree, near_dup, packing, secrets, sentence_pieces, spotsigs, token_counts, warc
 from docloom.storage import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -149,5 +149,66 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op5_warc_revisits, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates, op10_sentence_pieces)}
-SQL = {"op1_line_dedup": OP1_SQL, "op4_exact_topk": OP4_SQL, "op5_warc_revisits": OP5_SQL, "op7_spot_signatures": OP7_SQL}
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP11_SQL = f"""
+with items as (select item_id, {_WORDS} as w from benchmark),
+windows as (
+  select item_id, least(len(w), 10) as m, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') as p
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as k from items where len(w) > 0)),
+docs as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+places as (
+  select r, k, m, array_to_string(w[k : k + m - 1], ' ') as p
+  from (select r, w, m, unnest(range(1, len(w) - m + 2)) as k from docs cross join (select distinct m from windows) where len(w) >= m)),
+found as (select distinct r, k, m, p from places semi join windows using (m, p)),
+hits as (select r, count(distinct i) as n from (select r, unnest(range(k, k + m)) as i from found) group by r),
+named as (select r, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct r, item_id::varchar as item from found join windows using (m, p) where item_id is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(hits.n, 0)::bigint as n_hit, coalesce(named.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(hits.n, 0) > 0 as contaminated
+from docs left join hits using (r) left join named using (r)
+"""
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversation_trie.shared_prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP12_SQL = r"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) as i
+  from conversations where conv_id is not null),
+convs as (
+  select conv_id, conv_id - conv_id % 20 as base,
+         xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                         lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295) % 4 as h
+  from (select distinct conv_id from turns)),
+rebuilt as (
+  select conv_id, role, text, row_number() over (partition by conv_id order by part, i) as d
+  from (select c.conv_id, 0 as part, t.i, t.role, t.text from convs c join turns t on t.conv_id = c.base and t.i <= c.h
+        union all select c.conv_id, 1, t.i, t.role, t.text from convs c join turns t on t.conv_id = c.conv_id and t.i > c.h)),
+paths as (
+  select conv_id, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words,
+         sha256(string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '' order by d) over (partition by conv_id order by d)) as id
+  from rebuilt
+  union all select conv_id, 0, 0, 'root' from convs),
+nodes as (select d, id, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words from paths group by d, id),
+lasts as (select conv_id, max(d) as d from paths group by conv_id),
+ends as (select d, id, string_agg(conv_id::varchar, ',' order by conv_id) as ids from paths join lasts using (conv_id, d) group by d, id),
+linked as (select n.*, p.id as parent_id, q.conv_id as parent_conv_id from nodes n left join paths p on p.conv_id = n.conv_id and p.d = n.d - 1 left join nodes q on q.d = p.d and q.id = p.id),
+children as (select d - 1 as d, parent_id as id, count(*) as n from linked where parent_id is not null group by all),
+sums as (
+  select p.d, p.id, count(*) filter (where c.n is null) as n_leaves, sum((n.n_convs - 1) * n.words) as saved
+  from nodes n left join children c using (d, id) join paths p on p.conv_id = n.conv_id and p.d <= n.d group by p.d, p.id)
+select n.conv_id, n.d::bigint as depth, parent_conv_id, n.n_convs::bigint as n_convs, coalesce(c.n, 0)::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from linked n left join children c using (d, id) join sums s using (d, id) left join ends e using (d, id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pack_sequences, op4_exact_topk, op5_warc_revisits, op6_language_id, op7_spot_signatures, op8_token_counts, op9_near_duplicates, op10_sentence_pieces, op11_decontaminate, op12_conversation_trie)}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_exact_topk": OP4_SQL, "op5_warc_revisits": OP5_SQL, "op7_spot_signatures": OP7_SQL, "op11_decontaminate": OP11_SQL, "op12_conversation_trie": OP12_SQL}
