@@ -9,7 +9,7 @@ more the more pieces there are, so a length that most pieces share is dealt over
 
 Defined results: a null text is an empty document, one piece that holds only the end token. Rows are separate
 documents even where doc_ids repeat or are null. Other columns, whatever their names, don't matter and aren't returned. A
-very long text is held, with its ids, in the task that reads it. An empty table gives an empty table.
+very long text, of whatever characters, is held, with its ids, in the task that reads it. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ PLAIN = "\u024f"
 
 class Ids:
     """Ids of the ``tokenizers`` file. Texts of plain Latin characters go through tiktoken's copy of the vocabulary,
-    which is faster and gives the same ids there; all others, and those with a special token's string, do not."""
+    which is faster and gives the same ids there; all others, those with a special token's string, and those with more
+    white space in a row than the copy can take, do not."""
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
         self.exact = Tokenizer.from_file(tokenizer)
@@ -47,7 +48,10 @@ class Ids:
 
     def __call__(self, text: str) -> np.ndarray:
         if (text.isascii() or max(text) <= PLAIN) and not any(s in text for s in self.special):
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            except ValueError:  # its pattern has a stack, which a million characters of white space overflow
+                pass
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
 

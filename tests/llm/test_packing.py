@@ -46,11 +46,19 @@ def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "x <|endoftext|> y"), (4, "漢字 и кириллица       tab\t"), (5, "word " * 30000), (6, "a" * 20000), (7, "a"), (8, "naïve café – “quotes”  …")]
     out = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), queries.BYTE_BPE_IDS).collect()
     check(out, docs)
+    clash = spark.createDataFrame([(*d, "x", 5) for d in docs], "doc_id long, text string, Piece string, sequence_id int")
+    check(packing.pack(clash, queries.BYTE_BPE_IDS).collect(), docs)
     same = packing.pack(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string"), queries.BYTE_BPE_IDS).collect()
     assert len(same) == 3 and sorted(r.offset for r in same) == [0, 3, 6]
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), queries.BYTE_BPE_IDS).count() == 0
 
 
+def test_long_white_space(spark):
+    long = [" " * 5_000_000, "\n" * 1_500_000, "\t" * 1_500_000]
+    docs = list(enumerate([*long, *[f"Some words{x}and more. é" for x in long]]))
+    check(packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), queries.BYTE_BPE_IDS).collect(), docs)
+
+
 def test_both_id_paths_agree(spark, sf):
     of = packing.Ids(**queries.BYTE_BPE_IDS)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
