@@ -117,7 +117,7 @@ def _signatures_sql(source: str) -> str:
 
 
 _JACCARD = "len(list_intersect({a}, {b}))::double / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
-_LIKENESS = f"case when len({{a}}) = 0 and len({{b}}) = 0 then 1.0 when len({{a}}) = 0 or len({{b}}) = 0 or {_JACCARD} < {spotsigs.FLOOR} then 0.0 else {_JACCARD} end"
+_LIKENESS = f"case when len({{a}}) = 0 and len({{b}}) = 0 then 1.0 when len({{a}}) = 0 or len({{b}}) = 0 then 0.0 else {_JACCARD} end"
 _PRINT = "sha256(array_to_string(list_sort({a}), chr(10)))"
 OP7_SQL = f"""
 with base as (

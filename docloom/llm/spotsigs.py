@@ -2,9 +2,10 @@
 
 A spot is a content word that directly follows a common word (an anchor). Its signature is the chain of CHAIN content
 words from there on, anchors skipped. A text's fingerprint stands for its set of distinct signatures; two texts are
-compared by the Jaccard similarity of their sets. Sets are partitioned by length, in steps of the similarity asked for:
-sets that are not in the same or neighbouring partitions can't reach it and their elements are never compared. A
-similarity below the one asked for counts as 0, so that what is pruned and what is not have the same result.
+compared by the Jaccard similarity of their sets. A search (``similar``) partitions sets by length, in steps of the
+similarity asked for: sets that are not in the same or neighbouring partitions can't reach it and never meet, and of those
+that do only ones that share a signature of their prefixes are compared. The likeness of two given texts
+(``fingerprints``) is the similarity itself.
 
 Signatures are read off the text by three regular expressions (to words and spaces, anchors to marks, chains after
 marks), so that a row holds its text a few times and its signatures, but never an array of its words.
@@ -35,8 +36,8 @@ au aux ce des du est et il la le les ne pas pour qui sur une
 """.split()
 CHAIN = 2
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
-#: Texts at least that similar are alike; a likeness below FLOOR is reported as none.
-LEAST, FLOOR = 0.75, 0.1
+#: Texts at least that similar are alike.
+LEAST = 0.75
 
 
 def one_of(words: set[str]) -> str:
@@ -66,14 +67,20 @@ def partition(n: Column, least: float) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(-math.log(least)) + F.lit(1e-9)).cast("int")
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets; two empty ones have 1."""
+    n, m = F.size(a), F.size(b)
+    both = F.size(F.array_intersect(a, b)).cast("double")
+    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(both / (n + m - both))
+
+
 def likeness(a: Column, b: Column, least: float) -> Column:
-    """Jaccard similarity of two sets, 0 below ``least``; elements are compared only where the sets' length partitions, and
-    then their lengths, let them reach it."""
+    """``jaccard``, but 0 below ``least``; elements are compared only where the sets' length partitions, and then their
+    lengths, let them reach it."""
     n, m = F.size(a), F.size(b)
     apart = (F.abs(partition(n, least) - partition(m, least)) > 1) | (F.least(n, m) < F.lit(least) * F.greatest(n, m))
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    value = both / (n + m - both)
-    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | apart, 0.0).otherwise(F.when(value >= least, value).otherwise(0.0))
+    value = jaccard(a, b)
+    return F.when(apart, 0.0).otherwise(F.when(value >= least, value).otherwise(0.0))
 
 
 def similar(queries: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -148,7 +155,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     for text, out in (("text", "own"), ("edited", "changed"), ("next_text", "following")):
         rows = with_signatures(rows, text, out)
-    rows = rows.withColumns({"near_edited": likeness(F.col("own"), F.col("changed"), FLOOR), "near_next": likeness(F.col("own"), F.col("following"), FLOOR)})
+    rows = rows.withColumns({"near_edited": jaccard(F.col("own"), F.col("changed")), "near_next": jaccard(F.col("own"), F.col("following"))})
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
