@@ -2,8 +2,9 @@
 
 A block of documents becomes pre-token frequencies: a row per block and pre-token, with the documents that hold it and
 how often. Those rows meet by pre-token; the first row of a pre-token has its pieces counted by the library, and the
-count goes to all its rows, which lie next to it. What comes out is summed per block before it moves on, so only a sum
-per document and task travels back.
+count goes to all its rows, which lie next to it. What comes out is summed per document before it moves on, for as many
+postings as a task holds: what travels back is never more than a sum per posting, however many tasks and blocks there
+are.
 
 Pre-tokens that more than HOT_SHARE of a block's documents hold are counted within the block, once a task: they would
 make the longest lists and all meet in one task.
@@ -34,7 +35,8 @@ from tokenizers import Tokenizer
 PLAIN = "ɏ"
 HOT_SHARE = 0.02
 BLOCK = 2000
-HELD = 500_000
+#: Postings (a document and a pre-token) that a task holds at once.
+HELD = 2_000_000
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0d\x20\x85\xa0\p{L}\p{N}]+")
 
@@ -82,7 +84,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-FREQUENCIES = "block long, size int, pretoken string, places binary, times binary"
+FREQUENCIES = "block long, pretoken string, places binary, times binary"
 
 
 def frequencies(docs: DataFrame, path: str) -> DataFrame:
@@ -114,10 +116,10 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
                 names = [None if x is None else int(x) for x in b["doc_id"]]
                 heads = np.array([[x or 0 for x in names], [x is None for x in names], b["n_bytes"]], "<i8")
                 words = list(own)
-                yield pd.DataFrame([(block, len(b), None, heads.tobytes(), sums.astype("<i8").tobytes())], columns=["block", "size", "pretoken", "places", "times"])
+                yield pd.DataFrame([(block, None, heads.tobytes(), sums.astype("<i8").tobytes())], columns=["block", "pretoken", "places", "times"])
                 for lo in range(0, len(words), 20_000):
                     part = words[lo : lo + 20_000]
-                    yield pd.DataFrame({"block": block, "size": len(b), "pretoken": part, "places": [np.array(own[w][::2], "<u2").tobytes() for w in part], "times": [packed(own[w][1::2]) for w in part]})
+                    yield pd.DataFrame({"block": block, "pretoken": part, "places": [np.array(own[w][::2], "<u2").tobytes() for w in part], "times": [packed(own[w][1::2]) for w in part]})
 
     return docs.mapInPandas(run, FREQUENCIES)
 
@@ -130,47 +132,57 @@ def packed(times: list[int]) -> bytes:
     return np.array(times, np.uint8).tobytes() if top < 256 else b"\0" * len(times) + np.array(times, "<u4").tobytes()
 
 
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    if not raw:
-        return np.ones(n, np.int64)
-    return np.frombuffer(raw, np.uint8).astype(np.int64) if len(raw) == n else np.frombuffer(raw[n:], "<u4").astype(np.int64)
+def merged(block: np.ndarray, place: np.ndarray, tokens: np.ndarray) -> pd.DataFrame:
+    """A row per block: places of documents, each once, and their sums."""
+    order = np.lexsort((place, block))
+    block, place, tokens = block[order], place[order], tokens[order]
+    new_block = np.concatenate([[True], block[1:] != block[:-1]])
+    first = np.flatnonzero(new_block | np.concatenate([[True], place[1:] != place[:-1]]))
+    sums, place = np.add.reduceat(tokens, first), place[first].astype("<u2")
+    at = np.flatnonzero(new_block[first])
+    kinds = ["<u2", "<u4", "<i8"]
+    rows = [(place[lo:hi].tobytes(), sums[lo:hi].astype(next(k for k in kinds if sums[lo:hi].max() <= np.iinfo(k).max)).tobytes()) for lo, hi in zip(at, [*at[1:], len(first)], strict=True)]
+    return pd.DataFrame({"block": block[first][at], "heads": None, "places": [a for a, _ in rows], "sums": [b for _, b in rows]})
 
 
-def counted(rows: DataFrame, path: str) -> DataFrame:
-    """(block, heads, sums): what the pre-tokens met in a task add to each document of a block; and the blocks' own rows."""
+def frequencies_of(times: pd.Series, n: np.ndarray) -> np.ndarray:
+    """The frequencies that ``packed`` wrote for rows of ``n`` documents, one after the other."""
+    size, row = times.map(len).to_numpy(np.int64), np.repeat(np.arange(len(n)), n)
+    out = np.ones(len(row), np.int64)
+    out[(size == n)[row]] = np.frombuffer(b"".join(times[size == n]), np.uint8)
+    out[(size > n)[row]] = np.frombuffer(b"".join(t[k:] for t, k in zip(times[size > n], n[size > n], strict=True)), "<u4")
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, last, n, sums = splitter(path), None, 0, {}
 
-        def flushed() -> pd.DataFrame:
-            out = pd.DataFrame({"block": list(sums), "heads": None, "sums": [x.astype("<i8").tobytes() for x in sums.values()]})
-            sums.clear()
-            return out
+def counted(rows: DataFrame, path: str) -> DataFrame:
+    """(block, heads, places, sums): what pre-tokens add to documents of a block, and the blocks' own rows.
+
+    A task holds so many postings and then sums them up per document, so it writes at most a row per row that it reads,
+    whatever the number of blocks.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, last, n, held, many = splitter(path), None, 0, [], 0
         for b in batches:
             own_row = b["pretoken"].isna()
-            yield b[own_row][["block", "places", "times"]].set_axis(["block", "heads", "sums"], axis=1)
+            yield b[own_row].assign(heads=lambda x: x["places"], sums=lambda x: x["times"], places=None)[["block", "heads", "places", "sums"]]
             b = b[~own_row]
-            tokens = b["pretoken"].tolist()
-            first = [i for i in range(len(tokens)) if tokens[i] != (tokens[i - 1] if i else last)]
-            counts = dict(zip(first, split.count([tokens[i] for i in first]), strict=True))
-            for i, (block, size, places, times) in enumerate(zip(b["block"].tolist(), b["size"].tolist(), b["places"], b["times"], strict=True)):
-                n = counts.get(i, n)
-                own = sums.get(block)
-                if own is None:
-                    if len(sums) * BLOCK > HELD:
-                        yield flushed()
-                    own = sums[block] = np.zeros(size, np.int64)
-                if len(places) == 2:
-                    own[places[0] + 256 * places[1]] += n * (times[0] if times else 1) if len(times) < 2 else n * int(unpacked(times, 1)[0])
-                else:
-                    at = np.frombuffer(places, "<u2")
-                    own[at] += n * unpacked(times, len(at))
-            last = tokens[-1] if tokens else last
-        if sums:
-            yield flushed()
-
-    return rows.mapInPandas(run, "block long, heads binary, sums binary")
+            if not len(b):
+                continue
+            tokens = b["pretoken"].to_numpy(object)
+            new = np.concatenate([[tokens[0] != last], tokens[1:] != tokens[:-1]])
+            counts = np.array([n, *split.count(tokens[new].tolist())], np.int64)[np.cumsum(new)]
+            last, n = tokens[-1], int(counts[-1])
+            size = b["places"].map(len).to_numpy(np.int64) // 2
+            held.append((np.repeat(b["block"].to_numpy(np.int64), size), np.frombuffer(b"".join(b["places"]), "<u2"), np.repeat(counts, size) * frequencies_of(b["times"], size)))
+            many += int(size.sum())
+            if many > HELD:
+                yield merged(*map(np.concatenate, zip(*held, strict=True)))
+                held, many = [], 0
+        if held:
+            yield merged(*map(np.concatenate, zip(*held, strict=True)))
+
+    return rows.mapInPandas(run, "block long, heads binary, places binary, sums binary")
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -188,14 +200,14 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
         for b in batches:
             out = []
-            for block, raw, part in zip(b["block"].tolist(), b["heads"], b["sums"], strict=True):
-                part = np.frombuffer(part, "<i8")
+            for block, raw, places, sums in zip(b["block"].tolist(), b["heads"], b["places"], b["sums"], strict=True):
                 if block != key:
                     if key is not None:
                         out.append(made())
-                    key, heads, own = block, np.frombuffer(raw, "<i8").reshape(3, -1), part.copy()
+                    key, heads, own = block, np.frombuffer(raw, "<i8").reshape(3, -1), np.frombuffer(sums, "<i8").copy()
                 else:
-                    own += part
+                    at = np.frombuffer(places, "<u2")
+                    own[at] += np.frombuffer(sums, {2: "<u2", 4: "<u4", 8: "<i8"}[len(sums) // len(at)]).astype(np.int64)
             if out:
                 yield pd.concat(out)
         if key is not None:

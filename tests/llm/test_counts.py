@@ -1,6 +1,7 @@
 """Token counts against the library; exact top-k against a full scan."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
@@ -28,6 +29,38 @@ def test_token_count_edges(spark):
     assert token_counts.count_tokens(docs.limit(0), WORD).count() == 0
 
 
+@pytest.mark.parametrize("held", [300, 10**7])
+def test_rows_of_sums_are_no_more_than_rows_of_postings(spark, sf, monkeypatch, held):
+    """With 100 blocks, of which a task's postings of one flush cover few."""
+    monkeypatch.setattr(token_counts, "BLOCK", 2)
+    monkeypatch.setattr(token_counts, "HELD", held)
+    exact = Tokenizer.from_file(WORD)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 200").select("doc_id", "text")
+    # Rare pre-tokens, and one that is in every document but not hot in a block.
+    rows = docs.selectExpr("doc_id as row", "cast(doc_id as string) as doc_id", "0L as n_bytes", "concat(text, ' common', doc_id % 7) as text")
+    dealt = token_counts.frequencies(rows.repartition(8), WORD).repartition(8, "pretoken").sortWithinPartitions("pretoken").persist()
+    made = token_counts.counted(dealt, WORD).persist()
+    postings, sums = dealt.filter("pretoken is not null").count(), made.filter("heads is null").count()
+    assert sums <= postings and (held > 10**6 or sums > 800)
+    assert made.agg({"places": "count"}).first()[0] == sums
+    monkeypatch.undo()
+    monkeypatch.setattr(token_counts, "BLOCK", 2)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, WORD).collect()}
+    assert got == {r.doc_id: len(exact.encode(r.text, add_special_tokens=False).ids) for r in docs.collect()}
+    dealt.unpersist(), made.unpersist()
+
+
+def test_large_frequencies():
+    """Frequencies and sums beyond a byte, two bytes and four."""
+    times = [[1], [255, 1], [256, 1, 2], [1, 1], [70_000]]
+    raw = pd.Series([token_counts.packed(t) for t in times])
+    assert token_counts.frequencies_of(raw, np.array([1, 2, 3, 2, 1])).tolist() == sum(times, [])
+    out = token_counts.merged(np.array([7, 7, 9, 7, 8]), np.array([3, 1, 0, 3, 5], np.uint16), np.array([2, 10, 2**33, 5, 70_000]))
+    kinds = {2: "<u2", 4: "<u4", 8: "<i8"}
+    rows = [(b, np.frombuffer(p, "<u2").tolist(), np.frombuffer(s, kinds[2 * len(s) // len(p)]).tolist()) for b, p, s in zip(out["block"], out["places"], out["sums"], strict=True)]
+    assert rows == [(7, [1, 3], [10, 7]), (8, [5], [70_000]), (9, [0], [2**33])]
+
+
 def full_scan(rows, k):
     vectors = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     asked = {}
