@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ SAMPLE, ROUNDS = 20_000, 12
 RECALL, ASKED, NEAREST = 0.97, 256, 20
 #: Scores that a task holds at once; queries that are sent at once.
 SCORES, QUERIES = 4 << 20, 20_000
+FOUND = "query_id long, doc_id long, score double"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -92,15 +94,21 @@ class VectorIndex:
 
     def search(self, spark: SparkSession, queries: DataFrame, k: int, threshold: float = 0.5, probes: int | None = None, deleted: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score, rank) of the k best found in the ``probes`` nearest cells of each query (query_id,
-        embedding), of which there may be QUERIES: a question's variants, not a table."""
+        embedding). Queries go in blocks of about QUERIES, each read, sent and searched for in one pass over its cells."""
         probes = probes or self.probes
-        asked = usable(queries, "query_id").limit(QUERIES + 1).toPandas()
-        if len(asked) > QUERIES:
-            raise ValueError(f"more than {QUERIES} queries; use the exact search")
-        schema = "query_id long, doc_id long, score double"
-        if not len(asked) or not len(self.centres):
-            return spark.createDataFrame([], schema + ", rank int")
-        ids, q = asked["query_id"].to_numpy(np.int64), unit(np.array(asked["embedding"].tolist(), float))
+        asked, parts = usable(queries, "query_id"), []
+        blocks = max(1, -(-asked.count() // QUERIES))
+        for block in range(blocks if len(self.centres) else 0):
+            own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+            if len(own):
+                parts.append(self.found(spark, own["query_id"].to_numpy(np.int64), unit(np.array(own["embedding"].tolist(), float)), k, threshold, probes, deleted))
+        if not parts:
+            return spark.createDataFrame([], FOUND + ", rank int")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+        return reduce(DataFrame.union, parts).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def found(self, spark: SparkSession, ids: np.ndarray, q: np.ndarray, k: int, threshold: float, probes: int, deleted: DataFrame | None) -> DataFrame:
+        """(query_id, doc_id, score): the best k of each batch of the cells that a block of queries reads."""
         near = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :probes]
         of_cell = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
         sent = spark.sparkContext.broadcast((ids, q, of_cell))
@@ -123,6 +131,4 @@ class VectorIndex:
                         keep = best.ravel() >= threshold
                         yield pd.DataFrame({"query_id": np.repeat(own_ids[asking], at.shape[1])[keep], "doc_id": doc[at].ravel()[keep], "score": best.ravel()[keep]})
 
-        found = rows.select("doc_id", "embedding", "cell").mapInPandas(run, schema)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+        return rows.select("doc_id", "embedding", "cell").mapInPandas(run, FOUND)

@@ -9,17 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import chunking, embedding, fusion, index, search, store
+from docloom.operators import chunking, embedding, fusion, graph, index, postings, search, store
 from docloom.plans.retrieve import Retriever
 from docloom.sources import files
 from docloom.storage import shared_dir, spread, table
-from docloom.streaming import ingest
+from docloom.streaming import ingest, tokens
 
 QUESTIONS = ["启动open-webui的两种方式是什么？", "如何安装docker？", "docker怎么启动", "Spring AI有哪些特点？", "请问如何在k8s中部署redis?", "什么是Spring AI", "是什么意思", "怎么样", "如何", "", "  plain  words, kept ", "email about MySQL and contain", "使用教程 docker compose 部署"]
 VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
 KEYWORDS = ["the", "tion"]
-FILES = ["a/b/report.PDF", "notes.md", "x.tar.gz", "/deep/er/page.html", "plain"]
-SIZES = [0, 1, 10 << 20, (10 << 20) + 1, 50 << 20, (50 << 20) + 1]
 DELETED_FILE = "src3"
 
 
@@ -98,6 +96,14 @@ def vec_topk_index(spark, sf):
     return own.search(spark, v.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "embedding"), 20)
 
 
+@query()
+def vec_topk_graph(spark, sf):
+    """The same questions to the proximity graph of all vectors."""
+    v = vectors(spark, sf)
+    own = graph.GraphIndex.build(v, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    return own.search(spark, v.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "embedding"), 20, deleted=deleted(spark, sf))
+
+
 LIKE = " or ".join(f"lower(text) like '%{k}%'" for k in KEYWORDS)
 
 
@@ -106,6 +112,16 @@ def kw_search(spark, sf):
     return search.keyword_hits(chunks(spark, sf), KEYWORDS, 40)
 
 
+KEYWORD_SETS = [KEYWORDS, ["license"], ["2024"], ["lic_nse%the", "é%ñ"], ["ß", "xyz"]]
+
+
+@query(" union all ".join(f"(select {i} as set_id, doc_id as id from documents where {' or '.join(f"lower(text) like '%{k}%'" for k in ks)} order by doc_id limit 40)" for i, ks in enumerate(KEYWORD_SETS)))
+def kw_search_index(spark, sf):
+    """Common and rare keywords, with and without wildcards, through the index."""
+    own = postings.KeywordIndex.build(chunks(spark, sf), f"{shared_dir(spark)}/keywords-{uuid.uuid4().hex}")
+    return reduce(DataFrame.unionByName, [own.hits(spark, ks, 40).select(F.lit(i).alias("set_id"), "id") for i, ks in enumerate(KEYWORD_SETS)])
+
+
 @query("select doc_id as id, (contains(lower(text), 'the')::int + contains(lower(text), 'tion')::int) as matched from documents")
 def kw_match_count(spark, sf):
     return chunks(spark, sf).select("id", sum(F.contains(F.lower("content"), F.lit(k)).cast("int") for k in KEYWORDS).alias("matched"))
@@ -291,7 +307,8 @@ def sql_trim(x: str) -> str:
 
 
 CLEAN = sql_trim(rf"regexp_replace(regexp_replace(regexp_replace(q, '^({text.LEADING})\s*', ''), '{text.PUNCTUATION.replace(chr(39), chr(39) * 2)}', '', 'g'), '\s+', ' ', 'g')")
-CLEANED = f"cleaned as (select id, q, {CLEAN} as c from (values {VALUES}) t(id, q))"
+ASKED = f"(select * from (values {VALUES}) t(id, q) union all select item_id + 1000, text from benchmark)"
+CLEANED = f"cleaned as (select id, q, {CLEAN} as c from {ASKED})"
 
 
 RESTRUCTURED = f"""case
@@ -303,17 +320,16 @@ RESTRUCTURED = f"""case
 
 @query(f"with {CLEANED} select id, c as cleaned from cleaned")
 def query_clean(spark, sf):
-    return questions(spark).select("id", text.clean_query(F.col("q")).alias("cleaned"))
+    return asked(spark, sf).select("id", text.clean_query(F.col("q")).alias("cleaned"))
 
 
 @query(f"""with {CLEANED},
 made as (select id, q, c, {RESTRUCTURED} as r from cleaned)
 select id, case when {sql_trim("q")} = '' then q when r = c or length(r) < floor(length(c) / 2.0) then c else r end as rewritten from made""")
 def query_rewrite(spark, sf):
-    return questions(spark).select("id", text.rewrite(F.col("q")).alias("rewritten"))
+    return asked(spark, sf).select("id", text.rewrite(F.col("q")).alias("rewritten"))
 
 
-ASKED = f"(select * from (values {VALUES}) t(id, q) union all select item_id + 1000, text from benchmark)"
 TERMS = "[" + ", ".join(f"'{t}'" for t in text.CUSTOM_TERMS) + "]"
 STOPS = "[" + ", ".join(f"'{t}'" for t in dict.fromkeys(text.STOP_WORDS)) + "]"
 FOUND = f"list_filter({TERMS}, lambda t: contains(lower(q), lower(t)))"
@@ -405,27 +421,32 @@ def query_variants(spark, sf):
     return asked(spark, sf).select("id", F.array_join(text.variants(F.col("q"), DROPPED), "|").alias("variants"))
 
 
-PATHS = ", ".join(f"('{f}')" for f in FILES)
+@query("select page_id, url as path, string_split(url, '/')[-1] as name from pages")
+def basename(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.col("url").alias("path"), text.basename(F.col("url")).alias("name"))
 
 
-@query(f"select f as path, string_split(f, '/')[-1] as name from (values {PATHS}) t(f)")
-def basename(spark, sf):
-    return spark.createDataFrame([(f,) for f in FILES], "path string").select("path", text.basename(F.col("path")).alias("name"))
+#: File names of pages: the host's words are suffixes, and so are those that a page's number names.
+NAMED = f"case when page_id % 2 = 0 then url else url || '.' || ['PDF', 'md', 'tar.gz', 'Html', 'txt', 'csv', 'json', 'htm', ''][page_id % 9 + 1] end"
 
 
-@query(f"select f as path, case lower(string_split(f, '.')[-1]) {' '.join(f'''when '{k}' then '{v}' ''' for k, v in text.MIME.items())} else 'application/octet-stream' end as mime_type from (values {PATHS}) t(f)")
+@query(f"select path, case lower(string_split(path, '.')[-1]) {' '.join(f'''when '{k}' then '{v}' ''' for k, v in text.MIME.items())} else 'application/octet-stream' end as mime_type from (select {NAMED} as path from pages)")
 def mime_from_suffix(spark, sf):
-    return spark.createDataFrame([(f,) for f in FILES], "path string").select("path", text.mime_of(F.col("path")).alias("mime_type"))
+    ends = F.array(*map(F.lit, ["PDF", "md", "tar.gz", "Html", "txt", "csv", "json", "htm", ""]))
+    path = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("."), F.get(ends, (F.col("page_id") % 9).cast("int"))))
+    return table(spark, sf, "pages").select(path.alias("path")).select("path", text.mime_of(F.col("path")).alias("mime_type"))
 
 
-@query(f"select n::bigint as file_size, case when n < 1 then 'empty' when n > 52428800 then 'too_large' when n > 10485760 then 'large' else 'ok' end as status from (values {', '.join(f'({n})' for n in SIZES)}) t(n)")
+@query("select doc_id, n as file_size, case when n < 1 then 'empty' when n > 52428800 then 'too_large' when n > 10485760 then 'large' else 'ok' end as status from (select doc_id, (strlen(text) * 4096)::bigint as n from documents)")
 def upload_validation(spark, sf):
-    return files.validated(spark.createDataFrame([(n,) for n in SIZES], "file_size long"))
+    """As if each document were a file of 4096 times its size."""
+    return files.validated(table(spark, sf, "documents").select("doc_id", (F.octet_length("text").cast("long") * 4096).alias("file_size")))
 
 
-@query("select * from (values ('fresh.txt')) t(filename)")
+@query("select distinct 'src' || (item_id % 30) as filename from benchmark where 'src' || (item_id % 30) not in (select source from documents where source is not null)")
 def dup_filename_guard(spark, sf):
-    return files.new_files(spark.createDataFrame([("src0",), ("fresh.txt",), ("src7",)], "filename string"), chunks(spark, sf))
+    incoming = table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 30).alias("filename")).distinct()
+    return files.new_files(incoming, chunks(spark, sf))
 
 
 @query("select label, pos::int as pos, round(avg(x::double), 6) as value from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from embeddings) group by label, pos")
@@ -538,4 +559,18 @@ def stream_ingest(spark, sf):
     return made.select("filename", "chunk_index", "total_chunks", "content")
 
 
+@query("select conv_id || '-' || turn as task_id, ceil(length(coalesce(text, '')) / 7.0)::bigint as n_tokens, coalesce(text, '') as answer from conversations where conv_id is not null and turn is not null")
+def token_stream(spark, sf):
+    """The turns of conversations as answers whose tokens come twice and in any order."""
+    out, text_ = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", F.coalesce("text", F.lit(""))
+    turns = table(spark, sf, "conversations").filter("conv_id is not null and turn is not null").select(F.concat_ws("-", "conv_id", "turn").alias("task_id"), F.regexp_extract_all(text_, F.lit("(?s).{1,7}"), F.lit(0)).alias("t"))
+    sent = turns.select("task_id", F.posexplode("t").alias("seq", "text"), F.lit("token").alias("kind")).unionByName(turns.select("task_id", F.size("t").alias("seq"), F.lit(None).cast("string").alias("text"), F.lit("done").alias("kind")))
+    twice = sent.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", F.xxhash64("task_id", "seq", "kind", "copy"))
+    events = twice.repartition(4, "h").sortWithinPartitions("h").select("task_id", F.col("seq").cast("long").alias("seq"), "kind", "text", F.timestamp_seconds(F.lit(0)).alias("time"))
+    events.write.parquet(f"{out}/events")
+    arriving = spark.readStream.schema(tokens.EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{out}/events")
+    tokens.run(spark, arriving, f"{out}/answers", f"{out}/checkpoint")
+    return tokens.read_answers(spark, f"{out}/answers").filter("event = 'complete'").select("task_id", F.col("place").alias("n_tokens"), F.col("text").alias("answer"))
+
+
 QUERIES = Q
