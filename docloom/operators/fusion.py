@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.pairs import PairScorer
+
 K, BOOST, DEFAULT = 60, 10.0, 1.0
 
 
@@ -46,15 +48,19 @@ def overlap_score(query: Column, passage: Column) -> Column:
     return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(2.0) - F.lit(4.0) * share)), 6)
 
 
-def rerank(docs: DataFrame, query: Column, text: Column, limit: int, mode: str = "by_id", content: str = "content") -> DataFrame:
-    """The best by pair score.
+def rerank(docs: DataFrame, query: Column, text: Column, limit: int, mode: str = "by_id", content: str = "content", scorer: PairScorer | None = None) -> DataFrame:
+    """The best by pair score: the scorer's, or the overlap of words without one.
 
     ``compat`` scores distinct passages, takes the best, and only then goes back to rows by their text: of a passage's
     rows the one with the lowest id stays, and a passage that is no row's ``content`` (a parent's text) is lost.
     """
+    if scorer is None:
+        scored = lambda rows, passage: rows.withColumn("rerank_score", overlap_score(query, passage))
+    else:
+        scored = lambda rows, passage: scorer.score(rows.withColumns({"_q": query, "_p": passage}), "_q", "_p").drop("_q", "_p")
     if mode != "compat":
-        return ranked(docs.withColumn("rerank_score", overlap_score(query, text)), "rerank_score", "id", limit)
-    passages = docs.select(text.alias("_passage")).distinct().withColumn("rerank_score", overlap_score(query, F.col("_passage")))
+        return ranked(scored(docs, text), "rerank_score", "id", limit)
+    passages = scored(docs.select(text.alias("_passage")).distinct(), F.col("_passage"))
     best = passages.orderBy(F.desc("rerank_score"), "_passage").limit(limit)
     back = docs.join(F.broadcast(best), F.col(content) == F.col("_passage"))  # as many rows as asked for
     first = back.withColumn("n", F.row_number().over(Window.partitionBy("_passage").orderBy("id"))).filter("n = 1").drop("n", "_passage")
@@ -69,7 +75,7 @@ def context(ranked_docs: DataFrame, text: str = "ctx") -> DataFrame:
     return numbered.agg(F.array_join(F.transform(parts, lambda s: s["t"]), "").alias("context"))
 
 
-# The rules that go before every question.
+# The rules that go before every question, and the parts of what the question is put into.
 RULES = """你是一个智能助手，必须严格基于提供的参考资料回答用户问题。
 
 重要规则：
@@ -80,8 +86,11 @@ RULES = """你是一个智能助手，必须严格基于提供的参考资料回
 """
 
 
+ASKED, GIVEN, TASK = "问题：", "\n\n参考资料：\n", "\n请基于以上参考资料回答问题：\n"
+
+
 def prompt(question: str, ctx: DataFrame, generate: Column | None = None) -> DataFrame:
     """(system, prompt) for a question and its context; with ``generate``, also the answer that this column (a model's
     function of system and prompt) gives."""
-    out = ctx.select(F.lit(RULES).alias("system"), F.concat(F.lit(f"问题：{question}\n\n参考资料：\n"), F.col("context"), F.lit("\n请基于以上参考资料回答问题：\n")).alias("prompt"))
+    out = ctx.select(F.lit(RULES).alias("system"), F.concat(F.lit(ASKED + question + GIVEN), F.col("context"), F.lit(TASK)).alias("prompt"))
     return out if generate is None else out.withColumn("answer", generate)

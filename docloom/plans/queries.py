@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import chunking, embedding, fusion, graph, index, postings, search, store
+from docloom.operators import chunking, embedding, fusion, graph, index, memo, pairs, postings, search, store, tombstones
 from docloom.plans.retrieve import Retriever
 from docloom.sources import files
 from docloom.storage import shared_dir, spread, table
@@ -243,6 +243,15 @@ def cascade_delete(spark, sf):
     return store.cascade(vectors(spark, sf), deleted(spark, sf)).select("doc_id", F.get("embedding", F.lit(0)).alias("first"))
 
 
+@query(f"select vec_id as doc_id, embedding[1] as first from embeddings where vec_id not in {GONE} and vec_id % 7 <> 0")
+def cascade_delete_bitmaps(spark, sf):
+    """Two deletes as bitmaps of row positions, the table's files left as they are."""
+    own = tombstones.Tombstones(f"{sf}/embeddings.parquet", f"{shared_dir(spark)}/tombstones-{uuid.uuid4().hex}")
+    own.delete(spark, keys=deleted(spark, sf).withColumnRenamed("doc_id", "vec_id"))
+    own.delete(spark, F.col("vec_id") % 7 == 0)
+    return own.read(spark).select(F.col("vec_id").alias("doc_id"), F.get("embedding", F.lit(0)).alias("first"))
+
+
 @query(f"select source as filename, count(*) as n from documents where source <> '{DELETED_FILE}' group by source")
 def delete_by_filename(spark, sf):
     return store.delete_files(chunks(spark, sf), [DELETED_FILE]).groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
@@ -462,6 +471,25 @@ def rerank_overlap(spark, sf):
     return fusion.rerank(chunks(spark, sf), F.lit("the of and tion thing"), F.col("content"), 20).select("id", "rerank_score", "rank")
 
 
+def questions_of(spark, sf):
+    return table(spark, sf, "benchmark").filter(F.col("item_id") % 10 == 0).select("item_id", F.col("text").alias("question"))
+
+
+@query()
+def rerank_pairs(spark, sf):
+    """Every tenth item of the benchmark as a question: of the documents with words of six or more letters in common, the 50
+    with most of them are scored, and the ten best stay."""
+    docs = table(spark, sf, "documents")
+    own = pairs.PairScorer(pairs.Statistics.of(F.col("text"), docs))
+    long = lambda c, n: F.explode(F.array_distinct(F.filter(pairs.words(F.col(c), n), lambda w: F.length(w) > 5))).alias("word")
+    asked = questions_of(spark, sf)
+    common = asked.select("item_id", long("question", pairs.QUESTION)).join(docs.select("doc_id", long("text", pairs.PASSAGE)), "word").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    place = lambda score: F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(score), "doc_id"))
+    near = common.withColumn("place", place("n")).filter("place <= 50").select("item_id", "doc_id")
+    scored = own.score(near.join(asked, "item_id").join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id"))
+    return scored.withColumn("rank", place("rerank_score")).filter("rank <= 10").select("item_id", "doc_id", "rerank_score", "rank")
+
+
 def families(spark, sf):
     """Chunks with parents: a document's first line within its whole text; every third document has no parent, and every
     fifth is its own."""
@@ -535,6 +563,21 @@ def batch_embed(spark, sf):
     return embedding.embed_texts(chunks(spark, sf).select("id", "content"), "content", embedding.hashing_embedder())
 
 
+FILLED = "(select distinct text from {t} where regexp_replace(text, '[\\x00-\\x20]', '', 'g') <> '')"
+
+
+@query(f"""with d as {FILLED.format(t="documents")}, b as {FILLED.format(t="benchmark")}
+select 1::bigint as run, 0::bigint as hits, count(*)::bigint as misses from d
+union all select 2, (select count(*) from d), count(*) from b where text not in (select text from d)""")
+def embed_memo(spark, sf):
+    """The documents' texts, then those and the benchmark's: what the second run finds embedded."""
+    own, of = memo.Memo(f"{shared_dir(spark)}/memo-{uuid.uuid4().hex}"), embedding.hashing_embedder()
+    docs = table(spark, sf, "documents").select("text")
+    own.embed(docs, "text", of, 1)
+    own.embed(docs.union(table(spark, sf, "benchmark").select("text")), "text", of, 2)
+    return own.counts(spark)
+
+
 @query("select vec_id as doc_id, len(embedding) * 4 as n_bytes, true as same from embeddings")
 def vector_codec_roundtrip(spark, sf):
     raw = vectors(spark, sf).withColumn("raw", embedding.encode_vector("embedding"))
@@ -566,7 +609,7 @@ def token_stream(spark, sf):
     turns = table(spark, sf, "conversations").filter("conv_id is not null and turn is not null").select(F.concat_ws("-", "conv_id", "turn").alias("task_id"), F.regexp_extract_all(text_, F.lit("(?s).{1,7}"), F.lit(0)).alias("t"))
     sent = turns.select("task_id", F.posexplode("t").alias("seq", "text"), F.lit("token").alias("kind")).unionByName(turns.select("task_id", F.size("t").alias("seq"), F.lit(None).cast("string").alias("text"), F.lit("done").alias("kind")))
     twice = sent.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", F.xxhash64("task_id", "seq", "kind", "copy"))
-    events = twice.repartition(4, "h").sortWithinPartitions("h").select("task_id", F.col("seq").cast("long").alias("seq"), "kind", "text", F.timestamp_seconds(F.lit(0)).alias("time"))
+    events = twice.repartition(4, "h").sortWithinPartitions("h").select("task_id", F.col("seq").cast("long").alias("seq"), "kind", "text", F.timestamp_seconds(F.lit(1_700_000_000)).alias("time"))
     events.write.parquet(f"{out}/events")
     arriving = spark.readStream.schema(tokens.EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{out}/events")
     tokens.run(spark, arriving, f"{out}/answers", f"{out}/checkpoint")

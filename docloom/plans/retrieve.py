@@ -13,6 +13,7 @@ from docloom.functions import text
 from docloom.operators import fusion, search
 from docloom.operators.graph import GraphIndex
 from docloom.operators.index import VectorIndex
+from docloom.operators.pairs import PairScorer
 from docloom.operators.postings import KeywordIndex
 
 
@@ -28,6 +29,7 @@ class Retriever:
     rerank_top_k: int = 50
     keyword_index: KeywordIndex | None = None
     vector_index: GraphIndex | VectorIndex | None = None
+    pair_scorer: PairScorer | None = None
 
     def keywords(self, question: str) -> list[str]:
         q = F.lit(question)
@@ -59,7 +61,7 @@ class Retriever:
         docs = self.chunks.join(F.broadcast(fused.withColumnRenamed("doc_id", "id")), "id")  # at most 4 k fused rows
         ctx = F.coalesce("parent_content", "content")
         adjusted = fusion.adjust_by_keywords(docs, ctx, words).withColumn("ctx", ctx)
-        return fusion.rerank(adjusted, F.lit(question), F.col("ctx"), self.top_k) if reranking else fusion.ranked(adjusted, "final_score", "id", self.top_k)
+        return fusion.rerank(adjusted, F.lit(question), F.col("ctx"), self.top_k, scorer=self.pair_scorer) if reranking else fusion.ranked(adjusted, "final_score", "id", self.top_k)
 
     def context(self, question: str, query_vectors: list[list[float]]) -> DataFrame:
         return fusion.context(self.search(question, query_vectors))

@@ -101,13 +101,28 @@ def test_streaming_equals_batch(spark, tmp_path):
     os.makedirs(folder)
     for i in range(4):
         (folder / f"f{i}.txt").write_text("\n".join(f"Line {i} {k}. Another one." for k in range(60)))
-    (folder / "empty.txt").write_text("")
+    (folder / "empty.txt").write_text("")  # Spark reads no file without bytes
+    (folder / "blank.txt").write_text(" \n")
     of = embedding.hashing_embedder(16)
     ingest.ingest(spark, str(folder), out, of, files_per_batch=2)
     got = ingest.committed(spark, out, "chunks").select("filename", "chunk_index", "content").collect()
     want = ingest.chunk_rows(files.extracted(files.validated(files.read_files(spark, str(folder))).filter("status = 'ok'")), of).select("filename", "chunk_index", "content").collect()
     assert sorted(got) == sorted(want) and {r.filename for r in got} == {f"f{i}.txt" for i in range(4)}
+    steps = {}
+    for r in ingest.progress(spark, out).orderBy("progress").collect():
+        steps.setdefault(r["task_id"], []).append((r["progress"], r["status"], r["reason"]))
+    assert steps["blank.txt"] == [(10, "READING", "empty"), (100, "REJECTED", "empty")]
+    assert steps["f1.txt"] == [(10, "READING", None), (30, "PARSING", None), (60, "EMBEDDING", None), (70, "STORING", None), (80, "STORED", None), (100, "COMPLETED", None)]
+    # The next run knows names and ids without the chunks of the first.
+    os.rename(tmp_path / "out" / "chunks", tmp_path / "aside")
     (folder / "f9.txt").write_text("New text.")
+    (folder / "deeper").mkdir()
+    (folder / "deeper" / "f1.txt").write_text("A known name.")
     ingest.ingest(spark, str(folder), out, of)
+    own = ingest.committed(spark, out, "chunks").collect()
+    assert [r.filename for r in own] == ["f9.txt"] and own[0]["id"] == len(want)
+    for batch in os.listdir(tmp_path / "aside"):
+        os.rename(tmp_path / "aside" / batch, tmp_path / "out" / "chunks" / batch)
     assert ingest.committed(spark, out, "vectors").count() == len(want) + 1
-    assert ingest.committed(spark, out, "chunks").filter(F.col("filename") == "f9.txt").count() == 1
+    ids = [r["id"] for r in ingest.committed(spark, out, "chunks").select("id").collect()]
+    assert sorted(ids) == list(range(len(want) + 1))
