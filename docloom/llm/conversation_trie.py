@@ -46,7 +46,8 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 def placed(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``turns`` with their range and the place within conversation and range, and (conv_id, range, before, total): the
     turns of the conversation in earlier ranges and in all. A conversation may span any number of ranges."""
-    own = turns.withColumn("row", F.monotonically_increasing_id())
+    # Written, as dealing by range reads its rows twice: texts are read once.
+    own = cut(turns, "hashed").withColumn("row", F.monotonically_increasing_id())
     ranged = cut(own.repartitionByRange("conv_id", F.col("turn").asc_nulls_first(), "digest", "row").withColumn("range", F.spark_partition_id()), "turns")
     slots = ranged.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,8 +112,8 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 def follow(rows: DataFrame, key: str, targets: DataFrame, asked: DataFrame) -> DataFrame:
     """``rows`` joined to ``targets`` (``key`` and more), inner. ``asked`` (``key``, n) tells how many rows ask for each:
     the at most HOT targets that more than a HOT-th of all rows ask for are broadcast, the others meet by shuffle."""
-    total = asked.agg(F.sum("n").alias("total"))
-    hot = asked.join(F.broadcast(total), F.col("n") * HOT > F.col("total")).select(key)
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    hot = asked.filter(F.col("n") * HOT > total).select(key)
     hot = cut(targets.join(F.broadcast(hot), key).withColumn("_hot", F.lit(True)), "hot")
     out = rows.join(F.broadcast(hot.select(key, "_hot")), key, "left")
     few = out.filter("_hot").drop("_hot").join(F.broadcast(hot.drop("_hot")), key)
