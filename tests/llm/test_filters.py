@@ -209,6 +209,22 @@ def test_near_duplicates_against_brute_force(spark, at):
     assert got == {d: (n, c, c == d) for d, (n, c) in want.items()}
 
 
+def test_near_duplicates_without_room_for_flags(spark, sf, rows, monkeypatch):
+    """Wanted texts are semi-joined instead of flagged; extra columns have the names of new ones."""
+    monkeypatch.setattr(near_dup, "FILTER_BITS", 1 << 10)
+    docs = spark.createDataFrame([(*r, "c", 7) for r in rows], DOCS + ", N_Shingles string, component_id int")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()}
+    assert got == brute.near_duplicates(rows)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefabcdef123456", "x", 1), (2, None, "y", 2)], DOCS + ", Spans string, n_hex int")
+    out = {r.doc_id: r for r in secrets.scan_secrets(docs, queries.BYTE_BPE_RANKS, queries.public_tokenizers.PATTERN).collect()}
+    assert out[1].spans.startswith("assign:") and out[2].spans == "" and out[2].n_hex == 0
+    edges = spark.createDataFrame([(1, 2, "x"), (2, 3, "y"), (None, 4, "z")], "a long, b long, component string")
+    assert {(r.node, r.component) for r in components.components(edges).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_near_duplicates_chain_and_edges(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(400)]

@@ -1,9 +1,14 @@
 """The pipeline's stages on rows with nulls, copies, secrets and an empty table; revisit resolution on small records."""
 
+import zlib
+
+import brute
 import corpus_pipeline
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from docloom.llm import warc
+from docloom.llm import queries, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TEXT = "the quick brown fox jumps over the lazy dog and runs away from it all before night falls on the old town"
@@ -36,6 +41,47 @@ def test_empty(spark):
         assert docs.count() == 0
 
 
+def test_stages_against_brute_force(spark, sf):
+    """Each stage on what the plain form of the one before left of a whole small table."""
+    stages, rows = dict(corpus_pipeline.STAGES), [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS).collect()]
+    after = lambda name, own: {r.doc_id: r for r in stages[name](spark, spark.createDataFrame(own, SCHEMA), sf).collect()}
+    plain = brute.Language()
+    plain.learn((t, lang) for _, t, lang, _, _ in rows)
+    said = {r[0]: plain.predict(r[1]) for r in rows}
+    sure = {d for d, (lang, score) in said.items() if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
+    assert set(after("language_id", rows)) == sure
+    rows = [r for r in rows if r[0] in sure]
+    texts = brute.kept_lines([r[:2] for r in rows])
+    assert {d: r.text for d, r in after("dedup_lines", rows).items()} == texts
+    rows = [(d, texts[d], lang, source, len(texts[d])) for d, _, lang, source, _ in rows]
+    component = {d: c for d, (_, c) in brute.near_duplicates([r[:2] for r in rows]).items()}
+    assert set(after("near_duplicates", rows)) == {d for d, c in component.items() if d == c}
+    rows = [r for r in rows if component[r[0]] == r[0]]
+    got = after("secret_scan", rows)
+    assert set(got) == {r[0] for r in rows}
+    clean = {r[0] for r in rows if not brute.base_spans(r[1])}
+    for d, text, *_ in rows:
+        if d not in clean:
+            assert not brute.base_spans(got[d].text), "no base secret is left"
+    assert len(clean) > 100 and sum(got[d].text == t for d, t, *_ in rows if d in clean) >= len(clean) - 3
+    rows, exact = [tuple(got[r[0]]) for r in rows], Tokenizer.from_file(queries.BYTE_BPE)
+    pieces = {}
+    for r in stages["pack_sequences"](spark, spark.createDataFrame(rows, SCHEMA), sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    for d, text, *_ in rows:
+        ids = np.array([*exact.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert [(r.start, r.ids_crc32) for r in sorted(pieces[d], key=lambda r: r.piece)] == [(r.start, zlib.crc32(ids[r.start : r.start + r.length].tobytes())) for r in sorted(pieces[d], key=lambda r: r.piece)]
+        assert sum(r.length for r in pieces[d]) == len(ids)
+
+
+def test_long_white_space(spark):
+    """A million spaces pass all stages."""
+    docs = spark.createDataFrame([*rows(), (50, TEXT + " " * 1_000_000 + "and the end of it", "en", "a", 0)], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert sum(r.length for r in docs.collect() if r.doc_id == 50) > 900_000
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
