@@ -50,12 +50,16 @@ def clean_query(c: Column) -> Column:
     return trim_all(F.regexp_replace(F.regexp_replace(out, PUNCTUATION, ""), r"\s+", " "))
 
 
+# Question words that a statement goes without, and how a question for a thing ends.
+HOW, WHAT = "(如何|怎么样|怎么|怎样)", "(是什么|是什么意思)[？?]?$"
+
+
 def restructure(c: Column) -> Column:
     """A question as a statement: question words removed by the first rule that applies."""
     has = lambda *ws: reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in ws])
     return (
-        F.when(has("如何", "怎么样", "怎么", "怎样"), trim_all(F.regexp_replace(c, "(如何|怎么样|怎么|怎样)", "")))
-        .when(has("是什么"), trim_all(F.regexp_replace(c, "(是什么|是什么意思)[？?]?$", "")))
+        F.when(has("如何", "怎么样", "怎么", "怎样"), trim_all(F.regexp_replace(c, HOW, "")))
+        .when(has("是什么"), trim_all(F.regexp_replace(c, WHAT, "")))
         .when(has("有哪些", "是哪些"), trim_all(F.regexp_replace(c, f"({LIST_ENDINGS})[？?]?$", "")))
         .otherwise(c)
     )

@@ -81,7 +81,3 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     """(key, pos, value): the mean of each component."""
     each = vectors.select(key, F.posexplode("embedding").alias("pos", "x"))
     return each.groupBy(key, "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("value"))
-
-
-def is_zero(v: Column) -> Column:
-    return F.forall(v, lambda x: x == 0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import chunking, embedding, fusion, graph, index, memo, pairs, postings, search, store, tombstones
+from docloom.operators import chunking, cooccurrence, embedding, fusion, graph, index, memo, pairs, postings, search, store, tombstones
 from docloom.plans.retrieve import Retriever
 from docloom.sources import files
 from docloom.storage import shared_dir, spread, table
@@ -563,6 +563,13 @@ def batch_embed(spark, sf):
     return embedding.embed_texts(chunks(spark, sf).select("id", "content"), "content", embedding.hashing_embedder())
 
 
+@query()
+def batch_embed_learned(spark, sf):
+    """The documents' texts by an embedder that is learned from all of them."""
+    own = cooccurrence.embedder(cooccurrence.fit(table(spark, sf, "documents"), "text", dim=32), 32)
+    return embedding.embed_texts(chunks(spark, sf).select("id", "content"), "content", own)
+
+
 FILLED = "(select distinct text from {t} where regexp_replace(text, '[\\x00-\\x20]', '', 'g') <> '')"
 
 

@@ -164,3 +164,22 @@ def test_index_recall(spark, at):
     exact = {(r.query_id, r.doc_id) for r in core.vec_multi_query_topk(spark, at).collect()}
     found = {(r.query_id, r.doc_id) for r in core.vec_topk_index(spark, at).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_split_documents_takes_the_set_up_way(spark, sf):
+    docs = core.chunks(spark, sf).limit(20)
+    of = embedding.hashing_embedder()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(chunking.split_documents(docs, of)) == rows(chunking.hierarchical_chunks(docs, of))
+    assert rows(chunking.split_documents(docs, semantic=False)) == rows(chunking.fixed_chunks(docs))
+    with pytest.raises(ValueError):
+        chunking.split_documents(docs)
+
+
+def test_table_functions(spark):
+    chunking.register_functions(spark)
+    text = "\n".join(f"line {i} of a text" for i in range(40))
+    for name, of in (("chunk_lines", chunking.packed_lines), ("chunk_sentences", lambda t, n, o: chunking.fixed_groups(t.split("\n"), n, o))):
+        got = spark.sql(f"select * from {name}('{text}', 30, 5)").orderBy("chunk_index").collect()
+        assert [(r.chunk_index, r.content) for r in got] == list(enumerate(of(text, 30, 5))) and len(got) > 3
+        assert spark.sql(f"select * from {name}('', 30, 5)").count() == 0
