@@ -32,10 +32,10 @@ from docloom.operators.index import unit, usable
 SHARD_BYTES, SHARD_ROWS = 16 << 20, 32_768
 DEGREE, ALPHA, CANDIDATES = 24, 1.2, 96
 #: Share of the nearest ones to find, how many are looked for, and of how many vectors, when a width is measured.
-RECALL, NEAREST, ASKED = 0.96, 20, 48
+RECALL, NEAREST, ASKED = 0.955, 20, 48
 PIVOTS = 64
-#: Nodes of a query that are followed at once; queries that walk together, and are sent together.
-STEP, WALKERS, QUERIES = 2, 256, 20_000
+#: Part of its width that a query follows at once; queries that walk together, and are sent together.
+STEP, WALKERS, QUERIES = 1 / 16, 256, 20_000
 SHARD = "shard long, width int, dim int, ids binary, nodes binary, vectors binary, links binary, pivots binary"
 FOUND = "query_id long, doc_id long, score double, scored long"
 
@@ -120,7 +120,7 @@ def walked(x: np.ndarray, links: np.ndarray, pivots: np.ndarray, q: np.ndarray,
         if not len(open_):
             return who, node, score, scored
         first = np.searchsorted(who[open_], np.arange(len(q)))
-        open_ = open_[np.arange(len(open_)) - first[who[open_]] < STEP]
+        open_ = open_[np.arange(len(open_)) - first[who[open_]] < max(2, STEP * width)]
         done[open_] = True
         to, by = links[node[open_]].astype(np.int64), np.repeat(who[open_], links.shape[1])
         key = np.unique((by * len(x) + to.ravel())[to.ravel() >= 0])
@@ -203,7 +203,7 @@ class GraphIndex:
         most = shard_rows or max(64, min(SHARD_ROWS, SHARD_BYTES // (4 * (dim or 1) + 8 * DEGREE + 12)))
         shards = max(1, math.ceil(n / most))
         dealt = rows.select("doc_id", "embedding", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-        near = min(NEAREST, math.ceil(1.5 * NEAREST / shards))  # a shard's part of the best, and some more
+        near = min(NEAREST, math.ceil(1.2 * NEAREST / shards))  # a shard's part of the best, and some more
         dealt.groupBy("shard").applyInPandas(lambda pdf: shard_of(pdf, near), SHARD).write.mode("overwrite").parquet(path)
         return cls(path, shards)
 

@@ -1,6 +1,7 @@
 """The jobs: what they write, two runs over growing input, and their command lines."""
 
 import json
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -123,7 +124,7 @@ def test_command_line(spark, sf, tmp_path, job):
     own = {"passage_store": {"documents": f"{sf}/documents.parquet", "out": f"{tmp_path}/out", "checkpoint": f"{tmp_path}/marks"}}
     own["purge"] = {"documents": f"{sf}/documents.parquet", "labels": f"{sf}/labels.parquet", "embeddings": f"{sf}/embeddings.parquet", "out": f"{tmp_path}/out"}
     command = [sys.executable, "-m", f"jobs.{job}", "--config", f"jobs/{job}.json", *[x for k, v in own[job].items() for x in (f"--{k}", v)]]
-    done = subprocess.run(command, cwd=ROOT, capture_output=True, text=True, timeout=300)
+    done = subprocess.run(command, cwd=ROOT, capture_output=True, text=True, timeout=300, env={**os.environ, "PYSPARK_SUBMIT_ARGS": "--master local[4] --conf spark.sql.shuffle.partitions=4 pyspark-shell"})
     assert done.returncode == 0, done.stderr[-3000:]
     assert "wrote" in done.stderr and "read" in done.stderr
     if job == "purge":

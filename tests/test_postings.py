@@ -47,12 +47,11 @@ def made(spark, tmp_path_factory):
 KEYWORDS = [["zebra"], ["ZEBRA"], ["zebra", "日本the"], ["zeb%cross"], ["z_bra"], ["zebra%zebra"], ["the"], ["on"], ["x\\_y"], ["x_y"], ["50\\%"], ["b\\\\c"], ["absent"], ["absent", "ti"], ["%"], ["_"], ["ä日本"], ["cross%zebra"], ["ononon", "tititi"]]
 
 
-@pytest.mark.parametrize("limit", [5, 10_000])
-@pytest.mark.parametrize("named", [0, 3, 200])
+@pytest.mark.parametrize(("named", "limit"), [(0, 5), (3, 10_000), (200, 5)])
 def test_hits_equal_the_scan(spark, made, monkeypatch, named, limit):
     monkeypatch.setattr(postings, "NAMED", named)
     chunks, index = made
-    for keywords in KEYWORDS if named == 3 else KEYWORDS[:6]:
+    for keywords in KEYWORDS if named == 3 else KEYWORDS[:3]:
         want = [r.id for r in search.keyword_hits(chunks.filter("id is not null"), keywords, limit).collect()]
         assert [r.id for r in index.hits(spark, keywords, limit).collect()] == want, keywords
     assert index.hits(spark, [], limit).count() == 0
