@@ -49,7 +49,7 @@ def labelled(spark):
     asked = F.array_join(F.filter(pairs.words(F.substring("text", 120, 180), 60), lambda w, i: (i > 0) & (i % 3 < 2)), " ")
     first = F.lead("text").over(core.search.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id")))
     rows = docs.select("doc_id", asked.alias("question"), F.array(F.struct(F.lit(1).alias("label"), F.col("text").alias("passage")), F.struct(F.lit(0).alias("label"), first.alias("passage"))).alias("p"))
-    return docs, rows.filter("p[1].passage is not null and p[1].passage <> p[0].passage").select("doc_id", "question", F.explode("p").alias("p")).select("doc_id", "question", "p.label", "p.passage").filter("doc_id % 3 < 2").repartition(8).persist()
+    return docs, rows.filter("p[1].passage is not null and p[1].passage <> p[0].passage").select("doc_id", "question", F.explode("p").alias("p")).select("doc_id", "question", "p.label", "p.passage").repartition(8).persist()
 
 
 def right(scored):
