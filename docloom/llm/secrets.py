@@ -10,10 +10,13 @@ that a name or path in front of a key is not averaged with it. Its characters pe
 - letters and digits that alternate are reported where the whole run stays at or below ``max_ratio``, too;
 - letters alone, and runs that look like names with numbers (no stretch changes between letters and digits more than twice),
   are reported where their letters stay at or below a stricter ratio: SAME_CASE for letters of one case, which come close
-  to unusual words (the least of 10,393 clean words of check_s is 1.6), MIXED_CASE for others.
+  to unusual words (the least of 10,393 clean words of check_s is 1.6), MIXED_CASE for others;
+- capitals alone are reported up to CAPITALS, if in small letters they are packed that badly, too: the vocabulary has few
+  pieces in capitals, so that words in capitals have a low ratio, but a high one in small letters.
 
-Left out: UUIDs; hexadecimal strings with the length of a common digest (32, 40, 56, 64, 96 or 128 digits); names with
-numbers that have fewer than 4 letters (dates, card numbers); runs already inside a base span.
+Left out: UUIDs; hexadecimal strings with the length of a common digest (32, 40, 56, 64, 96 or 128 digits), also behind
+``0x``; timestamps (20240115T123045Z); sequences in the letters of nucleotides or amino acids; names with numbers that have
+fewer than 4 letters (dates, card numbers); runs already inside a base span.
 
 Spans are (kind, start, end), code points, end exclusive, over the whole text. Base spans come from leftmost
 non-overlapping matches per kind; matches that are too short are dropped after matching. Defined results: a null text
@@ -44,11 +47,13 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SHORTEST = 16
 #: Stretches between marks; a UUID is one of them.
 STRETCH = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])|[A-Za-z0-9]+")
-DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
+DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+|0x[0-9a-fA-F]+)")
+STAMP = re.compile(r"(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])T[0-9]{6,9}Z?")
+SEQUENCE = re.compile(r"[ACGTUN]+|[ACDEFGHIKLMNPQRSTVWY]+")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 LETTERS = re.compile(r"[A-Za-z]+")
-SAME_CASE, MIXED_CASE = 1.5, 1.8
+SAME_CASE, MIXED_CASE, CAPITALS = 1.5, 1.8, 1.89
 PIECES = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
@@ -74,7 +79,11 @@ def is_random(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
     letters = "".join(words)
     if not letters:
         return False
-    ratio = len(letters) / sum(len(encoding.encode_ordinary(w)) for w in words)
+    of = lambda words: len(letters) / sum(len(encoding.encode_ordinary(w)) for w in words)
+    ratio = of(words)
+    if run == letters and run.isupper():
+        least = min(max_ratio, CAPITALS)
+        return not SEQUENCE.fullmatch(run) and ratio <= least and of([run.lower()]) <= least
     if looks_named(run):
         same = all(w.islower() or w.isupper() or w.istitle() for w in words)
         return len(letters) >= 4 and ratio <= min(max_ratio, SAME_CASE if same else MIXED_CASE)
@@ -82,7 +91,10 @@ def is_random(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
 
 
 def is_digest(run: str) -> bool:
-    return bool(UUID.fullmatch(run)) or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) is not None)
+    """Whether a run is a UUID, a timestamp or has the form of a digest."""
+    if UUID.fullmatch(run) or STAMP.fullmatch(run):
+        return True
+    return len(run.removeprefix("0x")) in DIGEST_LENGTHS and DIGEST.fullmatch(run) is not None
 
 
 def vocabulary(path: str, pattern: str) -> tiktoken.Encoding:

@@ -90,7 +90,17 @@ def random_spans(text, base, n_tokens, max_ratio):
     def named(x):
         return all(changes(y) <= 2 for y in re.split(r"[+/_=-]", x))
 
+    def stamp(x):
+        y = x.removesuffix("Z")
+        if not (len(y) in range(15, 19) and y[8] == "T" and (y[:8] + y[9:]).isdigit()):
+            return False
+        return y[:2] in ("19", "20") and 1 <= int(y[4:6]) <= 12 and 1 <= int(y[6:8]) <= 31
+
     def digest(x):
+        if stamp(x):
+            return True
+        if x[:2] == "0x":
+            return len(x) - 2 in (32, 40, 56, 64, 96, 128) and set(x[2:]) <= set("0123456789abcdefABCDEF")
         one_case = set(x) <= set("0123456789abcdef") or set(x) <= set("0123456789ABCDEF")
         return len(x) in (32, 40, 56, 64, 96, 128) and one_case
 
@@ -146,7 +156,10 @@ def random_spans(text, base, n_tokens, max_ratio):
                 if len(x) < 16 or max(h - l for l, h in own) < 6 or not n:
                     continue
                 ratio = n / sum(map(n_tokens, words))
-                if named(x):
+                if x.isalpha() and x.isupper():
+                    sequence = set(x) <= set("ACGTUN") or set(x) <= set("ACDEFGHIKLMNPQRSTVWY")
+                    hit = not sequence and ratio <= 1.89 and n / n_tokens(x.lower()) <= 1.89
+                elif named(x):
                     one = all(w.islower() or w.isupper() or (w[0].isupper() and not any(c.isupper() for c in w[1:])) for w in words)
                     hit = n >= 4 and ratio <= (1.5 if one else 1.8)
                 else:
