@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import search, store
+from docloom.storage import table_exists
 
 BLOCK_ROWS, PARTS, BUCKETS = 128, 1024, 64
 #: Postings that a task sorts at once; candidate blocks that a filter names one by one.
@@ -167,3 +169,53 @@ class KeywordIndex:
         if not keywords:
             return self.texts(spark).select("id").limit(0)
         return search.keyword_hits(self.narrowed(spark, keywords), keywords, limit)
+
+
+@dataclass
+class GrowingIndex:
+    """A keyword index of a store that grows: a ``KeywordIndex`` for each batch, made of that batch's rows alone.
+
+    ``path``: the indexes, and ``segments`` (first, last, blocks), whose rows name the ones to search. A batch that is added
+    again replaces itself. ``merge`` makes one index of all; a segment within another's batches is searched no more.
+    """
+
+    path: str
+
+    def segment(self, first: int, last: int) -> str:
+        return f"{self.path}/from={first}-to={last}"
+
+    def add(self, chunks: DataFrame, first: int, last: int | None = None) -> None:
+        """Index ``chunks`` (id, content) as the batch ``first``, or as those up to ``last``."""
+        last = first if last is None else last
+        made = KeywordIndex.build(chunks, self.segment(first, last))
+        mark = chunks.sparkSession.createDataFrame([(first, last, made.blocks)], "first long, last long, blocks long")
+        mark.write.mode("overwrite").parquet(f"{self.path}/segments/mark={first}-{last}")
+
+    def segments(self, spark: SparkSession) -> list[tuple[int, int, int]]:
+        if not table_exists(spark, f"{self.path}/segments"):
+            return []
+        marks = [(r["first"], r["last"], r["blocks"]) for r in spark.read.parquet(f"{self.path}/segments").collect()]
+        widest, live = -1, []
+        for first, last, blocks in sorted(marks, key=lambda m: (m[0], -m[1])):
+            if last > widest:
+                live.append((first, last, blocks))
+                widest = last
+        return live
+
+    def indexes(self, spark: SparkSession) -> list[KeywordIndex]:
+        return [KeywordIndex(self.segment(first, last), blocks) for first, last, blocks in self.segments(spark)]
+
+    def merge(self, spark: SparkSession) -> None:
+        """One index in place of all; the batches that it is made of stay where they are, unread."""
+        live = self.segments(spark)
+        if len(live) > 1:
+            whole = reduce(DataFrame.unionByName, [i.texts(spark).select("id", "content") for i in self.indexes(spark)])
+            self.add(whole, live[0][0], live[-1][1])
+
+    def hits(self, spark: SparkSession, keywords: list[str], limit: int, deleted: DataFrame | None = None) -> DataFrame:
+        """What ``search.keyword_hits`` gives for all batches, without the ``deleted`` (id)."""
+        texts = [i.narrowed(spark, keywords) if keywords else i.texts(spark) for i in self.indexes(spark)]
+        if not texts:
+            return spark.createDataFrame([], "id long")
+        rows = reduce(DataFrame.unionByName, [t.select("id", "content") for t in texts])
+        return search.keyword_hits(rows if deleted is None else rows.join(deleted.select("id"), "id", "left_anti"), keywords, limit)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.storage import cut
+from docloom.storage import cut, table_exists
 
 
 def delete_files(chunks: DataFrame, filenames: list[str]) -> DataFrame:
     return chunks.filter(~F.col("filename").isin(filenames) | F.col("filename").isNull())
 
 
+def delete_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Chunks without those whose id is in ``ids`` (id)."""
+    return chunks.join(ids.select("id"), "id", "left_anti")
+
+
 def cascade(vectors: DataFrame, deleted_ids: DataFrame) -> DataFrame:
     """Vectors without those of deleted chunks (doc_id)."""
     return vectors.join(deleted_ids, "doc_id", "left_anti")
@@ -81,3 +86,30 @@ def with_vectors(rows: DataFrame) -> DataFrame:
 def append(df: DataFrame, path: str, batch_id: int) -> None:
     """One batch in a folder of its own: written again, it replaces itself."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The rows of the batches before one; None where there is no table yet."""
+    if not table_exists(spark, path):
+        return None
+    return spark.read.parquet(path).filter(F.col("batch") < batch_id).drop("batch")
+
+
+def insert(rows: DataFrame, out: str, batch_id: int, order: list[str]) -> None:
+    """Insert ``rows``, which have an ``embedding`` or null, as one batch into ``chunks`` and ``vectors`` in the folder ``out``.
+
+    Ids go on from the highest of the batches before it, in the given order; rows without an embedding are chunks only. A
+    batch that runs again gets the same ids and replaces itself.
+    """
+    first = next_id(earlier(rows.sparkSession, f"{out}/chunks", batch_id))
+    made = cut(with_ids(rows, order, first), "inserted")
+    append(made.drop("embedding"), f"{out}/chunks", batch_id)
+    append(with_vectors(made.select(F.col("id").alias("doc_id"), "embedding")), f"{out}/vectors", batch_id)
+
+
+def insert_new(vectors: DataFrame, path: str, batch_id: int) -> None:
+    """Insert those of ``vectors`` (doc_id, embedding) that no batch before it holds. Null ids and null vectors are left out;
+    of several vectors with one id the least is taken."""
+    fresh = with_vectors(vectors).filter("doc_id is not null").groupBy("doc_id").agg(F.min("embedding").alias("embedding"))
+    before = earlier(vectors.sparkSession, path, batch_id)
+    append(fresh if before is None else fresh.join(before.select("doc_id"), "doc_id", "left_anti"), path, batch_id)

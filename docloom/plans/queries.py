@@ -38,6 +38,10 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int) -> list[float]:
     return list(row["embedding"]) if row else []
 
 
+def toxic(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+
+
 def deleted(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).filter(F.col("filename") == DELETED_FILE).select(F.col("id").alias("doc_id"))
 
@@ -122,6 +126,19 @@ def kw_search_index(spark, sf):
     return reduce(DataFrame.unionByName, [own.hits(spark, ks, 40).select(F.lit(i).alias("set_id"), "id") for i, ks in enumerate(KEYWORD_SETS)])
 
 
+@query(f"select id from (select doc_id as id from documents where (lower(text) like '%the%' or lower(text) like '%tion%') and doc_id not in (select doc_id from labels where toxic = 1) order by doc_id limit 40)")
+def kw_search_growing(spark, sf):
+    """The documents come in three batches by source, one of them twice; the first two become one index before the last
+    comes. Toxic ones are deleted."""
+    own = postings.GrowingIndex(f"{shared_dir(spark)}/growing-{uuid.uuid4().hex}")
+    part = F.pmod(F.xxhash64(F.coalesce("filename", F.lit(""))), F.lit(3))
+    for batch in (0, 1, 1, 2):
+        own.add(chunks(spark, sf).filter(part == batch), batch)
+        if batch == 1:
+            own.merge(spark)
+    return own.hits(spark, KEYWORDS, 40, toxic(spark, sf))
+
+
 @query("select doc_id as id, (contains(lower(text), 'the')::int + contains(lower(text), 'tion')::int) as matched from documents")
 def kw_match_count(spark, sf):
     return chunks(spark, sf).select("id", sum(F.contains(F.lower("content"), F.lit(k)).cast("int") for k in KEYWORDS).alias("matched"))
@@ -262,6 +279,33 @@ def compact_renumber(spark, sf):
     return store.compact(vectors(spark, sf), deleted(spark, sf))
 
 
+@query("select doc_id as id, source as filename from documents where doc_id is null or doc_id not in (select doc_id from labels where toxic = 1 and doc_id is not null)")
+def delete_by_id(spark, sf):
+    return store.delete_ids(chunks(spark, sf), toxic(spark, sf)).select("id", "filename")
+
+
+@query(f"""with r as (select d.doc_id, d.source, (coalesce(d.source, '') = '{DELETED_FILE}')::int as batch, v.embedding is not null as has_vector from documents d left join embeddings v on v.vec_id = d.doc_id)
+select row_number() over (order by batch, doc_id) - 1 as id, doc_id, source as filename, has_vector from r""")
+def insert_batches(spark, sf):
+    """Documents with their vectors in two batches, the second one twice: dense ids, and vectors of those that have one."""
+    out = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = chunks(spark, sf).withColumnRenamed("id", "doc_id").join(vectors(spark, sf), "doc_id", "left")
+    for batch in (0, 1, 1):
+        store.insert(rows.filter((F.coalesce("filename", F.lit("")) == DELETED_FILE).cast("int") == batch), out, batch, ["doc_id"])
+    held = spark.read.parquet(f"{out}/vectors").select(F.col("doc_id").alias("id"), F.lit(True).alias("has_vector"))
+    return spark.read.parquet(f"{out}/chunks").join(held, "id", "left").select("id", "doc_id", "filename", F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
+
+
+@query(f"select vec_id as doc_id, (vec_id not in (select doc_id from documents where source = '{DELETED_FILE}' and doc_id is not null))::int as batch from embeddings where vec_id is not null and embedding is not null")
+def insert_new_vectors(spark, sf):
+    """The vectors of one file, then all of them twice: those that are held don't come again."""
+    path, v = f"{shared_dir(spark)}/held-{uuid.uuid4().hex}", vectors(spark, sf)
+    store.insert_new(v.join(deleted(spark, sf), "doc_id", "left_semi"), path, 0)
+    for _ in range(2):
+        store.insert_new(v.unionByName(v), path, 1)
+    return spark.read.parquet(path).select("doc_id", F.col("batch").cast("int").alias("batch"))
+
+
 @query(f"select vec_id as doc_id, row_number() over (order by vec_id) - 1 as node_id from embeddings where embedding is not null and vec_id in (select doc_id from documents where source <> '{DELETED_FILE}' or source is null)")
 def compact_with_orphans(spark, sf):
     return store.compact_tables(chunks(spark, sf), vectors(spark, sf), deleted(spark, sf))[1].select("doc_id", "node_id")
@@ -596,17 +640,29 @@ def html_to_text(spark, sf):
     return files.html_column(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "text")
 
 
-@query()
-def stream_ingest(spark, sf):
-    """The pages as a stream of files: chunks of all committed batches."""
+def ingested(spark: SparkSession, sf: str) -> str:
+    """The folder of a store that took the pages as a stream of files."""
     pages = f"{sf}/pages.parquet"
     # A pattern, as a stream takes a path without one for a folder.
     raw = spark.readStream.schema(spark.read.parquet(pages).schema).parquet(f"{sf}/pages.parque[t]")
     files_ = raw.filter("html is not null").select(F.format_string("page%d.html", "page_id").alias("path"), F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"))
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     ingest.ingest_stream(spark, files_, out, embedding.hashing_embedder())
-    made = ingest.committed(spark, out, "chunks")
-    return made.select("filename", "chunk_index", "total_chunks", "content")
+    return out
+
+
+@query()
+def stream_ingest(spark, sf):
+    """Chunks of all committed batches."""
+    return ingest.committed(spark, ingested(spark, sf), "chunks").select("filename", "chunk_index", "total_chunks", "content")
+
+
+@query(r"""with p as (select 'page' || page_id || '.html' as task_id, regexp_replace(html, '<[^>]*>|\s', '', 'g') <> '' as kept from pages where html is not null),
+steps as (select * from (values (10, 'READING', null), (30, 'PARSING', true), (60, 'EMBEDDING', true), (70, 'STORING', true), (80, 'STORED', true), (100, 'COMPLETED', true), (100, 'REJECTED', false)) s(progress, status, wanted))
+select task_id, progress, status from p join steps on wanted is null or wanted = kept""")
+def ingest_progress(spark, sf):
+    """What a client sees of every file: a row per step."""
+    return ingest.progress(spark, ingested(spark, sf)).select("task_id", "progress", "status")
 
 
 @query("select conv_id || '-' || turn as task_id, ceil(length(coalesce(text, '')) / 7.0)::bigint as n_tokens, coalesce(text, '') as answer from conversations where conv_id is not null and turn is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking, embedding, store
+from docloom.operators.postings import GrowingIndex
 from docloom.sources import files
 from docloom.storage import table_exists
 
@@ -23,11 +24,11 @@ def chunk_rows(texts: DataFrame, embedder) -> DataFrame:
     return embedding.embed_texts(rows, "content", embedder)
 
 
-def ingest(spark: SparkSession, folder: str, out: str, embedder, files_per_batch: int = 100):
+def ingest(spark: SparkSession, folder: str, out: str, embedder, files_per_batch: int = 100, index: GrowingIndex | None = None):
     """Process what lies in ``folder`` and return the finished query. A batch that runs again replaces itself, and a
     file name that an earlier batch stored is skipped."""
     raw = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return ingest_stream(spark, raw, out, embedder)
+    return ingest_stream(spark, raw, out, embedder, index)
 
 
 def read_once(raw: DataFrame) -> DataFrame:
@@ -43,12 +44,13 @@ def read_once(raw: DataFrame) -> DataFrame:
     return judged.withColumn("_key", F.when(F.col("reason").isNull(), F.col("filename")).otherwise(F.concat("filename", F.lit("/"), F.expr("uuid()")))).dropDuplicates(["_key"]).drop("_key")
 
 
-def ingest_stream(spark: SparkSession, raw: DataFrame, out: str, embedder):
+def ingest_stream(spark: SparkSession, raw: DataFrame, out: str, embedder, index: GrowingIndex | None = None):
     """The same for any stream of (path, length, content).
 
     Tables written: ``chunks`` with dense ids from 0 on, ``vectors`` of those that have one, ``progress`` (a row per
     file and step: task_id, progress, status, reason, timestamp in ms) and ``commits``, whose marks make a batch visible
-    and say which id comes next, so that a batch reads nothing of earlier ones but the last mark.
+    and say which id comes next, so that a batch reads nothing of earlier ones but the last mark. An ``index`` takes a
+    batch's chunks once they are visible; a batch that fails there runs again as a whole.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -71,6 +73,8 @@ def ingest_stream(spark: SparkSession, raw: DataFrame, out: str, embedder):
             mark(STORED, "STORED", kept)
             n = spark.read.parquet(f"{out}/chunks/batch={batch_id}").count()
             store.append(spark.createDataFrame([(batch_id, first + n)], "batch_id long, next_id long"), f"{out}/commits", batch_id)
+            if index is not None:
+                index.add(spark.read.parquet(f"{out}/chunks/batch={batch_id}").select("id", "content"), batch_id)
             mark(DONE, "COMPLETED", kept)
         finally:
             seen.unpersist()

@@ -80,3 +80,27 @@ def test_rare_words_of_documents(spark, tmp_path):
     for keywords, most in ((["2024"], 0.1), (["qqqqq"], 0.0)):
         assert size(index.narrowed(spark, keywords)) <= most * size(chunks)
         assert [r.id for r in index.hits(spark, keywords, 40).collect()] == [r.id for r in search.keyword_hits(chunks, keywords, 40).collect()]
+
+
+def test_growing_index(spark, tmp_path, made):
+    """Batches, one of them again with other rows, merged and grown on: what a scan of the rows finds."""
+    chunks, _ = made
+    own, limit = postings.GrowingIndex(f"file://{tmp_path}/growing"), 10_000
+    assert own.hits(spark, ["zebra"], limit).count() == 0
+    found = lambda ks, deleted=None: [r.id for r in own.hits(spark, ks, limit, deleted).collect()]
+    wanted = lambda rows, ks: [r.id for r in search.keyword_hits(rows.filter("id is not null"), ks, limit).collect()]
+    parts = [chunks.filter("id < 600"), chunks.filter("id between 600 and 3000"), chunks.filter("id > 3000")]
+    own.add(parts[0], 0)
+    own.add(parts[2], 1)
+    own.add(parts[1], 1)  # the batch again: it replaces itself
+    for ks in (["zeb%cross", "absent"],):
+        assert found(ks) == wanted(chunks.filter("id <= 3000"), ks)
+    own.merge(spark)
+    own.add(parts[2], 2)
+    own.add(chunks.limit(0), 3)
+    assert [s[:2] for s in own.segments(spark)] == [(0, 1), (2, 2), (3, 3)]
+    gone = spark.createDataFrame([(602,), (4000,)], "id long")
+    for ks in (["zeb"], ["the"]):
+        assert found(ks) == wanted(chunks, ks)
+        assert found(ks, gone) == [i for i in wanted(chunks, ks) if i not in (602, 4000)]
+    assert found([]) == []

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from docloom.operators import embedding, fusion, store
+from docloom.operators import embedding, fusion, postings, search, store
 from docloom.plans import queries as core
 from docloom.plans.retrieve import Retriever
 from docloom.sources import files
@@ -104,7 +104,8 @@ def test_streaming_equals_batch(spark, tmp_path):
     (folder / "empty.txt").write_text("")  # Spark reads no file without bytes
     (folder / "blank.txt").write_text(" \n")
     of = embedding.hashing_embedder(16)
-    ingest.ingest(spark, str(folder), out, of, files_per_batch=2)
+    own_index = postings.GrowingIndex(f"{out}/keywords")
+    ingest.ingest(spark, str(folder), out, of, files_per_batch=2, index=own_index)
     got = ingest.committed(spark, out, "chunks").select("filename", "chunk_index", "content").collect()
     want = ingest.chunk_rows(files.extracted(files.validated(files.read_files(spark, str(folder))).filter("status = 'ok'")), of).select("filename", "chunk_index", "content").collect()
     assert sorted(got) == sorted(want) and {r.filename for r in got} == {f"f{i}.txt" for i in range(4)}
@@ -118,7 +119,7 @@ def test_streaming_equals_batch(spark, tmp_path):
     (folder / "f9.txt").write_text("New text.")
     (folder / "deeper").mkdir()
     (folder / "deeper" / "f1.txt").write_text("A known name.")
-    ingest.ingest(spark, str(folder), out, of)
+    ingest.ingest(spark, str(folder), out, of, index=own_index)
     own = ingest.committed(spark, out, "chunks").collect()
     assert [r.filename for r in own] == ["f9.txt"] and own[0]["id"] == len(want)
     for batch in os.listdir(tmp_path / "aside"):
@@ -126,3 +127,26 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert ingest.committed(spark, out, "vectors").count() == len(want) + 1
     ids = [r["id"] for r in ingest.committed(spark, out, "chunks").select("id").collect()]
     assert sorted(ids) == list(range(len(want) + 1))
+    # The index has taken each batch after its commit: it finds what a scan of the committed chunks does.
+    whole = ingest.committed(spark, out, "chunks").select("id", "content")
+    for ks in (["line 3 1", "new text"], ["another%one"]):
+        assert own_index.hits(spark, ks, 100).collect() == search.keyword_hits(whole, ks, 100).collect()
+
+
+def test_inserts(spark, tmp_path):
+    """Ids over batches, a batch again, rows without a vector, and vectors that are held."""
+    out = f"{tmp_path}/store"
+    rows = spark.createDataFrame([("b", [1.0]), ("a", None), ("c", [2.0])], "name string, embedding array<double>")
+    more = spark.createDataFrame([("z", [3.0]), ("y", [4.0])], rows.schema)
+    held = lambda name: spark.read.parquet(f"{out}/{name}").drop("batch")
+    for batch, own in ((0, rows), (1, rows), (1, more), (2, rows.limit(0))):
+        store.insert(own, out, batch, ["name"])
+    assert sorted((r["id"], r["name"]) for r in held("chunks").collect()) == [(0, "a"), (1, "b"), (2, "c"), (3, "y"), (4, "z")]
+    assert sorted((r["doc_id"], *r["embedding"]) for r in held("vectors").collect()) == [(1, 1.0), (2, 2.0), (3, 4.0), (4, 3.0)]
+    vectors = lambda *v: spark.createDataFrame(v, "doc_id long, embedding array<double>")
+    path = f"{out}/new"
+    store.insert_new(vectors((1, [1.0]), (2, None), (None, [5.0])), path, 0)
+    for _ in range(2):
+        store.insert_new(vectors((1, [9.0]), (2, [8.0]), (2, [7.0]), (3, [6.0])), path, 1)
+    assert sorted((r["doc_id"], *r["embedding"]) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 7.0), (3, 6.0)]
+    assert sorted(r["id"] for r in store.delete_ids(held("chunks"), spark.createDataFrame([(0,), (3,), (3,), (77,)], "id long")).collect()) == [1, 2, 4]
