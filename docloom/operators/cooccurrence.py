@@ -1,10 +1,11 @@
 """An embedder learned from a table of texts: words that keep the same company get like vectors.
 
 Word pairs within WINDOW words of each other are counted, a pair at distance d as 1 / d, per task before they move.
-Their positive pointwise mutual information makes a sparse symmetric matrix M, a table (i, j, v) that never leaves Spark. It
+Their positive pointwise mutual information makes a sparse symmetric matrix M, a table (i, j, v) that never leaves Spark and
+is packed into tiles of BLOCK by BLOCK words. It
 is reduced by a randomised factorisation: M times a random matrix, whose rows are drawn from the word's number where they
-are needed; a few rounds of orthonormalising and multiplying by M again, each a join and a sum; and an eigenvalue problem of
-the size of the wanted dimension. Only matrices of that size, squared, come to the driver. A word's vector is its row of
+are needed; a few rounds of orthonormalising and multiplying by M again, each a join of tiles with blocks of BLOCK rows and a
+sum per block; and an eigenvalue problem of the size of the wanted dimension. Only matrices of that size, squared, come to the driver. A word's vector is its row of
 the eigenvectors, by the square roots of the eigenvalues.
 
 A text's vector is the sum of its words' vectors, weighted by a / (a + share) so that common words count little, and has
@@ -22,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ from docloom.storage import cut
 
 WINDOW, ROUNDS, SPARE = 5, 3, 16
 LEAST, MOST = 5, 100_000
-#: Pairs that a task counts at once; the weight of a common word.
+#: Words whose pairs a task counts at once; the weight of a common word.
 HELD, COMMON = 1 << 20, 1e-3
+#: Rows and columns of a tile; its entries that are multiplied at once.
+BLOCK, ENTRIES = 2048, 1 << 15
 WORD = r"[\p{L}\p{N}]+"
 PLAIN = re.compile(r"[^\W_]+")
 
@@ -49,33 +53,40 @@ def vocabulary(words: DataFrame, least: int, most: int) -> DataFrame:
 def pairs(words: DataFrame, number: dict[str, int], window: int) -> DataFrame:
     """(i, j, n) of ordered pairs of known words; unknown ones keep their places."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            while at < len(b):
-                ids, size = [], 0
-                while at < len(b) and size < HELD:
-                    own = b["w"].iloc[at]
-                    ids.append(np.array([number.get(w, -1) for w in own] + [-1] * window, np.int64))
-                    size, at = size + len(own), at + 1
-                ids = np.concatenate(ids)
+            lists = b.column("w")
+            coded = lists.flatten().dictionary_encode()
+            known = np.array([number.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+            lengths = np.diff(lists.offsets.to_numpy())
+            ids = np.full(int(lengths.sum()) + window * len(lengths), -1, np.int64)
+            if len(coded):
+                ids[np.arange(len(coded)) + window * np.repeat(np.arange(len(lengths)), lengths)] = known[coded.indices.to_numpy()]
+            for lo in range(0, len(ids), HELD):
                 keys, weights = [], []
                 for d in range(1, window + 1):
-                    a, c = ids[:-d], ids[d:]
-                    known = (a >= 0) & (c >= 0)
-                    keys += [(a[known] << 32) | c[known], (c[known] << 32) | a[known]]
-                    weights.append(np.full(2 * int(known.sum()), 1 / d))
+                    c = ids[lo + d : lo + d + HELD]
+                    a = ids[lo : lo + len(c)]
+                    both = (a >= 0) & (c >= 0)
+                    a, c = a[both], c[both]
+                    keys.append((np.minimum(a, c) << 32) | np.maximum(a, c))
+                    weights.append(np.full(len(a), 1 / d))
                 key, which = np.unique(np.concatenate(keys), return_inverse=True)
-                yield pd.DataFrame({"i": key >> 32, "j": key & 0xFFFFFFFF, "n": np.bincount(which.ravel(), np.concatenate(weights), len(key))})
+                n = np.bincount(which.ravel(), np.concatenate(weights), len(key)).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(n)], names=["i", "j", "n"])
 
-    return words.mapInPandas(run, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    # Each pair moves once, its smaller number first; a word with itself counts both ways.
+    half = words.mapInArrow(run, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    ways = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", (2 * F.col("n")).alias("n")))).otherwise(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n")))
+    return half.select(F.inline(ways))
 
 
 def information(counts: DataFrame) -> DataFrame:
     """(i, j, v): the positive pointwise mutual information of symmetric counts."""
     sums = counts.groupBy("i").agg(F.sum("n").alias("s"))
     total = sums.agg(F.sum("s").alias("t"))
-    rows = counts.join(sums.withColumnRenamed("s", "si"), "i").join(sums.select(F.col("i").alias("j"), F.col("s").alias("sj")), "j").join(F.broadcast(total))  # one row
+    # A row per word of the vocabulary, which is bounded.
+    rows = counts.join(F.broadcast(sums.withColumnRenamed("s", "si")), "i").join(F.broadcast(sums.select(F.col("i").alias("j"), F.col("s").alias("sj"))), "j").join(F.broadcast(total))  # one row
     return rows.withColumn("v", F.log(F.col("n") * F.col("t") / (F.col("si") * F.col("sj")))).filter("v > 0").select("i", "j", "v")
 
 
@@ -118,30 +129,80 @@ def summed(parts: DataFrame, width: int) -> DataFrame:
     return dealt.mapInPandas(last, schema)
 
 
-def multiplied(matrix: DataFrame, y: DataFrame, width: int) -> DataFrame:
-    """The product of a matrix (i, j, v) and the rows y (i, x)."""
-    return summed(matrix.join(y.select(F.col("i").alias("j"), "x"), "j").select("i", "v", "x"), width)
+def tiled(matrix: DataFrame) -> DataFrame:
+    """(block, of, i, j, v): a matrix (i, j, v) in tiles, each of a block of rows and one of columns, in order of i."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = ((pdf["i"] % BLOCK) * BLOCK + pdf["j"] % BLOCK).to_numpy(np.uint32)
+        order = np.argsort(at)
+        i, j = np.divmod(at[order], np.uint32(BLOCK))
+        return pd.DataFrame([(*key, i.astype("<u2").tobytes(), j.astype("<u2").tobytes(), pdf["v"].to_numpy("<f8")[order].tobytes())], columns=["block", "of", "i", "j", "v"])
+
+    at = matrix.select(F.expr(f"i div {BLOCK}").alias("block"), F.expr(f"j div {BLOCK}").alias("of"), "i", "j", "v")
+    # More parts than cores, so that no task has most of the full tiles, those of common words.
+    dealt = at.repartition(4 * matrix.sparkSession.sparkContext.defaultParallelism, "block", "of")
+    return dealt.groupBy("block", "of").applyInPandas(run, "block long, of long, i binary, j binary, v binary")
 
 
-def gram(y: DataFrame, width: int) -> np.ndarray:
-    """y's columns by its columns."""
+def multiplied(tiles: DataFrame, y: DataFrame | None, width: int) -> DataFrame:
+    """(i, x): the product, in blocks, of the tiles of a matrix and the blocks ``y`` (i, x), or the random matrix. A block of
+    rows is one array, BLOCK times ``width``."""
+    random = y is None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r in b.itertuples(index=False):
+                i, j, v = np.frombuffer(r.i, "<u2"), np.frombuffer(r.j, "<u2"), np.frombuffer(r.v, "<f8")
+                x = drawn(r.of * BLOCK + np.arange(BLOCK), width) if random else np.asarray(r.x).reshape(BLOCK, width)
+                out = held.setdefault(r.block, np.zeros((BLOCK, width)))
+                for lo in range(0, len(i), ENTRIES):
+                    own = i[lo : lo + ENTRIES]
+                    start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    out[own[start]] += np.add.reduceat(x[j[lo : lo + ENTRIES]] * v[lo : lo + ENTRIES, None], start)
+        for block, out in held.items():
+            yield pd.DataFrame({"i": [block], "x": [out.ravel()]})
+
+    met = tiles if random else tiles.join(y.select(F.col("i").alias("of"), "x"), "of")
+    return summed(met.mapInPandas(run, "i long, x array<double>"), BLOCK * width)
+
+
+def gram(y: DataFrame, width: int, z: DataFrame | None = None) -> np.ndarray:
+    """The columns of blocks y by their columns, or by those of z."""
+    itself = z is None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
         for b in batches:
-            x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, width))
-            total += x.T @ x
+            for r in b.itertuples(index=False):
+                x = np.asarray(r.x).reshape(-1, width)
+                total += x.T @ (x if itself else np.asarray(r.z).reshape(-1, width))
         yield pd.DataFrame({"x": [total.ravel()]})
 
-    return sum((np.array(r["x"]).reshape(width, width) for r in y.mapInPandas(run, "x array<double>").toLocalIterator()), np.zeros((width, width)))
+    both = y if itself else y.join(z.select("i", F.col("x").alias("z")), "i")
+    return sum((np.array(r["x"]).reshape(width, width) for r in both.mapInPandas(run, "x array<double>").toLocalIterator()), np.zeros((width, width)))
 
 
 def turned(y: DataFrame, by: np.ndarray) -> DataFrame:
-    """Each row times a small matrix."""
+    """Each row of blocks times a small matrix."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                yield pd.DataFrame({"i": [r.i], "x": [(np.asarray(r.x).reshape(-1, len(by)) @ by).ravel()]})
+
+    return y.mapInPandas(run, "i long, x array<double>")
+
+
+def rows_of(y: DataFrame, width: int) -> DataFrame:
+    """(i, x): the rows of blocks; those of numbers that the matrix doesn't have are zero and left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(x=list(np.stack(b["x"].to_numpy()) @ by) if len(b) else [])
+            for r in b.itertuples(index=False):
+                x = np.asarray(r.x).reshape(-1, width)
+                have = np.flatnonzero(x.any(axis=1))
+                yield pd.DataFrame({"i": r.i * BLOCK + have, "x": list(x[have])})
 
     return y.mapInPandas(run, "i long, x array<double>")
 
@@ -156,30 +217,21 @@ def inverse_root(g: np.ndarray) -> np.ndarray:
 def factorised(matrix: DataFrame, dim: int, rounds: int = ROUNDS) -> DataFrame:
     """(i, x): rows of the leading eigenvectors of a symmetric matrix (i, j, v), by the roots of their values' sizes."""
     width = dim + SPARE
-    start = matrix.select("i", "j", "v")
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            i, at = np.unique(b["i"].to_numpy(), return_inverse=True)
-            out = np.zeros((len(i), width))
-            np.add.at(out, at.ravel(), drawn(b["j"].to_numpy(), width) * b["v"].to_numpy()[:, None])
-            yield pd.DataFrame({"i": i, "x": list(out)})
-
-    y = cut(summed(start.mapInPandas(first, "i long, x array<double>"), width), "range")
+    tiles = cut(tiled(matrix), "tiles")
+    y = cut(multiplied(tiles, None, width), "range")
     for _ in range(rounds):
         root = inverse_root(gram(y, width))
         if not root.shape[1]:
             break
         width = root.shape[1]
         q = cut(turned(y, root), "basis")
-        y = cut(multiplied(matrix, q, width), "range")
+        y = cut(multiplied(tiles, q, width), "range")
     if not width or y.isEmpty():
         return y
     # q's rows by y's: the matrix in the basis, whose eigenvectors turn the basis into the matrix's own.
-    both = q.join(y.select("i", F.col("x").alias("z")), "i").select("i", F.concat("x", "z").alias("x"))
-    values, vectors = np.linalg.eigh(gram(both, 2 * width)[:width, width:])
+    values, vectors = np.linalg.eigh(gram(q, width, y))
     best = np.argsort(-np.abs(values))[:dim]
-    return turned(q, vectors[:, best] * np.sqrt(np.abs(values[best])))
+    return rows_of(turned(q, vectors[:, best] * np.sqrt(np.abs(values[best]))), len(best))
 
 
 def fit(texts: DataFrame, text: str = "text", dim: int = 64, window: int = WINDOW, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -187,7 +239,7 @@ def fit(texts: DataFrame, text: str = "text", dim: int = 64, window: int = WINDO
     words = words_of(texts, text)
     known = cut(vocabulary(words, least, most), "vocabulary")
     number = {r["word"]: r["i"] for r in known.select("word", "i").toLocalIterator()}
-    matrix = cut(information(pairs(words, number, window)), "information")
+    matrix = information(cut(pairs(words, number, window), "pairs"))
     total = known.agg(F.sum("n").alias("t"))
     return factorised(matrix, dim).join(known, "i").join(F.broadcast(total)).select("word", (F.col("n") / F.col("t")).alias("share"), F.col("x").alias("vector"))  # one row
 

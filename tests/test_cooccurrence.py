@@ -94,3 +94,15 @@ def test_sums_of_vectors(spark):
     rows = spark.range(1000).select((F.col("id") % 7).alias("i"), F.lit(2.0).alias("v"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("x")).repartition(5)
     got = {r.i: r.x for r in cooccurrence.summed(rows, 2).collect()}
     assert got == {k: [2.0 * len(range(k, 1000, 7)), 2.0 * sum(range(k, 1000, 7))] for k in range(7)}
+
+
+def test_products_in_tiles(spark, monkeypatch):
+    """A row per tile moves, not one per entry with a vector."""
+    monkeypatch.setattr(cooccurrence, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    m, y = np.where(rng.random((40, 40)) < 0.3, rng.random((40, 40)), 0), rng.normal(size=(48, 3))
+    tiles = cooccurrence.tiled(spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, v double"))
+    assert tiles.count() == 9
+    blocks = spark.createDataFrame([(b, y[16 * b : 16 * b + 16].ravel().tolist()) for b in range(3)], "i long, x array<double>")
+    got = {r.i: np.array(r.x).reshape(16, 3) for r in cooccurrence.multiplied(tiles, blocks, 3).collect()}
+    assert np.allclose(np.concatenate([got[b] for b in range(3)])[:40], m @ y[:40])
