@@ -34,17 +34,25 @@ DEGREE, ALPHA, CANDIDATES = 24, 1.2, 96
 #: Share of the nearest ones to find, how many are looked for, and of how many vectors, when a width is measured.
 RECALL, NEAREST, ASKED = 0.955, 20, 48
 PIVOTS = 64
-#: Part of its width that a query follows at once; queries that walk together, and are sent together.
-STEP, WALKERS, QUERIES = 1 / 16, 256, 20_000
+#: Part of its width that a query follows at once; queries that walk together, and are sent together; pairs scored at once.
+STEP, WALKERS, QUERIES, SCORED = 1 / 16, 64, 20_000, 1 << 15
 SHARD = "shard long, width int, dim int, ids binary, nodes binary, vectors binary, links binary, pivots binary"
 FOUND = "query_id long, doc_id long, score double, scored long"
 
 
+def dots(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of the rows ``a`` of x and ``b`` of y, pair by pair; few rows are copied at once."""
+    out = np.zeros(len(a), np.result_type(x, y))
+    for lo in range(0, len(a), SCORED):
+        out[lo : lo + SCORED] = np.einsum("ij,ij->i", x[a[lo : lo + SCORED]], y[b[lo : lo + SCORED]])
+    return out
+
+
 def nearest(x: np.ndarray, n: int) -> np.ndarray:
     """Row by row, the ``n`` others nearest to a row of unit vectors, nearest first."""
     n, out = min(n, len(x) - 1), []
-    for lo in range(0, len(x), 512):
-        score = x[lo : lo + 512] @ x.T
+    for lo in range(0, len(x), 128):
+        score = x[lo : lo + 128] @ x.T
         score[np.arange(len(score)), np.arange(lo, lo + len(score))] = -np.inf
         best = np.argpartition(-score, n - 1, axis=1)[:, :n] if n else np.zeros((len(score), 0), np.int64)
         out.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1))
@@ -75,7 +83,7 @@ def linked(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndar
     own = thinned(x, nearest(x, CANDIDATES), degree, alpha)
     back = pd.DataFrame({"u": np.repeat(np.arange(len(x)), own.shape[1]), "v": own.ravel()})
     pairs = pd.concat([back.assign(first=0), back.rename(columns={"u": "v", "v": "u"}).assign(first=1)]).drop_duplicates(["u", "v"])
-    pairs["far"] = -np.einsum("ij,ij->i", x[pairs["u"]], x[pairs["v"]]) if len(pairs) else 0.0
+    pairs["far"] = -dots(x, pairs["u"].to_numpy(), x, pairs["v"].to_numpy())
     pairs = pairs.sort_values(["u", "first", "far", "v"])
     place = pairs.groupby("u").cumcount()
     pairs, place = pairs[place < 2 * degree], place[place < 2 * degree]
@@ -128,7 +136,7 @@ def walked(x: np.ndarray, links: np.ndarray, pivots: np.ndarray, q: np.ndarray,
         seen.ravel()[key] = True
         new_who, new = np.divmod(key, len(x))
         scored += np.bincount(new_who, minlength=len(q))
-        made = np.einsum("ij,ij->i", x[new], q[new_who])
+        made = dots(x, new, q, new_who)
         who, node, score, done = np.concatenate([who, new_who]), np.concatenate([node, new]), np.concatenate([score, made]), np.concatenate([done, np.zeros(len(new), bool)])
 
 

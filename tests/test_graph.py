@@ -95,3 +95,11 @@ def test_blocks_of_queries(spark, tmp_path, monkeypatch):
     want = sorted(index.search(spark, asked(v), 5).collect())
     monkeypatch.setattr(graph, "QUERIES", 30)
     assert sorted(index.search(spark, asked(v), 5).collect()) == want
+
+
+def test_pairs_are_scored_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(graph, "SCORED", 7)
+    rng = np.random.default_rng(3)
+    x, y, a, b = rng.random((20, 4)), rng.random((9, 4)), rng.integers(0, 20, 50), rng.integers(0, 9, 50)
+    assert np.allclose(graph.dots(x, a, y, b), (x[a] * y[b]).sum(axis=1))
+    assert graph.dots(x, a[:0], y, b[:0]).shape == (0,)
