@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,36 +93,35 @@ def packed_lines(text: str, size: int = 200, overlap: int = 20, long_line: int =
 
 
 #: Sentences that a task embeds at once.
-EMBEDDED = 20_000
+EMBEDDED = 5_000
 
 
 def chunked(docs: DataFrame, split: Callable[[list[str], np.ndarray | None], list[tuple[str, str]]], embedder: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """(id, chunk_index, total_chunks, content, parent_content) from ``docs`` (id, parts). ``split`` gets the parts of a
     document and their embeddings, which are made for many documents at once."""
 
-    def made(ids: list, parts: list[list[str]]) -> pd.DataFrame:
+    def made(ids: list, parts: list[list[str]]) -> pa.RecordBatch:
         vectors = embedder([s for own in parts for s in own]) if embedder and any(parts) else None
         rows, at = [], 0
         for i, own in zip(ids, parts, strict=True):
             out = split(own, None if vectors is None else vectors[at : at + len(own)])
             at += len(own)
             rows += [(i, k, len(out), c, p) for k, (c, p) in enumerate(out)]
-        return pd.DataFrame(rows, columns=["id", "chunk_index", "total_chunks", "content", "parent_content"])
+        kinds = {"id": pa.int64(), "chunk_index": pa.int32(), "total_chunks": pa.int32(), "content": pa.string(), "parent_content": pa.string()}
+        columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, parts, held = [], [], 0
-            for i, own in zip(b["id"].tolist(), b["parts"], strict=True):
-                ids.append(i)
-                parts.append(list(own))
-                held += len(own)
-                if held >= EMBEDDED:
-                    yield made(ids, parts)
-                    ids, parts, held = [], [], 0
-            if ids:
-                yield made(ids, parts)
-
-    return docs.filter("id is not null").select("id", "parts").mapInPandas(run, "id long, chunk_index int, total_chunks int, content string, parent_content string")
+            # Sentences become strings of Python a few documents at a time.
+            many, at = np.cumsum(pc.fill_null(pc.list_value_length(b.column("parts")), 0).to_numpy(zero_copy_only=False)), 0
+            while at < len(b):
+                end = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + EMBEDDED, "right")))
+                own = b.slice(at, end - at)
+                yield made(own.column("id").to_pylist(), own.column("parts").to_pylist())
+                at = end
+
+    return docs.filter("id is not null").select(F.col("id").cast("long").alias("id"), "parts").mapInArrow(run, "id long, chunk_index int, total_chunks int, content string, parent_content string")
 
 
 def _of_sentences(docs: DataFrame) -> DataFrame:

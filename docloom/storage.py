@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +59,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     its rows does. A table of many files stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+#: Bytes of a column that a task holds as objects of Python.
+GIVEN = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with at most GIVEN bytes in ``column``, or one row with more."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GIVEN, "right")))
+        yield batch.slice(at, end - at)
+        at = end

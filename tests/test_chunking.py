@@ -183,3 +183,14 @@ def test_table_functions(spark):
         got = spark.sql(f"select * from {name}('{text}', 30, 5)").orderBy("chunk_index").collect()
         assert [(r.chunk_index, r.content) for r in got] == list(enumerate(of(text, 30, 5))) and len(got) > 3
         assert spark.sql(f"select * from {name}('', 30, 5)").count() == 0
+
+
+def test_batches_are_sliced_by_bytes():
+    import pyarrow as pa
+
+    from docloom import storage
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(40)), "content": [b"x" * (storage.GIVEN // 10)] * 39 + [None]})
+    own = list(storage.slices(batch, "content"))
+    assert [i for b in own for i in b.column("i").to_pylist()] == list(range(40)) and max(map(len, own)) <= 11
+    assert [len(b) for b in storage.slices(batch.slice(0, 0), "content")] == []
