@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.storage import slices
+
 
 #: Bytes of texts that are hashed at once.
-HASHED = 1 << 20
+HASHED = 1 << 18
 
 
 def hashing_embedder(dim: int = 64, n: int = 3) -> Callable[[list[str]], np.ndarray]:
@@ -54,17 +56,25 @@ def hashing_embedder(dim: int = 64, n: int = 3) -> Callable[[list[str]], np.ndar
     return embed
 
 
+def embedded(batches: Iterator[pa.RecordBatch], text: str, embedder: Callable[[list[str]], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``embedding``. Texts become strings of Python a few at a time, and leave as they came."""
+    for b in batches:
+        for own in slices(b, text):
+            vectors = np.asarray(embedder(own.column(text).to_pylist()), np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.ravel()))
+            yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*own.schema.names, "embedding"])
+
+
 def embed_texts(df: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """``df`` without blank texts, with ``embedding``; each distinct text is embedded once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(embedding=list(embedder(b[text].tolist())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return embedded(batches, text, embedder)
 
     # Texts meet by two 64-bit hashes; those that agree in both are compared when they are joined.
     keys = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)}
     kept = df.filter(F.regexp_replace(text, r"[\x00-\x20]", "") != "").withColumns(keys)
-    made = kept.groupBy("_h1", "_h2").agg(F.min(text).alias(text)).mapInPandas(run, f"_h1 long, _h2 long, `{text}` string, embedding array<float>")
+    made = kept.groupBy("_h1", "_h2").agg(F.min(text).alias(text)).mapInArrow(run, f"_h1 long, _h2 long, `{text}` string, embedding array<float>")
     return kept.join(made.withColumnRenamed(text, "_text"), ["_h1", "_h2"]).filter(F.col(text) == F.col("_text")).drop("_h1", "_h2", "_text")
 
 

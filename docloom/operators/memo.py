@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import store
+from docloom.operators.embedding import embedded
 from docloom.storage import table_exists
 
 ENTRIES = "h1 long, h2 long, text string, embedding array<float>, run long"
@@ -47,15 +48,14 @@ class Memo:
         """``df`` without blank texts, with ``embedding``. A run's number is above those of the runs it may know from."""
         spark = df.sparkSession
 
-        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b.assign(embedding=list(embedder(b["text"].tolist())))
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return embedded(batches, "text", embedder)
 
         hashed = df.filter(F.regexp_replace(text, r"[\x00-\x20]", "") != "").withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)})
         asked = hashed.select("h1", "h2", F.col(text).alias("text")).distinct()
         known = self.entries(spark, run)
         misses = asked.join(known.select("h1", "h2", "text"), [*KEY, "text"], "left_anti")
-        new = misses.mapInPandas(made, ENTRIES.removesuffix(", run long"))
+        new = misses.mapInArrow(made, ENTRIES.removesuffix(", run long"))
         self._write(new, "entries", run)
         self._write(asked.join(known.select("h1", "h2", "text"), [*KEY, "text"], "left_semi").select(*KEY).distinct(), "uses", run)
         # An earlier run may hold a text twice if two of them ran side by side.

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.operators import embedding, memo, tombstones
@@ -81,3 +82,18 @@ def test_tombstones_of_repeated_rows_and_empty_table(spark, tmp_path):
     none = tombstones.Tombstones(f"{tmp_path}/e", f"{tmp_path}/marks_e")
     none.delete(spark, F.col("id") > 0)
     assert none.read(spark).count() == 0
+
+
+def test_an_embedder_gets_few_texts_at_once():
+    from docloom import storage
+
+    n, sizes = storage.GIVEN // 2000, []
+    batch = pa.RecordBatch.from_pydict({"h1": list(range(3 * n + 2)), "text": ["x" * 2000] * 3 * n + [None, "y" * 3 * storage.GIVEN]})
+
+    def of(texts):
+        sizes.append(sum(len(t or "") for t in texts))
+        return np.ones((len(texts), 2))
+
+    out = list(embedding.embedded([batch], "text", of))
+    assert sum(map(len, out)) == len(batch) and max(sizes[:-1]) <= storage.GIVEN and sizes[-1] == 3 * storage.GIVEN
+    assert sum((b.column("h1").to_pylist() for b in out), []) == list(range(len(batch)))
