@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from docloom.storage import table_exists
 
 BLOCK_ROWS, PARTS, BUCKETS = 128, 1024, 64
 #: Postings that a task sorts at once; candidate blocks that a filter names one by one.
-HELD, NAMED = 2_000_000, 200
+HELD, NAMED = 1_000_000, 200
 #: Between two texts of a block, where a trigram doesn't count.
 END = 0x1FFFFF
 TEXTS = "id long, content string, block long, part int"
@@ -45,16 +46,29 @@ def grams_of(texts: list[str]) -> np.ndarray:
 
 def coded(grams: np.ndarray, blocks: np.ndarray) -> pd.DataFrame:
     """Postings of (trigram, block) pairs, a row per trigram."""
+    return packed(grams, blocks).to_pandas()
+
+
+def packed(grams: np.ndarray, blocks: np.ndarray) -> pa.RecordBatch:
+    """The same without an object of Python for a row."""
     order = np.lexsort((blocks, grams))
     grams, blocks = grams[order], blocks[order]
-    at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    steps = np.diff(blocks)
-    rows = []
-    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(grams)], strict=True):
-        own = steps[lo : hi - 1]
-        top = int(own.max()) if len(own) else 0
-        rows.append(own.astype(next(k for k in ("u1", "<u2", "<u4", "<u8") if top <= np.iinfo(k).max)).tobytes())
-    return pd.DataFrame({"gram": grams[at], "first": blocks[at], "n": np.diff([*at, len(grams)]), "steps": rows})
+    at = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    n = np.diff(np.append(at, len(grams)))
+    steps = np.append(0, blocks[1:] - blocks[:-1])
+    steps[at] = 0
+    top = np.maximum.reduceat(steps, at)
+    width = np.select([top <= np.iinfo(k).max for k in ("u1", "u2", "u4")], [1, 2, 4], 8)
+    start = np.append(0, np.cumsum((n - 1) * width))
+    # All rows' steps as one run of bytes, a column of bytes at a time.
+    rest, of = np.delete(np.arange(len(grams)), at), np.repeat(width, n - 1)
+    place = np.cumsum(of) - of
+    data = np.zeros(start[-1], np.uint8)
+    for k in range(int(width.max())):
+        own = of > k
+        data[place[own] + k] = (steps[rest[own]] >> (8 * k)) & 0xFF
+    raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(start.astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(grams[at]), pa.array(blocks[at]), pa.array(n.astype(np.int32)), raw], names=["gram", "first", "n", "steps"])
 
 
 def decoded(first: int, n: int, steps: bytes) -> np.ndarray:
@@ -102,21 +116,22 @@ class KeywordIndex:
         placed = own.select("id", "content", blocks.alias("block")).withColumn("part", part_of(many))
         placed.repartitionByRange("block").sortWithinPartitions("block", "id").write.mode("overwrite").option("parquet.block.size", 4 << 20).partitionBy("part").parquet(f"{path}/texts")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, many = [], 0
             for b in batches:
-                for block, texts in b.groupby("block", sort=False)["content"]:
-                    grams = grams_of(texts.tolist())
+                number = b.column("block").to_numpy()
+                for own in np.split(np.arange(len(b)), np.flatnonzero(np.diff(number)) + 1) if len(b) else ():
+                    grams, block = grams_of(b.column("content").slice(own[0], len(own)).to_pylist()), number[own[0]]
                     held.append((grams, np.full(len(grams), block, np.int64)))
                     many += len(grams)
                     if many > HELD:
-                        yield coded(*map(np.concatenate, zip(*held, strict=True)))
+                        yield packed(*map(np.concatenate, zip(*held, strict=True)))
                         held, many = [], 0
             if many:
-                yield coded(*map(np.concatenate, zip(*held, strict=True)))
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
         written = spark.read.schema(TEXTS).parquet(f"{path}/texts").select("block", F.lower("content").alias("content"))
-        made = written.mapInPandas(run, POSTINGS.removesuffix(", bucket int")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
+        made = written.mapInArrow(run, POSTINGS.removesuffix(", bucket int")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
         made.repartitionByRange("bucket", "gram", "first").sortWithinPartitions("bucket", "gram", "first").write.mode("overwrite").option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(f"{path}/postings")
         return cls(path, many)
 

@@ -104,3 +104,12 @@ def test_growing_index(spark, tmp_path, made):
         assert found(ks) == wanted(chunks, ks)
         assert found(ks, gone) == [i for i in wanted(chunks, ks) if i not in (602, 4000)]
     assert found([]) == []
+
+
+def test_postings_are_packed_without_rows_of_python():
+    grams = np.array([5, 5, 5, 7, 9, 9, 11, 11, 12, 12])
+    blocks = np.array([300, 1, 2, 4, 0, 70_000, 1, 2**33, 8, 9])
+    made = postings.packed(grams, blocks)
+    assert [len(x) for x in made.column("steps").to_pylist()] == [4, 0, 4, 8, 1]
+    rows = zip(*(made.column(c).to_pylist() for c in ("gram", "first", "n", "steps")), strict=True)
+    assert sorted((g, int(b)) for g, f, n, s in rows for b in postings.decoded(f, n, s)) == sorted(zip(grams.tolist(), blocks.tolist(), strict=True))
