@@ -19,6 +19,8 @@ QUESTIONS = ["启动open-webui的两种方式是什么？", "如何安装docker
 VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
 KEYWORDS = ["the", "tion"]
 DELETED_FILE = "src3"
+#: Events of a stream of tokens in four files, of which a trigger takes two.
+EVENTS = 8 << 20
 
 
 def questions(spark: SparkSession) -> DataFrame:
@@ -672,7 +674,10 @@ def token_stream(spark, sf):
     turns = table(spark, sf, "conversations").filter("conv_id is not null and turn is not null").select(F.concat_ws("-", "conv_id", "turn").alias("task_id"), F.regexp_extract_all(text_, F.lit("(?s).{1,7}"), F.lit(0)).alias("t"))
     sent = turns.select("task_id", F.posexplode("t").alias("seq", "text"), F.lit("token").alias("kind")).unionByName(turns.select("task_id", F.size("t").alias("seq"), F.lit(None).cast("string").alias("text"), F.lit("done").alias("kind")))
     twice = sent.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", F.xxhash64("task_id", "seq", "kind", "copy"))
-    events = twice.repartition(4, "h").sortWithinPartitions("h").select("task_id", F.col("seq").cast("long").alias("seq"), "kind", "text", F.timestamp_seconds(F.lit(1_700_000_000)).alias("time"))
+    # Files of bounded size; a task's events lie in four of them, so it is met as often however many there are.
+    groups = -(-int(turns.agg(F.sum(2 * F.size("t") + 2)).first()[0] or 1) // EVENTS)
+    file = (F.pmod(F.xxhash64("task_id"), F.lit(groups)) * 4 + F.pmod("h", F.lit(4))).cast("int")
+    events = twice.repartitionById(4 * groups, file).sortWithinPartitions("h").select("task_id", F.col("seq").cast("long").alias("seq"), "kind", "text", F.timestamp_seconds(F.lit(1_700_000_000)).alias("time"))
     events.write.parquet(f"{out}/events")
     arriving = spark.readStream.schema(tokens.EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{out}/events")
     tokens.run(spark, arriving, f"{out}/answers", f"{out}/checkpoint")

@@ -89,3 +89,20 @@ def test_silence_ends_a_task(spark, tmp_path):
     assert [r for r in rows if r[0] == "a"] == [("a", "error", 1, "timeout"), ("a", "line", 0, "one"), ("a", "token", 0, "one\ntwo")]
     assert [r for r in rows if r[0] == "b" and r[1] in ("complete", "error")] == [("b", "complete", 1, "x")]
     assert sum(r[0] == "c" and r[1] in ("complete", "error") for r in rows) >= 1
+
+
+def test_files_of_events_stay_small(spark, sf, monkeypatch):
+    """More events make more files, not larger ones, and a task's events lie in four of them."""
+    from pyspark.sql import functions as F
+
+    from docloom.plans import queries as core
+
+    seen = []
+    monkeypatch.setattr(core, "EVENTS", 2000)
+    monkeypatch.setattr(core.tokens, "run", lambda spark, events, out, checkpoint: seen.append(out.removesuffix("/answers")))
+    monkeypatch.setattr(core.tokens, "read_answers", lambda spark, out: spark.createDataFrame([], core.tokens.ROWS))
+    core.token_stream(spark, sf)
+    events = spark.read.parquet(f"{seen[0]}/events").withColumn("file", F.input_file_name())
+    sizes = [r["count"] for r in events.groupBy("file").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 2000
+    assert max(r["n"] for r in events.groupBy("task_id").agg(F.count_distinct("file").alias("n")).collect()) <= 4
