@@ -19,8 +19,9 @@ QUESTIONS = ["启动open-webui的两种方式是什么？", "如何安装docker
 VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
 KEYWORDS = ["the", "tion"]
 DELETED_FILE = "src3"
-#: Events of a stream of tokens in four files, of which a trigger takes two.
+#: Events of a stream of tokens in four files, of which each of two triggers takes two.
 EVENTS = 8 << 20
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def questions(spark: SparkSession) -> DataFrame:
@@ -671,16 +672,22 @@ def ingest_progress(spark, sf):
 def token_stream(spark, sf):
     """The turns of conversations as answers whose tokens come twice and in any order."""
     out, text_ = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", F.coalesce("text", F.lit(""))
-    turns = table(spark, sf, "conversations").filter("conv_id is not null and turn is not null").select(F.concat_ws("-", "conv_id", "turn").alias("task_id"), F.regexp_extract_all(text_, F.lit("(?s).{1,7}"), F.lit(0)).alias("t"))
-    sent = turns.select("task_id", F.posexplode("t").alias("seq", "text"), F.lit("token").alias("kind")).unionByName(turns.select("task_id", F.size("t").alias("seq"), F.lit(None).cast("string").alias("text"), F.lit("done").alias("kind")))
+    turns = table(spark, sf, "conversations").filter("conv_id is not null and turn is not null").select(F.concat_ws("-", "conv_id", "turn").alias("task_id"), text_.alias("text"))
+    parts = F.concat(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0)), F.array(F.lit(None).cast("string")))
+    sent = spread(turns, "task_id").select("task_id", F.posexplode(parts).alias("seq", "text")).withColumn("kind", F.when(F.col("text").isNull(), "done").otherwise("token"))
     twice = sent.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", F.xxhash64("task_id", "seq", "kind", "copy"))
     # Files of bounded size; a task's events lie in four of them, so it is met as often however many there are.
-    groups = -(-int(turns.agg(F.sum(2 * F.size("t") + 2)).first()[0] or 1) // EVENTS)
+    groups = -(-int(turns.agg(F.sum(2 * F.ceil(F.length("text") / 7) + 2)).first()[0] or 1) // EVENTS)
     file = (F.pmod(F.xxhash64("task_id"), F.lit(groups)) * 4 + F.pmod("h", F.lit(4))).cast("int")
     events = twice.repartitionById(4 * groups, file).sortWithinPartitions("h").select("task_id", F.col("seq").cast("long").alias("seq"), "kind", "text", F.timestamp_seconds(F.lit(1_700_000_000)).alias("time"))
     events.write.parquet(f"{out}/events")
-    arriving = spark.readStream.schema(tokens.EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{out}/events")
-    tokens.run(spark, arriving, f"{out}/answers", f"{out}/checkpoint")
+    arriving = spark.readStream.schema(tokens.EVENTS).option("maxFilesPerTrigger", 2 * groups).parquet(f"{out}/events")
+    before = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(max(int(before), 4 * groups)))  # of the state; a million events for each of its tasks
+    try:
+        tokens.run(spark, arriving, f"{out}/answers", f"{out}/checkpoint")
+    finally:
+        spark.conf.set(PARTITIONS, before)
     return tokens.read_answers(spark, f"{out}/answers").filter("event = 'complete'").select("task_id", F.col("place").alias("n_tokens"), F.col("text").alias("answer"))
 
 

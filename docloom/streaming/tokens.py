@@ -13,20 +13,28 @@ After ``complete`` or ``error`` no event of the task makes a row, as long as its
 its last event in event time. A task that hears nothing for that long ends in the ``timeout`` error, with what went out
 before. Events without task, of another kind, or with a negative number make no row; a null token is empty. Of two tokens
 with one number the first that came counts. An answer without tokens is complete and has no line.
+
+A call of Python and the state that it gets cost milliseconds, a task's own work microseconds. So tasks go together, by
+hash, in ``buckets``: a bucket has one state, that of its tasks, and one time at which the first of them may end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "task_id string, seq long, kind string, text string, time timestamp"
 ROWS = "task_id string, event string, place long, text string"
-STATE = "next long, total long, lines long, closed boolean, answer string, line string, error string, seqs array<long>, tokens array<string>"
+TASK = "task_id string, latest long, next long, total long, lines long, closed boolean, answer string, line string, error string, seqs array<long>, tokens array<string>"
+STATE = f"buckets long, tasks array<struct<{', '.join(x.replace(' ', ': ', 1) for x in TASK.split(', '))}>>"
+#: Buckets; a checkpoint keeps its tasks by their number.
+BUCKETS = 2048
+#: Rows that go out at once, at least.
+FRAME = 10_000
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,16 +51,24 @@ class Answer:
 
     def take(self, events: pd.DataFrame) -> list[tuple[str, int, str]]:
         """Rows that these events bring."""
+        for seq, kind, text in zip(events["seq"].tolist(), events["kind"].tolist(), events["text"].tolist(), strict=True):
+            if seq == seq and seq is not None:
+                self.hear(int(seq), kind, text if isinstance(text, str) else "")
+        return self.ready()
+
+    def hear(self, seq: int, kind: str, text: str) -> None:
+        if self.closed or seq < 0:
+            return
+        if kind == "token":
+            if seq >= self.next:
+                self.early.setdefault(seq, text)
+        elif kind in ("done", "error") and self.total is None:
+            self.total, self.error = seq, text if kind == "error" else None
+
+    def ready(self) -> list[tuple[str, int, str]]:
+        """Rows that what was heard allows."""
         if self.closed:
             return []
-        for seq, kind, text in zip(events["seq"].tolist(), events["kind"].tolist(), events["text"].tolist(), strict=True):
-            text = text if isinstance(text, str) else ""
-            if seq != seq or seq is None or seq < 0:
-                continue
-            if kind == "token" and seq >= self.next:
-                self.early.setdefault(int(seq), text)
-            elif kind in ("done", "error") and self.total is None:
-                self.total, self.error = int(seq), text if kind == "error" else None
         rows = []
         while self.next in self.early and (self.total is None or self.next < self.total):
             token = self.early.pop(self.next)
@@ -76,53 +92,65 @@ class Answer:
         self.closed, self.answer, self.line, self.early = True, "", "", {}
 
 
-class Ordering(StatefulProcessor):
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.known = handle, handle.getValueState("answer", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = Answer(self.known.get())
-        out, latest = [], 0
-        for events in rows:
-            out += own.take(events)
-            latest = max(latest, int(events["time"].max().value // 1_000_000))
-        for timer in list(self.handle.listTimers()):
-            latest = max(latest, timer - self.timeout_ms)
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest + self.timeout_ms)
-        self.known.update(own.state())
-        yield framed(key[0], out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        own = Answer(self.known.get())
-        self.known.clear()
-        yield framed(key[0], [] if own.closed else [("error", own.next, "timeout")])
-
-    def close(self) -> None:
-        pass
-
-
-def framed(task: str, rows: list[tuple[str, int, str]]) -> pd.DataFrame:
+def ordering(timeout_ms: int, buckets: int) -> Callable[[tuple, Iterable[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """What is done with a bucket: its tasks take their events, then those end that have heard nothing for the timeout."""
+
+    def put_together(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        were, kept = state.get if state.exists else (buckets, [])
+        if were != buckets:
+            raise ValueError(f"the checkpoint keeps its tasks in {were} buckets, not in {buckets}")
+        tasks, latest, rows = {}, {}, []
+        for task, last, *own in kept:
+            tasks[task], latest[task] = Answer(tuple(own)), last
+        for events in () if state.hasTimedOut else chunks:
+            heard = {}
+            for task, seq, kind, text, ms in zip(*(events[c].tolist() for c in ("task_id", "seq", "kind", "text", "ms")), strict=True):
+                own = heard.get(task)
+                if own is None:
+                    own = heard[task] = tasks.setdefault(task, Answer(None))
+                own.hear(seq, kind, text)
+                if ms > latest.setdefault(task, ms):
+                    latest[task] = ms
+            rows += [(task, *row) for task, own in heard.items() for row in own.ready()]
+            if len(rows) >= FRAME:
+                yield framed(rows)
+                rows = []
+        now = state.getCurrentWatermarkMs()
+        for task in [task for task in tasks if latest[task] + timeout_ms <= now]:
+            own = tasks.pop(task)
+            if not own.closed:
+                rows.append((task, "error", own.next, "timeout"))
+        if rows:
+            yield framed(rows)
+        if tasks:
+            state.update((buckets, [(task, latest[task], *own.state()) for task, own in tasks.items()]))
+            state.setTimeoutTimestamp(min(latest[task] for task in tasks) + timeout_ms)
+        else:
+            state.remove()
+
+    return put_together
+
+
+def framed(rows: list[tuple[str, str, int, str]]) -> pd.DataFrame:
+    task, event, place, text = zip(*rows, strict=True)
     words = lambda own: pd.Series(own, dtype=object)
-    return pd.DataFrame({"task_id": words([task] * len(rows)), "event": words([e for e, _, _ in rows]), "place": pd.Series([n for _, n, _ in rows], dtype="int64"), "text": words([t for _, _, t in rows])})
+    return pd.DataFrame({"task_id": words(task), "event": words(event), "place": pd.Series(place, dtype="int64"), "text": words(text)})
 
 
-def answers(events: DataFrame, timeout_seconds: int = 120, late_seconds: int = 60) -> DataFrame:
-    """The rows of a stream of ``events`` (task_id, seq, kind, text, time). The session's state store must be RocksDB's."""
+def answers(events: DataFrame, timeout_seconds: int = 120, late_seconds: int = 60, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of a stream of ``events`` (task_id, seq, kind, text, time)."""
     known = events.filter("task_id is not null and time is not null and kind in ('token', 'done', 'error')")
     marked = known.withWatermark("time", f"{late_seconds} seconds")
-    return marked.groupBy("task_id").transformWithStateInPandas(Ordering(1000 * timeout_seconds), ROWS, "Append", "EventTime")
+    dealt = marked.select(F.pmod(F.xxhash64("task_id"), F.lit(buckets)).alias("bucket"), "task_id", F.coalesce("seq", F.lit(-1)).alias("seq"), "kind", F.coalesce("text", F.lit("")).alias("text"), F.unix_millis("time").alias("ms"), "time")
+    return dealt.groupBy("bucket").applyInPandasWithState(ordering(1000 * timeout_seconds, buckets), ROWS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, timeout_seconds: int = 120, late_seconds: int = 60):
+def run(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, timeout_seconds: int = 120, late_seconds: int = 60, buckets: int = BUCKETS):
     """Put together what has come, append it to the table ``out``, and return the finished query."""
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        query = answers(events, timeout_seconds, late_seconds).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = answers(events, timeout_seconds, late_seconds, buckets).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         spark.conf.set(PROVIDER, before)

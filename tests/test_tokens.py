@@ -106,3 +106,36 @@ def test_files_of_events_stay_small(spark, sf, monkeypatch):
     sizes = [r["count"] for r in events.groupBy("file").count().collect()]
     assert len(sizes) > 8 and max(sizes) < 2000
     assert max(r["n"] for r in events.groupBy("task_id").agg(F.count_distinct("file").alias("n")).collect()) <= 4
+
+
+def test_triggers_do_not_grow(spark, sf, monkeypatch):
+    """More events make more files, of which two triggers take half each; the state has a row a bucket, not a task."""
+    from docloom.plans import queries as core
+
+    ran, own = [], core.tokens.run
+    partitions = spark.conf.get(core.PARTITIONS)
+    monkeypatch.setattr(core, "EVENTS", 2000)
+    monkeypatch.setattr(core.tokens, "run", lambda spark, events, out, checkpoint: ran.append((own(spark, events, out, checkpoint, buckets=5), spark.conf.get(core.PARTITIONS))))
+    got = sorted(tuple(r) for r in core.token_stream(spark, sf).collect())
+    texts = [(f"{r.conv_id}-{r.turn}", r.text or "") for r in spark.read.parquet(f"{sf}/conversations.parquet").collect() if r.conv_id is not None and r.turn is not None]
+    assert got == sorted((task, -(-len(text) // 7), text) for task, text in texts)
+    query, of_state = ran[0]
+    took = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(took) == 2 and [p["stateOperators"][0]["numRowsTotal"] for p in took] == [5, 5]
+    assert int(of_state) > 8 and spark.conf.get(core.PARTITIONS) == partitions
+
+
+def test_tasks_of_one_bucket(spark, tmp_path):
+    """A task ends in time while others of its bucket go on, and a checkpoint keeps its number of buckets."""
+    put(spark, f"{tmp_path}/in", [("a", 0, "token", "one\ntwo"), ("a", 2, "token", "never"), ("b", None, "done", None), ("b", 0, "token", None), ("b", 1, "done", None), ("c", 0, "token", "x")])
+    for seconds in (100, 200, 300):
+        put(spark, f"{tmp_path}/in", [("c", seconds // 100, "token", "y")], seconds)
+    put(spark, f"{tmp_path}/in", [("c", 4, "done", None)], 310)
+    events = lambda: spark.readStream.schema(tokens.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    tokens.run(spark, events(), f"{tmp_path}/out", f"{tmp_path}/marks", buckets=1)
+    rows = sorted(tuple(r) for r in tokens.read_answers(spark, f"{tmp_path}/out").collect())
+    assert [r for r in rows if r[1] in ("complete", "error")] == [("a", "error", 1, "timeout"), ("b", "complete", 1, ""), ("c", "complete", 4, "xyyy")]
+    assert [(t, n, x) for t, e, n, x in rows if e == "line"] == [("a", 0, "one"), ("c", 0, "xyyy")]
+    put(spark, f"{tmp_path}/in", [("c", 5, "token", "z")], 320)
+    with pytest.raises(Exception, match="1 buckets, not in 2"):
+        tokens.run(spark, events(), f"{tmp_path}/out", f"{tmp_path}/marks", buckets=2)
